@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe_codec, secret_scan, token_count, topk_search
+from millrace.llm import bpe_codec, lattice_lm, secret_scan, token_count, topk_search, toxicity
 from millrace.runtime import read
 
 
@@ -17,6 +17,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.op1_lattice_lm(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.op3_topk(read(spark, sf_dir, "embeddings"))
 
@@ -33,11 +37,17 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.op7_token_counts(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op9_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lattice_lm": op1_lattice_lm,
     "op3_topk_search": op3_topk_search,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_secret_scan": op6_secret_scan,
     "op7_token_counts": op7_token_counts,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE: dict[str, str] = {"op3_topk_search": topk_search.ORACLE_SQL}
