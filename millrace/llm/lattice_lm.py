@@ -1,18 +1,22 @@
 """Subword lattice likelihood (operator 1).
 
-The probability of a text is the product over its words and one end mark.  A
-word's lattice has an arc for every vocabulary piece that fits, byte arcs for
-every character, and an arc for the whole word if training saw it:
-
-    P(w) = (max(c(w) - D, 0) + D * V * B(w)) / N
-    B(w) = (1 - e) * sum over all segmentations of prod p(piece)
-
-c are the training counts, N their sum, V the number of distinct tokens and D
-an absolute discount; B is computed by a forward recursion in log space.  The
-pieces and their starting weights come from an existing vocabulary (its scores
-are merge ranks, read as a Zipf law); forward-backward rounds over the distinct
-training words fit the weights, the inventory is never changed.  Pieces that
-open a word carry the word mark, so all P(w) and P(end) add up to one.
+The probability of a text is the product over its words and one end mark,
+summed over a few hidden strata (languages, say):
+
+    P(text) = sum_k pi_k prod_w P_k(w)
+    P_k(w)  = (max(c_k(w) - D_k, 0) + D_k * V_k * B_k(w)) / N_k
+    B_k(w)  = (1 - e) * sum over all segmentations of prod p_k(piece)
+
+A word's lattice has an arc for every vocabulary piece that fits, byte arcs for
+every character, and an arc for the whole word if the stratum's training texts
+hold it.  c_k are training counts, N_k their sum, V_k the number of distinct
+tokens, D_k an absolute discount.  B_k is computed by a forward recursion in log
+space.  The pieces and their starting weights come from an existing vocabulary
+(its scores are merge ranks, read as a Zipf law); forward-backward rounds over
+the distinct training words fit the weights, the inventory is never changed.
+Pieces that open a word carry the word mark, so that the P_k(w) and P_k(end) of
+a stratum add up to one.  The stratum of a text that is scored is not looked
+at, it is summed out.
 
 At scale: words are counted with map-side counters and one shuffle.  Only a
 bounded number of frequent words (``hot_words``) and the piece weights (as many
@@ -28,16 +32,18 @@ import math
 from collections import Counter, defaultdict
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.pretok import Memo
 from millrace.runtime import cut, ship
 
 MARK = "▁"
 END_SHARE = 1e-3  # of the fallback distribution
 LN10 = math.log(10)
+BASE = np.uint64(0x9E3779B97F4A7C15)
+LONG = 64  # words of more characters are taken one at a time
 
 
 def tokens(raw: bytes) -> list[bytes]:
@@ -47,72 +53,136 @@ def tokens(raw: bytes) -> list[bytes]:
 
 # ---------------------------------------------------------------- the lattice
 
-class Lattice:
-    """Piece log-probabilities and the forward (and backward) recursion."""
-
-    def __init__(self, pieces: dict[str, float], bytes_: list[float]):
-        self.pieces, self.bytes = pieces, bytes_
-        self.prefixes = {p[:n] for p in pieces for n in range(1, len(p) + 1)}
-
-    def arcs(self, s: str) -> list[list[tuple[int, str | None, float]]]:
-        """By end position: (start, piece or None for bytes, log-probability)."""
-        n, out = len(s), [[] for _ in range(len(s) + 1)]
-        pieces, prefixes = self.pieces, self.prefixes
-        for i in range(n):
-            if i or s[0] != MARK:
-                out[i + 1].append((i, None, sum([self.bytes[b] for b in s[i].encode("utf-8")])))
-            for j in range(i + 1, n + 1):
-                p = s[i:j]
-                if p not in prefixes:
-                    break
-                if (lp := pieces.get(p)) is not None and (i == 0 or p[0] != MARK):
-                    out[j].append((i, p, lp))
-        return out
+class Weights:
+    """Log-probabilities of pieces (piece, stratum) and bytes (256, stratum)."""
+
+    def __init__(self, names: list[str], pieces: np.ndarray, bytes_: np.ndarray):
+        self.names, self.pieces, self.bytes = names, pieces, bytes_
 
-    def forward(self, arcs: list) -> list[float]:
-        alpha = [0.0] * len(arcs)
-        for j in range(1, len(arcs)):
-            terms = [alpha[i] + lp for i, _, lp in arcs[j]]
-            if len(terms) == 1:
-                alpha[j] = terms[0]
-            elif terms:
-                top = max(terms)
-                alpha[j] = top + math.log(sum([math.exp(t - top) for t in terms])) if top > -math.inf else -math.inf
-            else:
-                alpha[j] = -math.inf
+    @staticmethod
+    def of(names: list[str], piece_mass: np.ndarray, byte_mass: np.ndarray) -> Weights:
+        total = piece_mass.sum(0) + byte_mass.sum(0)
+        with np.errstate(divide="ignore"):
+            return Weights(names, np.log(piece_mass / total), np.log(byte_mass / total))
+
+
+def code_points(words: list[str], n: int) -> np.ndarray:
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), n)
+
+
+class Lattice:
+    """Forward (and backward) recursion over many words of one length at once."""
+
+    def __init__(self, weights: Weights):
+        self.w = weights
+        hashes = np.zeros(len(weights.names), np.uint64)
+        sizes = np.array([len(p) for p in weights.names])
+        for n in np.unique(sizes):
+            at = np.flatnonzero(sizes == n)
+            hashes[at] = self._hash(code_points([weights.names[i] for i in at], int(n)))
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+        self.lengths = sorted(set(sizes.tolist()))
+        self.strata = weights.pieces.shape[1]
+
+    @staticmethod
+    def _hash(codes: np.ndarray) -> np.ndarray:
+        h = np.zeros(len(codes), np.uint64)
+        with np.errstate(over="ignore"):
+            for i in range(codes.shape[1]):
+                h = h * BASE + codes[:, i].astype(np.uint64) + np.uint64(1)
+        return h
+
+    def _spans(self, codes: np.ndarray):
+        """(start, end, rows, piece numbers) of every piece that fits, by end."""
+        m, n = codes.shape
+        with np.errstate(over="ignore"):
+            heads, power = [np.zeros(m, np.uint64)], [np.uint64(1)]
+            for i in range(n):
+                heads.append(heads[-1] * BASE + codes[:, i].astype(np.uint64) + np.uint64(1))
+                power.append(power[-1] * BASE)
+            for j in range(1, n + 1):
+                for size in self.lengths:
+                    if size > j:
+                        break
+                    h = heads[j] - heads[j - size] * power[size]
+                    at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+                    rows = np.flatnonzero(self.hashes[at] == h)
+                    if len(rows):
+                        yield j - size, j, rows, self.order[at[rows]]
+
+    def _bytes(self, codes: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """Log-probability of spelling each character in bytes: (row, place, stratum)."""
+        chars, back = np.unique(codes, return_inverse=True)
+        per = np.array([table[list(chr(int(c)).encode("utf-8", "replace"))].sum(0) for c in chars])
+        return per[back.reshape(codes.shape)]
+
+    def _forward(self, codes: np.ndarray, spans: list, spelled: np.ndarray) -> list[np.ndarray]:
+        m, n = codes.shape
+        alpha = [np.zeros((m, self.strata)), *[np.full((m, self.strata), -np.inf) for _ in range(n)]]
+        at = 0
+        for j in range(1, n + 1):
+            if j > 1:
+                alpha[j] = alpha[j - 1] + spelled[:, j - 1]
+            while at < len(spans) and spans[at][1] == j:
+                i, _, rows, piece = spans[at]
+                alpha[j][rows] = np.logaddexp(alpha[j][rows], alpha[i][rows] + self.w.pieces[piece])
+                at += 1
         return alpha
 
-    def log_prob(self, word: bytes) -> float:
-        """Natural log of the marginal over all segmentations of a word."""
-        return self.forward(self.arcs(MARK + word.decode("utf-8", "replace")))[-1]
-
-    def expect(self, word: bytes, weight: float, into: dict) -> None:
-        """Add the expected uses of every piece (or byte) in a word."""
-        s = MARK + word.decode("utf-8", "replace")
-        arcs = self.arcs(s)
-        alpha = self.forward(arcs)
-        total, beta = alpha[-1], [-math.inf] * len(arcs)
-        beta[-1] = 0.0
-        for j in range(len(arcs) - 1, 0, -1):
-            b = beta[j]
-            if b == -math.inf:
-                continue
-            for i, piece, lp in arcs[j]:
-                x = lp + b
-                post = math.exp(alpha[i] + x - total) * weight
-                if piece is None:
-                    for c in s[i].encode("utf-8"):
-                        into[c] += post
-                else:
-                    into[piece] += post
-                y = beta[i]
-                beta[i] = x if y == -math.inf else (max(x, y) + math.log1p(math.exp(-abs(x - y))))
+    def log_probs(self, words: list[bytes]) -> np.ndarray:
+        """Natural log of the marginal over all segmentations: (word, stratum)."""
+        out = np.empty((len(words), self.strata))
+        for n, places, text in by_length(words):
+            for a in range(0, len(places), 4096 if n <= LONG else 1):
+                part = slice(a, a + (4096 if n <= LONG else 1))
+                codes = code_points(text[part], n)
+                out[places[part]] = self._forward(codes, list(self._spans(codes)), self._bytes(codes, self.w.bytes))[-1]
+        return out
+
+    def expect(self, words: list[bytes], mass: np.ndarray, pieces: np.ndarray, bytes_: np.ndarray) -> None:
+        """Add the expected uses of pieces and bytes; ``mass`` (word, stratum)
+        says how often each word counts."""
+        for n, places, text in by_length(words):
+            for a in range(0, len(places), 4096 if n <= LONG else 1):
+                part = slice(a, a + (4096 if n <= LONG else 1))
+                codes, weight = code_points(text[part], n), mass[places[part]]
+                spans, spelled = list(self._spans(codes)), self._bytes(codes, self.w.bytes)
+                alpha = self._forward(codes, spans, spelled)
+                beta = [np.full_like(alpha[0], -np.inf) for _ in range(n)] + [np.zeros_like(alpha[0])]
+                at = len(spans) - 1
+                for j in range(n, 0, -1):
+                    while at >= 0 and spans[at][1] == j:
+                        i, _, rows, piece = spans[at]
+                        x = self.w.pieces[piece] + beta[j][rows]
+                        np.add.at(pieces, piece, np.exp(alpha[i][rows] + x - alpha[n][rows]) * weight[rows])
+                        beta[i][rows] = np.logaddexp(beta[i][rows], x)
+                        at -= 1
+                    if j > 1:
+                        x = spelled[:, j - 1] + beta[j]
+                        post = np.exp(alpha[j - 1] + x - alpha[n]) * weight
+                        for c in np.unique(codes[:, j - 1]):
+                            share = post[codes[:, j - 1] == c].sum(0)
+                            if share.max() > 1e-9:
+                                np.add.at(bytes_, list(chr(int(c)).encode("utf-8", "replace")), share)
+                        beta[j - 1] = np.logaddexp(beta[j - 1], x)
+
+
+def by_length(words: list[bytes]):
+    """(length, places, marked words) for groups of equally long words."""
+    groups: dict[int, tuple[list[int], list[str]]] = defaultdict(lambda: ([], []))
+    for i, w in enumerate(words):
+        s = MARK + w.decode("utf-8", "replace")
+        groups[len(s)][0].append(i)
+        groups[len(s)][1].append(s)
+    for n, (places, text) in groups.items():
+        yield n, np.array(places), text
 
 
 @lru_cache(maxsize=2)
-def vocabulary(path: str) -> tuple[dict[str, float], list[float]]:
-    """Starting weights of an existing ``sentencepiece`` vocabulary: ordinary
-    pieces by rank (score r, weight 1 / (2.7 - r)), bytes share 1/1000."""
+def vocabulary(path: str) -> tuple[list[str], np.ndarray]:
+    """Pieces and starting weights of an existing ``sentencepiece`` vocabulary:
+    ordinary pieces by rank (score r, weight 1 / (2.7 - r))."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -122,93 +192,87 @@ def vocabulary(path: str) -> tuple[dict[str, float], list[float]]:
         if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)) and sp.get_score(i) > -1e8
     }
     raw.setdefault(MARK, min(raw.values(), default=1.0))
-    return normalised(raw, [1.0] * 256)
-
-
-def normalised(pieces: dict[str, float], bytes_: list[float], byte_share: float = 1e-3) -> tuple[dict[str, float], list[float]]:
-    total, tail = sum(pieces.values()), sum(bytes_)
-    left = math.log(1 - byte_share)
-    return (
-        {p: left + math.log(w / total) for p, w in pieces.items() if w > 0},
-        [math.log(byte_share * w / tail) for w in bytes_],
-    )
+    return list(raw), np.array(list(raw.values())) / sum(raw.values())
 
 
 # --------------------------------------------------------------- Spark stages
 
-def word_counts(texts: DataFrame, limit: int = 400_000) -> DataFrame:
-    """(word binary, n long) over column ``raw`` (binary); the end mark is the
-    empty word.  Each task keeps at most ``limit`` distinct words at a time."""
+def word_counts(texts: DataFrame, strata: int, limit: int = 300_000) -> DataFrame:
+    """(word binary, n long, c0.. long) over columns ``raw`` (binary) and
+    ``stratum``; the end mark is the empty word.  Each task keeps at most about
+    ``limit`` distinct words at a time."""
 
     def run(batches):
-        seen: Counter = Counter()
+        seen = [Counter() for _ in range(strata)]
         for b in batches:
-            for raw in b.column(0).to_pylist():
-                seen.update(tokens(raw))
-                seen[b""] += 1
-                if len(seen) > limit:
+            for raw, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                seen[k].update(tokens(raw))
+                seen[k][b""] += 1
+                if sum(map(len, seen)) > limit:
                     yield flush(seen)
-        if seen:
-            yield flush(seen)
+        yield flush(seen)
 
     def flush(seen):
-        out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-        seen.clear()
+        out = pa.RecordBatch.from_arrays([
+            pa.array([w for s in seen for w in s], pa.binary()),
+            pa.array([k for k, s in enumerate(seen) for _ in s], pa.int32()),
+            pa.array([n for s in seen for n in s.values()], pa.int64())], names=["word", "k", "n"])
+        for s in seen:
+            s.clear()
         return out
 
-    return texts.select("raw").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    got = texts.select("raw", "stratum").mapInArrow(run, "word binary, k int, n long")
+    sums = [F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(strata)]
+    return got.groupBy("word").agg(F.sum("n").alias("n"), *sums)
 
 
-def fit_lattice(words: DataFrame, start: tuple[dict[str, float], list[float]], rounds: int, prior: float = 0.1) -> tuple[dict[str, float], list[float]]:
-    """Forward-backward rounds over distinct words, each weighing log2(1 + n).
-    What is collected has one number per vocabulary piece."""
-    model = start
+def fit_lattice(words: DataFrame, path: str, strata: int, rounds: int, prior: float = 50.0) -> Weights:
+    """Forward-backward rounds over distinct words, each weighing log2(1 + c_k)
+    in stratum k.  What is collected has one row per vocabulary piece."""
+    names, start = vocabulary(path)
+    first = np.repeat(start[:, None], strata, 1)
+    model = Weights.of(names, first * 0.999, np.full((256, strata), 0.001 / 256))
+    columns = [f"u{k}" for k in range(strata)]
     for _ in range(rounds):
-        lattice_parts = model
-
-        def run(batches, parts=lattice_parts):
-            lattice, got = Lattice(*parts), defaultdict(float)
+        def run(batches, model=model):
+            lattice = Lattice(model)
+            pieces, bytes_ = np.zeros((len(names), strata)), np.zeros((256, strata))
             for b in batches:
-                for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    if w:
-                        lattice.expect(w, math.log2(1 + n), got)
-            if got:
-                keys = [k if isinstance(k, str) else f"\x00{k}" for k in got]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(list(got.values()), pa.float64())], names=["piece", "uses"])
-
-        uses = dict(words.mapInArrow(run, "piece string, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toPandas().itertuples(index=False, name=None))
-        if not uses:
-            break
-        pieces = {p: uses.get(p, 0.0) + prior * math.exp(lp) for p, lp in start[0].items()}
-        raw = [uses.get(f"\x00{b}", 0.0) + 1.0 for b in range(256)]
-        model = normalised(pieces, raw, byte_share=sum(raw) / (sum(raw) + sum(pieces.values())))
+                mass = np.log2(1 + np.column_stack([b.column(1 + k).to_numpy() for k in range(strata)]))
+                lattice.expect(b.column(0).to_pylist(), mass, pieces, bytes_)
+            uses = np.concatenate([pieces, bytes_])
+            live = np.flatnonzero(uses.max(1) > 1e-9)
+            yield pa.RecordBatch.from_arrays([pa.array(live, pa.int64()), *[pa.array(uses[live, k], pa.float64()) for k in range(strata)]], names=["i", *columns])
+
+        parts = words.where(F.octet_length("word") > 0).select("word", *[f"c{k}" for k in range(strata)])
+        got = parts.mapInArrow(run, "i long, " + ", ".join(f"{c} double" for c in columns)).groupBy("i").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
+        uses = np.zeros((len(names) + 256, strata))
+        uses[got["i"].to_numpy(np.int64)] = got[columns].to_numpy()
+        model = Weights.of(names, uses[:-256] + prior * first, uses[-256:] + prior / 256)
     return model
 
 
 class Scorer:
-    """log10 probabilities of words under the base and the lattice model."""
+    """log10 probabilities of words under the base and under each stratum."""
 
-    def __init__(self, parts, total: int, distinct: int, discount: float):
-        self.lattice = Lattice(*parts)
-        self.total, self.distinct, self.discount = total, distinct, discount
-        self.back = Memo(self._fallback, 100_000)
+    def __init__(self, weights: Weights, total: int, distinct: int, sizes: np.ndarray):
+        """``sizes``: rows N_k, V_k, D_k."""
+        self.lattice, self.total, self.distinct = Lattice(weights), total, distinct
+        self.n, self.v, self.d = sizes
 
-    def _fallback(self, word: bytes) -> float:
-        return math.log(END_SHARE) if not word else math.log(1 - END_SHARE) + self.lattice.log_prob(word)
+    def base(self, n: np.ndarray) -> np.ndarray:
+        return np.log10((n + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
-    def base(self, n: int) -> float:
-        return math.log10((n + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
-
-    def score(self, word: bytes, n: int) -> float:
-        back = self.back[word]
-        if not self.total:
-            return back / LN10
-        unseen = math.log(self.discount * self.distinct / self.total) + back
-        if n <= self.discount:
-            return unseen / LN10
-        own = math.log((n - self.discount) / self.total)
-        top = max(own, unseen)
-        return (top + math.log(math.exp(own - top) + math.exp(unseen - top))) / LN10
+    def score(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
+        """(word, stratum); counts (word, stratum)."""
+        back = np.full((len(words), len(self.n)), math.log(END_SHARE))
+        real = np.array([i for i, w in enumerate(words) if w], np.int64)
+        if len(real):
+            back[real] = math.log(1 - END_SHARE) + self.lattice.log_probs([words[i] for i in real])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            unseen = np.where(self.n > 0, np.log(self.d * self.v / self.n), 0.0) + back
+            own = np.where((self.n > 0) & (counts > self.d), np.log((counts - self.d) / self.n), -np.inf)
+        return np.logaddexp(own, unseen) / LN10
 
 
 def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
@@ -216,106 +280,135 @@ def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def score_texts(docs: DataFrame, held_out: Column, vocabulary_path: str, rounds: int = 2, hot_words: int = 1 << 18) -> DataFrame:
+def stratum_numbers(rows: DataFrame, most: int) -> list:
+    """The ``most`` commonest values of column ``label`` in training rows; all
+    other values and null form one further stratum."""
+    got = rows.where(~F.col("held_out") & F.col("label").isNotNull()).groupBy("label").count().orderBy(F.desc("count"), "label").limit(most).collect()
+    return [r["label"] for r in got]
+
+
+def score_texts(docs: DataFrame, held_out: Column, vocabulary_path: str, strata_col: str | None = None, max_strata: int = 6,
+                rounds: int = 2, hot_words: int = 1 << 17) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of
     every row of ``docs`` (doc_id, text), learnt from the rows that are not
     held out.
 
-    Null and empty texts consist of the end mark alone.  Repeated rows give
-    repeated results; rows that share an id but not the text are kept apart.
-    Without training rows the counts are 0 and the lattice alone scores.
+    ``strata_col`` names a column whose values group the training texts; it is
+    not read for the texts that are scored.  Null and empty texts consist of
+    the end mark alone.  Repeated rows give repeated results; rows that share
+    an id but not the text are kept apart.  Without training rows all counts
+    are 0 and the lattice alone scores.
     """
     ship(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64(text).alias("h"), held_out.alias("held_out"), text.cast("binary").alias("raw"))
-    counts = cut(word_counts(rows.where(~F.col("held_out"))))
-    s = counts.agg(F.sum("n"), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    label = F.col(strata_col).cast("string") if strata_col else F.lit(None).cast("string")
+    rows = docs.select("doc_id", F.xxhash64(text).alias("h"), held_out.alias("held_out"), text.cast("binary").alias("raw"), label.alias("label"))
+    labels = stratum_numbers(rows, max_strata) if strata_col else []
+    number = F.lit(len(labels))
+    for k, value in enumerate(labels):
+        number = F.when(F.col("label") == value, k).otherwise(number)
+    rows = rows.withColumn("stratum", F.coalesce(number, F.lit(len(labels))).cast("int"))
+    strata = len(labels) + 1
+    cs = [f"c{k}" for k in range(strata)]
+    counts = cut(word_counts(rows.where(~F.col("held_out")), strata))
+    s = counts.agg(
+        F.sum("n"), F.count("*"),
+        *[F.sum(c) for c in cs], *[F.count_if(F.col(c) > 0) for c in cs], *[F.count_if(F.col(c) == 1) for c in cs], *[F.count_if(F.col(c) == 2) for c in cs],
+        *[F.sum(F.when(F.octet_length("word") == 0, F.col(c))) for c in cs],
+    ).first()
     total, distinct = int(s[0] or 0), int(s[1])
-    discount = min(0.95, max(0.05, s[2] / max(1, s[2] + 2 * s[3])))
-    parts = fit_lattice(counts, vocabulary(vocabulary_path), rounds)
+    n, v, n1, n2, ends = np.array([x or 0 for x in s[2:]], float).reshape(5, strata)
+    sizes = np.stack([n, v, np.clip(n1 / np.maximum(1, n1 + 2 * n2), 0.05, 0.95)])
+    shares = (ends + 0.5 / strata) / (ends.sum() + 0.5)
+    weights = fit_lattice(counts, vocabulary_path, strata, rounds)
+    ss = [f"s{k}" for k in range(strata)]
+    doubles = ", ".join(f"{c} double" for c in ss)
+    model = docs.sparkSession.sparkContext.broadcast((weights, total, distinct, sizes))
 
     def rate(batches):
-        scorer = Scorer(parts, total, distinct, discount)
+        scorer = Scorer(*model.value)
         for b in batches:
-            words, ns = b.column(0).to_pylist(), b.column(1).to_pylist()
-            scored = [scorer.score(w, n) for w, n in zip(words, ns, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scored, pa.float64())], names=["word", "n", "score"])
+            words = b.column(0).to_pylist()
+            got = scorer.score(words, np.column_stack([b.column(1 + i).to_numpy() for i in range(1, strata + 1)]))
+            base = scorer.base(b.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base), *[pa.array(got[:, k]) for k in range(strata)]], names=["word", "base", *ss])
 
     top = counts.orderBy(F.desc("n"), "word").limit(hot_words)
-    hot_rows = top.repartition(32, "word").mapInArrow(rate, "word binary, n long, score double").toArrow()
-    table = Scorer((dict(), [0.0] * 256), total, distinct, discount)
-    hot = docs.sparkSession.sparkContext.broadcast({
-        w: (table.base(n), sc) for w, n, sc in zip(*(hot_rows.column(c).to_pylist() for c in ("word", "n", "score")), strict=True)
-    })
-
-    kinds = "doc_id long, h long, held_out boolean, word binary, m long, copies long, n_tokens long, n_known long, base double, score double"
-    if (kind := docs.schema["doc_id"].dataType.simpleString()) != "bigint":
-        kinds = kinds.replace("doc_id long", f"doc_id {kind}")
+    table = top.repartition(32, "word").mapInArrow(rate, f"word binary, base double, {doubles}").toArrow()
+    hot = docs.sparkSession.sparkContext.broadcast((
+        {w: i for i, w in enumerate(table.column("word").to_pylist())},
+        np.column_stack([table.column(c).to_numpy() for c in ["base", *ss]]),
+    ))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    sums = f"copies long, n_tokens long, n_known long, base double, {doubles}"
 
     def first_pass(batches):
-        known = hot.value
+        known, scores = hot.value
         for b in batches:
-            ids, hs, held, raws = (b.column(i) for i in range(4))
-            at, word, m, copies, n_tokens, n_known, base, score = [], [], [], [], [], [], [], []
-            for i, raw in enumerate(raws.to_pylist()):
+            at, word, m, n_tokens, n_known, parts = [], [], [], [], [], []
+            hs = b.column(1).to_pylist()
+            for i, raw in enumerate(b.column(3).to_pylist()):
                 ts = tokens(raw)
                 ts.append(b"")
-                bag, seen, x, y = Counter(ts), 0, 0.0, 0.0
-                rare = []
-                for w, k in bag.items():
-                    got = known.get(w)
-                    if got is None:
-                        rare.append((w, k))
-                    else:
-                        seen += k
-                        x += k * got[0]
-                        y += k * got[1]
-                # the row that carries a document's sums gets a key of its own, so that it matches
-                # no word (words hold no space) and rows spread evenly over the join
-                own = b" %d %d %d" % (hs[i].as_py(), i, len(ts))
+                found = np.array([known.get(w, -1) for w in ts])
+                rare = Counter([ts[j] for j in np.flatnonzero(found < 0)])
+                found = found[found >= 0]
+                # the row that carries a document's sums gets a key of its own: words hold no
+                # space, so it matches none, and these rows spread evenly over the join
                 at += [i] * (1 + len(rare))
-                word += [own, *[w for w, _ in rare]]
-                m += [0, *[k for _, k in rare]]
-                pad = [0] * len(rare)
-                copies += [1, *pad]
-                n_tokens += [len(ts), *pad]
-                n_known += [seen, *pad]
-                base += [x, *pad]
-                score += [y, *pad]
-            take = pa.array(at, pa.int64())
+                word += [b" %d %d %d" % (hs[i], i, len(ts)), *rare]
+                m += [0, *rare.values()]
+                n_tokens += [len(ts), *[0] * len(rare)]
+                n_known += [len(found), *[0] * len(rare)]
+                parts.append(scores[found].sum(0))
+                if rare:
+                    parts.append(np.zeros((len(rare), strata + 1)))
+            take, block = pa.array(at, pa.int64()), np.vstack(parts)
+            m_ = np.array(m)
             yield pa.RecordBatch.from_arrays(
-                [ids.take(take), hs.take(take), held.take(take), pa.array(word, pa.binary()), pa.array(m, pa.int64()), pa.array(copies, pa.int64()),
-                 pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())],
-                names=["doc_id", "h", "held_out", "word", "m", "copies", "n_tokens", "n_known", "base", "score"])
+                [*(b.column(i).take(take) for i in range(3)), pa.array(word, pa.binary()), pa.array(m_, pa.int64()), pa.array((m_ == 0).astype(np.int64)),
+                 pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), *[pa.array(block[:, k]) for k in range(strata + 1)]],
+                names=["doc_id", "h", "held_out", "word", "m", "copies", "n_tokens", "n_known", "base", *ss])
 
     def second_pass(batches):
-        scorer = Scorer(parts, total, distinct, discount)
+        scorer = Scorer(*model.value)
         for b in batches:
-            col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-            known, base, score = col["n_known"].to_pylist(), col["base"].to_pylist(), col["score"].to_pylist()
-            for i, (w, m, n) in enumerate(zip(col["word"].to_pylist(), col["m"].to_pylist(), col["n"].to_pylist(), strict=True)):
-                if m:
-                    n = n or 0
-                    known[i] = m if n else 0
-                    base[i] = m * scorer.base(n)
-                    score[i] = m * scorer.score(w, n)
+            col = {name: b.column(i) for i, name in enumerate(b.schema.names)}
+            m = col["m"].to_numpy()
+            live = np.flatnonzero(m > 0)
+            known = col["n_known"].to_numpy().copy()
+            block = np.column_stack([col[c].to_numpy() for c in ["base", *ss]])
+            if len(live):
+                words = col["word"].take(pa.array(live)).to_pylist()
+                whole = np.nan_to_num(col["n"].to_numpy(zero_copy_only=False)[live].astype(float))
+                own = np.nan_to_num(np.column_stack([col[c].to_numpy(zero_copy_only=False)[live].astype(float) for c in cs]))
+                # equal words follow each other after the sort of the join
+                change = np.array([True, *[x != y for x, y in zip(words[1:], words)]])
+                one, back = np.flatnonzero(change), np.cumsum(change) - 1
+                rated = np.column_stack([scorer.base(whole[one]), scorer.score([words[i] for i in one], own[one])])
+                block[live] = rated[back] * m[live][:, None]
+                known[live] = np.where(whole > 0, m[live], 0)
             yield pa.RecordBatch.from_arrays(
-                [col["doc_id"], col["h"], col["held_out"], col["copies"], col["n_tokens"], pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())],
-                names=["doc_id", "h", "held_out", "copies", "n_tokens", "n_known", "base", "score"])
-
-    spread = rows.mapInArrow(first_pass, kinds).join(counts, "word", "left")
-    done = spread.mapInArrow(second_pass, kinds.replace("word binary, m long, ", ""))
-    sums = done.groupBy("doc_id", "h", "held_out").agg(*[F.sum(c).alias(c) for c in ("copies", "n_tokens", "n_known", "base", "score")])
-    each = lambda c: (F.col(c) / F.col("copies"))
-    return sums.select(
+                [*(col[c] for c in ("doc_id", "h", "held_out", "copies", "n_tokens")), pa.array(known), *[pa.array(block[:, k]) for k in range(strata + 1)]],
+                names=["doc_id", "h", "held_out", "copies", "n_tokens", "n_known", "base", *ss])
+
+    key = f"doc_id {id_type}, h long, held_out boolean"
+    spread = rows.select("doc_id", "h", "held_out", "raw").mapInArrow(first_pass, f"{key}, word binary, m long, {sums}").join(counts, "word", "left")
+    done = spread.mapInArrow(second_pass, f"{key}, {sums}").groupBy("doc_id", "h", "held_out").agg(*[F.sum(c).alias(c) for c in ["copies", "n_tokens", "n_known", "base", *ss]])
+    each = {c: F.col(c) / F.col("copies") for c in ["n_tokens", "n_known", "base", *ss]}
+    terms = F.array(*[each[c] + float(np.log10(p)) for c, p in zip(ss, shares, strict=True)])
+    best = F.array_max("terms")
+    mixed = best + F.log10(F.aggregate(F.transform("terms", lambda t: F.pow(F.lit(10.0), t - best)), F.lit(0.0), lambda a, x: a + x))
+    return done.withColumn("terms", terms).select(
         "doc_id", "held_out",
-        each("n_tokens").cast("long").alias("n_tokens"), each("n_known").cast("long").alias("n_known"),
+        each["n_tokens"].cast("long").alias("n_tokens"), each["n_known"].cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        each("base").alias("base_score"), each("score").alias("score"),
+        each["base"].alias("base_score"), mixed.alias("score"),
         F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy"),
     ).drop("_copy")
 
 
 def op1_lattice_lm(docs: DataFrame, vocabulary_path: str) -> DataFrame:
-    """All documents; those with crc32(doc_id) mod 5 = 1 are held out."""
-    return score_texts(docs, in_fold(F.col("doc_id"), 5, 1), vocabulary_path)
+    """All documents; those with crc32(doc_id) mod 5 = 1 are held out.  The
+    training texts are grouped by language."""
+    return score_texts(docs, in_fold(F.col("doc_id"), 5, 1), vocabulary_path, "lang" if "lang" in docs.columns else None)

@@ -154,7 +154,7 @@ class Ratio:
         return sum([x * n for x, n in r]) / len(ws), sum(top) / STRONGEST
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 50) -> np.ndarray:
     """Newton's method for a small ridge logistic regression with intercept."""
     a = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(a.shape[1])
