@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe_codec, lattice_lm, secret_scan, token_count, topk_search, toxicity
+from millrace.llm import bpe_codec, decontaminate, lattice_lm, secret_scan, token_count, topk_search, toxicity
 from millrace.runtime import read
 
 
@@ -25,6 +25,10 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.op3_topk(read(spark, sf_dir, "embeddings"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op4_decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.op5_encode_decode(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
@@ -44,6 +48,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice_lm": op1_lattice_lm,
     "op3_topk_search": op3_topk_search,
+    "op4_decontaminate": op4_decontaminate,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_secret_scan": op6_secret_scan,
     "op7_token_counts": op7_token_counts,
