@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe_codec, decontaminate, lattice_lm, secret_scan, token_count, topk_search, toxicity
+from millrace.llm import bpe_codec, decontaminate, jaccard_join, lattice_lm, secret_scan, token_count, topk_search, toxicity
 from millrace.runtime import read
 
 
@@ -21,6 +21,10 @@ def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.op1_lattice_lm(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.op2_jaccard_join(read(spark, sf_dir, "documents"))
+
+
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.op3_topk(read(spark, sf_dir, "embeddings"))
 
@@ -47,6 +51,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice_lm": op1_lattice_lm,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_topk_search": op3_topk_search,
     "op4_decontaminate": op4_decontaminate,
     "op5_bpe_codec": op5_bpe_codec,
