@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe_codec, decontaminate, jaccard_join, lattice_lm, secret_scan, token_count, topk_search, toxicity
+from millrace.llm import bpe_codec, decontaminate, html_wrapper, jaccard_join, lattice_lm, secret_scan, token_count, topk_search, toxicity
 from millrace.runtime import read
 
 
@@ -45,6 +45,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.op7_token_counts(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.op8_html_extraction(read(spark, sf_dir, "pages"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op9_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe_codec": op5_bpe_codec,
     "op6_secret_scan": op6_secret_scan,
     "op7_token_counts": op7_token_counts,
+    "op8_html_extraction": op8_html_extraction,
     "op9_toxicity": op9_toxicity,
 }
 
