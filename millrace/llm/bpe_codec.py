@@ -179,6 +179,16 @@ def _encode_long(long: DataFrame, ranks_path: str, digests: bool, stride: int, o
     return long.drop("text").join(out, "_row").select(*others, *_OUT[digests])
 
 
+def encode_documents(docs: DataFrame, ranks_path: str) -> DataFrame:
+    """``docs`` without ``text`` but with n_tokens, ids (array<int>) and
+    round_trip, whether the decoded bytes are the text's bytes."""
+    given = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    got = encode_decode(given, ranks_path, digests=False)
+    ids = F.when(F.col("ids") == "", F.expr("cast(array() as array<int>)")).otherwise(F.split("ids", " ").cast("array<int>"))
+    kept = [c for c in docs.columns if c not in ("text", "n_tokens", "ids", "round_trip")]
+    return got.select(*kept, "n_tokens", ids.alias("ids"), (F.sha2("decoded", 256) == F.col("_sha")).alias("round_trip"))
+
+
 def op5_encode_decode(docs: DataFrame, ranks_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
     return encode_decode(docs.select("doc_id", "text"), ranks_path)

@@ -236,11 +236,23 @@ def _joined(docs: DataFrame, items: DataFrame, least: int, threshold: float) ->
     return found.mapInArrow(run, kinds)
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows whose text covers some benchmark item."""
-    key = F.sha2(F.coalesce("text", F.lit("")), 256)  # the text decides, so ids may be null or repeat
-    bad = find_leaks(docs.select(key.alias("doc_id"), "text"), benchmark, **options).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.withColumn("_key", key).join(bad, F.col("_key") == F.col("_leak"), "left_anti").drop("_key")
+def clean_documents(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, local_chars: int = 20_000_000) -> DataFrame:
+    """``docs`` without the rows whose text covers some benchmark item; rows
+    with null or empty texts stay."""
+    ship(docs.sparkSession)
+    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
+    if items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] > local_chars:
+        key = F.sha2(F.coalesce("text", F.lit("")), 256)  # the text decides: ids may be null or repeat
+        bad = _joined(docs.select(key.alias("doc_id"), "text"), items, least, threshold).select(F.col("doc_id").alias("_leak")).distinct()
+        return docs.withColumn("_key", key).join(bad, F.col("_key") == F.col("_leak"), "left_anti").drop("_key")
+    bench = docs.sparkSession.sparkContext.broadcast(Benchmark([(r.item_id, r.text) for r in items.collect()], least))
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(b.schema.get_field_index("text")).to_pylist()
+            yield b.filter(pa.array([not bench.value.leaks(t, threshold) for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op4_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -226,7 +226,9 @@ def links(members: DataFrame, texts: DataFrame, n: int, percent: int, moved: fro
 
 
 def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
+    """doc_id, t, n_shingles, component_id, root of every row of ``docs``
+    (doc_id, text); t is the text's 64-bit key, root a name of the component
+    (null for empty sets).
 
     Words are split at 0x20 and 0x09-0x0D after lowering A-Z.  Rows link when
     100 * |intersection| >= percent * |union|; component_id is the smallest
@@ -252,12 +254,34 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     roots = links(members, texts, n, percent, moved)
     named = classes.join(roots.withColumnRenamed("v", "c"), "c", "left").select("c", "first", F.coalesce("root", "c").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = cut(named.join(smallest, "root").select("c", "component_id"))
-    full = kept.join(names, "c").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    empty = info.where("c is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    names = cut(named.join(smallest, "root").select("c", "component_id", "root"))
+    full = kept.join(names, "c").select("doc_id", "t", F.col("n").alias("n_shingles"), "component_id", "root")
+    empty = info.where("c is null").select("doc_id", "t", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))
     return full.unionByName(empty)
 
 
 def op2_jaccard_join(docs: DataFrame) -> DataFrame:
     """4-word shingles, 85 percent."""
-    return join(docs)
+    return join(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, n: int = 4, percent: int = 85, local_rows: int = 4_000_000) -> DataFrame:
+    """``docs`` with one row of each group of linked rows: the smallest
+    (doc_id, text key), null ids last; of repeated rows one.  Rows with empty
+    texts are linked with nothing and stay.
+
+    The (id, text key) pairs to drop are broadcast if they are at most
+    ``local_rows`` (counted), else met in a shuffled join.
+    """
+    rows = join(docs, n, percent).where("root is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    keys = rows.groupBy("root", "doc_id", "t").agg(F.count("*").alias("copies"))
+    first = cut(rows.groupBy("root").agg(F.min(order).alias("w")))
+    marked = keys.join(first, "root").withColumn("wins", F.col("w.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("w.t") == F.col("t")))
+    marked = cut(marked.where("not wins or copies > 1").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), "wins"))
+    side = F.broadcast(marked) if marked.count() <= local_rows else marked
+    here = docs.withColumn("_k", F.xxhash64(F.coalesce("text", F.lit(""))))
+    both = here.join(side, (F.col("_k") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    single = both.where("wins is null").select(*docs.columns)
+    repeated = both.where("wins").dropDuplicates(["_id", "_t"]).select(*docs.columns)
+    return single.unionByName(repeated)

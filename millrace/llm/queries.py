@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe_codec, decontaminate, html_wrapper, jaccard_join, lattice_lm, secret_scan, token_count, topk_search, toxicity
+from millrace.llm import bpe_codec, decontaminate, html_wrapper, jaccard_join, lattice_lm, secret_scan, token_count, tool_calls, topk_search, toxicity
 from millrace.runtime import read
 
 
@@ -53,6 +53,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op9_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.op10_tool_calls(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice_lm": op1_lattice_lm,
     "op2_jaccard_join": op2_jaccard_join,
@@ -63,6 +67,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_counts": op7_token_counts,
     "op8_html_extraction": op8_html_extraction,
     "op9_toxicity": op9_toxicity,
+    "op10_tool_calls": op10_tool_calls,
 }
 
-ORACLE: dict[str, str] = {"op3_topk_search": topk_search.ORACLE_SQL}
+ORACLE: dict[str, str] = {
+    "op3_topk_search": topk_search.ORACLE_SQL,
+    "op10_tool_calls": tool_calls.ORACLE_SQL,
+}

@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.runtime import cut
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -102,50 +104,62 @@ def scan(contents: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame
     return todo.select("blob", F.array_compact(F.array(*entries)).alias("findings"))
 
 
-def findings_by_path(docs: DataFrame, ledger: DataFrame, path_col: str = "doc_id", text_col: str = "text",
-                     rules: tuple[Rule, ...] = RULES, salt: int = 32) -> DataFrame:
-    """(path, found) for every row of ``docs``: the ledger's spans of the rows'
-    content as array of (start, kind order, kind, end), sorted; empty if none."""
-    order = {r.kind: i for i, r in enumerate(rules)}
+SORTED = "array<struct<start:long,rank:int,kind:string,`end`:long>>"
+
+
+def hits_by_blob(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, found) of the blobs with findings of the given rules and versions;
+    found is an array of (start, kind order, kind, end), sorted."""
     current = F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])
-    rank = F.create_map(*[x for k, i in order.items() for x in (F.lit(k), F.lit(i))])
+    rank = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
     live = F.filter("findings", lambda f: F.array_contains(current, F.concat_ws(":", f["kind"], f["version"])))
     flat = F.flatten(F.transform(live, lambda f: F.transform(f["spans"], lambda s: F.struct(
         s["start"].alias("start"), rank[f["kind"]].alias("rank"), f["kind"].alias("kind"), s["end"].alias("end")))))
     hits = ledger.select("blob", flat.alias("found")).where(F.size("found") > 0)
-    hits = hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
-    hits = hits.select("blob", "found", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("salt"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    paths = docs.select(F.col(path_col), F.sha2(text, 256).alias("blob"))
-    paths = paths.withColumn("salt", F.pmod(F.xxhash64(path_col, F.monotonically_increasing_id()), F.lit(salt)).cast("int"))
-    none = F.expr("cast(array() as array<struct<start:long,rank:int,kind:string,`end`:long>>)")
-    return paths.join(hits, ["blob", "salt"], "left").select(path_col, F.coalesce("found", none).alias("found"))
-
-
-def redact(docs: DataFrame, ledger: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with every found span replaced by ``[SECRET:kind]``; overlapping
-    spans are merged into the earlier one.  Null texts stay null."""
-    base = docs.withColumn("_row", F.struct(*[F.col(c) for c in docs.columns])).select("_row", F.col(f"_row.{text_col}").alias("_text"))
-    found = findings_by_path(base, ledger, "_row", "_text", rules)
-    t = F.col(f"_row.{text_col}")
+    return hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+
+
+def with_findings(docs: DataFrame, hits: DataFrame, text_col: str = "text", salt: int = 32) -> DataFrame:
+    """Every row of ``docs`` plus ``found`` (empty array if none)."""
+    right = hits.select(F.col("blob").alias("_blob"), "found", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt"))
+    left = docs.drop("found").withColumn("_blob", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    left = left.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salt)).cast("int"))
+    joined = left.join(right, ["_blob", "_salt"], "left").drop("_blob", "_salt")
+    return joined.withColumn("found", F.coalesce("found", F.expr(f"cast(array() as {SORTED})")))
+
+
+def redact(docs: DataFrame, ledger: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, local_rows: int = 1_000_000) -> DataFrame:
+    """``docs`` with every found span replaced by ``[SECRET:kind]``; a span that
+    starts inside an earlier one is swallowed by it.  Null texts stay null.
+
+    The blobs with findings are broadcast if they are at most ``local_rows``
+    (counted), so that texts need not move; else the join is shuffled."""
+    hits = cut(hits_by_blob(ledger, rules))
+    if hits.count() <= local_rows:
+        key = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+        side = F.broadcast(hits.withColumnRenamed("found", "_found"))
+        found = docs.join(side, key == F.col("blob"), "left").drop("blob")
+    else:
+        found = with_findings(docs, hits.withColumnRenamed("found", "found"), text_col).withColumnRenamed("found", "_found")
+    t = F.col(text_col)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(t, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        cut = F.concat(acc["out"], gap, F.lit("[SECRET:"), s["kind"], F.lit("]"))
+        cut_out = F.concat(acc["out"], gap, F.lit("[SECRET:"), s["kind"], F.lit("]"))
         ahead = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(ahead, cut).otherwise(acc["out"]).alias("out"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(ahead, cut_out).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("found", start, step, lambda a: F.concat(a["out"], F.substring(t, (a["at"] + 1).cast("int"), F.length(t))))
-    new = F.when(F.size("found") > 0, clean).otherwise(t)
-    return found.select(*[new.alias(c) if c == text_col else F.col(f"_row.{c}").alias(c) for c in docs.columns])
+    clean = F.aggregate("_found", start, step, lambda a: F.concat(a["out"], F.substring(t, (a["at"] + 1).cast("int"), F.length(t))))
+    new = F.when(F.coalesce(F.size("_found"), F.lit(0)) > 0, clean).otherwise(t)
+    return found.select(*[new.alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 
 def op6_secret_scan(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """doc_id, counts per base kind, digest of the base spans, all spans."""
     fresh = scan(blobs(docs), RULES, ledger)
     whole = fresh if ledger is None else fresh.unionByName(ledger)
-    got = findings_by_path(docs, whole)
+    got = with_findings(docs.select("doc_id", "text"), hits_by_blob(whole))
     label = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
     n = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("found", lambda s: s["rank"] < len(BASE_RULES))
