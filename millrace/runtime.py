@@ -35,9 +35,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows go to the shared folder, the lineage ends."""
+    """Reliable checkpoint: the rows go to the shared folder, the lineage ends.
+
+    A checkpointed frame remembers the constraints that its plan implied, and
+    in iterative work their number doubles from round to round; they are left
+    out here.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    conf, key = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        conf.set(key, before)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
