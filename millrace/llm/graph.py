@@ -20,19 +20,21 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     plain joins that adaptive execution can split.
     """
     live = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    vertices = cut(live.select(F.col("a").alias("v")).union(live.select("b")).distinct())
-    roots = vertices.select("v", F.col("v").alias("root"))
+    roots = None
     for _ in range(max_rounds):
         if live.isEmpty():
             break
         both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         point = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("to")))
         hop = point.select(F.col("a").alias("to"), F.col("to").alias("further"))
-        point = cut(point.join(hop, "to", "left").select("a", F.coalesce("further", "to").alias("to")))
-        roots = cut(roots.join(point.withColumnRenamed("a", "root"), "root", "left").select("v", F.coalesce("to", "root").alias("root")))
+        point = cut(point.join(hop, "to").select("a", F.col("further").alias("to")))
+        if roots is None:
+            roots = point.select(F.col("a").alias("v"), F.col("to").alias("root"))
+        else:
+            roots = cut(roots.join(point.withColumnRenamed("a", "root"), "root", "left").select("v", F.coalesce("to", "root").alias("root")))
         half = live.join(point, "a").select(F.col("to").alias("a"), "b")
         live = cut(
             half.join(point.select(F.col("a").alias("b"), F.col("to").alias("c")), "b").select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b"))
             .where("a <> b").distinct()
         )
-    return roots
+    return roots if roots is not None else live.select(F.col("a").alias("v"), F.col("b").alias("root"))
