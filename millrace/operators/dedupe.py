@@ -21,10 +21,9 @@ def source_rank(source: Column, order: list[str]) -> Column:
 
 
 def quality(order: list[str]) -> Column:
-    """What makes a copy better, smaller first: full text, longer description,
-    source priority, lower id."""
-    length = F.coalesce(F.length("description"), F.lit(0))
-    return F.struct(F.col("description_is_snippet").alias("snippet"), (-length).alias("shortness"), source_rank(F.col("source"), order).alias("rank"), F.col("id").alias("id"))
+    """What makes a copy better, smaller first: full text, longer description
+    (by the column description_length), source priority, lower id."""
+    return F.struct(F.col("description_is_snippet").alias("snippet"), (-F.coalesce("description_length", F.lit(0))).alias("shortness"), source_rank(F.col("source"), order).alias("rank"), F.col("id").alias("id"))
 
 
 def best_ids(postings: DataFrame, order: list[str], key: str = "dedupe_key") -> DataFrame:

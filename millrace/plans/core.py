@@ -9,7 +9,7 @@ from millrace.functions import money
 from millrace.functions import text as X
 from millrace.operators import dedupe, filters, reports, scoring, state
 from millrace.plans.postings import NOW, ORACLE_POSTINGS, RULES, SOURCE_ORDER, postings
-from millrace.runtime import read
+from millrace.runtime import cut, read
 
 
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,9 +26,9 @@ def sent_keys(rows: DataFrame) -> DataFrame:
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every posting with its outcome: shortlisted or the first reason.
 
-    Keys are kept as a column of the evaluated rows; descriptions only travel
-    as far as their length is needed."""
-    rows = evaluated(spark, sf_dir).withColumn("description", F.col("description"))
+    The rules run once; what they decided is cut from its lineage without the
+    descriptions, of which only the length is needed further on."""
+    rows = cut(evaluated(spark, sf_dir).withColumn("description_length", F.length("description")).drop("description"))
     none = rows.select("dedupe_key", "id").limit(0)
     out = dedupe.duplicate_reason(rows, SOURCE_ORDER, sent_keys(rows), none, F.col("passed"))
     return out.withColumn("outcome", F.coalesce("reason", "duplicate", F.lit("shortlisted")))
@@ -52,7 +52,7 @@ def run_summary(spark, sf_dir):
 
 
 def best_copy_per_key(spark, sf_dir):
-    return dedupe.best_ids(dedupe.with_key(postings(spark, sf_dir)).withColumn("dedupe_key", X.dedupe_part(F.col("title"))), SOURCE_ORDER)
+    return dedupe.best_ids(postings(spark, sf_dir).withColumn("dedupe_key", X.dedupe_part(F.col("title"))).withColumn("description_length", F.length("description")), SOURCE_ORDER)
 
 
 def keep_first_per_id(spark, sf_dir):
@@ -62,7 +62,7 @@ def keep_first_per_id(spark, sf_dir):
 
 def scored(spark, sf_dir) -> DataFrame:
     """Shortlisted postings with pre-score and final score."""
-    rows = decided(spark, sf_dir).where("outcome = 'shortlisted'").drop("description")
+    rows = decided(spark, sf_dir).where("outcome = 'shortlisted'")
     rows = rows.withColumn("pre_score", scoring.pre_score(RULES, NOW))
     parts = {
         "skills": F.col("id") % 101, "seniority": F.col("id") * 7 % 101,  # stand-ins for what a model's replies would give
