@@ -10,10 +10,11 @@ pair is counted separately in every fragment and the partial counts are summed
 per pair, which decides exactly.
 
 Equal sets form one class and are joined once.  Copies are not expanded into
-all pairs: in a group of sets that share a prefix n-gram a pivot is compared
-with the others first; then only pairs whose ends are not yet known to be
-connected are compared, until none is left.  The components so equal those of
-the full join.
+all pairs: in a group of sets that share a prefix n-gram pivots are compared
+with the others first.  Only groups whose members are not all connected by then
+are compared further, in blocks of bounded size whose overlaps are again
+counted fragment by fragment; a block returns a spanning star of what it
+linked.  The components so equal those of the full join.
 
 Moved: (n-gram, class) rows of the head fragment, and texts of candidate pairs.
 Components, links and classes stay distributed.
@@ -25,13 +26,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.llm.graph import components
-from millrace.llm.pretok import Memo
 from millrace.runtime import cut, ship
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -39,26 +38,86 @@ MIX = np.uint64(0xFF51AFD7ED558CCD)
 HEAD, FRAGMENTS = 4, 4  # one hash in HEAD is in the head fragment
 
 
-def token_hashes() -> Memo:
-    return Memo(lambda w: xxhash.xxh64_intdigest(w), 300_000)
-
-
-def shingle_set(raw: bytes | None, n: int, memo: Memo) -> np.ndarray:
-    """Sorted distinct hashes of the word n-grams of a text; the whole sequence
-    as one if it has fewer than ``n`` words; empty without words."""
-    words = raw.lower().split() if raw else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    size = min(n, len(words))
-    x = np.array([memo[w] for w in words], np.uint64)
-    h = np.full(len(x) - size + 1, size, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(size):
-            h = h * BASE + x[k : len(x) - size + 1 + k]
-        h ^= h >> np.uint64(33)
-        h *= MIX
-        h ^= h >> np.uint64(29)
-    return np.unique(h)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    inverse = pow(int(BASE), -1, 1 << 64)
+    out = []
+    for b in (BASE, np.uint64(inverse)):
+        factors = np.full(n + 1, b, np.uint64)
+        factors[0] = 1
+        with np.errstate(over="ignore"):
+            out.append(np.cumprod(factors, dtype=np.uint64))
+    return out[0], out[1]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * MIX
+    return h ^ (h >> np.uint64(29))
+
+
+class Shingler:
+    """Sets of word n-grams of many texts at once.
+
+    Words are hashed by differences of one running polynomial over all bytes of
+    a slice of texts, n-grams by shifted sums over word hashes."""
+
+    def __init__(self, n: int, slice_bytes: int = 1 << 21):
+        self.n, self.slice_bytes = n, slice_bytes
+        self.power, self.inverse = _powers(0)
+
+    def sets(self, raws: list[bytes | None]) -> list[np.ndarray]:
+        """Sorted distinct hashes per text; the whole sequence as one n-gram if
+        a text has fewer than ``n`` words; empty without words."""
+        out: list[np.ndarray] = []
+        part: list[bytes] = []
+        size = 0
+        for r in raws:
+            part.append(r or b"")
+            size += len(part[-1]) + 1
+            if size >= self.slice_bytes:
+                out += self._slice(part)
+                part, size = [], 0
+        return out + (self._slice(part) if part else [])
+
+    def _slice(self, raws: list[bytes]) -> list[np.ndarray]:
+        x = LOWER[np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)]
+        if len(self.power) <= len(x):
+            self.power, self.inverse = _powers(max(len(x), self.slice_bytes + (1 << 17)))
+        edge = np.diff(np.concatenate([[True], SPACE[x], [True]]).astype(np.int8))
+        starts, ends = np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
+        with np.errstate(over="ignore"):
+            running = np.concatenate([np.zeros(1, np.uint64), np.cumsum((x.astype(np.uint64) + np.uint64(1)) * self.power[: len(x)], dtype=np.uint64)])
+            words = _mixed((running[ends] - running[starts]) * self.inverse[starts])
+            limits = np.cumsum([len(r) + 1 for r in raws])
+            doc = np.searchsorted(limits, starts, "right")
+            per = np.bincount(doc, minlength=len(raws))
+            first = np.concatenate([[0], np.cumsum(per)[:-1]])
+            out = [np.zeros(0, np.uint64)] * len(raws)
+            for size in range(1, self.n):
+                owner = np.flatnonzero(per == size)
+                for i, h in zip(owner.tolist(), self._grams(words, first[owner], size), strict=True):
+                    out[i] = h[None]
+            at = np.arange(max(0, len(words) - self.n + 1))
+            at = at[doc[at] == doc[at + self.n - 1]]
+            h = self._grams(words, at, self.n)
+        counts = np.maximum(per - self.n + 1, 0)
+        stops = np.cumsum(counts)
+        for i in np.flatnonzero(counts).tolist():
+            part = np.sort(h[stops[i] - counts[i] : stops[i]])
+            out[i] = part[np.concatenate([[True], part[1:] != part[:-1]])]
+        return out
+
+    @staticmethod
+    def _grams(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+        h = np.full(len(at), size, np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(size):
+                h = h * BASE + words[at + k]
+            return _mixed(h)
 
 
 def needed(n: int, percent: int) -> int:
@@ -92,11 +151,10 @@ def _rows(docs: DataFrame) -> DataFrame:
 def describe(rows: DataFrame, n: int, moved: frozenset = frozenset()) -> DataFrame:
     """(doc_id, t, n, c, digest): set size, class (null if empty), full digest."""
     def run(batches):
-        memo = token_hashes()
+        shingler = Shingler(n)
         for b in batches:
             sizes, classes, digests = [], [], []
-            for raw in b.column(2).to_pylist():
-                s = shingle_set(raw, n, memo)
+            for s in shingler.sets(b.column(2).to_pylist()):
                 d = _digest(s)
                 sizes.append(len(s))
                 classes.append(class_id(d, moved) if len(s) else None)
@@ -112,11 +170,10 @@ def head_rows(rows: DataFrame, n: int, percent: int, moved: frozenset) -> DataFr
     than its prefix, as many of the following ones; m is the number of head
     n-grams.  A task names each class once."""
     def run(batches):
-        memo, seen = token_hashes(), set()
+        shingler, seen = Shingler(n), set()
         for b in batches:
             grams, classes, sizes, heads = [], [], [], []
-            for raw in b.column(2).to_pylist():
-                s = shingle_set(raw, n, memo)
+            for s in shingler.sets(b.column(2).to_pylist()):
                 if not len(s):
                     continue
                 c = class_id(_digest(s), moved)
@@ -161,19 +218,20 @@ def overlaps(pairs: DataFrame, texts: DataFrame, n: int, moved: frozenset) -> Da
     both = left.join(texts.select(F.col("c").alias("a"), F.col("raw").alias("raw_a")), "a").select("a", "b", "raw_a", "raw_b")
 
     def run(batches):
-        memo = token_hashes()
-        last, set_a = None, None
+        shingler = Shingler(n)
         for batch in batches:
+            as_, bs, raws_a, raws_b = (c.to_pylist() for c in batch.columns)
+            places: dict[tuple[int, bytes], int] = {}  # a text that stands in many pairs is cut up once
+            pa_ = [places.setdefault(k, len(places)) for k in zip(as_, raws_a, strict=True)]
+            pb_ = [places.setdefault(k, len(places)) for k in zip(bs, raws_b, strict=True)]
+            sets = shingler.sets([raw for _, raw in places])
+            # a text that is not the class's own stands under an equal text key
+            valid = [class_id(_digest(s), moved) == c for s, (c, _) in zip(sets, places, strict=True)]
             out = []
-            for a, b, raw_a, raw_b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if last != (a, raw_a):
-                    last, set_a = (a, raw_a), shingle_set(raw_a, n, memo)
-                set_b = shingle_set(raw_b, n, memo)
-                if class_id(_digest(set_a), moved) != a or class_id(_digest(set_b), moved) != b:
-                    continue  # another text under the same text key
-                common = np.intersect1d(set_a, set_b, assume_unique=True)
-                partial = np.bincount(fragment_of(common), minlength=FRAGMENTS)
-                out += [(a, b, f, len(set_a), len(set_b), int(partial[f])) for f in range(FRAGMENTS)]
+            for a, b, i, j in zip(as_, bs, pa_, pb_, strict=True):
+                if valid[i] and valid[j]:
+                    partial = np.bincount(fragment_of(np.intersect1d(sets[i], sets[j], assume_unique=True)), minlength=FRAGMENTS)
+                    out += [(a, b, f, len(sets[i]), len(sets[j]), int(partial[f])) for f in range(FRAGMENTS)]
             cols = list(zip(*out, strict=True)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "f", "na", "nb", "part"])
 
@@ -181,48 +239,125 @@ def overlaps(pairs: DataFrame, texts: DataFrame, n: int, moved: frozenset) -> Da
     return parts.dropDuplicates(["a", "b", "f"]).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("part").alias("overlap"))
 
 
-def links(members: DataFrame, texts: DataFrame, n: int, percent: int, moved: frozenset, small: int = 12) -> DataFrame:
+BLOCK, WIDE = 512, 16_384
+
+
+def local_links(sets_a: list[np.ndarray], sets_b: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of two blocks link: overlaps are counted fragment by
+    fragment as products of incidence matrices, and summed."""
+    na, nb = (np.array([len(s) for s in x], np.int64) for x in (sets_a, sets_b))
+    total = np.zeros((len(na), len(nb)), np.int64)
+    ha, hb = np.concatenate(sets_a), np.concatenate(sets_b)
+    ra, rb = np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)
+    fa, fb = fragment_of(ha), fragment_of(hb)
+    for f in range(FRAGMENTS):
+        shared = np.intersect1d(ha[fa == f], hb[fb == f])
+        for at in range(0, len(shared), 2048):
+            grams = shared[at : at + 2048]
+            total += np.rint(_incidence(ha, ra, grams, len(na)) @ _incidence(hb, rb, grams, len(nb)).T).astype(np.int64)
+    return 100 * total >= percent * (na[:, None] + nb[None, :] - total)
+
+
+def _incidence(h: np.ndarray, row: np.ndarray, grams: np.ndarray, rows: int) -> np.ndarray:
+    at = np.minimum(np.searchsorted(grams, h), len(grams) - 1)
+    hit = grams[at] == h
+    out = np.zeros((rows, len(grams)), np.float32)
+    out[row[hit], at[hit]] = 1
+    return out
+
+
+def block_links(open_: DataFrame, texts: DataFrame, n: int, percent: int, moved: frozenset) -> DataFrame:
+    """(a, b): edges that connect what is linked within each family.
+
+    open_: (family, size, c).  A family is cut into blocks of about ``BLOCK``
+    classes; every two blocks meet in one group, which holds the texts of two
+    blocks at most and returns a spanning star per connected part."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = open_.withColumn("blocks", blocks).withColumn("k", F.pmod(F.xxhash64("c"), F.col("blocks").cast("long")).cast("int"))
+    rows = own.join(texts, "c").select("family", "c", "k", "raw", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
+    rows = rows.select("family", F.least("k", "x").alias("i"), F.greatest("k", "x").alias("j"), "k", "c", "raw")
+
+    def run(pdf):
+        import pandas as pd
+
+        sets = Shingler(n).sets([bytes(r) for r in pdf.raw])
+        good = np.array([class_id(_digest(s), moved) == c for s, c in zip(sets, pdf.c, strict=True)], bool)
+        c, left = pdf.c.to_numpy(np.int64), (pdf.k == pdf.i).to_numpy()
+        ia, ib = np.flatnonzero(good & left), np.flatnonzero(good & ((pdf.k == pdf.j).to_numpy()))
+        if not len(ia) or not len(ib):
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        linked = local_links([sets[i] for i in ia], [sets[i] for i in ib], percent)
+        low = c.copy()
+        while True:  # smallest class reachable inside the group
+            down = np.where(linked, low[ia][:, None], np.iinfo(np.int64).max).min(0)
+            new = low.copy()
+            new[ib] = np.minimum(new[ib], down)
+            up = np.where(linked, new[ib][None, :], np.iinfo(np.int64).max).min(1)
+            new[ia] = np.minimum(new[ia], up)
+            if (new == low).all():
+                break
+            low = new
+        part = low != c
+        return pd.DataFrame({"a": low[part], "b": c[part]})
+
+    return rows.groupBy("family", "i", "j").applyInPandas(run, "a long, b long")
+
+
+def open_groups(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(s, c, n, root, size) of the groups that hold several components."""
+    now = members.join(roots.withColumnRenamed("v", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    spread = now.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+    return cut(cut(now).join(cut(spread.select("s", "size")), "s"))
+
+
+def pivot_pairs(now: DataFrame, pivots: int, percent: int) -> DataFrame:
+    """Distinct pairs of ``pivots`` members per group (the smallest by a hash in
+    as many slots) with the others they are not connected to."""
+    rank = F.xxhash64("c", F.lit(pivots))
+    few = now.groupBy("s", F.pmod(rank, F.lit(pivots)).alias("slot")).agg(F.min(F.struct(rank.alias("r"), "c", "n", "root")).alias("p"))
+    chosen = cut(few.select("s", F.col("p.c").alias("a"), F.col("p.n").alias("na"), F.col("p.root").alias("ra")))
+    ends = now.select("s", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    fits = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    pairs = chosen.join(ends, "s").where((F.col("a") != F.col("b")) & (F.col("ra") != F.col("rb")) & fits)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def links(members: DataFrame, texts: DataFrame, n: int, percent: int, moved: frozenset) -> DataFrame:
     """(v, root): components of the classes that have a link.
 
-    ``members`` (s, c, n) are the groups.  Rounds 1 and 2 compare pivots (one,
-    then four per group) with the members they are not connected to; the last
-    round takes all pairs that are still open.  Only groups of different
-    components, and pairs whose sizes allow the threshold, are looked at.
+    ``members`` (s, c, n) are the groups of classes that share a prefix n-gram.
+    First one pivot, then three pivots per open group are compared with the
+    members they are not connected to.  Groups that still hold several
+    components are gathered into families (connected by shared n-grams) and
+    compared exactly, block by block; in a family of more than ``WIDE`` classes,
+    which is loose, the remaining pairs are compared one by one instead.
     """
-    found, roots = None, None
-    fits = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    for pivots in (1, 4, None):
-        now = members.withColumn("root", F.col("c")) if roots is None else members.join(roots.withColumnRenamed("v", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-        if roots is not None:
-            now = cut(now)
-            spread = now.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-            open_ = cut(spread.select("s", "size"))
-            now = cut(now.join(open_, "s"))
-            if now.isEmpty():
-                break
-            members = now.select("s", "c", "n")
-        ends = now.select("s", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-        if pivots == 1:
-            chosen = now.groupBy("s").agg(F.min(F.struct("c", "n", "root")).alias("p"))
-        else:
-            rank = F.xxhash64("c", F.lit(pivots or 0))
-            if pivots:
-                # the best few by a hash, merged from partial lists; small groups take all
-                few = now.groupBy("s", F.pmod(rank, F.lit(pivots)).alias("slot")).agg(F.min(F.struct(rank.alias("r"), "c", "n", "root")).alias("p"))
-                all_small = now.where(F.col("size") <= small).select("s", F.struct(rank.alias("r"), "c", "n", "root").alias("p"))
-                chosen = few.select("s", "p").unionByName(all_small)
-            else:
-                chosen = now.select("s", F.struct("c", "n", "root").alias("p"))
-        chosen = cut(chosen.select("s", F.col("p.c").alias("a"), F.col("p.n").alias("na"), F.col("p.root").alias("ra")))
-        pairs = chosen.join(ends, "s").where((F.col("a") != F.col("b")) & (F.col("ra") != F.col("rb")) & fits)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if found is not None:
-            pairs = pairs.join(found.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        checked = cut(overlaps(pairs, texts, n, moved).select("a", "b", (100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).alias("linked")))
-        found = checked if found is None else cut(found.unionByName(checked))
-        roots = components(found.where("linked").select("a", "b"))
-    return roots
+    now = cut(members.withColumn("root", F.col("c")))
+    edges = None
+    for pivots in (1, 3):
+        pairs = cut(pivot_pairs(now, pivots, percent))
+        checked = overlaps(pairs, texts, n, moved)
+        good = cut(checked.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b"))
+        edges = good if edges is None else cut(edges.unionByName(good))
+        roots = components(edges)
+        now = open_groups(members, roots)
+        if now.isEmpty():
+            return roots
+    star = now.join(cut(now.groupBy("s").agg(F.min("c").alias("hub"))), "s").select(F.col("hub").alias("a"), F.col("c").alias("b"))
+    families = components(star).withColumnRenamed("v", "c").withColumnRenamed("root", "family")
+    sizes = families.groupBy("family").agg(F.count("*").alias("size"))
+    sized = cut(families.join(sizes, "family"))
+    more = block_links(sized.where(F.col("size") <= WIDE), texts, n, percent, moved)
+    edges = cut(edges.unionByName(more))
+    loose = sized.where(F.col("size") > WIDE)
+    if not loose.isEmpty():
+        rows = now.drop("size").join(loose.select("c"), "c", "left_semi")
+        fits = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+        left, right = (rows.select("s", F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}")) for x in "ab")
+        pairs = cut(left.join(right, "s").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits).select("a", "b").distinct())
+        checked = overlaps(pairs, texts, n, moved)
+        edges = cut(edges.unionByName(checked.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")))
+    return components(edges)
 
 
 def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
