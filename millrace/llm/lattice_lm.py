@@ -197,6 +197,20 @@ def vocabulary(path: str) -> tuple[list[str], np.ndarray]:
 
 # --------------------------------------------------------------- Spark stages
 
+def regroup(batches, rows: int = 100_000):
+    """Larger record batches from small ones, so that words of one length come
+    in numbers worth a vector."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.num_rows
+        if size >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def word_counts(texts: DataFrame, strata: int, limit: int = 300_000) -> DataFrame:
     """(word binary, n long, c0.. long) over columns ``raw`` (binary) and
     ``stratum``; the end mark is the empty word.  Each task keeps at most about
@@ -237,7 +251,7 @@ def fit_lattice(words: DataFrame, path: str, strata: int, rounds: int, prior: fl
         def run(batches, model=model):
             lattice = Lattice(model)
             pieces, bytes_ = np.zeros((len(names), strata)), np.zeros((256, strata))
-            for b in batches:
+            for b in regroup(batches):
                 mass = np.log2(1 + np.column_stack([b.column(1 + k).to_numpy() for k in range(strata)]))
                 lattice.expect(b.column(0).to_pylist(), mass, pieces, bytes_)
             uses = np.concatenate([pieces, bytes_])
@@ -280,11 +294,13 @@ def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def stratum_numbers(rows: DataFrame, most: int) -> list:
-    """The ``most`` commonest values of column ``label`` in training rows; all
-    other values and null form one further stratum."""
-    got = rows.where(~F.col("held_out") & F.col("label").isNotNull()).groupBy("label").count().orderBy(F.desc("count"), "label").limit(most).collect()
-    return [r["label"] for r in got]
+def stratum_numbers(rows: DataFrame, most: int) -> tuple[list, bool]:
+    """The ``most`` commonest values of column ``label`` in training rows, and
+    whether other values or null occur, which form one further stratum."""
+    counts = rows.where(~F.col("held_out")).groupBy("label").count()
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    got = counts.where("label is not null").orderBy(F.desc("count"), "label").limit(most).collect()
+    return [r["label"] for r in got], total > sum(r["count"] for r in got)
 
 
 def score_texts(docs: DataFrame, held_out: Column, vocabulary_path: str, strata_col: str | None = None, max_strata: int = 6,
@@ -303,12 +319,12 @@ def score_texts(docs: DataFrame, held_out: Column, vocabulary_path: str, strata_
     text = F.coalesce(F.col("text"), F.lit(""))
     label = F.col(strata_col).cast("string") if strata_col else F.lit(None).cast("string")
     rows = docs.select("doc_id", F.xxhash64(text).alias("h"), held_out.alias("held_out"), text.cast("binary").alias("raw"), label.alias("label"))
-    labels = stratum_numbers(rows, max_strata) if strata_col else []
-    number = F.lit(len(labels))
+    labels, others = stratum_numbers(rows, max_strata) if strata_col else ([], True)
+    strata = len(labels) + (others or not labels)
+    number = F.lit(strata - 1)
     for k, value in enumerate(labels):
         number = F.when(F.col("label") == value, k).otherwise(number)
-    rows = rows.withColumn("stratum", F.coalesce(number, F.lit(len(labels))).cast("int"))
-    strata = len(labels) + 1
+    rows = rows.withColumn("stratum", F.coalesce(number, F.lit(strata - 1)).cast("int"))
     cs = [f"c{k}" for k in range(strata)]
     counts = cut(word_counts(rows.where(~F.col("held_out")), strata))
     s = counts.agg(
@@ -372,7 +388,7 @@ def score_texts(docs: DataFrame, held_out: Column, vocabulary_path: str, strata_
 
     def second_pass(batches):
         scorer = Scorer(*model.value)
-        for b in batches:
+        for b in regroup(batches, 60_000):
             col = {name: b.column(i) for i, name in enumerate(b.schema.names)}
             m = col["m"].to_numpy()
             live = np.flatnonzero(m > 0)
