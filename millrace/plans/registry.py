@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans import core
+from millrace.plans import core, corpus, events
 
-QUERIES = dict(core.QUERIES)
-ORACLE = dict(core.ORACLE)
+QUERIES = core.QUERIES | events.QUERIES | corpus.QUERIES
+ORACLE = core.ORACLE | events.ORACLE | corpus.ORACLE
