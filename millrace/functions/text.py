@@ -123,7 +123,7 @@ def _decode(c: Column) -> Column:
     pieces = F.split(c, r"(?i)&#(?:[0-9]{1,7}|x[0-9a-f]{1,6});", -1)
     codes = F.regexp_extract_all(c, F.lit(r"(?i)&#([0-9]{1,7}|x[0-9a-f]{1,6});"), F.lit(1))
     code = lambda x: F.when(F.lower(x).startswith("x"), F.conv(F.substring(x, 2, 6), 16, 10)).otherwise(x).cast("int")
-    letter = lambda n: F.when(n.between(1, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), F.lit("UTF-32"))).otherwise("�")
+    letter = lambda n: F.when(n.between(1, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("�")
     joined = F.array_join(F.zip_with(pieces, F.transform(codes, lambda x: letter(code(x))), lambda p, q: F.concat(p, F.coalesce(q, F.lit("")))), "")
     numeric = F.when(F.size(codes) > 0, joined).otherwise(c)
     for name, value in (("&nbsp;", " "), ("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):

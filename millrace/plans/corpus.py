@@ -65,10 +65,10 @@ def excerpt_search(spark, sf_dir):
     items = read(spark, sf_dir, "benchmark").select("item_id", F.substring(X.normalise_excerpt(F.col("text")), 1, 40).alias("excerpt"))
     items = items.withColumn("k", F.array_join(F.slice(F.split("excerpt", " "), 1, 3), " "))
     docs = read(spark, sf_dir, "documents").select("doc_id", X.normalise_excerpt(F.col("text")).alias("t"))
-    words = F.split("t", " ")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 3), " "))
-    hits = docs.select("doc_id", "t", F.explode(F.array_distinct(runs)).alias("k")).join(items, "k").where(X.contains_excerpt(F.col("t"), F.col("excerpt")))
-    return hits.select("doc_id", "item_id").distinct()
+    # the split text is bound once per row, not once per run
+    runs = F.transform(F.array(F.split("t", " ")), lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, 3), " ")))[0]
+    pairs = docs.select("doc_id", F.explode(F.array_distinct(runs)).alias("k")).join(items, "k").drop("k")
+    return pairs.join(docs, "doc_id").where(F.contains("t", "excerpt")).select("doc_id", "item_id").distinct()
 
 
 def sections_of_doc(spark, sf_dir):
