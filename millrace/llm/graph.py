@@ -25,7 +25,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if live.isEmpty():
             break
         both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        point = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("to")))
+        point = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("to"))
         hop = point.select(F.col("a").alias("to"), F.col("to").alias("further"))
         point = cut(point.join(hop, "to").select("a", F.col("further").alias("to")))
         if roots is None:

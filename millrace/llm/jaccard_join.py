@@ -10,7 +10,7 @@ pair is counted separately in every fragment and the partial counts are summed
 per pair, which decides exactly.
 
 Equal sets form one class and are joined once.  Copies are not expanded into
-all pairs: in a group of sets that share a prefix n-gram pivots are compared
+all pairs: in a group of sets that share a prefix n-gram a pivot is compared
 with the others first.  Only groups whose members are not all connected by then
 are compared further, in blocks of bounded size whose overlaps are again
 counted fragment by fragment; a block returns a spanning star of what it
@@ -306,8 +306,9 @@ def block_links(open_: DataFrame, texts: DataFrame, n: int, percent: int, moved:
 def open_groups(members: DataFrame, roots: DataFrame) -> DataFrame:
     """(s, c, n, root, size) of the groups that hold several components."""
     now = members.join(roots.withColumnRenamed("v", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    now = cut(now)
     spread = now.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    return cut(cut(now).join(cut(spread.select("s", "size")), "s"))
+    return cut(now.join(spread.select("s", "size"), "s"))
 
 
 def pivot_pairs(now: DataFrame, pivots: int, percent: int) -> DataFrame:
@@ -326,24 +327,19 @@ def links(members: DataFrame, texts: DataFrame, n: int, percent: int, moved: fro
     """(v, root): components of the classes that have a link.
 
     ``members`` (s, c, n) are the groups of classes that share a prefix n-gram.
-    First one pivot, then three pivots per open group are compared with the
-    members they are not connected to.  Groups that still hold several
+    First one pivot per group is compared with the other members.  Groups that still hold several
     components are gathered into families (connected by shared n-grams) and
     compared exactly, block by block; in a family of more than ``WIDE`` classes,
     which is loose, the remaining pairs are compared one by one instead.
     """
-    now = cut(members.withColumn("root", F.col("c")))
-    edges = None
-    for pivots in (1, 3):
-        pairs = cut(pivot_pairs(now, pivots, percent))
-        checked = overlaps(pairs, texts, n, moved)
-        good = cut(checked.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b"))
-        edges = good if edges is None else cut(edges.unionByName(good))
-        roots = components(edges)
-        now = open_groups(members, roots)
-        if now.isEmpty():
-            return roots
-    star = now.join(cut(now.groupBy("s").agg(F.min("c").alias("hub"))), "s").select(F.col("hub").alias("a"), F.col("c").alias("b"))
+    pairs = cut(pivot_pairs(members.withColumn("root", F.col("c")), 1, percent))
+    checked = overlaps(pairs, texts, n, moved)
+    edges = cut(checked.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b"))
+    roots = components(edges)
+    now = open_groups(members, roots)
+    if now.isEmpty():
+        return roots
+    star = now.join(now.groupBy("s").agg(F.min("c").alias("hub")), "s").select(F.col("hub").alias("a"), F.col("c").alias("b"))
     families = components(star).withColumnRenamed("v", "c").withColumnRenamed("root", "family")
     sizes = families.groupBy("family").agg(F.count("*").alias("size"))
     sized = cut(families.join(sizes, "family"))

@@ -211,7 +211,7 @@ def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out: Column, max_docs: int = 4000, max_chars: int = 50_000) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, held_out: Column, max_docs: int = 2000, max_chars: int = 50_000) -> ToxicityModel:
     """Fit on at most ``max_docs`` labelled documents of at most ``max_chars``
     characters that are not held out, half of them toxic if there are as many,
     chosen by a hash of the id.  Null labels are left out; an id with several
