@@ -18,7 +18,7 @@ def clean_reply(c: Column) -> Column:
     """Without reasoning blocks (closed or not) and code fences."""
     t = F.regexp_replace(c, r"(?is)<think(?:ing)?>.*?</think(?:ing)?>", "")
     t = F.regexp_replace(t, r"(?is)<think(?:ing)?>.*$", "")
-    return F.trim(F.regexp_replace(t, r"(?m)^\s*```[A-Za-z]*\s*$", ""))
+    return F.regexp_replace(F.regexp_replace(t, "```[A-Za-z]*", ""), r"^\s+|\s+$", "")
 
 
 def first_object(text: str | None) -> tuple[str | None, str | None]:
