@@ -22,6 +22,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.pretok import PATTERN, PRETOKEN, Memo, boundaries, segments
 from millrace.runtime import cut, default_parallelism, ship
@@ -122,7 +123,7 @@ def _seam_candidates(chunks: DataFrame, stride: int, overlap: int) -> DataFrame:
             kind = pa.list_(pa.int32())
             yield _append(b, [pa.array(left, kind), pa.array(right, kind)], ["_left", "_right"], "text")
 
-    schema = type(chunks.schema)([f for f in chunks.schema if f.name != "text"]).add("_left", "array<int>").add("_right", "array<int>")
+    schema = type(chunks.schema)([f for f in chunks.schema if f.name != "text"]).add("_left", T.ArrayType(T.IntegerType())).add("_right", T.ArrayType(T.IntegerType()))
     return chunks.mapInArrow(run, schema)
 
 

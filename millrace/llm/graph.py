@@ -2,32 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.runtime import cut
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(v, root) for every end of an edge (a, b); root is the smallest vertex
-    of v's component.
+def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """(v, root) for every end of an edge (a, b); root is some vertex of v's
+    component, the same for all of them.
 
-    Each round points every vertex to its smallest neighbour (itself included),
-    jumps pointers once and contracts the edges, so stars vanish in one round
-    and long chains shrink by a constant factor.  Vertices, edges and pointers
-    stay distributed; every round ends in a reliable checkpoint.  Minima are
-    combined before they are shuffled, and hot vertices only occur as keys of
-    plain joins that adaptive execution can split.
+    Each round gives vertices random priorities, points every vertex to its
+    first neighbour (itself included), jumps pointers once and contracts the
+    edges.  Stars vanish in a round or two and long chains shrink by a constant
+    factor.  Vertices, edges and pointers stay distributed; rounds end in
+    reliable checkpoints.  Minima are combined before they are shuffled, and hot
+    vertices only occur as keys of plain joins that adaptive execution can split.
     """
     live = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     roots = None
-    for _ in range(max_rounds):
+    for k in range(max_rounds):
         if live.isEmpty():
             break
+        order = lambda c, k=k: F.struct(F.xxhash64(c, F.lit(k)).alias("p"), F.col(c).alias("v"))
         both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        point = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("to"))
-        hop = point.select(F.col("a").alias("to"), F.col("to").alias("further"))
-        point = cut(point.join(hop, "to").select("a", F.col("further").alias("to")))
+        near = both.groupBy("a").agg(F.min(order("b")).alias("n"))
+        point = near.select("a", _first(order("a"), F.col("n"))["v"].alias("to"))
+        point = cut(point.join(point.select(F.col("a").alias("to"), F.col("to").alias("further")), "to").select("a", F.col("further").alias("to")))
         if roots is None:
             roots = point.select(F.col("a").alias("v"), F.col("to").alias("root"))
         else:
@@ -38,3 +39,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .where("a <> b").distinct()
         )
     return roots if roots is not None else live.select(F.col("a").alias("v"), F.col("b").alias("root"))
+
+
+def _first(x: Column, y: Column) -> Column:
+    return F.when(x < y, x).otherwise(y)
