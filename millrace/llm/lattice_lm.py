@@ -303,6 +303,18 @@ def stratum_numbers(rows: DataFrame, most: int) -> tuple[list, bool]:
     return [r["label"] for r in got], total > sum(r["count"] for r in got)
 
 
+def frequency_floor(counts: DataFrame, most: int) -> int:
+    """Lowest step of log2(n) * 16 from which on at most ``most`` words lie; a
+    histogram of about a thousand steps decides, no global order is needed."""
+    steps = counts.groupBy(F.floor(F.log2("n") * 16).alias("step")).agg(F.count("*").alias("k")).collect()
+    total = 0
+    for r in sorted(steps, key=lambda r: -r["step"]):
+        total += r["k"]
+        if total > most:
+            return r["step"] + 1
+    return 0
+
+
 def score_texts(docs: DataFrame, held_out: Column, vocabulary_path: str, strata_col: str | None = None, max_strata: int = 6,
                 rounds: int = 2, hot_words: int = 1 << 17) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of
@@ -349,7 +361,7 @@ def score_texts(docs: DataFrame, held_out: Column, vocabulary_path: str, strata_
             base = scorer.base(b.column(1).to_numpy())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base), *[pa.array(got[:, k]) for k in range(strata)]], names=["word", "base", *ss])
 
-    top = counts.orderBy(F.desc("n"), "word").limit(hot_words)
+    top = counts.where(F.floor(F.log2("n") * 16) >= frequency_floor(counts, hot_words))
     table = top.repartition(32, "word").mapInArrow(rate, f"word binary, base double, {doubles}").toArrow()
     hot = docs.sparkSession.sparkContext.broadcast((
         {w: i for i, w in enumerate(table.column("word").to_pylist())},
