@@ -119,8 +119,9 @@ def _seam_candidates(chunks: DataFrame, stride: int, overlap: int) -> DataFrame:
             for t in texts:
                 left.append([p for p in boundaries(t[: overlap + 64]) if 0 < p < overlap])
                 at = boundaries(t) if len(t) > stride else []
-                # a contraction that the chunk's end cuts shows up to two characters too early
-                right.append([p - stride for p in at if stride < p <= len(t) - 3])
+                # a contraction cut by the chunk's end shows up to two characters too early; and white
+                # space before a seam would be split otherwise once nothing follows it
+                right.append([p - stride for p in at if stride < p <= len(t) - 3 and not t[p - 1].isspace()])
             kind = pa.list_(pa.int32())
             yield _append(b, [pa.array(left, kind), pa.array(right, kind)], ["_left", "_right"], "text")
 
