@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 from pathlib import Path
 
@@ -58,7 +57,3 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def default_parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-
-
-def is_local_path(path: str) -> bool:
-    return os.path.exists(path)
