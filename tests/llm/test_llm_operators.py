@@ -218,6 +218,20 @@ def test_html_main_text(spark):
     assert got[90].text == "" == got[91].text and got[92].text == "plain" and got[92].n_chars == 5
 
 
+def test_html_constant_slots_of_articles(spark):
+    page = lambda n: (
+        f"<body><article><h2>Story</h2><div class='lead'>Read our terms.</div><p>own {n}</p><p>shared line</p>{'<ul><li>x</li></ul>' if n % 3 == 2 else ''}"
+        f"<div class='lead'>{'Read our terms.' if n == 3 else f'end {n}'}</div><div>As seen on air.</div></article></body>")
+    rows = [(n, f"http://h.example/{n}", page(n)) for n in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_wrapper.op8_html_extraction(df).collect()}
+    # the first div.lead and the last div are constant slots; a line shared by paragraphs is not
+    assert got[4] == "Story\nown 4\nshared line\nend 4" and got[5] == "Story\nown 5\nshared line\nx\nend 5"
+    pages = html_wrapper.hosts(df)
+    salted = html_wrapper.extract_pages(pages, html_wrapper.infer_wrappers(pages), local_chars=-1)
+    assert {r.page_id: r.text for r in salted.collect()} == got
+
+
 def test_wrapper_inference():
     fold = html_wrapper.fold
     assert fold("<ul <li #x >li <li #x >li <li #x >li >ul".split()) == "<ul <li #x >li+ >ul".split()
