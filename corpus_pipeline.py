@@ -21,8 +21,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents stays (smallest id)."""
-    return jaccard_join.keep_one(docs)
+    """One document of each group of linked documents stays (smallest id); linked
+    are documents whose sets of five words have a similarity of 0.8 or more."""
+    return jaccard_join.keep_one(docs, n=5, percent=80)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

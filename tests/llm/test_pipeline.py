@@ -35,3 +35,13 @@ def test_pipeline_equals_its_parts(spark):
     assert set(got) == set(left)
     assert all(r.round_trip and r.n_tokens == len(r.ids) for r in got.values())
     assert len(corpus_pipeline.STAGES) == 5 and secret_scan.RULES
+
+
+def test_near_copies_by_five_words(spark):
+    words = [f"w{i}" for i in range(100)]
+    texts = {1: words, 2: words[:82], 3: [*words[:50], "x", *words[51:]], 4: words[:78], 5: words[::-1]}
+    sets = {i: {tuple(t[k : k + 5]) for k in range(len(t) - 4)} for i, t in texts.items()}
+    near = {j for j in texts for i in texts if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()}
+    assert near == {2, 3, 4} and got == {1, 5}
