@@ -60,6 +60,16 @@ def keep_first_per_id(spark, sf_dir):
     return dedupe.keep_first(rows, ["start"], ["doc_id"])
 
 
+def keep_first_per_text(spark, sf_dir):
+    """The first document per whole normalised text (by its hash)."""
+    rows = read(spark, sf_dir, "documents").select(F.md5(X.normalise(F.col("text"))).alias("norm_md5"), "doc_id", "source")
+    return dedupe.keep_first(rows, ["norm_md5"], ["doc_id"])
+
+
+def keep_first_per_url(spark, sf_dir):
+    return dedupe.keep_first(read(spark, sf_dir, "pages").select("url", "page_id"), ["url"], ["page_id"])
+
+
 def scored(spark, sf_dir) -> DataFrame:
     """Shortlisted postings with pre-score and final score."""
     rows = decided(spark, sf_dir).where("outcome = 'shortlisted'")
@@ -219,7 +229,7 @@ SCORED = DECIDED + f""", scored AS (
 )"""
 
 QUERIES = {f.__name__: f for f in (
-    filter_first_reason, filter_funnel, filter_explain_steps, run_summary, best_copy_per_key, keep_first_per_id, final_scores, shortlist_cap, daily_ranking,
+    filter_first_reason, filter_funnel, filter_explain_steps, run_summary, best_copy_per_key, keep_first_per_id, keep_first_per_text, keep_first_per_url, final_scores, shortlist_cap, daily_ranking,
     currency_convert, insert_if_absent, insert_report, purge_retention, reset_for_reevaluation, company_upsert, fetch_report)}
 
 ORACLE = {
@@ -240,6 +250,9 @@ ORACLE = {
         CASE source WHEN 's1' THEN 0 WHEN 's2' THEN 1 WHEN 's3' THEN 2 ELSE 3 END, id) AS rn FROM k) WHERE rn = 1""",
     "keep_first_per_id": f"""SELECT start, doc_id, source FROM (SELECT substr({_norm('text')}, 1, 40) AS start, doc_id, source,
         row_number() OVER (PARTITION BY substr({_norm('text')}, 1, 40) ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1""",
+    "keep_first_per_text": f"""SELECT norm_md5, doc_id, source FROM (SELECT md5({_norm('text')}) AS norm_md5, doc_id, source,
+        row_number() OVER (PARTITION BY {_norm('text')} ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1""",
+    "keep_first_per_url": "SELECT url, min(page_id) AS page_id FROM pages GROUP BY 1",
     "final_scores": SCORED + " SELECT id, pre_score, score, company_preferred FROM scored",
     "shortlist_cap": SCORED + " SELECT id, pre_score, row_number() OVER (ORDER BY pre_score DESC, id) > 100 AS capped FROM scored",
     "daily_ranking": SCORED + """ SELECT CAST(rank AS INTEGER) AS rank, CASE WHEN rank <= 5 THEN 'top' ELSE 'extra' END AS section, id, score, company_preferred FROM (
