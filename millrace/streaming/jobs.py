@@ -9,12 +9,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from millrace.runtime import ship
+from millrace.runtime import ensure_checkpoint_dir, ship
+
+CHUNK = 100_000  # rows per frame handed back
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -37,41 +40,57 @@ def keep_first(events: DataFrame, keys: list[str], within: str = "7 days") -> Da
 
 def minimum_interval(events: DataFrame, key: str, minutes: int) -> DataFrame:
     """(key, ts) of accepted events: one is dropped if it comes less than
-    ``minutes`` after the last accepted one of its key.  State: one timestamp."""
+    ``minutes`` after the last accepted one of its key.  State: one timestamp.
+
+    Of a key's events in a batch only the distinct timestamps are held; no frame
+    is kept.  The batch must be whole in time: files are not in order of time,
+    so a batch is not cut by a number of files."""
     ship(events.sparkSession)
     gap = timedelta(minutes=minutes)
     kind = events.schema[key].dataType.simpleString()
 
     def accept(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = pd.Timestamp(state.get[0]) if state.exists else None
-        rows = pd.concat(list(frames)).sort_values("ts")
-        kept = []
-        for ts in rows.ts:
-            if last is None or ts - last >= gap:
-                kept.append(ts)
-                last = ts
+        parts = [frame.ts.dropna().to_numpy("datetime64[us]") for frame in frames]
+        if minutes > 0:  # equal timestamps count once
+            parts = [np.unique(x) for x in parts]
+        stamps = np.sort(np.concatenate(parts))
+        kept, at = [], 0 if last is None else int(np.searchsorted(stamps, (last + gap).to_datetime64().astype("datetime64[us]")))
+        while at < len(stamps):  # from one accepted event to the next
+            last = pd.Timestamp(stamps[at])
+            kept.append(last)
+            at = max(at + 1, int(np.searchsorted(stamps, (last + gap).to_datetime64().astype("datetime64[us]"))))
         if last is not None:
             state.update((last.to_pydatetime(),))
-        yield pd.DataFrame({key: [k[0]] * len(kept), "ts": kept})
+        for i in range(0, len(kept), CHUNK):
+            part = kept[i : i + CHUNK]
+            yield pd.DataFrame({key: [k[0]] * len(part), "ts": part})
 
     return events.select(key, "ts").groupBy(key).applyInPandasWithState(accept, f"{key} {kind}, ts timestamp", "last timestamp", "append", GroupStateTimeout.NoTimeout)
 
 
 def attempts(events: DataFrame, key: str, success: str, limit: int = 3) -> DataFrame:
     """(key, ts, failed_attempts, final) per event; a success starts anew.
-    State: one counter per key."""
+    State: one counter per key.  Of a key's events in a batch the timestamp and
+    the outcome are held."""
     ship(events.sparkSession)
     kind = events.schema[key].dataType.simpleString()
 
     def count(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values("ts")
-        out = []
-        for ok in rows[success]:
-            n = 0 if ok else n + 1
-            out.append(n)
+        stamps, oks = [], []
+        for frame in frames:
+            stamps.append(frame.ts.to_numpy("datetime64[us]"))
+            oks.append(frame[success].to_numpy(bool))
+        stamps, oks = np.concatenate(stamps), np.concatenate(oks)
+        order = np.argsort(stamps, kind="stable")
+        for i in range(0, len(order), CHUNK):
+            part, out = order[i : i + CHUNK], []
+            for ok in oks[part]:
+                n = 0 if ok else n + 1
+                out.append(n)
+            yield pd.DataFrame({key: [k[0]] * len(out), "ts": stamps[part], "failed_attempts": out, "final": [x >= limit for x in out]})
         state.update((n,))
-        yield pd.DataFrame({key: [k[0]] * len(out), "ts": rows.ts.to_numpy(), "failed_attempts": out, "final": [x >= limit for x in out]})
 
     return events.select(key, "ts", success).groupBy(key).applyInPandasWithState(count, f"{key} {kind}, ts timestamp, failed_attempts long, final boolean", "n long", "append", GroupStateTimeout.NoTimeout)
 
@@ -89,7 +108,22 @@ def merge_batches(stream: DataFrame, path: str, checkpoint: str, merge: Callable
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run a finite stream to its end into an in-memory table (tests, demos)."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a finite stream to its end and read its rows back.  Rows and the
+    stream's checkpoint lie under ``spark.checkpoint.dir``; a complete result
+    is written anew by every batch, and the last one counts."""
+    spark = stream.sparkSession
+    ensure_checkpoint_dir(spark)
+    at = f"{spark.sparkContext.getCheckpointDir()}/{name}"
+    last = [f"{at}/rows"]
+
+    def put(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/rows/v={k}")
+        last[0] = f"{at}/rows/v={k}"
+
+    out = stream.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+    if mode == "append":
+        q = out.format("parquet").option("path", last[0]).outputMode(mode).start()
+    else:
+        q = out.foreachBatch(put).outputMode(mode).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(last[0])
