@@ -232,6 +232,17 @@ def test_html_constant_slots_of_articles(spark):
     assert {r.page_id: r.text for r in salted.collect()} == got
 
 
+def test_html_template_counts(spark):
+    copy = "<body><h1>Title</h1><p>the only story</p></body>"
+    long = lambda n: f"<body>{''.join(f'<p>own {n} {k}</p><div>more {n} {k}</div>' for k in range(400))}<h4>As seen on air.</h4></body>"
+    rows = [(n, f"http://h.example/{n}", copy if n < 20 else f"<body><h1>T{n}</h1><p>story {n}</p></body>") for n in range(30)]
+    rows += [(100 + n, f"http://long.example/{n}", long(n)) for n in range(6)]
+    got = {r.page_id: r.text for r in html_wrapper.op8_html_extraction(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    # copies of one page do not make its texts template; streams too long for a wrapper are counted
+    assert {got[n] for n in range(20)} == {"Title\nthe only story"} and got[25] == "T25\nstory 25"
+    assert len(html_wrapper.parse(long(0))[0]) > 2000 and got[103].endswith("more 3 399") and got[103].startswith("own 3 0")
+
+
 def test_wrapper_inference():
     fold = html_wrapper.fold
     assert fold("<ul <li #x >li <li #x >li <li #x >li >ul".split()) == "<ul <li #x >li+ >ul".split()
