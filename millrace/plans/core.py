@@ -23,14 +23,15 @@ def sent_keys(rows: DataFrame) -> DataFrame:
     return rows.where("id % 170 = 0").select("dedupe_key")
 
 
-def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+def decided(spark: SparkSession, sf_dir: str, retained: str = "false") -> DataFrame:
     """Every posting with its outcome: shortlisted or the first reason.
 
+    ``retained`` tells which postings that passed were kept by an earlier run.
     The rules run once; what they decided is cut from its lineage without the
     descriptions, of which only the length is needed further on."""
     rows = cut(evaluated(spark, sf_dir).withColumn("description_length", F.length("description")).drop("description"))
-    none = rows.select("dedupe_key", "id").limit(0)
-    out = dedupe.duplicate_reason(rows, SOURCE_ORDER, sent_keys(rows), none, F.col("passed"))
+    kept = rows.where(F.col("passed") & F.expr(retained)).select("dedupe_key", "id")
+    out = dedupe.duplicate_reason(rows, SOURCE_ORDER, sent_keys(rows), kept, F.col("passed"))
     return out.withColumn("outcome", F.coalesce("reason", "duplicate", F.lit("shortlisted")))
 
 
@@ -108,21 +109,35 @@ def stored(spark, sf_dir) -> DataFrame:
 SLIM = ["id", "external_id", "source", "title", "company", "fetched_at"]
 
 
-def insert_if_absent(spark, sf_dir):
+def retained_outcomes(spark, sf_dir):
+    """Outcomes after an earlier run that kept every second passed posting."""
+    return decided(spark, sf_dir, "id % 2 = 0").select("id", "outcome")
+
+
+def insert_if_absent(spark, sf_dir, incoming="id % 3 = 0"):
     rows = postings(spark, sf_dir).select(*SLIM)
     old = rows.where("id % 2 = 0").withColumn("batch", F.lit("old"))
-    new = rows.where("id % 3 = 0").withColumn("batch", F.lit("new"))
+    new = rows.where(incoming).withColumn("batch", F.lit("new"))
     new = new.unionByName(new.where("id % 5 = 0").withColumn("title", F.lit("again")).withColumn("batch", F.lit("newer")))
     new = new.withColumn("title", F.when(F.col("id") % 33 == 0, F.lit(None)).otherwise(F.col("title")))
     return state.insert_if_absent(old, new, ["source", "external_id"], ["batch", "title"], ["title", "company"]).result.select("id", "source", "title", "batch")
 
 
-def insert_report(spark, sf_dir):
+def insert_if_absent_whole(spark, sf_dir):
+    """Even ids are stored, every row comes in."""
+    return insert_if_absent(spark, sf_dir, "true")
+
+
+def insert_report(spark, sf_dir, incoming="id % 3 = 0"):
     rows = postings(spark, sf_dir).select(*SLIM)
-    new = rows.where("id % 3 = 0").withColumn("title", F.when(F.col("id") % 33 == 0, F.lit(None)).otherwise(F.col("title")))
+    new = rows.where(incoming).withColumn("title", F.when(F.col("id") % 33 == 0, F.lit(None)).otherwise(F.col("title")))
     return state.insert_if_absent(rows.where("id % 2 = 0"), new, ["source", "external_id"], ["id"], ["title", "company"]).report
 
 
+def insert_report_whole(spark, sf_dir):
+    return insert_report(spark, sf_dir, "true")
+
+
 def purge_retention(spark, sf_dir):
     rows = postings(spark, sf_dir).select("id", "fetched_at", "source")
     sent = rows.where("id % 17 = 0").select("id")
@@ -134,15 +149,19 @@ def reset_for_reevaluation(spark, sf_dir):
     return out.groupBy("status", F.col("reason").isNull().alias("no_reason"), F.col("usd_max").isNull().alias("no_usd")).agg(F.count("*").alias("n"), F.sum("score").alias("score"))
 
 
-def company_upsert(spark, sf_dir):
+def company_upsert(spark, sf_dir, incoming="c_custkey % 3 = 0"):
     c = read(spark, sf_dir, "customer")
     old = c.where("c_custkey % 2 = 0").select(F.col("c_name").alias("name"), (F.col("c_custkey") % 4 == 0).alias("is_gcc"), F.lit(False).alias("is_preferred"), (F.col("c_custkey") % 10 == 0).alias("is_blocked"), F.lit("2001-01-01").alias("first_seen"))
-    new = c.where("c_custkey % 3 = 0").select(
+    new = c.where(incoming).select(
         F.concat(F.lit(" "), F.upper("c_name")).alias("name"), (F.col("c_custkey") % 2 == 0).alias("flags_given"), F.lit(True).alias("is_gcc"),
         F.lit(None).cast("boolean").alias("is_preferred"), F.lit(False).alias("is_blocked"), F.lit("2001-08-02").alias("first_seen"))
     return state.upsert_companies(old, new)
 
 
+def company_upsert_whole(spark, sf_dir):
+    return company_upsert(spark, sf_dir, "true")
+
+
 def fetch_report(spark, sf_dir):
     pages = read(spark, sf_dir, "pages").select((F.col("page_id") % 6).cast("int").alias("n"), "url")
     rows = pages.select(F.concat(F.lit("feed"), F.col("n").cast("string")).alias("source"), "url")
@@ -230,7 +249,8 @@ SCORED = DECIDED + f""", scored AS (
 
 QUERIES = {f.__name__: f for f in (
     filter_first_reason, filter_funnel, filter_explain_steps, run_summary, best_copy_per_key, keep_first_per_id, keep_first_per_text, keep_first_per_url, final_scores, shortlist_cap, daily_ranking,
-    currency_convert, insert_if_absent, insert_report, purge_retention, reset_for_reevaluation, company_upsert, fetch_report)}
+    currency_convert, retained_outcomes, insert_if_absent, insert_if_absent_whole, insert_report, insert_report_whole, purge_retention, reset_for_reevaluation, company_upsert, company_upsert_whole,
+    fetch_report)}
 
 ORACLE = {
     "filter_first_reason": EVALUATED + " SELECT id, passed, reason, notes, region, hub_centre, round(usd_min, 4) AS usd_min, round(usd_max, 4) AS usd_max FROM evaluated",
@@ -265,6 +285,14 @@ ORACLE = {
     "insert_report": """SELECT count(*) AS received, count(*) FILTER (o_orderkey % 2 <> 0 AND o_orderkey % 33 <> 0) AS inserted,
         count(*) FILTER (o_orderkey % 2 = 0 AND o_orderkey % 33 <> 0) AS duplicates, count(*) FILTER (o_orderkey % 33 = 0) AS violations
         FROM orders WHERE o_orderkey % 3 = 0""",
+    "retained_outcomes": DECIDED + """ SELECT id, CASE WHEN outcome = 'shortlisted' AND EXISTS (
+        SELECT 1 FROM evaluated k WHERE k.passed AND k.id % 2 = 0 AND k.dedupe_key = d.dedupe_key AND k.id <> d.id) THEN 'duplicate' ELSE outcome END AS outcome FROM decided d""",
+    "insert_if_absent_whole": f"""WITH rows AS ({ORACLE_POSTINGS})
+        SELECT id, source, title, CASE WHEN id % 2 = 0 THEN 'old' ELSE 'new' END AS batch FROM rows WHERE id % 2 = 0 OR id % 33 <> 0""",
+    "insert_report_whole": """SELECT count(*) AS received, count(*) FILTER (o_orderkey % 2 <> 0 AND o_orderkey % 33 <> 0) AS inserted,
+        count(*) FILTER (o_orderkey % 2 = 0 AND o_orderkey % 33 <> 0) AS duplicates, count(*) FILTER (o_orderkey % 33 = 0) AS violations FROM orders""",
+    "company_upsert_whole": """SELECT lower(c_name) AS name_key, upper(c_name) AS name, CASE WHEN c_custkey % 2 = 0 THEN true END AS is_gcc, CAST(NULL AS BOOLEAN) AS is_preferred,
+        CASE WHEN c_custkey % 2 = 0 THEN false END AS is_blocked, CASE WHEN c_custkey % 2 = 0 THEN '2001-01-01' ELSE '2001-08-02' END AS first_seen FROM customer""",
     "purge_retention": """SELECT 's' || substr(o_orderpriority, 1, 1) AS source, count(*) AS kept, CAST(sum(o_orderkey % 1000) AS BIGINT) AS check_sum FROM orders
         WHERE o_orderdate + INTERVAL 1 DAY >= TIMESTAMP '2001-08-02' - INTERVAL 1500 DAY OR o_orderkey % 17 = 0 GROUP BY 1""",
     "reset_for_reevaluation": EVALUATED + """, s AS (SELECT *, CASE WHEN passed AND id % 3 = 0 THEN id % 101 END AS score FROM evaluated)
