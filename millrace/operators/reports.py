@@ -31,8 +31,9 @@ def summary(decided: DataFrame) -> DataFrame:
 
 def fetch_report(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     """Per source of the catalog (source, mode, hosts): rows fetched, kept and
-    dropped by reason; sources without rows are listed with zeros."""
-    checked = rows.join(F.broadcast(catalog.limit(10_000)), "source", "left").withColumn("rejection", url_rejection(F.col("url"), F.col("mode"), F.col("hosts")))
+    dropped by reason; sources without rows are listed with zeros.  The catalog
+    is broadcast by Spark if it is small, else shuffled."""
+    checked = rows.join(catalog, "source", "left").withColumn("rejection", url_rejection(F.col("url"), F.col("mode"), F.col("hosts")))
     counts = checked.groupBy("source").agg(
         F.count("*").alias("fetched"), F.count_if(F.col("rejection").isNull()).alias("kept"), F.count_if(F.col("rejection") == "invalid_url").alias("dropped_invalid"),
         F.count_if(F.col("rejection") == "host").alias("dropped_host"))
