@@ -35,11 +35,14 @@ def key(c: Column) -> Column:
 WORD = r"[0-9A-Za-z][0-9A-Za-z.+#]*(?<!\.)"
 
 
-def find_terms(texts: DataFrame, vocabulary: DataFrame, max_words: int = 4, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def find_terms(texts: DataFrame, vocabulary: DataFrame, max_words: int | None = None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, terms): canonical names in order of appearance, each once.
+    Runs are as long as the vocabulary's longest alias (or ``max_words``).
 
     Word tokens keep + and #, so "C" is not found in "C++".  The vocabulary is
     broadcast by Spark if it is small, else shuffled on the key."""
+    if max_words is None:
+        max_words = vocabulary.agg(F.max("n_words")).first()[0] or 1
     tokens = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0))
     base = texts.select(id_col, F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[^0-9A-Za-z.+# \n-]", " "), r"[\s-]+").alias("_none"), tokens.alias("w"))
     places = base.select(id_col, "w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1)))).alias("i")).where(F.size("w") > 0)

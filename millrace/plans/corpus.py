@@ -71,6 +71,26 @@ def excerpt_search(spark, sf_dir):
     return pairs.join(docs, "doc_id").where(F.contains("t", "excerpt")).select("doc_id", "item_id").distinct()
 
 
+def passages(docs, items):
+    """(doc_id, item_id) of items (item_id, e) whose whole text stands in a
+    document (doc_id, t).  The second to fourth word of an item are whole words of
+    the document too and make the join key; items of fewer than five words are
+    compared with every document."""
+    words = F.split("e", " ")
+    keyed = items.withColumn("k", F.when(F.size(words) >= 5, F.array_join(F.slice(words, 2, 3), " ")))
+    runs = F.transform(F.array(F.split("t", " ")), lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, 3), " ")))[0]
+    pairs = docs.select("doc_id", F.explode(F.array_distinct(runs)).alias("k")).join(keyed.where("k is not null"), "k").select("doc_id", "item_id", "e").distinct()
+    long = pairs.join(docs, "doc_id").where(F.contains("t", "e")).select("doc_id", "item_id")
+    short = docs.join(keyed.where("k is null and e is not null").select("item_id", "e"), F.contains("t", "e")).select("doc_id", "item_id")
+    return long.unionByName(short).distinct()
+
+
+def passage_search(spark, sf_dir):
+    """Benchmark items whose whole text stands in a document."""
+    items = read(spark, sf_dir, "benchmark").select("item_id", X.normalise_excerpt(F.col("text")).alias("e"))
+    return passages(read(spark, sf_dir, "documents").select("doc_id", X.normalise_excerpt(F.col("text")).alias("t")), items)
+
+
 def sections_of_doc(spark, sf_dir):
     return grounding.sections(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "section", F.md5("text").alias("text_md5"))
 
@@ -88,7 +108,7 @@ def letter_rule_codes(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    html_to_text, url_check, pii_counts, email_counts, pii_leaks_after_redaction, address_lines, secret_scrub, numbers_per_doc, phrase_filter, normalised_words, excerpt_search, sections_of_doc,
+    html_to_text, url_check, pii_counts, email_counts, pii_leaks_after_redaction, address_lines, secret_scrub, numbers_per_doc, phrase_filter, normalised_words, excerpt_search, passage_search, sections_of_doc,
     vocabulary_terms, letter_rule_codes)}
 
 _NORM = r"trim(regexp_replace(regexp_replace(lower(text), '[-_/]+', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -101,6 +121,9 @@ ORACLE = {
     "excerpt_search": r"""WITH d AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents),
         i AS (SELECT item_id, substr(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), 1, 40) AS e FROM benchmark)
         SELECT doc_id, item_id FROM d JOIN i ON contains(t, e)""",
+    "passage_search": r"""WITH d AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents),
+        i AS (SELECT item_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS e FROM benchmark)
+        SELECT doc_id, item_id FROM d JOIN i ON contains(t, e)""",
     "letter_rule_codes": r"""WITH t AS (SELECT text FROM conversations WHERE role = 'assistant'), c AS (
         SELECT 'no_salutation' AS code FROM t WHERE NOT regexp_matches(text, '(?i)^\s*(?:dear|hello|hi)\b')
         UNION ALL SELECT 'too_long' FROM t WHERE len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) > 200

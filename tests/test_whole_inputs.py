@@ -47,3 +47,25 @@ def test_retained_keys_make_duplicates(spark):
     finally:
         core.evaluated = before
     assert got == {1: "shortlisted", 2: "duplicate", 7: "duplicate", 3: "too_old", 4: "too_old"}
+
+
+def test_passages_are_whole_texts(spark, db):  # noqa: F811
+    from millrace.plans import corpus
+
+    assert same(spark, db, "passage_search")
+    start = "one two three four five six seven eight n"
+    docs = spark.createDataFrame([(1, f"x {start}ine ten"), (2, f"x {start}o"), (3, "blue sky")], "doc_id long, t string")
+    items = spark.createDataFrame([(1, f"{start}ine"), (2, "ue sky"), (3, "two three fourteen")], "item_id long, e string")
+    assert {tuple(r) for r in corpus.passages(docs, items).collect()} == {(1, 1), (3, 2)}
+
+
+def test_long_aliases_are_found(spark):
+    from millrace.operators import vocab
+
+    lines = spark.createDataFrame([("general data protection and privacy rule",), ("Go",)], "value string")
+    texts = spark.createDataFrame([(1, "The General Data Protection and Privacy Rule holds")], "doc_id long, text string")
+    assert vocab.find_terms(texts, vocab.read_vocabulary(lines)).first().terms == ["general data protection and privacy rule"]
+
+
+def test_fetch_report(spark, db):  # noqa: F811
+    assert same(spark, db, "fetch_report")
