@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
+_FOLDERS: dict[str, str] = {}  # application id -> folder of its written tables
+_TABLES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -24,30 +30,54 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's ``spark.checkpoint.dir``; fall back to a temporary
-    folder only where none is configured (tests on one machine)."""
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables, under the session's
+    ``spark.checkpoint.dir``.  It is deleted when Python ends.
+
+    Without that setting a local session (tests on one machine) takes a temporary
+    folder; a cluster has no folder that all its machines see, so it is an error
+    there.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app not in _FOLDERS:
+        base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        if base is None:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            base = tempfile.mkdtemp(prefix="spark-")
+        _FOLDERS[app] = f"{base.rstrip('/')}/millrace-{app}"
+        atexit.register(_delete, spark, _FOLDERS[app])
+    return _FOLDERS[app]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-"))
+    try:
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    except (Py4JError, OSError, AttributeError):  # the session has ended: its folder is left to the cluster's own clean-up
+        pass
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows go to the shared folder, the lineage ends.
-
-    A checkpointed frame remembers the constraints that its plan implied, and
-    in iterative work their number doubles from round to round; they are left
-    out here.
+    """``df`` written as a table in the shared folder and read again: its rows
+    are computed once, its lineage ends, and lost executors lose nothing of it.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    conf, key = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
-    before = conf.get(key)
-    conf.set(key, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        conf.set(key, before)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _TABLES[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``cut`` wrote for frames that nothing reads any more."""
+    for df in tables:
+        path = _TABLES.pop(df, None)
+        if path is not None:
+            _delete(df.sparkSession, path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -6,6 +6,7 @@ bounded by watermarks or by one value per key.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from datetime import timedelta
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from millrace.runtime import ensure_checkpoint_dir, ship
+from millrace.runtime import shared_folder, ship
 
 CHUNK = 100_000  # rows per frame handed back
 
@@ -112,8 +113,7 @@ def run_to_table(stream: DataFrame, name: str, mode: str) -> DataFrame:
     stream's checkpoint lie under ``spark.checkpoint.dir``; a complete result
     is written anew by every batch, and the last one counts."""
     spark = stream.sparkSession
-    ensure_checkpoint_dir(spark)
-    at = f"{spark.sparkContext.getCheckpointDir()}/{name}"
+    at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     last = [f"{at}/rows"]
 
     def put(batch: DataFrame, k: int) -> None:
