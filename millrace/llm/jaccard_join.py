@@ -5,18 +5,22 @@ n-grams is cut into fragments: the head fragment (a quarter of the hash space)
 comes first and is ordered by document frequency, rare first; the others follow
 in hash order.  Two sets with Jaccard >= t share an n-gram among the first
 n - ceil(t * n) + 1 of each, so candidates come from a join on those prefixes,
-which lie in the head fragment but for small sets.  The overlap of a candidate
-pair is counted separately in every fragment and the partial counts are summed
-per pair, which decides exactly.
+which lie in the head fragment but for small sets.
+
+The overlap of a candidate pair is counted fragment by fragment and the partial
+counts are summed per pair.  The head fragment is counted first; a pair that
+cannot link any more even if all its other n-grams were shared ends there, and
+only for the rest do the segments of the other fragments meet, each in its own
+row and task.  Texts never take part in pair joins: a set is made once, and its
+segments (class, fragment, n-grams) move.
 
 Equal sets form one class and are joined once.  Copies are not expanded into
 all pairs: in a group of sets that share a prefix n-gram a pivot is compared
-with the others first.  Only groups whose members are not all connected by then
-are compared further, in blocks of bounded size whose overlaps are again
-counted fragment by fragment; a block returns a spanning star of what it
+with the others.  Only groups whose members are not all connected by then are
+compared further, in blocks bounded in sets and in n-grams, whose overlaps are
+again counted fragment by fragment; a block returns a spanning star of what it
 linked.  The components so equal those of the full join.
 
-Moved: (n-gram, class) rows of the head fragment, and texts of candidate pairs.
 Components, links and classes stay distributed.
 """
 
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.llm.graph import components
-from millrace.runtime import cut, ship
+from millrace.runtime import cut, discard, ship
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -148,98 +152,104 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text).alias("t"), text.cast("binary").alias("raw"))
 
 
-def describe(rows: DataFrame, n: int, moved: frozenset = frozenset()) -> DataFrame:
-    """(doc_id, t, n, c, digest): set size, class (null if empty), full digest."""
-    def run(batches):
-        shingler = Shingler(n)
-        for b in batches:
-            sizes, classes, digests = [], [], []
-            for s in shingler.sets(b.column(2).to_pylist()):
-                d = _digest(s)
-                sizes.append(len(s))
-                classes.append(class_id(d, moved) if len(s) else None)
-                digests.append(d)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "t", "n", "c", "digest"])
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, t long, n long, c long, digest binary")
+def prefix_length(n: int, percent: int) -> int:
+    return n - needed(n, percent) + 1
 
 
-def head_rows(rows: DataFrame, n: int, percent: int, moved: frozenset) -> DataFrame:
-    """(s, c, n, m): the head n-grams of every set and, where they are fewer
-    than its prefix, as many of the following ones; m is the number of head
-    n-grams.  A task names each class once."""
+def describe(rows: DataFrame, n: int, percent: int, moved: frozenset = frozenset()) -> DataFrame:
+    """(doc_id, t, n, c, digest, m, head): set size, class (null if empty), full
+    digest, number of n-grams in the head fragment, and these n-grams followed by
+    as many of the next fragments as the prefix needs.  A task gives the n-grams
+    of a class once."""
     def run(batches):
         shingler, seen = Shingler(n), set()
         for b in batches:
-            grams, classes, sizes, heads = [], [], [], []
+            out = []
             for s in shingler.sets(b.column(2).to_pylist()):
+                d = _digest(s)
                 if not len(s):
+                    out.append((0, None, d, 0, None))
                     continue
-                c = class_id(_digest(s), moved)
-                if c in seen:
-                    continue
-                seen.add(c)
-                prefix = len(s) - needed(len(s), percent) + 1
-                frag = fragment_of(s)
-                head = s[frag == 0]
-                take = head
-                if len(head) < prefix:
-                    rest = s[frag > 0]
-                    rest = rest[np.lexsort((rest, frag[frag > 0]))]
-                    take = np.concatenate([head, rest[: prefix - len(head)]])
-                grams.append(take.view(np.int64))
-                classes.append(np.full(len(take), c, np.int64))
-                sizes.append(np.full(len(take), len(s), np.int32))
-                heads.append(np.full(len(take), len(head), np.int32))
-            if grams:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (grams, classes, sizes, heads)], names=["s", "c", "n", "m"])
-
-    return rows.mapInArrow(run, "s long, c long, n int, m int")
-
-
-def prefixes(rows: DataFrame, n: int, percent: int, moved: frozenset) -> DataFrame:
+                c, frag = class_id(d, moved), fragment_of(s)
+                head, take = s[frag == 0], None
+                if c not in seen:
+                    seen.add(c)
+                    take, lacks = head, prefix_length(len(s), percent) - len(head)
+                    if lacks > 0:
+                        rest = s[frag > 0]
+                        take = np.concatenate([head, rest[np.lexsort((rest, frag[frag > 0]))][:lacks]])
+                    take = take.view(np.int64)
+                out.append((len(s), c, d, len(head), take))
+            cols = list(zip(*out, strict=True)) if out else [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "t", "n", "c", "digest", "m", "head"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, t long, n long, c long, digest binary, m int, head array<long>")
+
+
+def prefixes(info: DataFrame, percent: int) -> DataFrame:
     """(s, c, n): prefix n-grams that at least two classes may share."""
-    heads = head_rows(rows, n, percent, moved)
+    heads = info.where("head is not null").select(F.explode("head").alias("s"), "c", F.col("n").cast("int").alias("n"), "m")
     counts = cut(heads.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"))
     shared = heads.join(counts, "s").dropDuplicates(["c", "s"])
     own = Window.partitionBy("c")
     ranked = shared.withColumn("k", F.row_number().over(own.orderBy("df", "s"))).withColumn("found", F.count("*").over(own))
-    prefix = F.expr(f"n - ceil(n * {percent} / 100.0D) + 1") if percent % 1 else F.expr(f"n - (n * {percent} + 99) div 100 + 1")
+    prefix = F.expr(f"n - (n * {percent} + 99) div 100 + 1")
     # n-grams that no other class has come first in the order, as the rarest
     inside = (F.col("m") < prefix) | (F.col("m") - F.col("found") + F.col("k") <= prefix)
-    return ranked.where(inside).select("s", "c", "n")
-
+    out = cut(ranked.where(inside).select("s", "c", "n"))
+    discard(counts)
+    return out
 
-def overlaps(pairs: DataFrame, texts: DataFrame, n: int, moved: frozenset) -> DataFrame:
-    """(a, b, na, nb, overlap) of class pairs: texts are joined to both ends,
-    overlaps counted fragment by fragment and summed per pair."""
-    left = pairs.join(texts.select(F.col("c").alias("b"), F.col("raw").alias("raw_b")), "b")
-    both = left.join(texts.select(F.col("c").alias("a"), F.col("raw").alias("raw_a")), "a").select("a", "b", "raw_a", "raw_b")
 
+def segments(texts: DataFrame, n: int, moved: frozenset) -> DataFrame:
+    """(c, f, grams) of classes (c, raw): the set's n-grams in fragment f, sorted;
+    one row per fragment that is not empty."""
     def run(batches):
         shingler = Shingler(n)
-        for batch in batches:
-            as_, bs, raws_a, raws_b = (c.to_pylist() for c in batch.columns)
-            places: dict[tuple[int, bytes], int] = {}  # a text that stands in many pairs is cut up once
-            pa_ = [places.setdefault(k, len(places)) for k in zip(as_, raws_a, strict=True)]
-            pb_ = [places.setdefault(k, len(places)) for k in zip(bs, raws_b, strict=True)]
-            sets = shingler.sets([raw for _, raw in places])
-            # a text that is not the class's own stands under an equal text key
-            valid = [class_id(_digest(s), moved) == c for s, (c, _) in zip(sets, places, strict=True)]
-            out = []
-            for a, b, i, j in zip(as_, bs, pa_, pb_, strict=True):
-                if valid[i] and valid[j]:
-                    partial = np.bincount(fragment_of(np.intersect1d(sets[i], sets[j], assume_unique=True)), minlength=FRAGMENTS)
-                    out += [(a, b, f, len(sets[i]), len(sets[j]), int(partial[f])) for f in range(FRAGMENTS)]
-            cols = list(zip(*out, strict=True)) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "f", "na", "nb", "part"])
+        for b in batches:
+            cs, fs, grams = [], [], []
+            for c, s in zip(b.column(0).to_pylist(), shingler.sets(b.column(1).to_pylist()), strict=True):
+                if class_id(_digest(s), moved) != c:
+                    continue  # a text that is not the class's own stands under an equal text key
+                frag = fragment_of(s)
+                for f in np.unique(frag).tolist():
+                    cs.append(c)
+                    fs.append(f)
+                    grams.append(s[frag == f].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.array(fs, pa.int32()), pa.array(grams, pa.list_(pa.int64()))], names=["c", "f", "grams"])
+
+    return texts.mapInArrow(run, "c long, f int, grams array<long>")
+
+
+def partial_overlaps(pairs: DataFrame, parts: DataFrame, keys: list[str]) -> DataFrame:
+    """``pairs`` (a, b and others) with ``part``, the number of n-grams that the
+    two ends' rows of ``parts`` (c, grams and ``keys``) share; pairs without such
+    rows on both sides are left out."""
+    ends = [parts.select(F.col("c").alias(x), F.col("grams").alias(f"grams_{x}"), *keys).hint("merge") for x in "ba"]
+    both = pairs.join(ends[0], ["b", *keys]).join(ends[1], ["a", *keys])
+    return both.withColumn("part", F.size(F.array_intersect("grams_a", "grams_b")).cast("long")).drop("grams_a", "grams_b")
 
-    parts = both.mapInArrow(run, "a long, b long, f long, na long, nb long, part long")
-    return parts.dropDuplicates(["a", "b", "f"]).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("part").alias("overlap"))
 
+def linked(overlap, na, nb, percent: int):
+    return 100 * overlap >= percent * (na + nb - overlap)
 
-BLOCK, WIDE = 512, 16_384
+
+def pivot_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb, fits): distinct pairs of each group's pivot (the member that
+    is first by a hash, so that groups of the same sets agree) with its others;
+    fits tells whether their sizes let them link."""
+    first = members.groupBy("s").agg(F.min(F.struct(F.xxhash64("c").alias("r"), "c", "n")).alias("p"))
+    chosen = first.select("s", F.col("p.c").alias("p"), F.col("p.n").alias("np"))
+    pairs = members.join(chosen.hint("merge"), "s").where("c <> p")
+    a = F.col("c") < F.col("p")
+    ends = lambda x, y: F.when(a, F.col(x)).otherwise(F.col(y))
+    return pairs.select(ends("c", "p").alias("a"), ends("p", "c").alias("b"), ends("n", "np").alias("na"), ends("np", "n").alias("nb")).distinct().withColumn(
+        "fits", F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)"))
+
+
+BLOCK, BLOCK_GRAMS = 512, 1_000_000  # sets and n-grams of a block
 
 
 def local_links(sets_a: list[np.ndarray], sets_b: list[np.ndarray], percent: int) -> np.ndarray:
@@ -255,7 +265,7 @@ def local_links(sets_a: list[np.ndarray], sets_b: list[np.ndarray], percent: int
         for at in range(0, len(shared), 2048):
             grams = shared[at : at + 2048]
             total += np.rint(_incidence(ha, ra, grams, len(na)) @ _incidence(hb, rb, grams, len(nb)).T).astype(np.int64)
-    return 100 * total >= percent * (na[:, None] + nb[None, :] - total)
+    return linked(total, na[:, None], nb[None, :], percent)
 
 
 def _incidence(h: np.ndarray, row: np.ndarray, grams: np.ndarray, rows: int) -> np.ndarray:
@@ -266,33 +276,33 @@ def _incidence(h: np.ndarray, row: np.ndarray, grams: np.ndarray, rows: int) ->
     return out
 
 
-def block_links(open_: DataFrame, texts: DataFrame, n: int, percent: int, moved: frozenset) -> DataFrame:
+def block_links(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): edges that connect what is linked within each family.
 
-    open_: (family, size, c).  A family is cut into blocks of about ``BLOCK``
-    classes; every two blocks meet in one group, which holds the texts of two
-    blocks at most and returns a spanning star per connected part."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = open_.withColumn("blocks", blocks).withColumn("k", F.pmod(F.xxhash64("c"), F.col("blocks").cast("long")).cast("int"))
-    rows = own.join(texts, "c").select("family", "c", "k", "raw", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
-    rows = rows.select("family", F.least("k", "x").alias("i"), F.greatest("k", "x").alias("j"), "k", "c", "raw")
+    open_: (family, c, n); sets: (c, grams).  A family is cut into blocks of
+    about ``BLOCK`` sets and ``BLOCK_GRAMS`` n-grams, whichever are more blocks;
+    every two blocks meet in one group, which holds two blocks at most and
+    returns a spanning star per connected part."""
+    sizes = open_.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    own = open_.join(sizes.hint("merge"), "family").withColumn("k", F.pmod(F.xxhash64("c"), F.col("blocks").cast("long")).cast("int"))
+    rows = own.join(sets.hint("merge"), "c").select("family", "c", "k", "grams", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
+    rows = rows.select("family", F.least("k", "x").alias("i"), F.greatest("k", "x").alias("j"), "k", "c", "grams")
 
     def run(pdf):
         import pandas as pd
 
-        sets = Shingler(n).sets([bytes(r) for r in pdf.raw])
-        good = np.array([class_id(_digest(s), moved) == c for s, c in zip(sets, pdf.c, strict=True)], bool)
-        c, left = pdf.c.to_numpy(np.int64), (pdf.k == pdf.i).to_numpy()
-        ia, ib = np.flatnonzero(good & left), np.flatnonzero(good & ((pdf.k == pdf.j).to_numpy()))
+        sets = [np.asarray(g).view(np.uint64) for g in pdf.grams]
+        c, k = pdf.c.to_numpy(np.int64), pdf.k.to_numpy()
+        ia, ib = np.flatnonzero(k == pdf.i.to_numpy()), np.flatnonzero(k == pdf.j.to_numpy())
         if not len(ia) or not len(ib):
             return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        linked = local_links([sets[i] for i in ia], [sets[i] for i in ib], percent)
+        hit = local_links([sets[i] for i in ia], [sets[i] for i in ib], percent)
         low = c.copy()
         while True:  # smallest class reachable inside the group
-            down = np.where(linked, low[ia][:, None], np.iinfo(np.int64).max).min(0)
+            down = np.where(hit, low[ia][:, None], np.iinfo(np.int64).max).min(0)
             new = low.copy()
             new[ib] = np.minimum(new[ib], down)
-            up = np.where(linked, new[ib][None, :], np.iinfo(np.int64).max).min(1)
+            up = np.where(hit, new[ib][None, :], np.iinfo(np.int64).max).min(1)
             new[ia] = np.minimum(new[ia], up)
             if (new == low).all():
                 break
@@ -304,56 +314,55 @@ def block_links(open_: DataFrame, texts: DataFrame, n: int, percent: int, moved:
 
 
 def open_groups(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(s, c, n, root, size) of the groups that hold several components."""
-    now = members.join(roots.withColumnRenamed("v", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    now = cut(now)
-    spread = now.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    return cut(now.join(spread.select("s", "size"), "s"))
-
-
-def pivot_pairs(now: DataFrame, pivots: int, percent: int) -> DataFrame:
-    """Distinct pairs of ``pivots`` members per group (the smallest by a hash in
-    as many slots) with the others they are not connected to."""
-    rank = F.xxhash64("c", F.lit(pivots))
-    few = now.groupBy("s", F.pmod(rank, F.lit(pivots)).alias("slot")).agg(F.min(F.struct(rank.alias("r"), "c", "n", "root")).alias("p"))
-    chosen = cut(few.select("s", F.col("p.c").alias("a"), F.col("p.n").alias("na"), F.col("p.root").alias("ra")))
-    ends = now.select("s", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    fits = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    pairs = chosen.join(ends, "s").where((F.col("a") != F.col("b")) & (F.col("ra") != F.col("rb")) & fits)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def links(members: DataFrame, texts: DataFrame, n: int, percent: int, moved: frozenset) -> DataFrame:
+    """(s, c, n) of the groups that hold several components."""
+    now = members.join(roots.withColumnRenamed("v", "c").hint("merge"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    spread = now.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    return cut(now.join(spread.select("s").hint("merge"), "s").select("s", "c", "n"))
+
+
+LOOSE = 32 * BLOCK  # sets of a family that is compared group by group
+
+
+def links(members: DataFrame, info: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent: int, moved: frozenset) -> DataFrame:
     """(v, root): components of the classes that have a link.
 
     ``members`` (s, c, n) are the groups of classes that share a prefix n-gram.
-    First one pivot per group is compared with the other members.  Groups that still hold several
-    components are gathered into families (connected by shared n-grams) and
-    compared exactly, block by block; in a family of more than ``WIDE`` classes,
-    which is loose, the remaining pairs are compared one by one instead.
+    First one pivot per group is compared with the other members.  Groups that
+    still hold several components are gathered into families (connected by
+    shared n-grams) and compared exactly, block by block.  A family of more than
+    ``LOOSE`` sets would meet each set with many it shares nothing with; its
+    groups are compared one by one, in blocks as well.
     """
-    pairs = cut(pivot_pairs(members.withColumn("root", F.col("c")), 1, percent))
-    checked = overlaps(pairs, texts, n, moved)
-    edges = cut(checked.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b"))
+    pairs = cut(pivot_pairs(members, percent))
+    heads = info.where("head is not null").select("c", F.slice("head", F.lit(1), F.col("m")).alias("grams"), "m")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    heads = heads.join(ends.hint("merge"), "c").groupBy("c").agg(F.any_value("grams").alias("grams"), F.any_value("m").alias("m"))
+    sized = [heads.select(F.col("c").alias(x), F.col("grams").alias(f"grams_{x}"), F.col("m").alias(f"m{x}")).hint("merge") for x in "ba"]
+    first = pairs.where("fits").join(sized[0], "b").join(sized[1], "a").withColumn("part", F.size(F.array_intersect("grams_a", "grams_b")).cast("long"))
+    most = F.col("part") + F.least(F.col("na") - F.col("ma"), F.col("nb") - F.col("mb"))
+    first = cut(first.where(linked(most, F.col("na"), F.col("nb"), percent)).select("a", "b", "na", "nb", "part"))
+    wanted = ends.join(classes.hint("merge"), "c").select("c", F.col("at.t").alias("t"), F.coalesce(F.col("at.doc_id").cast("string"), F.lit("")).alias("_id"))
+    texts = rows.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).join(wanted, ["t", "_id"]).select("c", "raw")
+    parts = cut(segments(texts, n, moved).dropDuplicates(["c", "f"]))
+    rest = first.select("a", "b", "na", "nb", F.explode(F.array(*[F.lit(f) for f in range(1, FRAGMENTS)])).alias("f"))
+    more = partial_overlaps(rest, parts.where("f > 0"), ["f"]).select("a", "b", "na", "nb", "part")
+    counted = first.unionByName(more).groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("overlap"))
+    edges = cut(counted.where(linked(F.col("overlap"), F.col("na"), F.col("nb"), percent)).select("a", "b"))
+    discard(pairs, first)
     roots = components(edges)
     now = open_groups(members, roots)
     if now.isEmpty():
         return roots
-    star = now.join(now.groupBy("s").agg(F.min("c").alias("hub")), "s").select(F.col("hub").alias("a"), F.col("c").alias("b"))
+    star = now.join(now.groupBy("s").agg(F.min("c").alias("hub")).hint("merge"), "s").select(F.col("hub").alias("a"), F.col("c").alias("b"))
     families = components(star).withColumnRenamed("v", "c").withColumnRenamed("root", "family")
-    sizes = families.groupBy("family").agg(F.count("*").alias("size"))
-    sized = cut(families.join(sizes, "family"))
-    more = block_links(sized.where(F.col("size") <= WIDE), texts, n, percent, moved)
-    edges = cut(edges.unionByName(more))
-    loose = sized.where(F.col("size") > WIDE)
-    if not loose.isEmpty():
-        rows = now.drop("size").join(loose.select("c"), "c", "left_semi")
-        fits = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        left, right = (rows.select("s", F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}")) for x in "ab")
-        pairs = cut(left.join(right, "s").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits).select("a", "b").distinct())
-        checked = overlaps(pairs, texts, n, moved)
-        edges = cut(edges.unionByName(checked.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")))
-    return components(edges)
+    wide = families.groupBy("family").agg(F.count("*").alias("size"))
+    sized = now.join(families.hint("merge"), "c").join(wide.hint("merge"), "family")
+    key = F.when(F.col("size") > LOOSE, F.struct(F.lit(1).alias("by"), F.col("s").alias("key"))).otherwise(F.struct(F.lit(0).alias("by"), F.col("family").alias("key")))
+    open_ = cut(sized.select(F.xxhash64(key).alias("family"), "c", "n").distinct())
+    whole = parts.join(open_.select("c").distinct().hint("merge"), "c").groupBy("c").agg(F.flatten(F.collect_list("grams")).alias("grams"))
+    found = cut(edges.unionByName(block_links(open_, whole, percent)))
+    discard(edges, parts, now, roots)
+    return components(found)
 
 
 def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
@@ -365,27 +374,24 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     100 * |intersection| >= percent * |union|; component_id is the smallest
     doc_id reachable, the row's own included.  Null and empty texts are empty
     sets, linked with nothing.  Repeated rows are linked with each other; null
-    ids take part and yield to any other id of their component.
+    ids take part and yield to any other id of their component.  ``percent`` is
+    an integer.
     """
     ship(docs.sparkSession)
     rows = _rows(docs)
-    info = cut(describe(rows, n))
+    info = cut(describe(rows, n, percent))
     clash = info.where("c is not null").groupBy("c").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi")
     moved = frozenset(bytes(x) for r in clash.select("c").join(info, "c").select("digest").distinct().collect() for x in r)
     if moved:  # about one set in 2^64 / (number of sets)
-        info = cut(describe(rows, n, moved))
-    info = info.drop("digest")
-    kept = info.where("c is not null")
+        info = cut(describe(rows, n, percent, moved))
+    kept = info.where("c is not null").select("doc_id", "t", "n", "c")
     classes = cut(kept.groupBy("c").agg(F.min("doc_id").alias("first"), F.min(F.struct("t", "doc_id")).alias("at")))
-    members = cut(prefixes(rows, n, percent, moved))
-    wanted = members.select("c").distinct().join(classes, "c").select("c", F.col("at.t").alias("t"), F.col("at.doc_id").alias("doc_id"))
-    here = rows.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    there = cut(wanted.select("c", "t", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id")))
-    texts = here.join(there, ["t", "_id"]).select("c", "raw").dropDuplicates(["c"])
-    roots = links(members, texts, n, percent, moved)
-    named = classes.join(roots.withColumnRenamed("v", "c"), "c", "left").select("c", "first", F.coalesce("root", "c").alias("root"))
+    members = prefixes(info, percent)
+    roots = links(members, info, rows, classes, n, percent, moved)
+    discard(members)
+    named = classes.join(roots.withColumnRenamed("v", "c").hint("merge"), "c", "left").select("c", "first", F.coalesce("root", "c").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = cut(named.join(smallest, "root").select("c", "component_id", "root"))
+    names = named.join(smallest.hint("merge"), "root").select("c", "component_id", "root")
     full = kept.join(names, "c").select("doc_id", "t", F.col("n").alias("n_shingles"), "component_id", "root")
     empty = info.where("c is null").select("doc_id", "t", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))
     return full.unionByName(empty)
@@ -396,23 +402,25 @@ def op2_jaccard_join(docs: DataFrame) -> DataFrame:
     return join(docs).select("doc_id", "n_shingles", "component_id")
 
 
-def keep_one(docs: DataFrame, n: int = 4, percent: int = 85, local_rows: int = 4_000_000) -> DataFrame:
+def keep_one(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """``docs`` with one row of each group of linked rows: the smallest
     (doc_id, text key), null ids last; of repeated rows one.  Rows with empty
     texts are linked with nothing and stay.
 
-    The (id, text key) pairs to drop are broadcast if they are at most
-    ``local_rows`` (counted), else met in a shuffled join.
+    The (id, text key) pairs that go or repeat meet the documents in a join on
+    the key; Spark broadcasts them if they are small.
     """
-    rows = join(docs, n, percent).where("root is not null")
+    rows = cut(join(docs, n, percent).where("root is not null").select("root", "doc_id", "t"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
     keys = rows.groupBy("root", "doc_id", "t").agg(F.count("*").alias("copies"))
-    first = cut(rows.groupBy("root").agg(F.min(order).alias("w")))
-    marked = keys.join(first, "root").withColumn("wins", F.col("w.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("w.t") == F.col("t")))
-    marked = cut(marked.where("not wins or copies > 1").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), "wins"))
-    side = F.broadcast(marked) if marked.count() <= local_rows else marked
-    here = docs.withColumn("_k", F.xxhash64(F.coalesce("text", F.lit(""))))
-    both = here.join(side, (F.col("_k") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    single = both.where("wins is null").select(*docs.columns)
-    repeated = both.where("wins").dropDuplicates(["_id", "_t"]).select(*docs.columns)
+    first = rows.groupBy("root").agg(F.min(order).alias("w"))
+    wins = F.col("w.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("w.t") == F.col("t"))
+    marked = keys.join(first.hint("merge"), "root").withColumn("wins", wins).where("not wins or copies > 1")
+    side = cut(marked.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), F.col("wins").alias("_wins"))).alias("side")
+    here = docs.withColumn("_k", F.xxhash64(F.coalesce("text", F.lit("")))).alias("here")
+    met = (F.col("here._k") == F.col("side._t")) & F.col("here.doc_id").eqNullSafe(F.col("side._id"))
+    both = here.join(side, met, "left")
+    mine = [F.col(f"here.`{c}`") for c in docs.columns]
+    single = both.where("side._wins is null").select(*mine)
+    repeated = both.where("side._wins").dropDuplicates(["_id", "_t"]).select(*mine)
     return single.unionByName(repeated)
