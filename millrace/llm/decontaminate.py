@@ -1,17 +1,18 @@
 """Benchmark decontamination by greedy string tiling (operator 4).
 
-Texts are lower-cased sequences of word tokens.  A document and a benchmark
-item become a candidate pair when they share a seed, a run of ``least`` tokens.
-The pair is tiled: running Karp-Rabin hashes find the longest common runs of
-tokens that no tile covers yet, the longest are marked first, the search length
-is halved down to ``least``.  Tiles may lie in any order, so a passage whose
-sentences were shuffled is covered as well as a verbatim one.  A pair counts
-when tiles cover at least ``threshold`` of the item's tokens.
-
-If the benchmark's text has at most ``local_chars`` characters (measured, not
-assumed), its seeds travel to the executors, and documents are read once and
-never shuffled.  A larger benchmark is met in a shuffled join on seed hashes;
-only texts of candidate pairs move then.
+Texts are lower-cased sequences of word tokens, kept as 64-bit hashes.  A
+document and a benchmark item meet in a join on seeds, runs of ``least`` tokens;
+a shorter item is a single seed and must stand in a document as a whole.  A pair
+whose shared seeds could cover enough of the item is tiled: running Karp-Rabin
+hashes find the longest common runs of tokens that no tile covers yet, the
+longest are marked first, the search length is halved down to ``least``.  Tiles
+may lie in any order, so a passage whose sentences were shuffled is covered as
+well as a verbatim one.  A pair counts when tiles cover at least ``threshold``
+of the item's tokens.
+
+Seeds that no item has are left out before the join where the benchmark has at
+most ``local_seeds`` tokens (measured): then only the documents that hold some
+seed are moved at all.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.runtime import cut, ship
+from millrace.llm.pretok import Memo
+from millrace.llm.rolling import running, windows
+from millrace.runtime import cut, packed, ship, unpacked
 
 WORD = re.compile(r"[^\W_]+")
-BASE = np.uint64(0x9E3779B97F4A7C15)
 LEAST, THRESHOLD = 5, 0.5
 
 
@@ -35,15 +37,20 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def run_hashes(x: np.ndarray, n: int) -> np.ndarray:
-    """Karp-Rabin hash of every window of ``n`` tokens."""
-    if len(x) < n:
-        return np.zeros(0, np.uint64)
-    v, h = x.astype(np.uint64) + np.uint64(3), np.zeros(len(x) - n + 1, np.uint64)
+def new_memo() -> Memo:
+    return Memo(xxhash.xxh64_intdigest)
+
+
+def tokens(text: str | None, memo: Memo) -> np.ndarray:
+    """Hashes of the words of a text."""
+    ws = words(text)
+    return np.fromiter(map(memo.__getitem__, ws), np.uint64, len(ws))
+
+
+def seeds(x: np.ndarray, n: int) -> np.ndarray:
+    """Seed of every window of ``n`` tokens; seeds of unequal lengths differ."""
     with np.errstate(over="ignore"):
-        for k in range(n):
-            h = h * BASE + v[k : len(x) - n + 1 + k]
-    return h
+        return windows(running(x), n) ^ (np.uint64(n) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def free_windows(marked: np.ndarray, n: int) -> np.ndarray:
@@ -55,14 +62,15 @@ def free_windows(marked: np.ndarray, n: int) -> np.ndarray:
 
 
 def tile(item: np.ndarray, doc: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
-    """Greedy string tiling of two token number arrays: (item start, doc start,
+    """Greedy string tiling of two token arrays: (item start, doc start,
     length) of non-overlapping common runs of at least ``least`` tokens,
     longest first, leftmost on ties."""
     marked_i, marked_d = np.zeros(len(item), bool), np.zeros(len(doc), bool)
+    hashes = running(item), running(doc)
     tiles: list[tuple[int, int, int]] = []
     size = max(least, min(len(item), len(doc)))
     while len(item) >= least and len(doc) >= least:
-        found = matches(item, doc, marked_i, marked_d, size)
+        found = matches(item, doc, marked_i, marked_d, hashes, size)
         longest = max((n for _, _, n in found), default=0)
         if longest > 2 * size:
             size = longest
@@ -81,12 +89,12 @@ def tile(item: np.ndarray, doc: np.ndarray, least: int = LEAST) -> list[tuple[in
     return tiles
 
 
-def matches(item: np.ndarray, doc: np.ndarray, marked_i: np.ndarray, marked_d: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+def matches(item: np.ndarray, doc: np.ndarray, marked_i: np.ndarray, marked_d: np.ndarray, hashes: tuple[np.ndarray, np.ndarray], size: int) -> list[tuple[int, int, int]]:
     """Maximal common unmarked runs of at least ``size`` tokens."""
     free_i, free_d = free_windows(marked_i, size), free_windows(marked_d, size)
     if not len(free_i) or not len(free_d):
         return []
-    hash_i, hash_d = run_hashes(item, size)[free_i], run_hashes(doc, size)[free_d]
+    hash_i, hash_d = windows(hashes[0], size)[free_i], windows(hashes[1], size)[free_d]
     order = np.argsort(hash_i, kind="stable")
     first, last = np.searchsorted(hash_i[order], hash_d, "left"), np.searchsorted(hash_i[order], hash_d, "right")
     out = []
@@ -95,164 +103,120 @@ def matches(item: np.ndarray, doc: np.ndarray, marked_i: np.ndarray, marked_d: n
         for i in free_i[order[first[k] : last[k]]].tolist():
             if i and d and item[i - 1] == doc[d - 1] and not marked_i[i - 1] and not marked_d[d - 1]:
                 continue  # part of the run that starts one earlier
-            n = 0
-            while i + n < len(item) and d + n < len(doc) and item[i + n] == doc[d + n] and not marked_i[i + n] and not marked_d[d + n]:
-                n += 1
+            most = min(len(item) - i, len(doc) - d)
+            stop = (item[i : i + most] != doc[d : d + most]) | marked_i[i : i + most] | marked_d[d : d + most]
+            n = int(stop.argmax()) if stop.any() else most
             if n >= size:
                 out.append((i, d, n))
     return out
 
 
-class Benchmark:
-    """Token numbers, seeds and items of a benchmark."""
-
-    def __init__(self, items: list[tuple[int, str]], least: int):
-        self.numbers: dict[str, int] = {}
-        self.least, self.items = least, []
-        seeds, owners, places = [], [], []
-        for item_id, text in items:
-            x = np.array([self.numbers.setdefault(w, len(self.numbers)) for w in words(text)], np.int64)
-            if len(x) >= least:
-                h = run_hashes(x, least)
-                seeds.append(h)
-                owners.append(np.full(len(h), len(self.items)))
-                places.append(np.arange(len(h)))
-                self.items.append((item_id, x))
-        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        seeds, owners, places = join(seeds, np.uint64), join(owners, np.int64), join(places, np.int64)
-        order = np.argsort(seeds, kind="stable")
-        self.seeds, self.owners, self.places = seeds[order], owners[order], places[order]
-
-    def leaks(self, text: str | None, threshold: float) -> list[tuple[int, int, int, int]]:
-        """(item id, item tokens, covered tokens, tiles) of the items that a
-        document covers to at least ``threshold``."""
-        if not text or not len(self.seeds):
-            return []
-        doc = np.array([self.numbers.get(w, -1) for w in words(text)], np.int64)
-        starts = free_windows(doc < 0, self.least)
-        if not len(starts):
-            return []
-        h = run_hashes(doc, self.least)[starts]
-        first, last = np.searchsorted(self.seeds, h, "left"), np.searchsorted(self.seeds, h, "right")
-        hit = last > first
-        if not hit.any():
-            return []
-        seed = np.unique(np.concatenate([np.arange(a, b) for a, b in set(zip(first[hit].tolist(), last[hit].tolist(), strict=True))]))
-        out = []
-        for owner in np.unique(self.owners[seed]):
-            item_id, x = self.items[owner]
-            near = np.zeros(len(x), bool)  # no tile can cover more than the seeds do
-            for p in self.places[seed[self.owners[seed] == owner]]:
-                near[p : p + self.least] = True
-            if near.sum() < threshold * len(x):
-                continue
-            tiles = tile(x, doc, self.least)
-            covered = sum(n for _, _, n in tiles)
-            if covered >= threshold * len(x):
-                out.append((item_id, len(x), covered, len(tiles)))
-        return out
-
-
-RESULT = "item_tokens int, covered_tokens int, n_tiles int, coverage double"
-
+def benchmark_items(benchmark: DataFrame, least: int) -> DataFrame:
+    """(i, item_id, x, n, seed_length) of every item row that has a token; x are
+    the token hashes."""
+    def run(batches):
+        memo = new_memo()
+        for b in batches:
+            xs = [tokens(t, memo) for t in b.column(1).to_pylist()]
+            at = [k for k, x in enumerate(xs) if len(x)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array([xs[k].view(np.int64) for k in at], pa.list_(pa.int64()))], names=["item_id", "x"])
 
-def _result(keys: list[pa.Array], names: list[str], rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
-    size, covered, tiles = (np.array(c, np.int32) for c in cols)
-    return pa.RecordBatch.from_arrays(
-        [*keys, pa.array(size, pa.int32()), pa.array(covered, pa.int32()), pa.array(tiles, pa.int32()), pa.array(covered / np.maximum(size, 1), pa.float64())],
-        names=[*names, "item_tokens", "covered_tokens", "n_tiles", "coverage"])
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+    rows = benchmark.select("item_id", "text").mapInArrow(run, f"item_id {kind}, x array<long>")
+    return cut(rows.select(F.monotonically_increasing_id().alias("i"), "item_id", "x", F.size("x").alias("n"), F.least(F.size("x"), F.lit(least)).alias("seed_length")))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, local_chars: int = 20_000_000) -> DataFrame:
-    """doc_id, item_id, item_tokens, covered_tokens, n_tiles, coverage of every
-    pair with coverage of at least ``threshold``.
-
-    Null or empty texts, and items of fewer than ``least`` tokens, take no
-    part; a null item_id is kept as null.  A document row that repeats gives
-    repeated rows (one per row and item), and so does a repeated item row.
-    """
-    ship(docs.sparkSession)
-    docs, items = docs.select("doc_id", "text"), benchmark.select("item_id", "text").where(F.col("text").isNotNull())
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    if size <= local_chars:
-        return _local(docs, items, least, threshold)
-    return _joined(docs, items, least, threshold)
+def item_seeds(items: DataFrame) -> DataFrame:
+    """(i, n, seed, most): the distinct seeds of each item, and how many of its
+    tokens a seed's places can cover at most."""
+    def run(batches):
+        for b in batches:
+            out = []
+            for i, x, n, size in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for seed, places in zip(*np.unique(seeds(np.array(x, np.int64).view(np.uint64), size), return_counts=True), strict=True):
+                    out.append((i, n, int(seed.astype(np.int64)), int(places) * size))
+            cols = list(zip(*out, strict=True)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["i", "n", "seed", "most"])
 
+    return items.select("i", "x", "n", "seed_length").mapInArrow(run, "i long, n long, seed long, most long")
 
-def _local(docs: DataFrame, items: DataFrame, least: int, threshold: float) -> DataFrame:
-    rows = [(r.item_id, r.text) for r in items.collect()]
-    bench = docs.sparkSession.sparkContext.broadcast(Benchmark(rows, least))
-    id_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
 
+def documents_with_seeds(docs: DataFrame, lengths: list[int], wanted) -> DataFrame:
+    """(doc_id, x, seeds) of the documents that hold a wanted seed; ``wanted`` is
+    a broadcast sorted array of seeds, or None if all count."""
     def run(batches):
-        b = bench.value
-        for batch in batches:
-            at, item_ids, got = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                for item_id, *rest in b.leaks(text, threshold):
-                    at.append(i)
-                    item_ids.append(item_id)
-                    got.append(tuple(rest))
-            yield _result([batch.column(0).take(pa.array(at, pa.int64())), pa.array(item_ids)], ["doc_id", "item_id"], got) if got else _result(
-                [batch.column(0).slice(0, 0), pa.array([], pa.int64() if item_kind == "bigint" else pa.string())], ["doc_id", "item_id"], got)
-
-    return docs.mapInArrow(run, f"doc_id {id_kind}, item_id {item_kind}, {RESULT}")
-
-
-def seed_table(texts: DataFrame, key: str, least: int) -> DataFrame:
-    """(key, seed): the distinct seed hashes of each text."""
-    def run(batches):
+        memo = new_memo()
         for b in batches:
-            at, seeds = [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                x = np.array([xxhash.xxh64_intdigest(w) for w in words(text)], np.uint64)
-                h = np.unique(run_hashes(x, least)).view(np.int64)
-                at.append(np.full(len(h), i))
-                seeds.append(h)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(at) if at else [], pa.int64())), pa.array(np.concatenate(seeds) if seeds else [], pa.int64())], names=[key, "seed"])
+            at, xs, found = [], [], []
+            for k, text in enumerate(b.column(1).to_pylist()):
+                x = tokens(text, memo)
+                h = np.unique(np.concatenate([seeds(x, n) for n in lengths])).view(np.int64)
+                if wanted is not None:
+                    here = np.searchsorted(wanted.value, h)
+                    h = h[(here < len(wanted.value)) & (wanted.value[np.minimum(here, len(wanted.value) - 1)] == h)]
+                if len(h):
+                    at.append(k)
+                    xs.append(x.view(np.int64))
+                    found.append(h)
+            lists = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(xs, lists), pa.array(found, lists)], names=["doc_id", "x", "seeds"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<long>, seeds array<long>")
 
-    return texts.select(key, "text").mapInArrow(run, f"{key} long, seed long")
 
+RESULT = "item_tokens int, covered_tokens int, n_tiles int, coverage double"
 
-def _joined(docs: DataFrame, items: DataFrame, least: int, threshold: float) -> DataFrame:
-    """Candidate pairs by a shuffled join on seeds, then tiling pair by pair."""
-    docs = cut(docs.where(F.length("text") > 0).withColumn("d", F.monotonically_increasing_id()))
-    items = cut(items.withColumn("i", F.monotonically_increasing_id()))
-    pairs = seed_table(docs, "d", least).join(seed_table(items, "i", least), "seed").select("d", "i").distinct()
-    found = pairs.join(docs, "d").join(items.withColumnRenamed("text", "item"), "i").select("doc_id", "item_id", "text", "item")
-    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, {RESULT}"
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, local_seeds: int = 4_000_000) -> DataFrame:
+    """doc_id, item_id, item_tokens, covered_tokens, n_tiles, coverage of every
+    pair with coverage of at least ``threshold``.
+
+    Null and empty texts and items without tokens take no part; an item of fewer
+    than ``least`` tokens must stand in the document as a whole; a null id is
+    kept as null.  A document row that repeats gives repeated rows (one per row
+    and item), and so does a repeated item row.
+    """
+    spark = ship(docs.sparkSession)
+    items = benchmark_items(benchmark, least)
+    facts = items.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.collect_set("seed_length").alias("lengths")).first()
+    keys = cut(item_seeds(items))
+    wanted = None
+    if facts.n <= local_seeds:
+        wanted = spark.sparkContext.broadcast(np.unique(np.array([r.seed for r in keys.select("seed").distinct().collect()], np.int64)))
+    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, {RESULT}"
+    if not facts.n:
+        return spark.createDataFrame([], kinds)
+    # row numbers must not change when a task is repeated
+    holding = cut(documents_with_seeds(docs, sorted(facts.lengths), wanted).withColumn("d", F.monotonically_increasing_id()))
+    met = holding.select("d", F.explode("seeds").alias("seed")).join(keys, "seed")
+    pairs = met.groupBy("d", "i").agg(F.sum("most").alias("most"), F.any_value("n").alias("n")).where(F.col("most") >= threshold * F.col("n")).select("d", "i")
+    both = pairs.join(holding.select("d", "doc_id", "x"), "d").join(items.withColumnRenamed("x", "y"), "i").select("doc_id", "item_id", "x", "y", "seed_length")
 
     def run(batches):
         for b in batches:
             at, got = [], []
-            for i, (text, item) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                for _, *rest in Benchmark([(0, item)], least).leaks(text, threshold):
-                    at.append(i)
-                    got.append(tuple(rest))
+            for k, (x, y, n) in enumerate(zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)):
+                tiles = tile(np.array(y, np.int64), np.array(x, np.int64), n)
+                covered = sum(size for _, _, size in tiles)
+                if covered >= threshold * len(y):
+                    at.append(k)
+                    got.append((len(y), covered, len(tiles)))
             take = pa.array(at, pa.int64())
-            yield _result([b.column(0).take(take), b.column(1).take(take)], ["doc_id", "item_id"], got)
+            size, covered, tiles = (np.array(c, np.int32) for c in (zip(*got, strict=True) if got else [(), (), ()]))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(take), b.column(1).take(take), pa.array(size), pa.array(covered), pa.array(tiles), pa.array(covered / np.maximum(size, 1), pa.float64())],
+                names=["doc_id", "item_id", "item_tokens", "covered_tokens", "n_tiles", "coverage"])
 
-    return found.mapInArrow(run, kinds)
+    return both.mapInArrow(run, kinds)
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, local_chars: int = 20_000_000) -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, local_seeds: int = 4_000_000) -> DataFrame:
     """``docs`` without the rows whose text covers some benchmark item; rows
-    with null or empty texts stay."""
-    ship(docs.sparkSession)
-    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
-    if items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] > local_chars:
-        key = F.sha2(F.coalesce("text", F.lit("")), 256)  # the text decides: ids may be null or repeat
-        bad = _joined(docs.select(key.alias("doc_id"), "text"), items, least, threshold).select(F.col("doc_id").alias("_leak")).distinct()
-        return docs.withColumn("_key", key).join(bad, F.col("_key") == F.col("_leak"), "left_anti").drop("_key")
-    bench = docs.sparkSession.sparkContext.broadcast(Benchmark([(r.item_id, r.text) for r in items.collect()], least))
-
-    def run(batches):
-        for b in batches:
-            texts = b.column(b.schema.get_field_index("text")).to_pylist()
-            yield b.filter(pa.array([not bench.value.leaks(t, threshold) for t in texts], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    with null or empty texts stay.  The text decides: ids may be null or repeat."""
+    key = F.sha2(F.coalesce("text", F.lit("")), 256)
+    leaks = find_leaks(docs.select(key.alias("doc_id"), "text"), benchmark, least, threshold, local_seeds)
+    bad = cut(leaks.select(F.col("doc_id").alias("key")).distinct())
+    return unpacked(packed(docs, key=key).join(bad, "key", "left_anti"), docs.columns)
 
 
 def op4_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

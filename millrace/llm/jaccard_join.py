@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.llm.graph import components
-from millrace.runtime import cut, discard, ship
+from millrace.llm.rolling import BASE, powers, running
+from millrace.runtime import cut, discard, packed, ship, unpacked
 
-BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xFF51AFD7ED558CCD)
 HEAD, FRAGMENTS = 4, 4  # one hash in HEAD is in the head fragment
 
@@ -47,17 +47,6 @@ LOWER[65:91] += 32
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(int(BASE), -1, 1 << 64)
-    out = []
-    for b in (BASE, np.uint64(inverse)):
-        factors = np.full(n + 1, b, np.uint64)
-        factors[0] = 1
-        with np.errstate(over="ignore"):
-            out.append(np.cumprod(factors, dtype=np.uint64))
-    return out[0], out[1]
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * MIX
     return h ^ (h >> np.uint64(29))
@@ -71,7 +60,6 @@ class Shingler:
 
     def __init__(self, n: int, slice_bytes: int = 1 << 21):
         self.n, self.slice_bytes = n, slice_bytes
-        self.power, self.inverse = _powers(0)
 
     def sets(self, raws: list[bytes | None]) -> list[np.ndarray]:
         """Sorted distinct hashes per text; the whole sequence as one n-gram if
@@ -89,13 +77,11 @@ class Shingler:
 
     def _slice(self, raws: list[bytes]) -> list[np.ndarray]:
         x = LOWER[np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)]
-        if len(self.power) <= len(x):
-            self.power, self.inverse = _powers(max(len(x), self.slice_bytes + (1 << 17)))
         edge = np.diff(np.concatenate([[True], SPACE[x], [True]]).astype(np.int8))
         starts, ends = np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
         with np.errstate(over="ignore"):
-            running = np.concatenate([np.zeros(1, np.uint64), np.cumsum((x.astype(np.uint64) + np.uint64(1)) * self.power[: len(x)], dtype=np.uint64)])
-            words = _mixed((running[ends] - running[starts]) * self.inverse[starts])
+            prefix, (_, down) = running(x), powers(len(x) + 1)
+            words = _mixed((prefix[ends] - prefix[starts]) * down[starts])
             limits = np.cumsum([len(r) + 1 for r in raws])
             doc = np.searchsorted(limits, starts, "right")
             per = np.bincount(doc, minlength=len(raws))
@@ -415,12 +401,9 @@ def keep_one(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     keys = rows.groupBy("root", "doc_id", "t").agg(F.count("*").alias("copies"))
     first = rows.groupBy("root").agg(F.min(order).alias("w"))
     wins = F.col("w.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("w.t") == F.col("t"))
-    marked = keys.join(first.hint("merge"), "root").withColumn("wins", wins).where("not wins or copies > 1")
-    side = cut(marked.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), F.col("wins").alias("_wins"))).alias("side")
-    here = docs.withColumn("_k", F.xxhash64(F.coalesce("text", F.lit("")))).alias("here")
-    met = (F.col("here._k") == F.col("side._t")) & F.col("here.doc_id").eqNullSafe(F.col("side._id"))
-    both = here.join(side, met, "left")
-    mine = [F.col(f"here.`{c}`") for c in docs.columns]
-    single = both.where("side._wins is null").select(*mine)
-    repeated = both.where("side._wins").dropDuplicates(["_id", "_t"]).select(*mine)
-    return single.unionByName(repeated)
+    marked = cut(keys.join(first.hint("merge"), "root").withColumn("wins", wins).where("not wins or copies > 1").select("doc_id", "t", "wins"))
+    here = packed(docs, k=F.xxhash64(F.coalesce("text", F.lit(""))))
+    both = here.join(marked, (F.col("k") == F.col("t")) & F.col("row.doc_id").eqNullSafe(F.col("doc_id")), "left")
+    single = both.where("wins is null")
+    repeated = both.where("wins").dropDuplicates(["doc_id", "t"])
+    return unpacked(single.select("row").unionByName(repeated.select("row")), docs.columns)

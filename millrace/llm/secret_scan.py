@@ -15,12 +15,14 @@ large share of all paths does not meet in one task.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.runtime import cut
+from millrace.runtime import cut, packed, shared_folder, unpacked
 
 
 @dataclass(frozen=True)
@@ -116,32 +118,29 @@ def hits_by_blob(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
     flat = F.flatten(F.transform(live, lambda f: F.transform(f["spans"], lambda s: F.struct(
         s["start"].alias("start"), rank[f["kind"]].alias("rank"), f["kind"].alias("kind"), s["end"].alias("end")))))
     hits = ledger.select("blob", flat.alias("found")).where(F.size("found") > 0)
-    return hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+    return hits.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
 
 
 def with_findings(docs: DataFrame, hits: DataFrame, text_col: str = "text", salt: int = 32) -> DataFrame:
-    """Every row of ``docs`` plus ``found`` (empty array if none)."""
-    right = hits.select(F.col("blob").alias("_blob"), "found", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt"))
-    left = docs.drop("found").withColumn("_blob", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    left = left.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salt)).cast("int"))
-    joined = left.join(right, ["_blob", "_salt"], "left").drop("_blob", "_salt")
-    return joined.withColumn("found", F.coalesce("found", F.expr(f"cast(array() as {SORTED})")))
+    """Every row of ``docs`` plus ``found`` (empty array if none); a column of
+    that name is replaced."""
+    right = hits.select("blob", "found", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("salt"))
+    left = packed(docs, blob=F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256), salt=F.pmod(F.monotonically_increasing_id(), F.lit(salt)).cast("int"))
+    found = F.coalesce("found", F.expr(f"cast(array() as {SORTED})"))
+    return unpacked(left.join(right, ["blob", "salt"], "left"), [*[c for c in docs.columns if c != "found"], "found"], found=found)
 
 
-def redact(docs: DataFrame, ledger: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, local_rows: int = 1_000_000) -> DataFrame:
+def redact(docs: DataFrame, ledger: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every found span replaced by ``[SECRET:kind]``; a span that
-    starts inside an earlier one is swallowed by it.  Null texts stay null.
+    starts inside an earlier one is swallowed by it.  Null texts stay null, all
+    other columns stay as they are, whatever their names.
 
-    The blobs with findings are broadcast if they are at most ``local_rows``
-    (counted), so that texts need not move; else the join is shuffled."""
+    The blobs with findings are a table of known size: Spark broadcasts it if it
+    is small, so that texts need not move, and shuffles the join otherwise."""
     hits = cut(hits_by_blob(ledger, rules))
-    if hits.count() <= local_rows:
-        key = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-        side = F.broadcast(hits.withColumnRenamed("found", "_found"))
-        found = docs.join(side, key == F.col("blob"), "left").drop("blob")
-    else:
-        found = with_findings(docs, hits.withColumnRenamed("found", "found"), text_col).withColumnRenamed("found", "_found")
-    t = F.col(text_col)
+    text = F.col(f"`{text_col}`")
+    found = packed(docs, blob=F.sha2(F.coalesce(text, F.lit("")), 256)).join(hits, "blob", "left")
+    t = F.col(f"row.`{text_col}`")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -150,16 +149,39 @@ def redact(docs: DataFrame, ledger: DataFrame, text_col: str = "text", rules: tu
         ahead = s["start"] >= acc["at"]
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(ahead, cut_out).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("_found", start, step, lambda a: F.concat(a["out"], F.substring(t, (a["at"] + 1).cast("int"), F.length(t))))
-    new = F.when(F.coalesce(F.size("_found"), F.lit(0)) > 0, clean).otherwise(t)
-    return found.select(*[new.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    clean = F.aggregate("found", start, step, lambda a: F.concat(a["out"], F.substring(t, (a["at"] + 1).cast("int"), F.length(t))))
+    new = F.when(F.coalesce(F.size("found"), F.lit(0)) > 0, clean).otherwise(t)
+    return unpacked(found, docs.columns, **{text_col: new})
+
+
+LEDGER = f"blob string, findings array<struct<kind:string,version:int,spans:{SPAN}>>"
+
+
+def extend_ledger(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """Scan the pairs of blob and rule version that the ledger table at ``path``
+    lacks, append them to it and return the whole ledger.  A missing table is an
+    empty ledger; a scan without unseen pairs appends no row."""
+    spark = docs.sparkSession
+    try:
+        ledger = spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException:  # no table yet
+        ledger = None
+    scan(blobs(docs, text_col), rules, ledger).write.mode("append").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
+
 
+def op6_secret_scan(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, counts per base kind, digest of the base spans, all spans.
 
-def op6_secret_scan(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """doc_id, counts per base kind, digest of the base spans, all spans."""
-    fresh = scan(blobs(docs), RULES, ledger)
-    whole = fresh if ledger is None else fresh.unionByName(ledger)
-    got = with_findings(docs.select("doc_id", "text"), hits_by_blob(whole))
+    The ledger table (at ``path``, by default in the session's shared folder) is
+    extended twice, as two commits of a history would: by every second row with
+    the base rules, then by all rows with all rules.  The second scan runs only
+    pairs of blob and rule version that the first has not left in the ledger."""
+    docs = docs.select("doc_id", "text")
+    path = path or f"{shared_folder(docs.sparkSession)}/ledger-{uuid.uuid4().hex}"
+    extend_ledger(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0), path, BASE_RULES)
+    whole = extend_ledger(docs, path, RULES)
+    got = with_findings(docs, hits_by_blob(whole))
     label = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
     n = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("found", lambda s: s["rank"] < len(BASE_RULES))

@@ -13,8 +13,8 @@ few strongest words joins it, so that some toxic expressions in a long text are
 not averaged away.  A logistic curve fitted on cross-fitted sample scores turns
 the two numbers into a probability.
 
-The sample (``max_docs`` rows by hash of the id, at most ``max_words`` words
-each) is the only thing that reaches the driver.  Scoring is one pass without
+The sample (at most ``max_docs`` documents by hash of the id, whole texts) is
+the only thing that reaches the driver, row by row.  Scoring is one pass without
 a shuffle.
 """
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -52,16 +53,24 @@ def discounts(counts) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.1), i + 0.99) for i, x in enumerate(d))
 
 
-def distinct_texts(texts: list[list[str]], n: int = 5, share: float = 0.3) -> list[bool]:
-    """False for texts most of whose n-grams earlier texts had: copies of one
-    text must not count as independent evidence."""
-    seen: set[int] = set()
-    keep = []
+def distinct_texts(texts: list[np.ndarray], n: int = 5, share: float = 0.3) -> np.ndarray:
+    """False for texts (word numbers) most of whose n-grams earlier texts had:
+    copies of one text must not count as independent evidence."""
+    grams = []
     for t in texts:
-        grams = {hash(g) for g in zip(*[t[i:] for i in range(n)])} or {hash(tuple(t))}
-        keep.append(len(grams & seen) <= share * len(grams))
-        seen |= grams
-    return keep
+        at = np.arange(max(1, len(t) - n + 1))
+        h = np.zeros(len(at), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(min(n, len(t))):
+                h = h * np.uint64(0x9E3779B97F4A7C15) + t[at + k].astype(np.uint64) + np.uint64(1)
+        grams.append(np.unique(h))
+    if not grams:
+        return np.zeros(0, bool)
+    sizes = [len(g) for g in grams]
+    owner = np.repeat(np.arange(len(grams)), sizes)
+    _, first, place = np.unique(np.concatenate(grams), return_index=True, return_inverse=True)
+    known = np.bincount(owner[first[place] < np.repeat(np.cumsum(sizes) - sizes, sizes)], minlength=len(grams))
+    return known <= share * np.array(sizes)
 
 
 def path(word: str) -> list[str]:
@@ -79,10 +88,8 @@ class ClassModel:
     distribution.
     """
 
-    def __init__(self, texts: list[set[str]]):
-        self.count: Counter = Counter()
-        for steps in texts:
-            self.count.update(steps)
+    def __init__(self, count: dict[str, int]):
+        self.count = count
         self.total: Counter = Counter()
         for s, c in self.count.items():
             self.total[parent(s)] += c
@@ -117,7 +124,7 @@ class Ratio:
     neither class knows the step before, the ratio is 0.
     """
 
-    def __init__(self, toxic: list[set[str]], ordinary: list[set[str]]):
+    def __init__(self, toxic: dict[str, int], ordinary: dict[str, int]):
         one, two = ClassModel(toxic), ClassModel(ordinary)
         below: Counter = Counter(parent(s) for s in {*one.count, *two.count})  # shared backoff: distinct continuations
         self.steps, self.others = {}, {}
@@ -144,14 +151,13 @@ class Ratio:
             self.memo[w] = got
         return got
 
-    def evidence(self, ws: list[str]) -> tuple[float, float]:
+    def evidence(self, bag: dict[str, int]) -> tuple[float, float]:
         """Mean ratio per token, and the mean over the ``STRONGEST`` words."""
-        if not ws:
+        if not bag:
             return 0.0, 0.0
-        bag = Counter(ws)
         r = [(self.word(w), n) for w, n in bag.items()]
         top = sorted([x for x, _ in r if x > 0], reverse=True)[:STRONGEST]
-        return sum([x * n for x, n in r]) / len(ws), sum(top) / STRONGEST
+        return sum([x * n for x, n in r]) / sum(bag.values()), sum(top) / STRONGEST
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 50) -> np.ndarray:
@@ -175,34 +181,47 @@ class ToxicityModel:
         self.ratio, self.weights, self.centre, self.scale = ratio, weights, centre, scale
 
     @staticmethod
-    def fit(texts: list[list[str]], labels: list[int], prior: float | None = None, folds: int = 3) -> ToxicityModel:
-        """``prior`` is the share of toxic rows among all labelled ones; the
-        curve's intercept is moved from the sample's share to it."""
+    def fit(rows: Iterable[tuple[str | None, int]], prior: float | None = None, folds: int = 3) -> ToxicityModel:
+        """Fit on (text, label) rows, which are read once; texts are held as
+        word numbers.  ``prior`` is the share of toxic rows among all labelled
+        ones; the curve's intercept is moved from the sample's share to it."""
+        numbers: dict[str, int] = {}
+        texts, labels = [], []
+        for text, label in rows:
+            texts.append(np.array([numbers.setdefault(w, len(numbers)) for w in words(text)], np.int32))
+            labels.append(label)
         keep = distinct_texts(texts)
-        texts = [t for t, k in zip(texts, keep) if k]
-        paths: dict[str, list[str]] = {}
-        steps = [{s for w in set(t) for s in (paths.get(w) or paths.setdefault(w, path(w)))} for t in texts]
-        y = np.array([l for l, k in zip(labels, keep) if k], float)
+        texts, y = [t for t, k in zip(texts, keep, strict=True) if k], np.array(labels, float)[keep]
         if not len(y) or y.min() == y.max():  # one class only: its share is the score
             share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.0
             odds = math.log(max(share, 1e-6) / (1 - share))
-            return ToxicityModel(Ratio([], []), np.array([odds, 0.0, 0.0]), np.zeros(2), np.ones(2))
-        split = lambda keep: Ratio(
-            [t for t, l, k in zip(steps, y, keep) if k and l], [t for t, l, k in zip(steps, y, keep) if k and not l])
+            return ToxicityModel(Ratio({}, {}), np.array([odds, 0.0, 0.0]), np.zeros(2), np.ones(2))
+        vocabulary, step_numbers = list(numbers), {}
+        paths = [np.array([step_numbers.setdefault(s, len(step_numbers)) for s in path(w)], np.int32) for w in vocabulary]
+        names = list(step_numbers)
+        bags = [np.unique(t, return_counts=True) for t in texts]
+        steps = [np.unique(np.concatenate([paths[w] for w in ws])) if len(ws) else ws for ws, _ in bags]
+
+        def counts(keep: np.ndarray) -> dict[str, int]:
+            n = np.zeros(len(names), np.int64)
+            for i in np.flatnonzero(keep):
+                n[steps[i]] += 1
+            return {names[k]: int(n[k]) for k in np.flatnonzero(n)}
+
         x = np.zeros((len(y), 2))
         part = np.arange(len(y)) % folds
         for f in range(folds):
-            ratio = split(part != f)
+            ratio = Ratio(counts((part != f) & (y > 0)), counts((part != f) & (y == 0)))
             for i in np.flatnonzero(part == f):
-                x[i] = ratio.evidence(texts[i])
+                x[i] = ratio.evidence({vocabulary[w]: int(n) for w, n in zip(*bags[i], strict=True)})
         centre, scale = x.mean(0), x.std(0) + 1e-9
         weights = logistic((x - centre) / scale, y)
         if prior is not None and 0 < prior < 1:
             weights[0] += math.log(prior / (1 - prior)) - math.log(y.mean() / (1 - y.mean()))
-        return ToxicityModel(split(part >= 0), weights, centre, scale)
+        return ToxicityModel(Ratio(counts(y > 0), counts(y == 0)), weights, centre, scale)
 
     def score(self, text: str | None) -> float:
-        x = (np.array(self.ratio.evidence(words(text))) - self.centre) / self.scale
+        x = (np.array(self.ratio.evidence(Counter(words(text)))) - self.centre) / self.scale
         return float(1 / (1 + np.exp(-np.clip(self.weights[0] + x @ self.weights[1:], -30, 30))))
 
 
@@ -211,20 +230,20 @@ def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out: Column, max_docs: int = 2000, max_chars: int = 50_000) -> ToxicityModel:
-    """Fit on at most ``max_docs`` labelled documents of at most ``max_chars``
-    characters that are not held out, half of them toxic if there are as many,
-    chosen by a hash of the id.  Null labels are left out; an id with several
-    labels takes the highest."""
+def train(docs: DataFrame, labels: DataFrame, held_out: Column, max_docs: int = 2000) -> ToxicityModel:
+    """Fit on at most ``max_docs`` labelled documents that are not held out, half
+    of them toxic if there are as many, chosen by a hash of the id.  Null labels
+    are left out; an id with several labels takes the highest, an id with
+    several texts the first."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
     shares = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).first()
     parts = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs // 2) for c in (0, 1)]
     sample = F.broadcast(parts[0].unionByName(parts[1]))  # max_docs rows of two numbers
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").where(F.length("text") <= max_chars)
-    # copies of an id count once; the order decides which of two near copies stays
-    got = sorted(set(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).limit(max_docs).toPandas().itertuples(index=False, name=None)))
-    return ToxicityModel.fit([words(t) for _, t, _ in got], [y for _, _, y in got], (shares.k or 0) / shares.n if shares.n else None)
+    rows = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    # sorted in Spark: the order decides which of two near copies stays
+    got = ((r.text, r.toxic) for r in rows.orderBy("doc_id").coalesce(1).toLocalIterator())  # max_docs rows
+    return ToxicityModel.fit(got, (shares.k or 0) / shares.n if shares.n else None)
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:

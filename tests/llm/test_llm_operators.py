@@ -97,10 +97,39 @@ def test_secret_scan(spark):
     assert secret_scan.scan(secret_scan.blobs(df), ledger=ledger).count() == 0  # nothing unseen
     newer = (*secret_scan.RULES[:-1], secret_scan.Rule("bearer", r"(?i)\bbearer\x20+([a-z]+)", version=2))
     assert secret_scan.scan(secret_scan.blobs(df), newer, ledger).select(F.explode("findings.kind")).distinct().collect()[0][0] == "bearer"
-    clean = {r.doc_id: r.text for r in secret_scan.redact(df, ledger).collect()}
+    named = df.withColumns({c: F.lit(1) for c in ("blob", "found", "_found", "_spans", "findings")})
+    clean = {r.doc_id: r.text for r in secret_scan.redact(named, ledger).collect()}
+    assert secret_scan.redact(named, ledger).columns == named.columns
     assert clean[2] == "🙂 [SECRET:assign]' x" and clean[0] is None and clean[9] == "[SECRET:assign]"
 
 
+def test_ledger_is_kept_between_scans(spark, tmp_path):
+    first = spark.createDataFrame([(0, "token=abcdef"), (1, "a"), (None, "token=abcdef")], "doc_id long, text string")
+    path = str(tmp_path / "ledger")
+    assert secret_scan.extend_ledger(first, path, secret_scan.BASE_RULES).count() == 2
+    second = first.unionByName(spark.createDataFrame([(2, "AKIA" + "B" * 20), (3, "a")], "doc_id long, text string"))
+    whole = secret_scan.extend_ledger(second, path, secret_scan.BASE_RULES)
+    assert whole.count() == 3  # one unseen blob
+    assert secret_scan.extend_ledger(second, path, secret_scan.BASE_RULES).count() == 3
+    more = secret_scan.extend_ledger(second, path)  # the further kinds alone run on all three
+    assert more.count() == 6
+    kinds = [tuple(r) for r in more.select("blob", F.explode("findings.kind")).collect()]
+    assert len(kinds) == len(set(kinds)) == 3 * len(secret_scan.RULES)
+    assert secret_scan.op6_secret_scan(second.limit(0)).count() == 0
+    assert secret_scan.op6_secret_scan(second).count() == 5
+
+
+def test_further_kinds_of_secrets(spark):
+    texts = {
+        "pem": ("-----BEGIN RSA PRIVATE KEY-----", 0), "github": ("x ghp_" + "a1" * 18, 2), "slack": ("xoxb-1234567890-a", 0), "jwt": ("eyJhbGciOiJI.eyJzdWIiOiIx.c2ln", 0),
+        "url_login": ("see postgres://me:pw@host/db", 4), "bearer": ("Bearer abcdefghijklmnop==", 0)}
+    df = spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "doc_id string, text string")
+    got = {r.doc_id: r.spans.split(",") for r in secret_scan.op6_secret_scan(df).collect()}
+    for k, (t, start) in texts.items():
+        end = len(t) if k != "url_login" else t.index("host")
+        assert f"{k}:{start}:{end}" in got[k], k
+
+
 def test_jaccard_join_equals_brute_force(spark):
     r = random.Random(3)
     base = [[r.choice("abcdefghij") + str(r.randrange(50)) for _ in range(r.choice([1, 3, 5, 30, 120]))] for _ in range(25)]
@@ -134,6 +163,35 @@ def test_jaccard_join_equals_brute_force(spark):
     assert jaccard_join.op2_jaccard_join(df.limit(0)).count() == 0
 
 
+def test_jaccard_join_of_repeated_rows_null_ids_and_clashing_names(spark):
+    long = " ".join(f"w{i}" for i in range(300))
+    rows = [(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (None, None), (8, ""), (8, ""), (3, "A  B c d e f"), (None, long), (None, long), (9, long + " end")]
+    names = ["wins", "copies", "t", "_k", "_t", "_id", "c", "root", "n", "head"]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(7) for c in names})
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.op2_jaccard_join(df).collect())
+    assert got == Counter({(5, 3, 3): 2, (None, 3, 3): 1, (3, 3, 3): 1, (None, 0, None): 1, (8, 0, 8): 2, (None, 297, 9): 2, (9, 298, 9): 1})
+    kept = jaccard_join.keep_one(df)
+    assert kept.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(3, "A  B c d e f"), (None, None), (8, ""), (8, ""), (9, long + " end")])
+
+
+def test_jaccard_join_of_a_loose_family(spark, monkeypatch):
+    """Groups of a wide family are compared one by one, in several blocks, with
+    names of classes that clash."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    monkeypatch.setattr(jaccard_join, "LOOSE", 4)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for k in range(12):  # neighbours of a chain link, others do not
+        texts.append(" ".join([f"x{j}" if j < k else w for j, w in enumerate(base)]))
+    sets = [{tuple(t.split()[i : i + 4]) for i in range(77)} for t in texts]
+    links = [(i, j) for i in range(12) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    assert 0 < len(links) < 66 and (11, 0) not in links
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.op2_jaccard_join(df).collect()}
+    assert got == dict.fromkeys(range(12), 0)
+
+
 def test_block_overlaps_and_components(spark):
     r = np.random.default_rng(1)
     sets = [np.unique(r.integers(0, 400, r.integers(1, 300)).astype(np.uint64) * np.uint64(2654435761)) for _ in range(60)]
@@ -147,18 +205,68 @@ def test_block_overlaps_and_components(spark):
     assert len({got[i] for i in range(41)}) == 1 == len({got[i] for i in (100, 101, 102)}) and got[0] != got[100] and len(got) == 44
 
 
-def test_tiling_and_both_join_forms(spark):
+def naive_tiling(item, doc, least):
+    """Textbook greedy string tiling without hashes: number of covered tokens."""
+    mi, md, covered = [False] * len(item), [False] * len(doc), 0
+    while True:
+        best = []
+        for i in range(len(item)):
+            for d in range(len(doc)):
+                n = 0
+                while i + n < len(item) and d + n < len(doc) and item[i + n] == doc[d + n] and not mi[i + n] and not md[d + n]:
+                    n += 1
+                if n >= least:
+                    best.append((-n, i, d))
+        if not best:
+            return covered
+        longest = min(best)[0]
+        for n, i, d in sorted(best):
+            if n == longest and not any(mi[i : i - n]) and not any(md[d : d - n]):
+                mi[i : i - n] = md[d : d - n] = [True] * -n
+                covered -= n
+
+
+def test_tiling_equals_brute_force(spark):
+    r = random.Random(11)
+    items = {i: [r.choice("abcdefgh") + str(r.randrange(3)) for _ in range(r.choice([1, 3, 4, 5, 9, 25]))] for i in range(12)}
+    docs = {}
+    for d in range(60):
+        w = []
+        for _ in range(r.randrange(0, 4)):
+            x = items[r.randrange(12)]
+            at = r.randrange(len(x))
+            w += x[at:] + [r.choice("abcdefgh") + str(r.randrange(3)) for _ in range(r.randrange(4))] + x[:at]
+        docs[d] = w
+    want = set()
+    for d, w in docs.items():
+        for i, x in items.items():
+            covered = naive_tiling(x, w, min(5, len(x)))
+            if covered >= 0.5 * len(x):
+                want.add((d, i, len(x), covered))
+    left = spark.createDataFrame([(d, " ".join(w).upper()) for d, w in docs.items()], "doc_id long, text string")
+    right = spark.createDataFrame([(i, ", ".join(x)) for i, x in items.items()], "item_id int, text string")  # any kind of id
+    for bound in (10**9, 0):
+        got = {tuple(x)[:4] for x in decontaminate.find_leaks(left, right, local_seeds=bound).collect()}
+        assert got == want and len(want) > 20
+    clean = {x.doc_id for x in decontaminate.clean_documents(left, right).collect()}
+    assert clean == set(docs) - {d for d, *_ in want}
+
+
+def test_decontamination_edges(spark):
     item = " ".join(f"w{i}" for i in range(40))
     w = item.split()
     moved = " ".join(w[20:] + ["filler"] * 3 + w[:20])
-    docs = spark.createDataFrame([(1, "x y " + item + " z"), (2, moved.upper()), (3, " ".join(w[:10])), (4, None), (5, " ".join(w[::-1])), (1, item)], "doc_id long, text string")
-    bench = spark.createDataFrame([(7, item), (8, None), (9, "too short")], "item_id long, text string")
+    schema = "doc_id long, text string, x string, seeds int, _key string"
+    docs = spark.createDataFrame([(k, t, "x", 1, "k") for k, t in ((1, "x y " + item + " z"), (2, moved.upper()), (3, " ".join(w[:10])), (4, None), (5, " ".join(w[::-1])), (1, item), (None, item), (6, ""), (7, "q " * 60_000 + item))], schema)
+    bench = spark.createDataFrame([("7", item), ("8", None), ("9", "too short"), (None, "")], "item_id string, text string")
     for bound in (10**9, 0):
-        got = sorted(tuple(x) for x in decontaminate.find_leaks(docs, bench, local_chars=bound).collect())
-        assert got == [(1, 7, 40, 40, 1, 1.0), (1, 7, 40, 40, 1, 1.0), (2, 7, 40, 40, 2, 1.0)]
-        assert {x.doc_id for x in decontaminate.clean_documents(docs, bench, local_chars=bound).collect()} == {3, 4, 5}
-    a, b = np.array([1, 2, 3, 4, 5, 9, 1, 2, 3, 4, 5, 6]), np.array([1, 2, 3, 4, 5, 6, 1, 2, 3, 4, 5])
-    assert sorted(n for _, _, n in decontaminate.tile(a, b, 5)) == [5, 6]
+        got = sorted((tuple(x) for x in decontaminate.find_leaks(docs, bench, local_seeds=bound).collect()), key=str)
+        whole = (40, 40, 1, 1.0)
+        assert got == [(1, "7", *whole), (1, "7", *whole), (2, "7", 40, 40, 2, 1.0), (7, "7", *whole), (None, "7", *whole)]
+        clean = decontaminate.clean_documents(docs, bench, local_seeds=bound)
+        assert {x.doc_id for x in clean.collect()} == {3, 4, 5, 6} and clean.columns == docs.columns
+    assert decontaminate.find_leaks(docs.limit(0), bench).count() == 0 == decontaminate.find_leaks(docs, bench.limit(0)).count()
+    assert decontaminate.clean_documents(docs, bench.limit(0)).count() == 9
 
 
 def test_lattice_sums_over_all_segmentations():
@@ -205,6 +313,47 @@ def test_toxicity_separates_held_out_texts(spark):
     assert sum(a == b for a, b in held) >= 0.97 * len(held)
     assert got[900].predicted == got[901].predicted == 0 and len(got) == 602
     assert toxicity.op9_toxicity(docs, labels.limit(0)).where("predicted = 1").count() == 0
+    assert toxicity.op9_toxicity(docs.limit(0), labels).count() == 0
+    long = spark.createDataFrame([(1000 + i, " ".join(text(i % 2) for _ in range(200)), i % 2) for i in range(40)], "doc_id long, text string, toxic int")  # over 50 000 characters each
+    model = toxicity.train(long, long, F.lit(False))
+    assert len(model.ratio.steps) > 0
+
+
+def test_kneser_ney_equals_plain_sums():
+    texts = {1: ["vile cat", "vile dog", "vile cow", "viler cat"], 0: ["nice cat", "nice dog", "mild cow", "mild day", "nice day"]}
+    counts = {y: Counter(s for t in ts for s in {s for w in t.split() for s in toxicity.path(w)}) for y, ts in texts.items()}
+    ratio = toxicity.Ratio(counts[1], counts[0])
+    below = Counter(toxicity.parent(s) for s in {*counts[0], *counts[1]})
+
+    def probability(word, y):
+        d, p, up = toxicity.discounts(counts[y].values()), 1.0, ""
+        off = lambda c: c if c < toxicity.CUTOFF else d[min(c, 3) - 1]
+        for s in toxicity.path(word):
+            total = sum(c for k, c in counts[y].items() if toxicity.parent(k) == up)
+            shared = 1 / (below[up] + 1)
+            if total:
+                saved = sum(off(c) for k, c in counts[y].items() if toxicity.parent(k) == up) / total
+                c = counts[y][s]
+                p *= (c - off(c)) / total + saved * shared
+            else:
+                p *= shared
+            up = s
+        return p
+
+    for w in ("vile", "nice", "cat"):
+        assert ratio.word(w) == pytest.approx(math.log(probability(w, 1) / probability(w, 0)))
+
+
+def test_copies_of_texts_do_not_count_twice():
+    r = np.random.default_rng(2)
+    texts = [r.integers(0, 30, r.integers(0, 40)).astype(np.int32) for _ in range(30)]
+    texts += [t.copy() for t in texts[:10]]
+    seen, want = set(), []
+    for t in texts:
+        grams = {tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))}
+        want.append(len(grams & seen) <= 0.3 * len(grams))
+        seen |= grams
+    assert toxicity.distinct_texts(texts).tolist() == want
 
 
 def test_html_main_text(spark):
@@ -227,9 +376,40 @@ def test_html_constant_slots_of_articles(spark):
     got = {r.page_id: r.text for r in html_wrapper.op8_html_extraction(df).collect()}
     # the first div.lead and the last div are constant slots; a line shared by paragraphs is not
     assert got[4] == "Story\nown 4\nshared line\nend 4" and got[5] == "Story\nown 5\nshared line\nx\nend 5"
-    pages = html_wrapper.hosts(df)
-    salted = html_wrapper.extract_pages(pages, html_wrapper.infer_wrappers(pages), local_chars=-1)
-    assert {r.page_id: r.text for r in salted.collect()} == got
+    # the text comes through the wrappers: without slots there is none
+    wrappers = html_wrapper.infer_wrappers(df.select(html_wrapper.host_of(F.col("url")).alias("host"), "html"))
+    assert {r.text for r in html_wrapper.extract_pages(df, wrappers.limit(0)).collect()} == {""}
+    assert {r.page_id: r.text for r in html_wrapper.extract_pages(df, wrappers.withColumn("template", F.lit("[]"))).collect()}[4].count("As seen on air.") == 1
+
+
+def test_html_slots_without_articles(spark):
+    """Pages of bare divs: what a slot's texts do on the host decides.  Brute
+    force: a line is template if most distinct pages of the host have it."""
+    r = random.Random(4)
+    pages = []
+    for n in range(40):
+        own = [f"{r.choice('abc')} text {n} {k}" for k in range(r.randrange(1, 6))]
+        lines = ["Welcome to the site", *own[:1], "Read our terms", *own[1:], "All rights reserved"]
+        pages.append((n, f"https://Site.example/{n}", lines))
+    pages.append((99, "https://Site.example/1", pages[1][2]))
+    html = lambda lines: "<body>" + "".join(f"<div>{x}</div>" for x in lines) + "<ul class='site-nav'><li>x</li></ul></body>"
+    n = Counter(x for lines in {tuple(p[2]) for p in pages} for x in set(lines))
+    want = {i: "\n".join(x for x in lines if n[x] < 20) for i, _, lines in pages}
+    schema = "page_id long, url string, html string, template string, host string, row int, slots int, salt int"
+    df = spark.createDataFrame([(i, u, html(x), "t", "h", 1, 2, 3) for i, u, x in pages], schema)
+    out = html_wrapper.main_text(df)
+    assert out.columns == [*df.columns, "text"] and {r.page_id: r.text for r in out.collect()} == want
+    assert html_wrapper.main_text(df.limit(0)).count() == 0
+
+
+def test_html_doubtful_places_and_long_pages(spark):
+    page = lambda n: (
+        f"<body><article><div class='entry-header'><h2>Title {n}</h2><p>by writer {n}</p></div><div class='search-tip'>Use the box above.</div>"
+        f"<div class='share-bar'>Share {n}</div><p>story {n}</p><div role='alert'>a {n}</div></article></body>")
+    long = "<article>" + "<p>one <a <a <a" * 20_000 + "</article>"
+    rows = [(n, f"http://h.example/{n}", page(n)) for n in range(10)] * 2 + [(50, "http://h.example/50", long)]
+    got = {r.page_id: r.text for r in html_wrapper.op8_html_extraction(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Title 3\nby writer 3\nstory 3" and got[50].startswith("one")
 
 
 def test_html_template_counts(spark):
