@@ -17,7 +17,10 @@ from millrace.runtime import cut, read
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity of at least 0.5 go."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels"), toxicity.in_fold(F.col("doc_id"), 5, 0))
-    return toxicity.score(docs, model, out_col="_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+    column = "toxicity"
+    while column in docs.columns:
+        column += "_"
+    return toxicity.score(docs, model, out_col=column).where(F.col(column) < 0.5).drop(column)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +37,8 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Found secrets are replaced by placeholders; no document goes."""
     ledger = secret_scan.scan(secret_scan.blobs(docs))
-    return secret_scan.redact(docs, ledger).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    out = secret_scan.redact(docs, ledger)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ from pathlib import Path
 from weakref import WeakKeyDictionary
 
 from py4j.protocol import Py4JError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 _FOLDERS: dict[str, str] = {}  # application id -> folder of its written tables
@@ -80,6 +81,17 @@ def discard(*tables: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def packed(df: DataFrame, **extra: Column) -> DataFrame:
+    """``df`` as one struct column ``row`` beside helper columns, whose names
+    then cannot clash with those of its own columns."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(name) for name, c in extra.items()])
+
+
+def unpacked(df: DataFrame, columns: list[str], **instead: Column) -> DataFrame:
+    """The columns of ``row`` again, some of them replaced."""
+    return df.select(*[instead.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of a data folder, through Spark's own reader (any file system)."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
