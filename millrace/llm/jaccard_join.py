@@ -27,6 +27,7 @@ Components, links and classes stay distributed.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -262,51 +263,69 @@ def _incidence(h: np.ndarray, row: np.ndarray, grams: np.ndarray, rows: int) ->
     return out
 
 
-def block_links(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): edges that connect what is linked within each family.
-
-    open_: (family, c, n); sets: (c, grams).  A family is cut into blocks of
-    about ``BLOCK`` sets and ``BLOCK_GRAMS`` n-grams, whichever are more blocks;
-    every two blocks meet in one group, which holds two blocks at most and
-    returns a spanning star per connected part."""
-    sizes = open_.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
-    own = open_.join(sizes.hint("merge"), "family").withColumn("k", F.pmod(F.xxhash64("c"), F.col("blocks").cast("long")).cast("int"))
-    rows = own.join(sets.hint("merge"), "c").select("family", "c", "k", "grams", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
-    rows = rows.select("family", F.least("k", "x").alias("i"), F.greatest("k", "x").alias("j"), "k", "c", "grams")
-
-    def run(pdf):
-        import pandas as pd
-
-        sets = [np.asarray(g).view(np.uint64) for g in pdf.grams]
-        c, k = pdf.c.to_numpy(np.int64), pdf.k.to_numpy()
-        ia, ib = np.flatnonzero(k == pdf.i.to_numpy()), np.flatnonzero(k == pdf.j.to_numpy())
-        if not len(ia) or not len(ib):
-            return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        hit = local_links([sets[i] for i in ia], [sets[i] for i in ib], percent)
-        low = c.copy()
-        while True:  # smallest class reachable inside the group
-            down = np.where(hit, low[ia][:, None], np.iinfo(np.int64).max).min(0)
-            new = low.copy()
-            new[ib] = np.minimum(new[ib], down)
-            up = np.where(hit, new[ib][None, :], np.iinfo(np.int64).max).min(1)
-            new[ia] = np.minimum(new[ia], up)
-            if (new == low).all():
-                break
-            low = new
-        part = low != c
-        return pd.DataFrame({"a": low[part], "b": c[part]})
-
-    return rows.groupBy("family", "i", "j").applyInPandas(run, "a long, b long")
+def local_stars(pdf):
+    """Edges (a, b) that connect what is linked between the two blocks of a group."""
+    import pandas as pd
+
+    sets = [np.asarray(g).view(np.uint64) for g in pdf.grams]
+    c, k = pdf.c.to_numpy(np.int64), pdf.k.to_numpy()
+    ia, ib = np.flatnonzero(k == pdf.i.to_numpy()), np.flatnonzero(k == pdf.j.to_numpy())
+    if not len(ia) or not len(ib):
+        return pd.DataFrame({"a": [], "b": []}).astype("int64")
+    hit = local_links([sets[i] for i in ia], [sets[i] for i in ib], int(pdf.percent.iloc[0]))
+    low = c.copy()
+    while True:  # smallest class reachable inside the group
+        down = np.where(hit, low[ia][:, None], np.iinfo(np.int64).max).min(0)
+        new = low.copy()
+        new[ib] = np.minimum(new[ib], down)
+        up = np.where(hit, new[ib][None, :], np.iinfo(np.int64).max).min(1)
+        new[ia] = np.minimum(new[ia], up)
+        if (new == low).all():
+            break
+        low = new
+    part = low != c
+    return pd.DataFrame({"a": low[part], "b": c[part]})
 
 
 def open_groups(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(s, c, n) of the groups that hold several components."""
+    """(s, c, n, root) of the groups that hold several components."""
     now = members.join(roots.withColumnRenamed("v", "c").hint("merge"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     spread = now.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    return cut(now.join(spread.select("s").hint("merge"), "s").select("s", "c", "n"))
-
-
-LOOSE = 32 * BLOCK  # sets of a family that is compared group by group
+    return cut(now.join(spread.select("s").hint("merge"), "s").select("s", "c", "n", "root"))
+
+
+def meetings(now: DataFrame) -> DataFrame:
+    """(c, k, x): each set of the open groups with its block and the blocks that
+    it must meet.
+
+    Sets go to blocks by the first n-gram of their open groups, so that alike
+    sets lie together; an n-gram with more sets than a block holds gets several
+    blocks, rarer ones share blocks.  Only sets of different components need to
+    be compared: in a group a set outside the largest component meets the blocks
+    of all members, and a set of the largest one those of the others."""
+    weight = F.greatest(F.lit(1 / BLOCK), F.any_value("n") / BLOCK_GRAMS)
+    own = cut(now.groupBy("c").agg(F.min("s").alias("key"), weight.alias("w")))
+    keys = own.groupBy("key").agg(F.sum("w").alias("of_key"))
+    buckets = max(1, math.ceil(own.agg(F.sum("w")).first()[0] or 0))
+    part = F.pmod(F.xxhash64("c"), F.ceil("of_key").cast("long"))
+    k = F.when(F.col("of_key") > 1, F.xxhash64("key", part)).otherwise(F.pmod(F.xxhash64("key"), F.lit(buckets).cast("long")))
+    blocks = own.join(keys.hint("merge"), "key").select("c", k.alias("k"))
+    largest = now.groupBy("s", "root").agg(F.count("*").alias("n")).groupBy("s").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
+    rows = now.select("s", "c", "root").join(blocks.hint("merge"), "c").join(largest.hint("merge"), "s").select("s", "c", "k", (F.col("root") != F.col("largest")).alias("apart"))
+    rows = cut(rows)
+    of_group = rows.groupBy("s").agg(F.collect_set("k").alias("every"), F.collect_set(F.when(F.col("apart"), F.col("k"))).alias("others"))
+    met = rows.join(of_group.hint("merge"), "s").select("c", "k", F.explode(F.when(F.col("apart"), F.col("every")).otherwise(F.col("others"))).alias("x"))
+    return cut(met.distinct())
+
+
+def block_links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): edges that connect what is linked in the open groups.
+
+    met: (c, k, x) of ``meetings``; sets: (c, grams).  Every two blocks that meet
+    form a group of two bounded blocks, which returns a spanning star per
+    connected part."""
+    rows = met.join(sets.hint("merge"), "c").select(F.least("k", "x").alias("i"), F.greatest("k", "x").alias("j"), "k", "c", "grams", F.lit(percent).alias("percent"))
+    return rows.groupBy("i", "j").applyInPandas(local_stars, "a long, b long")
 
 
 def links(members: DataFrame, info: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent: int, moved: frozenset) -> DataFrame:
@@ -314,10 +333,7 @@ def links(members: DataFrame, info: DataFrame, rows: DataFrame, classes: DataFra
 
     ``members`` (s, c, n) are the groups of classes that share a prefix n-gram.
     First one pivot per group is compared with the other members.  Groups that
-    still hold several components are gathered into families (connected by
-    shared n-grams) and compared exactly, block by block.  A family of more than
-    ``LOOSE`` sets would meet each set with many it shares nothing with; its
-    groups are compared one by one, in blocks as well.
+    still hold several components are compared exactly, block by block.
     """
     pairs = cut(pivot_pairs(members, percent))
     heads = info.where("head is not null").select("c", F.slice("head", F.lit(1), F.col("m")).alias("grams"), "m")
@@ -339,15 +355,10 @@ def links(members: DataFrame, info: DataFrame, rows: DataFrame, classes: DataFra
     now = open_groups(members, roots)
     if now.isEmpty():
         return roots
-    star = now.join(now.groupBy("s").agg(F.min("c").alias("hub")).hint("merge"), "s").select(F.col("hub").alias("a"), F.col("c").alias("b"))
-    families = components(star).withColumnRenamed("v", "c").withColumnRenamed("root", "family")
-    wide = families.groupBy("family").agg(F.count("*").alias("size"))
-    sized = now.join(families.hint("merge"), "c").join(wide.hint("merge"), "family")
-    key = F.when(F.col("size") > LOOSE, F.struct(F.lit(1).alias("by"), F.col("s").alias("key"))).otherwise(F.struct(F.lit(0).alias("by"), F.col("family").alias("key")))
-    open_ = cut(sized.select(F.xxhash64(key).alias("family"), "c", "n").distinct())
-    whole = parts.join(open_.select("c").distinct().hint("merge"), "c").groupBy("c").agg(F.flatten(F.collect_list("grams")).alias("grams"))
-    found = cut(edges.unionByName(block_links(open_, whole, percent)))
-    discard(edges, parts, now, roots)
+    met = meetings(now)
+    whole = parts.join(met.select("c").distinct().hint("merge"), "c").groupBy("c").agg(F.flatten(F.collect_list("grams")).alias("grams"))
+    found = cut(edges.unionByName(block_links(met, whole, percent)))
+    discard(edges, parts, now, roots, met)
     return components(found)
 
 

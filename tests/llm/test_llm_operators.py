@@ -175,11 +175,8 @@ def test_jaccard_join_of_repeated_rows_null_ids_and_clashing_names(spark):
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(3, "A  B c d e f"), (None, None), (8, ""), (8, ""), (9, long + " end")])
 
 
-def test_jaccard_join_of_a_loose_family(spark, monkeypatch):
-    """Groups of a wide family are compared one by one, in several blocks, with
-    names of classes that clash."""
+def test_jaccard_join_of_a_loose_family_in_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 3)
-    monkeypatch.setattr(jaccard_join, "LOOSE", 4)
     base = [f"w{i}" for i in range(80)]
     texts = []
     for k in range(12):  # neighbours of a chain link, others do not
