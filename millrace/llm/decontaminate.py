@@ -213,10 +213,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, thresh
 def clean_documents(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, local_seeds: int = 4_000_000) -> DataFrame:
     """``docs`` without the rows whose text covers some benchmark item; rows
     with null or empty texts stay.  The text decides: ids may be null or repeat."""
-    key = F.sha2(F.coalesce("text", F.lit("")), 256)
+    text = F.coalesce("text", F.lit(""))
+    key = F.struct(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"))  # 128 bits
     leaks = find_leaks(docs.select(key.alias("doc_id"), "text"), benchmark, least, threshold, local_seeds)
-    bad = cut(leaks.select(F.col("doc_id").alias("key")).distinct())
-    return unpacked(packed(docs, key=key).join(bad, "key", "left_anti"), docs.columns)
+    bad = cut(leaks.select("doc_id.*").distinct())
+    return unpacked(packed(docs, k1=key["k1"], k2=key["k2"]).join(bad, ["k1", "k2"], "left_anti"), docs.columns)
 
 
 def op4_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

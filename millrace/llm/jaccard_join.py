@@ -237,6 +237,7 @@ def pivot_pairs(members: DataFrame, percent: int) -> DataFrame:
 
 
 BLOCK, BLOCK_GRAMS = 512, 1_000_000  # sets and n-grams of a block
+BANDS = (1 << 16) - 1  # bits of a block's number that hold its band of sizes
 
 
 def local_links(sets_a: list[np.ndarray], sets_b: list[np.ndarray], percent: int) -> np.ndarray:
@@ -288,13 +289,16 @@ def local_stars(pdf):
 
 
 def open_groups(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(s, c, n, root) of the groups that hold several components."""
+    """(s, c, n, root) of the groups that hold several components; of groups with
+    the same members (told by sums of two hashes) one."""
     now = members.join(roots.withColumnRenamed("v", "c").hint("merge"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    spread = now.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    return cut(now.join(spread.select("s").hint("merge"), "s").select("s", "c", "n", "root"))
+    sums = [F.sum(F.xxhash64("c", F.lit(k)).cast("decimal(20,0)")).alias(f"sum{k}") for k in (1, 2)]
+    spread = now.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *sums).where("lo <> hi")
+    once = spread.groupBy("sum1", "sum2").agg(F.min("s").alias("s")).select("s")
+    return cut(now.join(once.hint("merge"), "s").select("s", "c", "n", "root"))
 
 
-def meetings(now: DataFrame) -> DataFrame:
+def meetings(now: DataFrame, percent: int) -> DataFrame:
     """(c, k, x): each set of the open groups with its block and the blocks that
     it must meet.
 
@@ -304,17 +308,21 @@ def meetings(now: DataFrame) -> DataFrame:
     be compared: in a group a set outside the largest component meets the blocks
     of all members, and a set of the largest one those of the others."""
     weight = F.greatest(F.lit(1 / BLOCK), F.any_value("n") / BLOCK_GRAMS)
-    own = cut(now.groupBy("c").agg(F.min("s").alias("key"), weight.alias("w")))
+    ratio = math.log(100 / (percent - 1))  # a little more than sets that link can differ by
+    band = F.floor(F.ln(F.any_value("n")) / ratio).cast("long")
+    own = cut(now.groupBy("c").agg(F.min("s").alias("s"), weight.alias("w"), band.alias("band")).withColumn("key", F.xxhash64("s", "band")))
     keys = own.groupBy("key").agg(F.sum("w").alias("of_key"))
     buckets = max(1, math.ceil(own.agg(F.sum("w")).first()[0] or 0))
     part = F.pmod(F.xxhash64("c"), F.ceil("of_key").cast("long"))
-    k = F.when(F.col("of_key") > 1, F.xxhash64("key", part)).otherwise(F.pmod(F.xxhash64("key"), F.lit(buckets).cast("long")))
-    blocks = own.join(keys.hint("merge"), "key").select("c", k.alias("k"))
+    k = F.when(F.col("of_key") > 1, F.xxhash64("key", part)).otherwise(F.xxhash64(F.pmod("key", F.lit(buckets).cast("long")), "band"))
+    blocks = own.join(keys.hint("merge"), "key").select("c", k.bitwiseAND(F.lit(~BANDS)).bitwiseOR(F.col("band")).alias("k"))
     largest = now.groupBy("s", "root").agg(F.count("*").alias("n")).groupBy("s").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
     rows = now.select("s", "c", "root").join(blocks.hint("merge"), "c").join(largest.hint("merge"), "s").select("s", "c", "k", (F.col("root") != F.col("largest")).alias("apart"))
     rows = cut(rows)
     of_group = rows.groupBy("s").agg(F.collect_set("k").alias("every"), F.collect_set(F.when(F.col("apart"), F.col("k"))).alias("others"))
-    met = rows.join(of_group.hint("merge"), "s").select("c", "k", F.explode(F.when(F.col("apart"), F.col("every")).otherwise(F.col("others"))).alias("x"))
+    near = lambda x: F.abs(x.bitwiseAND(F.lit(BANDS)) - F.col("k").bitwiseAND(F.lit(BANDS))) <= 1
+    wanted = F.filter(F.when(F.col("apart"), F.col("every")).otherwise(F.col("others")), near)
+    met = rows.join(of_group.hint("merge"), "s").select("c", "k", F.explode(wanted).alias("x"))
     return cut(met.distinct())
 
 
@@ -354,12 +362,15 @@ def links(members: DataFrame, info: DataFrame, rows: DataFrame, classes: DataFra
     roots = components(edges)
     now = open_groups(members, roots)
     if now.isEmpty():
+        discard(edges, parts, now)
         return roots
-    met = meetings(now)
+    met = meetings(now, percent)
     whole = parts.join(met.select("c").distinct().hint("merge"), "c").groupBy("c").agg(F.flatten(F.collect_list("grams")).alias("grams"))
     found = cut(edges.unionByName(block_links(met, whole, percent)))
     discard(edges, parts, now, roots, met)
-    return components(found)
+    out = components(found)
+    discard(found)
+    return out
 
 
 def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
@@ -381,16 +392,17 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     moved = frozenset(bytes(x) for r in clash.select("c").join(info, "c").select("digest").distinct().collect() for x in r)
     if moved:  # about one set in 2^64 / (number of sets)
         info = cut(describe(rows, n, percent, moved))
-    kept = info.where("c is not null").select("doc_id", "t", "n", "c")
+    slim = cut(info.select("doc_id", "t", "n", "c"))
+    kept = slim.where("c is not null")
     classes = cut(kept.groupBy("c").agg(F.min("doc_id").alias("first"), F.min(F.struct("t", "doc_id")).alias("at")))
     members = prefixes(info, percent)
     roots = links(members, info, rows, classes, n, percent, moved)
-    discard(members)
+    discard(members, info)
     named = classes.join(roots.withColumnRenamed("v", "c").hint("merge"), "c", "left").select("c", "first", F.coalesce("root", "c").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     names = named.join(smallest.hint("merge"), "root").select("c", "component_id", "root")
     full = kept.join(names, "c").select("doc_id", "t", F.col("n").alias("n_shingles"), "component_id", "root")
-    empty = info.where("c is null").select("doc_id", "t", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))
+    empty = slim.where("c is null").select("doc_id", "t", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))
     return full.unionByName(empty)
 
 

@@ -130,16 +130,19 @@ def with_findings(docs: DataFrame, hits: DataFrame, text_col: str = "text", salt
     return unpacked(left.join(right, ["blob", "salt"], "left"), [*[c for c in docs.columns if c != "found"], "found"], found=found)
 
 
-def redact(docs: DataFrame, ledger: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def redact(docs: DataFrame, ledger: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, local_rows: int = 300_000, local_spans: int = 1_000_000) -> DataFrame:
     """``docs`` with every found span replaced by ``[SECRET:kind]``; a span that
     starts inside an earlier one is swallowed by it.  Null texts stay null, all
     other columns stay as they are, whatever their names.
 
-    The blobs with findings are a table of known size: Spark broadcasts it if it
-    is small, so that texts need not move, and shuffles the join otherwise."""
+    The blobs with findings are broadcast if they are at most ``local_rows`` with
+    ``local_spans`` findings (counted), so that texts need not move; otherwise the
+    join is shuffled."""
     hits = cut(hits_by_blob(ledger, rules))
     text = F.col(f"`{text_col}`")
-    found = packed(docs, blob=F.sha2(F.coalesce(text, F.lit("")), 256)).join(hits, "blob", "left")
+    size = hits.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("found")), F.lit(0)).alias("spans")).first()
+    side = F.broadcast(hits) if size.rows <= local_rows and size.spans <= local_spans else hits
+    found = packed(docs, blob=F.sha2(F.coalesce(text, F.lit("")), 256)).join(side, "blob", "left")
     t = F.col(f"row.`{text_col}`")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
