@@ -131,21 +131,28 @@ def _decode(c: Column) -> Column:
     return numeric
 
 
+# Shapes of secrets in log text, replaced in this order.
+SECRET_SHAPES = (
+    (r"(?i)([a-z][a-z0-9+.-]*://)[^/\s:@]+:[^/\s@]+@", "$1[redacted]@"),
+    (r"(?i)([?&](?:app_id|app_key|api[_-]?key|access_token|token|secret|password|auth|signature|key)=)[^&#\s]*", "$1[redacted]"),
+    (r"(?i)\b((?:app_id|app_key|api[_-]?key|access_token|token|secret|password|auth|signature)\s*[:=]\s*)([^\s&]+)", "$1[redacted]"),
+    (r"(?i)\bBearer\s+\S+", "Bearer [redacted]"),
+    (r"(?i)\bAuthorization\s*:\s*\S+", "Authorization: [redacted]"),
+    (r"\bsk-[A-Za-z0-9_-]{8,}\b", "[redacted]"),
+    (r"(?i)\bnvapi-[A-Za-z0-9_-]+\b", "[redacted]"),
+)
+
+
 def scrub_secrets(c: Column) -> Column:
-    """Secrets in log text, seven passes in order: user information in URLs,
-    secret query parameters, assignments, bearer tokens, authorization headers,
-    sk- keys, vendor keys."""
-    for pattern, to in (
-        (r"(?i)(https?://)[^\s/@:]+(?::[^\s/@]*)?@", "$1"),
-        (r"(?i)([?&](?:api[_-]?key|app[_-]?id|app[_-]?key|access[_-]?token|token|key|secret|password)=)[^&\s]+", "$1[REDACTED]"),
-        (r"(?i)\b((?:api[_-]?key|app[_-]?key|token|secret|password)\s*[:=]\s*)[\"']?[^\s\"'&,;]+", "$1[REDACTED]"),
-        (r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]"),
-        (r"(?i)\bauthorization\s*:\s*\S+(?:\s+\S+)?", "Authorization: [REDACTED]"),
-        (r"\bsk-[A-Za-z0-9_-]{8,}", "[REDACTED]"),
-        (r"\bnvapi-[A-Za-z0-9_-]{8,}", "[REDACTED]"),
-    ):
-        c = F.regexp_replace(c, pattern, to)
-    return c
+    """Secrets in log text, shape by shape: user information in URLs of any
+    scheme, secret query parameters, assignments, bearer tokens, authorization
+    headers, two kinds of vendor keys."""
+    return reduce(lambda acc, shape: F.regexp_replace(acc, *shape), SECRET_SHAPES, c)
+
+
+def bound(c: Column, use) -> Column:
+    """``use(c)`` with ``c`` evaluated once, however often ``use`` names it."""
+    return F.transform(F.array(c), use)[0]
 
 
 NUMBER = r"[0-9]+(?:[.,][0-9]+)*(?:\s?[kKmM](?![A-Za-z]))?"

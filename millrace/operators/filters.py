@@ -145,7 +145,7 @@ RESTRICTIONS = (
     ("time zone", r"(?i)\b(?:EST|PST|CST|CET|GMT)\b[^a-zA-Z]{0,40}(?:overlap|hours)\b"),
     ("time zone", r"(?i)\b(?:overlap|hours)\b[^a-zA-Z]{0,40}\b(?:EST|PST|CST|CET)\b"),
 )
-EXCERPT, WINDOW, LABEL_AFTER, NOTE = 1500, 80, 40, 40
+EXCERPT, CENTRE_EXCERPT, WINDOW, LABEL_AFTER, NOTE = 1500, 2000, 80, 40, 40
 
 
 def first_term(c: Column, terms: Sequence[str]) -> Column:
@@ -158,27 +158,44 @@ def first_term(c: Column, terms: Sequence[str]) -> Column:
 
 def description_restriction(description: Column, rules: Rules) -> Column:
     """Label of the first restricting phrase whose first hit in the excerpt has
-    no open term nearby, or null."""
+    no open term nearby, or null.  A pattern's place and hit are evaluated once
+    per text, and what stands near it only where it hit."""
     excerpt = F.substring(description, 1, EXCERPT)
-    labels = []
-    for label, pattern in RESTRICTIONS:
-        hit = F.regexp_extract(excerpt, pattern, 0)
-        at = F.regexp_instr(excerpt, F.lit(pattern))
-        start = F.greatest(F.lit(1), at - WINDOW)
-        near = F.substring(excerpt, start, at + F.length(hit) + WINDOW - start)
-        snippet = F.substring(description, at, F.length(hit) + LABEL_AFTER)
-        labels.append(F.when((at > 0) & ~X.contains_any(near, rules.open_terms), F.coalesce(first_term(snippet, rules.restricted_terms), F.lit(label))))
-    return F.coalesce(*labels)
-
-
-def region_facts(location: Column, description: Column, rules: Rules) -> dict[str, Column]:
+
+    def of(label: str, pattern: str) -> Column:
+        def judge(h: Column) -> Column:
+            start = F.greatest(F.lit(1), h["at"] - WINDOW)
+            near = F.substring(excerpt, start, h["at"] + h["size"] + WINDOW - start)
+            snippet = F.substring(description, h["at"], h["size"] + LABEL_AFTER)
+            return F.when(~X.contains_any(near, rules.open_terms), F.coalesce(first_term(snippet, rules.restricted_terms), F.lit(label)))
+
+        size = F.length(F.regexp_extract(excerpt, pattern, 0))
+        return X.bound(F.regexp_instr(excerpt, F.lit(pattern)), lambda at: F.when(at > 0, X.bound(F.struct(at.alias("at"), size.alias("size")), judge)))
+
+    return F.coalesce(*[of(label, pattern) for label, pattern in RESTRICTIONS])
+
+
+def description_facts(description: Column, rules: Rules) -> Column:
+    """struct(restriction, remote, centre, length): what the rules read from a
+    description.  Texts that many postings share are best judged before they are
+    joined to them; a column ``description_facts`` is taken as given."""
+    text = F.coalesce(description, F.lit(""))
+    plain = [k for k in rules.centre_keywords if X.normalise_py(k) != "gcc"]
+    excerpt = X.normalise(F.substring(text, 1, CENTRE_EXCERPT))
+    centre = X.bound(excerpt, lambda e: X.contains_any(e, plain) | (X.contains_centre_token(e) if len(plain) < len(rules.centre_keywords) else F.lit(False)))
+    return F.struct(
+        description_restriction(text, rules).alias("restriction"), X.contains_any(F.substring(text, 1, EXCERPT), REMOTE_HINTS).alias("remote"), centre.alias("centre"),
+        F.length(description).alias("length"))
+
+
+def region_facts(location: Column, rules: Rules) -> dict[str, Column]:
     """What ``classify_region`` decides by."""
     return {
         "_open": X.contains_any(location, rules.open_terms),
         "_onsite": X.contains_any(location, ONSITE_WORDS) & ~X.contains_any(location, REMOTE_WORDS),
         "_left": X.remove_phrases(F.translate(X.normalise(location), "|/()-,;", "       "), rules.generic_words),
         "_term": first_term(location, rules.restricted_terms),
-        "_described": description_restriction(description, rules),
+        "_described": F.col("description_facts.restriction"),
     }
 
 
@@ -201,10 +218,9 @@ def classify_region() -> Column:
         .otherwise(made("unknown")))
 
 
-def is_centre(company: Column, description: Column, rules: Rules, flagged: Column | None = None) -> Column:
+def is_centre(company: Column, rules: Rules, flagged: Column | None = None, described: Column | None = None) -> Column:
     """Whether a company is a capability centre: a seed phrase or equal name, a
     flag of the company dimension, or a keyword in name or description."""
-    excerpt = F.substring(description, 1, 2000)
     names = sorted({n for n in map(X.normalise_company_py, rules.centre_seeds) if n})
     out = X.contains_any(company, rules.centre_seeds)
     if names:
@@ -212,23 +228,21 @@ def is_centre(company: Column, description: Column, rules: Rules, flagged: Colum
     if flagged is not None:
         out = out | F.coalesce(flagged, F.lit(False))
     plain = [k for k in rules.centre_keywords if X.normalise_py(k) != "gcc"]
-    for c in (company, excerpt):
-        out = out | X.contains_any(c, plain)
-        if len(plain) < len(rules.centre_keywords):
-            out = out | X.contains_centre_token(c)
-    return out
+    out = out | X.contains_any(company, plain)
+    if described is not None:
+        out = out | described
+    return out | X.contains_centre_token(company) if len(plain) < len(rules.centre_keywords) else out
 
 
 def location_facts(rules: Rules) -> list[dict[str, Column]]:
-    title, place, description = F.col("title"), F.col("location"), F.coalesce("description", F.lit(""))
+    title, place = F.col("title"), F.col("location")
     hubs = [rules.place_aliases.get(h, h) for h in map(X.normalise_py, rules.hub_cities)]
-    excerpt = F.substring(description, 1, EXCERPT)
     return [
         {
-            **region_facts(place, description, rules),
+            **region_facts(place, rules),
             "_hub": X.contains_any(X.fold_aliases(place, rules.place_aliases), hubs),
-            "_remote": X.contains_any(title, REMOTE_HINTS) | X.contains_any(place, REMOTE_HINTS) | X.contains_any(excerpt, REMOTE_HINTS),
-            "_centre": is_centre(F.col("company"), description, rules, F.col("company_is_centre")),
+            "_remote": X.contains_any(title, REMOTE_HINTS) | X.contains_any(place, REMOTE_HINTS) | F.col("description_facts.remote"),
+            "_centre": is_centre(F.col("company"), rules, F.col("company_is_centre"), F.col("description_facts.centre")),
             "_away": ~X.contains_any(place, REMOTE_WORDS) & ~X.contains_any(title, REMOTE_WORDS),
         },
         {"_area": classify_region()},
@@ -277,7 +291,9 @@ def with_decisions(postings: DataFrame, rules: Rules, now: datetime, order: Sequ
     """``postings`` plus one decision column ``_d0``, ``_d1``, ... per rule.
 
     Facts are columns of their own, so that a pattern runs once per row however
-    often its outcome is read."""
+    often its outcome is read; those of descriptions come first."""
+    if "description_facts" not in postings.columns:
+        postings = postings.withColumn("description_facts", description_facts(F.col("description"), rules))
     for rule in order:
         for stage in rule.facts(rules):
             postings = postings.withColumns(stage)

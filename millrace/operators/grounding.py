@@ -2,18 +2,37 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions import text as X
+from millrace.operators.redact import leaks
 
-# Number words.
-UNITS = {w: i for i, w in enumerate(
-    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
-TENS = {w: 10 * i for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
+# Number words and their values, scales, and the nouns before which a lone "one" is a claim.
+UNITS = {
+    "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14,
+    "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19, "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90,
+}
 SCALES = {"hundred": 100, "thousand": 1000, "million": 1_000_000}
-COUNTED = ("year", "years", "month", "months", "week", "weeks", "day", "days", "team", "teams", "project", "projects", "people", "person")
+COUNTED = (
+    "year", "years", "month", "months", "week", "weeks", "day", "days", "person", "people", "member", "members", "engineer", "engineers", "user", "users", "team", "teams", "percent")
+# Phrases of our own prompts and data that no reader may see.
+LABELS = r"(?i)\b(?:must-have|nice-to-have|skills\s+matrix|basedOn|prompt|the\s+profile|candidate\s+profile)\b"
+# How a letter begins, and what stands for the writer's name.
+SALUTATION, NAME = "Dear Hiring Team,", "{{NAME}}"
+# Headings of the known sections.
+HEADINGS = {
+    "summary": r"(?i)^(?:professional\s+summary|summary|profile|objective|about(?:\s+me)?)$",
+    "skills": r"(?i)^(?:technical\s+skills|core\s+skills|skills|technologies|competencies)$",
+    "experience": r"(?i)^(?:professional\s+experience|work\s+experience|work\s+history|experience|employment)$",
+    "education": r"(?i)^(?:education|academic\s+background|academics)$",
+    "projects": r"(?i)^(?:personal\s+projects|key\s+projects|projects)$",
+    "certifications": r"(?i)^(?:certifications|certificates|licenses|licences)$",
+}
 
 
 def ungrounded_numbers(claims: Column, source: Column) -> Column:
@@ -22,63 +41,101 @@ def ungrounded_numbers(claims: Column, source: Column) -> Column:
     return F.filter(X.numbers(claims), lambda n: ~F.array_contains(have, n))
 
 
-def number_words(c: Column) -> Column:
-    """array<bigint>: values of runs of number words in order.
-
-    A fold over the word tokens: ``now`` is the run's value under the last
-    scale, ``sum`` what larger scales closed.  A lone "one" counts only before a
-    counted noun."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z]+"), F.lit(0))
-    value = F.create_map(*[x for k, v in {**UNITS, **TENS}.items() for x in (F.lit(k), F.lit(v).cast("long"))])
-    scale = F.create_map(*[x for k, v in SCALES.items() for x in (F.lit(k), F.lit(v).cast("long"))])
-    zero, none = F.lit(0).cast("long"), F.expr("cast(array() as array<bigint>)")
-    start = F.struct(zero.alias("sum"), zero.alias("now"), F.lit(0).alias("n"), F.lit("").alias("last"), none.alias("out"))
+def number_words(c: Column, claims: bool = True) -> Column:
+    """array<bigint>: values of the numbers written as words, in order.
 
-    def closed(a: Column, nxt: Column) -> Column:
-        lone = (a["n"] == 1) & (a["last"] == "one") & ~nxt.isin(*COUNTED)
-        return F.when((a["n"] > 0) & ~lone, F.concat(a["out"], F.array(a["sum"] + a["now"]))).otherwise(a["out"])
+    Number words with only white space or hyphens between them are one number.
+    With ``claims`` a lone "one" counts only before a counted noun; without
+    (the side of the source) everywhere."""
+    word = "(?:" + "|".join([*UNITS, *SCALES]) + ")"
+    run = rf"(?<![a-z])({word}(?:[\s-]+{word})*)(?![a-z])(?=[^a-z]*([a-z]*))"
+    text = F.lower(F.coalesce(c, F.lit("")))
+    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(run), F.lit(1)).alias("run"), F.regexp_extract_all(text, F.lit(run), F.lit(2)).alias("after"))
+    if claims:
+        found = F.filter(found, lambda x: (x["run"] != "one") | x["after"].isin(*COUNTED))
+    value = F.create_map(*[x for k, v in {**UNITS, **SCALES}.items() for x in (F.lit(k), F.lit(v).cast("long"))])
+    zero = F.lit(0).cast("long")
 
     def step(a: Column, w: Column) -> Column:
-        v, s = F.try_element_at(value, w), F.try_element_at(scale, w)
-        extends = (a["n"] > 0) & (((a["now"] % 100 >= 20) & (a["now"] % 10 == 0) & (v < 10) & (v > 0)) | ((a["now"] % 100 == 0) & a["last"].isin(*SCALES)))
-        grown = F.struct(a["sum"].alias("sum"), (a["now"] + v).alias("now"), (a["n"] + 1).alias("n"), w.alias("last"), a["out"].alias("out"))
-        fresh = F.struct(zero.alias("sum"), v.alias("now"), F.lit(1).alias("n"), w.alias("last"), closed(a, w).alias("out"))
-        hundred = F.struct(a["sum"].alias("sum"), (a["now"] * s).alias("now"), (a["n"] + 1).alias("n"), w.alias("last"), a["out"].alias("out"))
-        larger = F.struct((a["sum"] + a["now"] * s).alias("sum"), zero.alias("now"), (a["n"] + 1).alias("n"), w.alias("last"), a["out"].alias("out"))
-        ended = F.struct(zero.alias("sum"), zero.alias("now"), F.lit(0).alias("n"), w.alias("last"), closed(a, w).alias("out"))
-        joins = (w == "and") & (a["n"] > 0) & a["last"].isin(*SCALES)
-        return (
-            F.when(v.isNotNull() & extends, grown).when(v.isNotNull(), fresh)
-            .when(s.isNotNull() & (a["n"] > 0), F.when(s == 100, hundred).otherwise(larger)).when(joins, a).otherwise(ended))
-
-    return F.aggregate(words, start, step, lambda a: closed(a, F.lit("")))
-
-
-LABELS = r"(?i)\b(?:sub-?score|skills ?fit|seniority ?fit|hub capability|capability centre|shortlist(?:ed)?|pre-?score)\b"
-
-
-def claim_codes(claims: Column, source: Column, domain_terms: list[str], company: Column | None = None) -> Column:
-    """array of ungrounded_number, ungrounded_number_word, ungrounded_domain,
-    internal_label."""
-    plain = F.replace(F.lower(claims), F.lower(company), F.lit(" ")) if company is not None else F.lower(claims)
-    domains = [X.contains_any(plain, [t]) & ~X.contains_any(source, [t]) for t in domain_terms]
-    spelled = F.size(F.filter(number_words(claims), lambda v: ~F.array_contains(number_words(source), v) & ~F.array_contains(X.numbers(source), v.cast("double")))) > 0
-    tests = [(F.size(ungrounded_numbers(claims, source)) > 0, "ungrounded_number"), (spelled, "ungrounded_number_word"), (claims.rlike(LABELS), "internal_label")]
-    if domains:
-        tests.append((F.greatest(*domains) if len(domains) > 1 else domains[0], "ungrounded_domain"))
+        v, now = F.try_element_at(value, w), F.when(a["now"] == 0, F.lit(1).cast("long")).otherwise(a["now"])
+        unit, hundred = ~w.isin(*SCALES), w == "hundred"
+        return F.struct(
+            F.when(unit | hundred, a["total"]).otherwise(a["total"] + now * v).alias("total"),
+            F.when(unit, a["now"] + v).when(hundred, now * v).otherwise(zero).alias("now"))
+
+    of_run = lambda x: F.aggregate(F.split(x["run"], r"[\s-]+"), F.struct(zero.alias("total"), zero.alias("now")), step, lambda a: a["total"] + a["now"])
+    return F.when(text.rlike(run), F.transform(found, of_run)).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+
+def domain_pattern(term: str) -> str:
+    """A term as a whole word; a space or hyphen inside it matches either."""
+    return r"(?i)(?<![A-Za-z0-9])" + r"[\s-]+".join(X.quote(w) for w in re.split(r"[\s-]+", term.strip())) + r"(?![A-Za-z0-9])"
+
+
+def ungrounded_words(claims: Column, source: Column) -> Column:
+    """Whether a text has a number word that the source has neither as a word
+    nor in digits."""
+    have = F.array_union(number_words(source, claims=False).cast("array<double>"), X.numbers(source))
+    return F.size(F.array_except(number_words(claims).cast("array<double>"), have)) > 0
+
+
+def ungrounded_domain(claims: Column, source: Column, terms: list[str], company: Column | None = None) -> Column:
+    """Whether a text names a domain that the source lacks; the company's name is
+    taken out first."""
+    text = F.when(F.trim(company) != "", F.replace(claims, company, F.lit(" "))).otherwise(claims) if company is not None else claims
+    tests = [text.rlike(domain_pattern(t)) & ~F.coalesce(source, F.lit("")).rlike(domain_pattern(t)) for t in terms]
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
+def ungrounded_technology(claims: Column, source: Column, technologies: list[str], missing: Column | None = None) -> Column:
+    """Whether a text names a technology, or one of the array ``missing``, that
+    the source lacks."""
+    has = lambda c, t: F.coalesce(c, F.lit("")).rlike(t)
+    tests = [has(claims, p) & ~has(source, p) for p in (technology_pattern(t) for t in technologies)]
+    if missing is not None:
+        edge = lambda m: F.concat(F.lit(r"(?i)(?<![0-9A-Za-z])\Q"), m, F.lit(r"\E(?![0-9A-Za-z+#])"))
+        tests.append(F.coalesce(F.exists(missing, lambda m: F.regexp_like(claims, edge(m)) & ~F.regexp_like(F.coalesce(source, F.lit("")), edge(m))), F.lit(False)))
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
+def technology_pattern(name: str) -> str:
+    """A technology as a whole word; short names and those written with = keep
+    their case."""
+    bare = name.removeprefix("=").strip()
+    cased = name.startswith("=") or len(bare) <= 2
+    return ("" if cased else "(?i)") + "(?<![0-9A-Za-z])" + r"[\s-]+".join(X.quote(w) for w in re.split(r"[\s-]+", bare)) + "(?![0-9A-Za-z+#])"
+
+
+def claim_codes(claims: Column, source: Column, domain_terms: list[str], company: Column | None = None, technologies: list[str] | None = None, missing: Column | None = None) -> Column:
+    """array of ungrounded_technology, ungrounded_number, ungrounded_domain,
+    internal_label, for a short text."""
+    tests = (
+        (ungrounded_technology(claims, source, technologies or [], missing), "ungrounded_technology"), (ungrounded_words(claims, source), "ungrounded_number"),
+        (ungrounded_domain(claims, source, domain_terms, company), "ungrounded_domain"), (claims.rlike(LABELS), "internal_label"))
     return F.array_compact(F.array(*[F.when(t, c) for t, c in tests]))
 
 
-def letter_codes(c: Column, salutation: str = r"(?i)^\s*(?:dear|hello|hi)\b", sign_off: str = r"(?i)(?:regards|sincerely|thanks),?\s*\n?[^\n]*\s*$", max_words: int = 200) -> Column:
-    """Problem codes of a letter in a fixed order."""
-    t = F.coalesce(c, F.lit(""))
-    n_names = F.size(F.regexp_extract_all(t, F.lit(r"\[YOUR NAME\]"), F.lit(0)))
+def letter_codes(
+    c: Column, source: Column | None = None, domain_terms: list[str] | None = None, technologies: list[str] | None = None, missing: Column | None = None, company: Column | None = None,
+    max_words: int = 200,
+) -> Column:
+    """Problem codes of a letter in a fixed order; an empty letter has only that
+    one.  Technologies are checked from the second paragraph on, since the first
+    may repeat what the posting asks for."""
+    t = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+    source = F.coalesce(source, F.lit("")) if source is not None else F.lit("")
+    name = X.quote(NAME)
+    others = F.replace(t, F.lit(NAME), F.lit(""))
+    phone = F.exists(F.regexp_extract_all(t, F.lit(r"\+?\d[\d\s().-]{7,}\d"), F.lit(0)), lambda x: F.length(F.regexp_replace(x, r"\D", "")) >= 9)
+    body = F.slice(paragraphs(t), F.lit(2), F.greatest(F.size(paragraphs(t)) - 1, F.lit(0)))
+    technology = F.exists(body, lambda p: ungrounded_technology(p, source, technologies or [], missing)) if technologies or missing is not None else F.lit(False)
     tests = (
-        (F.trim(t) == "", "empty"), (X.word_count(t) > max_words, "too_long"), (~t.rlike(salutation), "no_salutation"), (n_names != 1, "placeholder_count"),
-        (~t.rlike(sign_off), "no_sign_off"), (F.regexp_replace(t, r"\[YOUR NAME\]", "").rlike(r"\[[^\]\n]{1,40}\]|\{[^}\n]{1,40}\}"), "other_placeholder"),
-        (t.rlike(r"(?i)https?://|www\."), "url"), (t.rlike(r"[^\s@]+@[^\s@]+\.[A-Za-z]{2,}"), "email"),
-        (t.rlike(r"(?:\d[\s().-]*){9,}"), "phone"), (t.rlike(r"(?m)^\s*(?:#{1,6}\s|[-*]\s)|\*\*|```"), "markdown"))
-    return F.array_compact(F.array(*[F.when(x, code) for x, code in tests]))
+        (X.word_count(t) > max_words, "too_long"), (~t.startswith(SALUTATION), "salutation"), (F.size(F.split(t, name, -1)) != 2, "name_placeholder_count"),
+        (~t.endswith(NAME), "sign_off"), (others.rlike(r"[{}]|\[[^\]]*\]"), "other_placeholder"), (t.rlike(r"(?i)https?://|www\.|\b[a-z0-9-]+\.(com|org|io)\b"), "url"),
+        (t.rlike(r"[^\s@]+@[^\s@]+\.[^\s@]+"), "email"), (phone, "phone"), (t.rlike(r"(?m)```|\*\*|__|^\s{0,3}#{1,6}\s|^\s*[-*•]\s"), "markdown"), (F.size(leaks(t)) > 0, "pii"),
+        ((F.size(ungrounded_numbers(t, source)) > 0) | ungrounded_words(t, source), "ungrounded_number"), (technology, "ungrounded_technology"),
+        (ungrounded_domain(t, source, domain_terms or [], company), "ungrounded_domain"), (t.rlike(LABELS), "internal_label"))
+    return F.when(t == "", F.array(F.lit("empty"))).otherwise(F.array_compact(F.array(*[F.when(x, code) for x, code in tests])))
 
 
 def paragraphs(c: Column) -> Column:
@@ -96,33 +153,26 @@ def kept_suggestions(rows: DataFrame, key: str, items: str, source: str, domain_
     return kept.select(key, "kept", (F.col("given").between(least, most) & (F.size("kept") >= least)).alias("valid"))
 
 
-# Headings of the known sections.
-HEADINGS = {
-    "summary": r"^(?:professional )?(?:summary|profile|objective|about)$", "experience": r"^(?:work |professional )?(?:experience|employment)(?: history)?$",
-    "skills": r"^(?:technical |core )?skills(?: and tools)?$", "education": r"^education(?:al)?(?: qualifications)?$", "projects": r"^(?:key |personal )?projects$",
-    "certifications": r"^certifications?(?: and licen[cs]es)?$",
-}
-
-
 def heading_section(line: Column) -> Column:
     """Section that a heading line opens, or null: a known heading, or "other"
-    for a short line in capitals."""
-    bare = F.trim(F.regexp_replace(F.lower(line), "[:#*_-]+", " "))
-    capitals = line.rlike("[A-Z]") & (F.upper(line) == line) & (F.length(F.trim(line)) <= 40) & ~line.rlike("[0-9@]")
-    out = F.when(capitals, "other")
+    for a short line of capitals without a full stop."""
+    bare = F.trim(F.regexp_replace(F.trim(line), ":$", ""))
+    unknown = (F.length(bare) <= 40) & ~bare.rlike("[.a-z]") & bare.rlike("[A-Z]")
+    out = F.when(unknown, "other")
     for name, pattern in HEADINGS.items():
         out = F.when(bare.rlike(pattern), name).otherwise(out)
     return out
 
 
 def sections(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, section, text): lines under each section, joined in order; lines
-    before any heading belong to "summary"."""
+    """(doc_id, section, text): lines under each section, joined in order and
+    trimmed; lines before any heading belong to "other".  Sections without text
+    have no row."""
     lines = docs.select(id_col, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("pos", "line")).withColumn("h", heading_section(F.col("line")))
     open_ = F.last("h", ignorenulls=True).over(Window.partitionBy(id_col).orderBy("pos"))
-    marked = lines.withColumn("section", F.coalesce(open_, F.lit("summary"))).where(F.col("h").isNull() & (F.trim("line") != ""))
+    marked = lines.withColumn("section", F.coalesce(open_, F.lit("other"))).where(F.col("h").isNull())
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    return marked.groupBy(id_col, "section").agg(joined.alias("text"))
+    return marked.groupBy(id_col, "section").agg(F.regexp_replace(joined, r"(?U)^\s+|\s+$", "").alias("text")).where("text <> ''")
 
 
 def format_profile(parts: dict[str, Column]) -> Column:

@@ -13,10 +13,17 @@ from millrace.functions.text import html_to_text, quote, squeeze
 
 # Shapes of personal data.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-URL = r"(?i)\b(?:https?://|www\.)[^\s<>\"')\]]+"
-PHONE = r"(?<![0-9A-Za-z.+-])(?:\+\d{1,3}[\s.-]?)?(?:\(\d{2,5}\)[\s.-]?)?\d{2,5}(?:[\s.-]\d{2,5}){1,4}(?![0-9A-Za-z-]|\.\d)|(?<![0-9A-Za-z.+-])\+?\d{10,13}(?![0-9A-Za-z-]|\.\d)"
-DATE = r"^\d{4}[-./]\d{1,2}[-./]\d{1,2}$|^\d{1,2}[-./]\d{1,2}[-./]\d{4}$"
-VERSION = r"^\d+(?:\.\d+){1,3}$"
+URL = "(?i)(?:" + "|".join((
+    r"\bhttps?://[^\s<>\])\"'`]+", r"\bwww\.[^\s<>\])\"'`]+", r"\blinkedin\.com/in/[A-Za-z0-9._%-]+/?", r"\bgithub\.com/[A-Za-z0-9._-]+/?")) + ")"
+METRIC = r"(?:users|user|requests|req|ms|seconds|secs|minutes|hours|gb|mb|kb|tb|rows|records|customers|employees|downloads|lines|commits|qps|rps|tps)\b"
+AMOUNT = r"(?:\$|₹|€|£|usd|inr|rs\.?)"
+PHONE_SHAPES = (
+    r"\+\d{1,3}(?:[\s().-]*\d){10,14}+", r"\(\d{3}\)\s*\d{3}[-.\s]\d{4}", r"\b\d{3}[-.\s]\d{3}[-.\s]\d{4}\b", r"\b0\d{4,5}[-.\s]\d{5}\b", r"\b[6-9]\d{4}[-.\s]\d{5}\b",
+    r"\b0[6-9]\d{9}\b", r"\b[6-9]\d{9}\b")
+# a number before a unit of measure or after a sign of money is no phone number
+PHONE = rf"(?i)(?<!{AMOUNT}\s{{0,4}})(?:{'|'.join(PHONE_SHAPES)})(?!\s*{METRIC})"
+DATE = r"^\d{1,2}[/-]\d{1,2}[/-]\d{2,4}$|^\d{4}[/-]\d{1,2}[/-]\d{1,2}$|^(?=.*[/-]).*\b(?:19|20)\d{2}\b"
+VERSION = r"^\d+(?:\.\d+)+$"
 INJECTION = ("ignore previous instructions", "ignore all previous", "disregard the above")
 SPAN = "array<struct<start:int,`end`:int,kind:string>>"
 
@@ -49,11 +56,21 @@ def literal_pattern(values: list[str]) -> str | None:
     return f"(?i)(?<![0-9A-Za-z])(?:{'|'.join(cores)})(?![0-9A-Za-z])" if cores else None
 
 
-def spans(c: Column, names: list[str] | None = None) -> Column:
-    """All spans of emails, urls, phones and listed names, unresolved."""
+def phone_literal(value: str) -> str | None:
+    """A stored phone number with any separators between its digits."""
+    digits = "".join(x for x in value if x.isdigit())
+    return r"(?<!\d)\+?" + r"[\s().-]*".join(digits) + r"(?!\d)" if len(digits) >= 7 else None
+
+
+def spans(c: Column, names: list[str] | None = None, emails: list[str] | None = None, phones: list[str] | None = None) -> Column:
+    """All spans of emails, urls, phones and of listed names, emails and phone
+    numbers, unresolved."""
     found = [pattern_spans(c, EMAIL, "email"), pattern_spans(c, URL, "url"), pattern_spans(c, PHONE, "phone", is_phone)]
     if names and (p := literal_pattern(names)):
         found.append(pattern_spans(c, p, "name"))
+    if emails and (p := literal_pattern(emails)):
+        found.append(pattern_spans(c, p, "email"))
+    found += [pattern_spans(c, p, "phone") for p in map(phone_literal, phones or []) if p]
     return F.concat(*found)
 
 

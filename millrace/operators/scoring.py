@@ -50,7 +50,7 @@ def salary_score(rules: Rules) -> Column:
 
 def company_score(rules: Rules) -> Column:
     """By the company's name alone."""
-    centre = is_centre(F.col("company"), F.lit(""), rules, F.col("company_is_centre"))
+    centre = is_centre(F.col("company"), rules, F.col("company_is_centre"))
     return F.when(is_preferred(F.col("company"), rules, F.col("company_preferred")), COMPANY[0]).when(centre, COMPANY[1]).otherwise(COMPANY[2])
 
 

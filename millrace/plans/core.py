@@ -29,7 +29,9 @@ def decided(spark: SparkSession, sf_dir: str, retained: str = "false") -> DataFr
     ``retained`` tells which postings that passed were kept by an earlier run.
     The rules run once; what they decided is cut from its lineage without the
     descriptions, of which only the length is needed further on."""
-    rows = cut(evaluated(spark, sf_dir).withColumn("description_length", F.length("description")).drop("description"))
+    rows = evaluated(spark, sf_dir)
+    length = F.col("description_facts.length") if "description_facts" in rows.columns else F.length("description")
+    rows = cut(rows.withColumn("description_length", length).drop("description", "description_facts"))
     kept = rows.where(F.col("passed") & F.expr(retained)).select("dedupe_key", "id")
     out = dedupe.duplicate_reason(rows, SOURCE_ORDER, sent_keys(rows), kept, F.col("passed"))
     return out.withColumn("outcome", F.coalesce("reason", "duplicate", F.lit("shortlisted")))
@@ -53,7 +55,7 @@ def run_summary(spark, sf_dir):
 
 
 def best_copy_per_key(spark, sf_dir):
-    return dedupe.best_ids(postings(spark, sf_dir).withColumn("dedupe_key", X.dedupe_part(F.col("title"))).withColumn("description_length", F.length("description")), SOURCE_ORDER)
+    return dedupe.best_ids(postings(spark, sf_dir).withColumn("dedupe_key", X.dedupe_part(F.col("title"))).withColumn("description_length", F.col("description_facts.length")), SOURCE_ORDER)
 
 
 def keep_first_per_id(spark, sf_dir):

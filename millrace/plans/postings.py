@@ -11,6 +11,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.filters import description_facts
 from millrace.rules import Rules
 from millrace.runtime import read
 
@@ -26,7 +27,7 @@ SELECT o.o_orderkey AS id, '' || o.o_orderkey AS external_id, 's' || substr(o.o_
        o.o_orderkey % 7 <> 0 AS salary_known, o.o_orderkey % 13 = 0 AS salary_is_estimated,
        CASE WHEN o.o_orderkey % 11 = 0 THEN NULL ELSE o.o_orderdate END AS posted_at,
        o.o_orderdate + INTERVAL '1' DAY AS fetched_at,
-       d.text AS description, o.o_orderstatus = 'P' AS description_is_snippet
+       d.text AS description, {extra}o.o_orderstatus = 'P' AS description_is_snippet
 FROM {orders} o
 JOIN {part} p ON p.p_partkey = o.o_orderkey % (SELECT count(*) FROM {part})
 JOIN {customer} c ON c.c_custkey = o.o_custkey
@@ -34,11 +35,15 @@ JOIN {nation} n ON n.n_nationkey = c.c_nationkey
 JOIN {region} r ON r.r_regionkey = n.n_regionkey
 LEFT JOIN {documents} d ON d.doc_id = o.o_orderkey % (SELECT count(*) FROM {documents})
 """
-ORACLE_POSTINGS = POSTINGS_SQL.format(**{t: t for t in TABLES})
+ORACLE_POSTINGS = POSTINGS_SQL.format(extra="", **{t: t for t in TABLES})
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.sql(POSTINGS_SQL, **{t: read(spark, sf_dir, t) for t in TABLES})
+    """The derived postings; what the rules read from a description is found once
+    per document, before many postings share it."""
+    tables = {t: read(spark, sf_dir, t) for t in TABLES}
+    tables["documents"] = tables["documents"].withColumn("facts", description_facts(F.col("text"), RULES))
+    df = spark.sql(POSTINGS_SQL.replace("{extra}", "d.facts AS description_facts, "), **tables)
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ("posted_at", "fetched_at")})
 
 

@@ -48,9 +48,9 @@ def test_html_to_text(spark):
 
 
 def test_secrets_in_logs(spark):
-    t = "GET https://u:p@h.example/a?page=2&api_key=abc Bearer abc.def sk-abcdefgh1234"
+    t = "GET https://u:p@h.example/a?page=2&api_key=abc&auth=x1 Bearer abc.def sk-abcdefgh1234 postgres://me:pw@host signature: zzz"
     got = one(spark, X.scrub_secrets(F.col("t")), t=t)
-    assert "page=2" in got and not any(x in got for x in ("u:p", "=abc", "abc.def", "sk-abc"))
+    assert "page=2" in got and not any(x in got for x in ("u:p", "=abc", "abc.def", "sk-abc", "me:pw", "x1", "zzz"))
 
 
 @pytest.mark.parametrize(("x", "y", "expected"), [((90, 60, 100, 100, 70), None, 85), ((80, 60, 100, 50, 40), None, 71)])
@@ -64,12 +64,14 @@ def test_numbers_and_number_words(spark):
     assert one(spark, X.numbers(F.col("t")), t="50K users, 50,000 rows and 3.5 of 2") == [50000.0, 50000.0, 3.5, 2.0]
     assert one(spark, grounding.number_words(F.col("t")), t="two hundred rows or three thousand") == [200, 3000]
     assert one(spark, grounding.number_words(F.col("t")), t="One of the twenty-five, one year") == [25, 1]
+    assert one(spark, grounding.number_words(F.col("t"), claims=False), t="one of them, two hundredth, one-time") == [1, 2, 1]
+    assert one(spark, grounding.number_words(F.col("t")), t="three million two hundred thousand five, hundred, stone") == [3200005, 100]
 
 
 def test_phone_redaction(spark):
-    df = spark.createDataFrame([("Call +1 555-123-4567 or (080) 2345 6789; 1200000 users, 2024, 1.2.3, 2024-10-03; mail a.b@c.example",)], "text string")
+    df = spark.createDataFrame([("Call +91 98765 43210 or (555) 123-4567, 555-123-4567, 98765 43210; 9876543210 users, $9876543210, 1200000 users, 2024, 1.2.3, 2024-10-03; mail a.b@c.example, linkedin.com/in/me",)], "text string")
     got = redact.redact(df).first()
-    assert got["n_email"] == 1 and got["n_phone"] == 2 and "2024-10-03" in got["redacted"] and "1200000 users" in got["redacted"]
+    assert got["n_email"] == 1 and got["n_phone"] == 4 and got["n_url"] == 1 and "2024-10-03" in got["redacted"] and "1200000 users" in got["redacted"]
     assert redact.redact(df.select(F.lit(got["redacted"]).alias("text"))).first()["redacted"] == got["redacted"]
 
 
@@ -79,7 +81,22 @@ def test_replies(spark):
     assert one(spark, clean_reply(F.col("t")), t="<think>a</think>```json\n{}\n```<think>open") == "{}"
 
 
+GOOD = "Dear Hiring Team,\n\nI know Java and Kafka.\n\nI built five services in Java.\n\n{{NAME}}"
+
+
+@pytest.mark.parametrize(("letter", "codes"), [
+    (GOOD, []), ("  ", ["empty"]), (GOOD.replace("Dear", "Hello"), ["salutation"]), (GOOD + "\nBye", ["sign_off"]), (GOOD.replace("five", "six"), ["ungrounded_number"]),
+    (GOOD.replace("services in Java", "services in Kafka"), ["ungrounded_technology"]), (GOOD.replace("services", "banking services"), ["ungrounded_domain"]),
+    (GOOD.replace("services", "Contoso Banking services"), []), (GOOD.replace("I built", "**I** built [x]"), ["other_placeholder", "markdown"]),
+    (GOOD.replace("I built", "See www.a.example, I built"), ["url", "pii"]), (GOOD.replace("I built", "As the profile says, I built"), ["internal_label"]),
+    (GOOD.replace("{{NAME}}", "{{NAME}} {{NAME}}"), ["name_placeholder_count"]), (GOOD.replace("Java.", "Java" + " a" * 200 + "."), ["too_long"])])
+def test_letters(spark, letter, codes):
+    source = "Five services in Java"
+    got = grounding.letter_codes(F.col("t"), F.col("s"), ["banking"], ["Java", "Kafka"], company=F.lit("Contoso Banking"))
+    assert one(spark, got, t=letter, s=source) == codes
+
+
 def test_sections(spark):
     df = spark.createDataFrame([(1, "Hello\nSKILLS\nJava\nWork Experience:\nOne\nTwo\nHOBBIES\nChess")], "doc_id long, text string")
     got = {r.section: r.text for r in grounding.sections(df).collect()}
-    assert got == {"summary": "Hello", "skills": "Java", "experience": "One\nTwo", "other": "Chess"}
+    assert got == {"other": "Hello\nChess", "skills": "Java", "experience": "One\nTwo"}
