@@ -140,7 +140,7 @@ def letter_codes(
 
 def paragraphs(c: Column) -> Column:
     """Paragraphs without salutation and sign-off."""
-    parts = F.filter(F.transform(F.split(c, r"\n\s*\n"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(c, r"\n\s*\n"), lambda p: F.trim(p)), lambda p: p != "")
     return F.filter(parts, lambda p: ~p.rlike(r"(?i)^(?:dear|hello|hi)\b[^\n]{0,60}$") & ~p.rlike(r"(?i)^(?:kind |best |warm )?(?:regards|sincerely|thanks)\b"))
 
 

@@ -83,3 +83,17 @@ def board_status(parsed: DataFrame, keys: list[str]) -> DataFrame:
     could be parsed are an error, not an empty success."""
     g = parsed.groupBy(*keys).agg(F.count("*").alias("candidates"), F.count_if(F.col("ok")).alias("parsed"))
     return g.withColumn("status", F.when((F.col("candidates") > 0) & (F.col("parsed") == 0), "error").otherwise("ok"))
+
+
+def output_summary(rows: DataFrame) -> DataFrame:
+    """One row over outputs (action, letter, tweaks, codes): considered, cached,
+    generated, incomplete, skipped, letters, tweaks, and failure codes as
+    "code:n,..." by number and name."""
+    done = F.col("letter").isNotNull() & F.col("tweaks").isNotNull()
+    action = lambda a: F.col("action") == a
+    codes = rows.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    text = codes.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "code"))), lambda x: F.concat(x["code"], F.lit(":"), (-x["m"]).cast("string"))), ",").alias("codes"))
+    counts = rows.agg(
+        F.count("*").alias("considered"), F.count_if(action("cached")).alias("cached"), F.count_if(action("generated") & done).alias("generated"), F.count_if(action("generated") & ~done).alias("incomplete"),
+        F.count_if(action("skipped")).alias("skipped"), F.count("letter").alias("letters"), F.count("tweaks").alias("tweaks"))
+    return counts.join(F.broadcast(text))  # one row each

@@ -118,3 +118,20 @@ def attempt_counts(events: DataFrame, keys: list[str], order: list[str], success
     in_island = Window.partitionBy(*keys, "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = out.withColumn("failed_attempts", F.sum((~F.col(success)).cast("int")).over(in_island))
     return out.withColumn("final", F.col("failed_attempts") >= limit).drop("_island")
+
+
+def assemble(postings: DataFrame, replies: DataFrame, weights: dict[str, float], limit: int = 3) -> DataFrame:
+    """id, score, unscored, failed_attempts, unscored_final, notes of each posting
+    (id, location_score, salary_score, company_score, description_is_snippet,
+    failed_attempts) with its reply (id, skills_fit, seniority_fit, valid).
+
+    A valid reply gives the weighted score of rounded judgements; any other, or
+    none, is one more failed attempt."""
+    both = postings.join(replies.select("id", "skills_fit", "seniority_fit", "valid"), "id", "left")
+    ok = F.coalesce(F.col("valid"), F.lit(False))
+    whole = lambda c: F.floor(F.col(c) + 0.5)
+    parts = {"skills": whole("skills_fit"), "seniority": whole("seniority_fit"), "location": F.col("location_score"), "salary": F.col("salary_score"), "company": F.col("company_score")}
+    failed = F.when(ok, 0).otherwise(F.coalesce("failed_attempts", F.lit(0)) + 1)
+    notes = F.array_compact(F.array(F.when(F.col("description_is_snippet"), "snippet_only"), F.when(~ok, "unscored")))
+    return both.select(
+        "id", F.when(ok, final_score(parts, weights)).alias("score"), (~ok).alias("unscored"), failed.cast("int").alias("failed_attempts"), (failed >= limit).alias("unscored_final"), notes.alias("notes"))

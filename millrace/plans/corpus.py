@@ -7,56 +7,56 @@ from pyspark.sql import functions as F
 from millrace.functions import text as X
 from millrace.functions.web import url_rejection
 from millrace.operators import grounding, redact, vocab
-from millrace.runtime import read
+from millrace.runtime import read, spread
 
 
 def html_to_text(spark, sf_dir):
     t = X.html_to_text(F.col("html"), None)
-    return read(spark, sf_dir, "pages").select("page_id", F.length(t).alias("n_chars"), F.md5(t).alias("text_md5"))
+    return spread(read(spark, sf_dir, "pages")).select("page_id", F.length(t).alias("n_chars"), F.md5(t).alias("text_md5"))
 
 
 def url_check(spark, sf_dir):
     hosts = F.array(F.lit("thther.example.org"), F.lit("blog.tionsh.example.net"))
     mode = F.when(F.col("page_id") % 3 == 0, "any-https").when(F.col("page_id") % 3 == 1, "hosts")
-    return read(spark, sf_dir, "pages").select("page_id", url_rejection(F.col("url"), mode, hosts).alias("rejection"))
+    return spread(read(spark, sf_dir, "pages")).select("page_id", url_rejection(F.col("url"), mode, hosts).alias("rejection"))
 
 
 def pii_counts(spark, sf_dir):
-    rows = redact.redact(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = redact.redact(spread(read(spark, sf_dir, "documents")).select("doc_id", "text"))
     return rows.agg(*[F.sum(c).alias(c) for c in ("n_email", "n_url", "n_phone")], F.count_if(F.col("redacted") != F.col("text")).alias("changed"))
 
 
 def email_counts(spark, sf_dir):
     n = F.size(F.regexp_extract_all("text", F.lit(redact.EMAIL), F.lit(0)))
-    return read(spark, sf_dir, "documents").select("doc_id", n.alias("n_email"))
+    return spread(read(spark, sf_dir, "documents")).select("doc_id", n.alias("n_email"))
 
 
 def pii_leaks_after_redaction(spark, sf_dir):
-    rows = redact.redact(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = redact.redact(spread(read(spark, sf_dir, "documents")).select("doc_id", "text"))
     return rows.select(F.explode(redact.leaks(F.col("redacted"))).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 def address_lines(spark, sf_dir):
     t = redact.redact_address_lines(F.col("text"), ["Bangalore", "Mumbai"])
-    return read(spark, sf_dir, "documents").agg(F.count("*").alias("n"), F.sum((t != F.col("text")).cast("long")).alias("changed"))
+    return spread(read(spark, sf_dir, "documents")).agg(F.count("*").alias("n"), F.sum((t != F.col("text")).cast("long")).alias("changed"))
 
 
 def secret_scrub(spark, sf_dir):
     t = X.scrub_secrets(F.col("text"))
-    return read(spark, sf_dir, "documents").select("doc_id", F.md5(t).alias("text_md5"))
+    return spread(read(spark, sf_dir, "documents")).select("doc_id", F.md5(t).alias("text_md5"))
 
 
 def numbers_per_doc(spark, sf_dir):
     n = X.numbers(F.col("text"))
-    return read(spark, sf_dir, "documents").select("doc_id", F.size(n).alias("n"), F.round(F.aggregate(n, F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
+    return spread(read(spark, sf_dir, "documents")).select("doc_id", F.size(n).alias("n"), F.round(F.aggregate(n, F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
 
 
 def phrase_filter(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where(X.contains_any(F.col("text"), ["license", "the apache", "copyright"])).select("doc_id", "lang")
+    return spread(read(spark, sf_dir, "documents")).where(X.contains_any(F.col("text"), ["license", "the apache", "copyright"])).select("doc_id", "lang")
 
 
 def normalised_words(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", X.word_count(F.col("text")).alias("n_words"), F.md5(X.normalise(F.col("text"))).alias("norm_md5"))
+    return spread(read(spark, sf_dir, "documents")).select("doc_id", X.word_count(F.col("text")).alias("n_words"), F.md5(X.normalise(F.col("text"))).alias("norm_md5"))
 
 
 def excerpt_search(spark, sf_dir):
@@ -64,7 +64,7 @@ def excerpt_search(spark, sf_dir):
     by an equi-join on the first three words, then verified."""
     items = read(spark, sf_dir, "benchmark").select("item_id", F.substring(X.normalise_excerpt(F.col("text")), 1, 40).alias("excerpt"))
     items = items.withColumn("k", F.array_join(F.slice(F.split("excerpt", " "), 1, 3), " "))
-    docs = read(spark, sf_dir, "documents").select("doc_id", X.normalise_excerpt(F.col("text")).alias("t"))
+    docs = spread(read(spark, sf_dir, "documents")).select("doc_id", X.normalise_excerpt(F.col("text")).alias("t"))
     # the split text is bound once per row, not once per run
     runs = F.transform(F.array(F.split("t", " ")), lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, 3), " ")))[0]
     pairs = docs.select("doc_id", F.explode(F.array_distinct(runs)).alias("k")).join(items, "k").drop("k")
@@ -88,18 +88,18 @@ def passages(docs, items):
 def passage_search(spark, sf_dir):
     """Benchmark items whose whole text stands in a document."""
     items = read(spark, sf_dir, "benchmark").select("item_id", X.normalise_excerpt(F.col("text")).alias("e"))
-    return passages(read(spark, sf_dir, "documents").select("doc_id", X.normalise_excerpt(F.col("text")).alias("t")), items)
+    return passages(spread(read(spark, sf_dir, "documents")).select("doc_id", X.normalise_excerpt(F.col("text")).alias("t")), items)
 
 
 def sections_of_doc(spark, sf_dir):
-    return grounding.sections(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "section", F.md5("text").alias("text_md5"))
+    return grounding.sections(spread(read(spark, sf_dir, "documents")).select("doc_id", "text")).select("doc_id", "section", F.md5("text").alias("text_md5"))
 
 
 def vocabulary_terms(spark, sf_dir):
-    lines = read(spark, sf_dir, "documents").where("doc_id < 0").select("text").withColumnRenamed("text", "value")
+    lines = spread(read(spark, sf_dir, "documents")).where("doc_id < 0").select("text").withColumnRenamed("text", "value")
     fixed = ["# names", "Apache License|apache licence", "=The", "in the", "la de|de la", "und|der die"]
     lines = lines.unionByName(spark.createDataFrame([(x,) for x in fixed], "value string"))
-    return vocab.find_terms(read(spark, sf_dir, "documents"), vocab.read_vocabulary(lines)).select("doc_id", F.array_join("terms", ",").alias("terms"))
+    return vocab.find_terms(spread(read(spark, sf_dir, "documents")), vocab.read_vocabulary(lines)).select("doc_id", F.array_join("terms", ",").alias("terms"))
 
 
 def letter_rule_codes(spark, sf_dir):
@@ -115,7 +115,24 @@ QUERIES = {f.__name__: f for f in (
     vocabulary_terms, letter_rule_codes)}
 
 _NORM = r"trim(regexp_replace(regexp_replace(lower(text), '[-_/]+', ' ', 'g'), '\s+', ' ', 'g'))"
+_SCRUBBED = "text"
+for _pattern, _to in X.SECRET_SHAPES:
+    _SCRUBBED = f"regexp_replace({_SCRUBBED}, '{_pattern}', '{_to.replace('$', chr(92))}', 'g')"
+_HEADING = "regexp_replace(trim(line), ':$', '')"
 ORACLE = {
+    "secret_scrub": f"SELECT doc_id, md5({_SCRUBBED}) AS text_md5 FROM documents",
+    "sections_of_doc": f"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+        h AS (SELECT *, trim({_HEADING}) AS bare FROM l), k AS (SELECT *, CASE
+          WHEN regexp_matches(bare, '(?i)^(professional\\s+summary|summary|profile|objective|about(\\s+me)?)$') THEN 'summary'
+          WHEN regexp_matches(bare, '(?i)^(technical\\s+skills|core\\s+skills|skills|technologies|competencies)$') THEN 'skills'
+          WHEN regexp_matches(bare, '(?i)^(professional\\s+experience|work\\s+experience|work\\s+history|experience|employment)$') THEN 'experience'
+          WHEN regexp_matches(bare, '(?i)^(education|academic\\s+background|academics)$') THEN 'education'
+          WHEN regexp_matches(bare, '(?i)^(personal\\s+projects|key\\s+projects|projects)$') THEN 'projects'
+          WHEN regexp_matches(bare, '(?i)^(certifications|certificates|licenses|licences)$') THEN 'certifications'
+          WHEN length(bare) <= 40 AND regexp_matches(bare, '[A-Z]') AND NOT regexp_matches(bare, '[.a-z]') THEN 'other' END AS h FROM h),
+        m AS (SELECT *, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING), 'other') AS section FROM k),
+        j AS (SELECT doc_id, section, regexp_replace(string_agg(line, chr(10) ORDER BY pos), '^\\s+|\\s+$', '', 'g') AS t FROM m WHERE h IS NULL GROUP BY 1, 2)
+        SELECT doc_id, section, md5(t) AS text_md5 FROM j WHERE t <> ''""",
     "url_check": r"""SELECT page_id, CASE WHEN url NOT LIKE 'https://%' THEN 'invalid_url' WHEN page_id % 3 = 2 THEN 'host'
         WHEN page_id % 3 = 1 AND regexp_extract(url, '^https://([^/?#:]+)', 1) NOT IN ('thther.example.org', 'blog.tionsh.example.net') THEN 'host' END AS rejection FROM pages""",
     "email_counts": r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}')) AS INTEGER) AS n_email FROM documents",

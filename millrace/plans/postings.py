@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.filters import description_facts
 from millrace.rules import Rules
-from millrace.runtime import read
+from millrace.runtime import read, spread
 
 TABLES = ("orders", "part", "customer", "nation", "region", "documents")
 NOW = datetime(2001, 8, 2)
@@ -42,7 +42,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived postings; what the rules read from a description is found once
     per document, before many postings share it."""
     tables = {t: read(spark, sf_dir, t) for t in TABLES}
-    tables["documents"] = tables["documents"].withColumn("facts", description_facts(F.col("text"), RULES))
+    tables["documents"] = spread(tables["documents"]).withColumn("facts", description_facts(F.col("text"), RULES))
     df = spark.sql(POSTINGS_SQL.replace("{extra}", "d.facts AS description_facts, "), **tables)
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ("posted_at", "fetched_at")})
 

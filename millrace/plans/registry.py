@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans import core, corpus, events
+from millrace.plans import core, corpus, events, feeds, records
 
-QUERIES = core.QUERIES | events.QUERIES | corpus.QUERIES
-ORACLE = core.ORACLE | events.ORACLE | corpus.ORACLE
+QUERIES = core.QUERIES | events.QUERIES | corpus.QUERIES | feeds.QUERIES | records.QUERIES
+ORACLE = core.ORACLE | events.ORACLE | corpus.ORACLE | feeds.ORACLE | records.ORACLE

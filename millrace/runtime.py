@@ -99,3 +99,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def default_parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table that Spark reads in far fewer tasks than the session has cores is
+    dealt out, so that work on its rows runs side by side.  Large tables come in
+    many tasks and are left as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if 2 * df.rdd.getNumPartitions() <= n else df

@@ -67,6 +67,41 @@ def until_stop(pages: DataFrame, stop: Column, max_pages: int) -> DataFrame:
     return marked.where((F.col("_before") == 0) & (F.col("page_no") <= max_pages)).drop("_before")
 
 
+def first_of_id(rows: DataFrame, ident: Column) -> DataFrame:
+    """Records of a source in page order, each id once; rows without id go."""
+    named = rows.withColumn("_id", ident).where("_id is not null")
+    whole = F.struct("source", "board", "page_no", "fetched_at", "pos", "v")
+    return named.groupBy(F.col("source").alias("_source"), "_id").agg(F.min_by(whole, F.struct("page_no", "board", "pos")).alias("r")).select("r.*")
+
+
+def unseen_pages(rows: DataFrame, ident: Column, stored: DataFrame, max_pages: int) -> DataFrame:
+    """Records of each source and board up to and including the first page whose
+    records are all stored (source, external_id) already."""
+    known = stored.select("source", F.col("external_id").alias("_id")).distinct().withColumn("_known", F.lit(True))
+    marked = rows.withColumn("_id", ident).join(known, ["source", "_id"], "left")
+    full = marked.groupBy("source", "board", "page_no").agg(F.bool_and(F.coalesce("_known", F.lit(False))).alias("_full"))
+    kept = until_stop(full, F.col("_full"), max_pages).select("source", "board", "page_no")
+    return marked.join(kept, ["source", "board", "page_no"]).drop("_id", "_known").select(*rows.columns)
+
+
+def search_plan(settings: DataFrame) -> DataFrame:
+    """(country, role, city, rank): every search of each row of settings (country,
+    roles, cities), role by role.  Two explodes of rule lists, no join."""
+    roles = settings.select("country", F.posexplode("roles").alias("r", "role"), "cities")
+    pairs = roles.select("country", "role", "r", F.size("cities").alias("n"), F.posexplode("cities").alias("c", "city"))
+    return pairs.select("country", "role", "city", (F.col("r") * F.col("n") + F.col("c") + 1).alias("rank"))
+
+
+def due_sources(policy: DataFrame, app_state: DataFrame, now: Column, force: bool = False) -> DataFrame:
+    """``policy`` (source, min_interval_minutes) plus due: a source fetched less
+    than its interval before ``now`` is skipped unless forced; without a time, or
+    with one that cannot be read, it runs.  app_state: (key, value)."""
+    last = app_state.select(F.regexp_replace("key", "^last_fetch:", "").alias("source"), F.try_to_timestamp("value").alias("_last"))
+    elapsed = F.unix_timestamp(now) - F.unix_timestamp("_last")
+    due = F.coalesce(elapsed >= F.col("min_interval_minutes") * 60, F.lit(True)) if not force else F.lit(True)
+    return policy.join(last, "source", "left").withColumn("due", due).drop("_last")
+
+
 def posting(source: Column, **c: Column) -> list[Column]:
     """The standard columns from what an adapter gives; the rest is null."""
     given = {"source": source, "salary_is_estimated": F.lit(False), "description_is_snippet": F.lit(False), **c}
@@ -137,26 +172,30 @@ def cursor_feed(raw: DataFrame, max_pages: int = 50) -> DataFrame:
         salary_max=F.coalesce(high, low), currency=f.string("currency"), url=f.string("applicationLink"), posted_at=F.timestamp_seconds(f.number("pubDate")), description=X.html_to_text(F.coalesce(f.string("description"), F.lit("")))))
 
 
-def flag_feed(raw: DataFrame) -> DataFrame:
-    """Only rows with remote = true."""
+def flag_feed(raw: DataFrame, max_pages: int = 50) -> DataFrame:
+    """Pages until there is no next link; only rows with remote = true, the first
+    of an id."""
+    pages = until_stop(raw, Fields(F.try_parse_json("body")).string("links.next").isNull(), max_pages)
     f = Fields(F.col("v"))
     place = F.coalesce(f.string("location"), F.lit("Remote"))
-    return records(raw, "data").where(f.flag("remote") & f.id("slug").isNotNull()).select(*posting(
+    return first_of_id(records(pages, "data"), f.id("slug")).where(f.flag("remote") & f.id("slug").isNotNull()).select(*posting(
         F.col("source"), external_id=f.id("slug"), title=f.string("title"), company=f.string("company_name"), location=place, remote_type=remote_type(place, F.concat_ws(" ", f.strings("tags")), "remote"), url=f.string("url"),
         posted_at=F.timestamp_seconds(f.number("created_at")), description=X.html_to_text(F.coalesce(f.string("description"), F.lit("")))))
 
 
 # Words that mark a role or a place in a headline.
-ROLE_WORDS = "engineer developer programmer architect manager lead designer scientist analyst director recruiter founder principal staff devops sre consultant specialist".split()
+ROLE_WORDS = (
+    "engineer", "developer", "programmer", "architect", "manager", "lead", "designer", "scientist", "analyst", "director", "recruiter", "founder", "principal", "staff", "devops", "sre",
+    "consultant", "specialist")
 CITIES = (
-    "bangalore bengaluru london paris berlin tokyo dublin singapore dubai amsterdam toronto sydney seattle austin boston chicago munich stockholm lisbon barcelona madrid zurich "
-    "hyderabad pune delhi mumbai").split() + ["new york", "san francisco"]
+    "bangalore", "bengaluru", "london", "paris", "berlin", "tokyo", "new york", "dublin", "singapore", "dubai", "amsterdam", "toronto", "sydney", "seattle", "san francisco", "austin",
+    "boston", "chicago", "munich", "stockholm", "lisbon", "barcelona", "madrid", "zurich", "hyderabad", "pune", "delhi", "mumbai")
 
 
 def headline(text: Column, cities: list[str] | None = None) -> Column:
     """struct(company, title, location, headline) of a comment's first line."""
     line = F.trim(X.html_to_text(F.regexp_replace(F.split(text, "\n")[0], "(?s)<.*$", ""), None))
-    parts = F.filter(F.transform(F.split(line, r"\|"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(line, r"\|"), lambda s: F.trim(s)), lambda s: s != "")
     first = F.trim(F.split(line, r"\|")[0])
     has = lambda s, words: F.greatest(*[F.lower(s).contains(w) for w in words])
     pick = lambda words: F.try_element_at(F.filter(parts, lambda s: has(s, words)), F.lit(1))
@@ -173,10 +212,10 @@ def forum_thread(threads: DataFrame, comments: DataFrame, cities: list[str] | No
     hiring = title.contains("who is hiring") & ~title.contains("wants to be hired") & ~title.contains("freelancer")
     story = records(threads, "hits").where(hiring).agg(F.max_by(f.id("objectID"), F.struct(f.number("created_at_i"), -F.col("pos"))).alias("story"))
     text = F.coalesce(f.string("comment_text"), F.lit(""))
-    rows = records(comments, "hits").withColumn("parent", f.id("parent_id")).join(F.broadcast(story), F.col("parent") == F.col("story")).where(F.trim(text) != "")
+    rows = records(comments, "hits").withColumn("parent", f.id("parent_id")).join(F.broadcast(story), F.col("parent") == F.col("story")).where((F.trim(text) != "") & ~F.arrays_overlap(f.strings("_tags"), F.array(F.lit("deleted"), F.lit("dead"))))
     rows = rows.withColumn("h", headline(text, cities))
     return rows.select(*posting(
-        F.col("source"), external_id=f.id("objectID"), title=F.col("h.title"), company=F.col("h.company"), location=F.col("h.location"), remote_type=remote_type(F.col("h.location"), F.lit(""), "unknown"),
+        F.col("source"), external_id=f.id("objectID"), title=F.col("h.title"), company=F.col("h.company"), location=F.col("h.location"), remote_type=remote_type(F.col("h.headline"), F.lit(""), "unknown"),
         url=F.concat(F.lit("https://news.ycombinator.com/item?id="), f.id("objectID")), posted_at=_time(f.string("created_at")), description=X.html_to_text(text)))
 
 
