@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import bpe_codec, decontaminate, html_wrapper, jaccard_join, lattice_lm, secret_scan, token_count, tool_calls, topk_search, toxicity
-from millrace.runtime import read
+from millrace.runtime import read, spread
 
 
 def tokenizer_path(name: str) -> str:
@@ -18,11 +18,11 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice_lm.op1_lattice_lm(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return lattice_lm.op1_lattice_lm(spread(read(spark, sf_dir, "documents")), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.op2_jaccard_join(read(spark, sf_dir, "documents"))
+    return jaccard_join.op2_jaccard_join(spread(read(spark, sf_dir, "documents")))
 
 
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,27 +30,27 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.op4_decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontaminate.op4_decontaminate(spread(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"))
 
 
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_codec.op5_encode_decode(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+    return bpe_codec.op5_encode_decode(spread(read(spark, sf_dir, "documents")), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.op6_secret_scan(read(spark, sf_dir, "documents"))
+    return secret_scan.op6_secret_scan(spread(read(spark, sf_dir, "documents")))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_count.op7_token_counts(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return token_count.op7_token_counts(spread(read(spark, sf_dir, "documents")), tokenizer_path("byte_bpe_50k.json"))
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_wrapper.op8_html_extraction(read(spark, sf_dir, "pages"))
+    return html_wrapper.op8_html_extraction(spread(read(spark, sf_dir, "pages")))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.op9_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return toxicity.op9_toxicity(spread(read(spark, sf_dir, "documents")), read(spark, sf_dir, "labels"))
 
 
 def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
