@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm.batches import parts
 from millrace.llm.pretok import PATTERN, PRETOKEN, Memo, boundaries, segments
 from millrace.runtime import cut, default_parallelism, ship
 
-STRIDE, OVERLAP = 200_000, 4_000
+STRIDE, OVERLAP = 32_768, 2_048
 
 
 class Codec:
@@ -81,7 +82,7 @@ def _encode_rows(df: DataFrame, ranks_path: str, digests: bool) -> DataFrame:
 
     def run(batches):
         codec = load_codec(ranks_path)
-        for b in batches:
+        for b in parts(batches):
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             counts, ids, raws = [], [], []
             for t in texts:
@@ -144,13 +145,13 @@ def encode_decode(docs: DataFrame, ranks_path: str, digests: bool = True, stride
     docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
     short = _encode_rows(docs.where(F.length("text") <= stride), ranks_path, digests)
     long = docs.where(F.length("text") > stride).withColumn("_row", F.monotonically_increasing_id())
+    long = cut(long)  # row numbers must not change when a task is repeated
     if long.isEmpty():
         return short
     return short.unionByName(_encode_long(long, ranks_path, digests, stride, overlap))
 
 
 def _encode_long(long: DataFrame, ranks_path: str, digests: bool, stride: int, overlap: int) -> DataFrame:
-    long = cut(long)  # row numbers must not change when a task is repeated
     others = [c for c in long.columns if c not in ("text", "_row")]
     n = default_parallelism(long.sparkSession)
     chunks = _chunks(long.select("_row", "text"), stride, overlap).repartition(n, "_row", "_k")
@@ -168,9 +169,9 @@ def _encode_long(long: DataFrame, ranks_path: str, digests: bool, stride: int, o
         .drop("_start", "_end")
     )
     whole = long.join(unsplit, "_row").select("_row", F.lit(0).alias("_k"), "text")
-    parts = _encode_rows(pieces.select("_row", "_k", "text").unionByName(whole), ranks_path, digests=False)
+    encoded = _encode_rows(pieces.select("_row", "_k", "text").unionByName(whole), ranks_path, digests=False)
     ordered = F.array_sort(F.collect_list(F.struct("_k", "n_tokens", "ids", F.hex("decoded").alias("hex"))))
-    got = parts.groupBy("_row").agg(ordered.alias("p"))
+    got = encoded.groupBy("_row").agg(ordered.alias("p"))
     ids = F.array_join(F.filter(F.col("p.ids"), lambda x: x != ""), " ")
     raw = F.unhex(F.array_join("p.hex", ""))
     total = F.aggregate("p.n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)

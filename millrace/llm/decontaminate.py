@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.batches import parts
 from millrace.llm.pretok import Memo
 from millrace.llm.rolling import running, windows
 from millrace.runtime import cut, packed, ship, unpacked
@@ -146,7 +147,7 @@ def documents_with_seeds(docs: DataFrame, lengths: list[int], wanted) -> DataFra
     a broadcast sorted array of seeds, or None if all count."""
     def run(batches):
         memo = new_memo()
-        for b in batches:
+        for b in parts(batches):
             at, xs, found = [], [], []
             for k, text in enumerate(b.column(1).to_pylist()):
                 x = tokens(text, memo)
@@ -193,7 +194,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, thresh
     both = pairs.join(holding.select("d", "doc_id", "x"), "d").join(items.withColumnRenamed("x", "y"), "i").select("doc_id", "item_id", "x", "y", "seed_length")
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             at, got = [], []
             for k, (x, y, n) in enumerate(zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)):
                 tiles = tile(np.array(y, np.int64), np.array(x, np.int64), n)

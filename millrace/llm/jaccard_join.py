@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.llm.batches import parts
 from millrace.llm.graph import components
 from millrace.llm.rolling import BASE, powers, running
 from millrace.runtime import cut, discard, packed, ship, unpacked
@@ -59,7 +60,7 @@ class Shingler:
     Words are hashed by differences of one running polynomial over all bytes of
     a slice of texts, n-grams by shifted sums over word hashes."""
 
-    def __init__(self, n: int, slice_bytes: int = 1 << 21):
+    def __init__(self, n: int, slice_bytes: int = 1 << 19):
         self.n, self.slice_bytes = n, slice_bytes
 
     def sets(self, raws: list[bytes | None]) -> list[np.ndarray]:
@@ -150,7 +151,7 @@ def describe(rows: DataFrame, n: int, percent: int, moved: frozenset = frozenset
     of a class once."""
     def run(batches):
         shingler, seen = Shingler(n), set()
-        for b in batches:
+        for b in parts(batches):
             out = []
             for s in shingler.sets(b.column(2).to_pylist()):
                 d = _digest(s)
@@ -195,7 +196,7 @@ def segments(texts: DataFrame, n: int, moved: frozenset) -> DataFrame:
     one row per fragment that is not empty."""
     def run(batches):
         shingler = Shingler(n)
-        for b in batches:
+        for b in parts(batches):
             cs, fs, grams = [], [], []
             for c, s in zip(b.column(0).to_pylist(), shingler.sets(b.column(1).to_pylist()), strict=True):
                 if class_id(_digest(s), moved) != c:
@@ -353,21 +354,21 @@ def links(members: DataFrame, info: DataFrame, rows: DataFrame, classes: DataFra
     first = cut(first.where(linked(most, F.col("na"), F.col("nb"), percent)).select("a", "b", "na", "nb", "part"))
     wanted = ends.join(classes.hint("merge"), "c").select("c", F.col("at.t").alias("t"), F.coalesce(F.col("at.doc_id").cast("string"), F.lit("")).alias("_id"))
     texts = rows.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).join(wanted, ["t", "_id"]).select("c", "raw")
-    parts = cut(segments(texts, n, moved).dropDuplicates(["c", "f"]))
+    kept = cut(segments(texts, n, moved).dropDuplicates(["c", "f"]))
     rest = first.select("a", "b", "na", "nb", F.explode(F.array(*[F.lit(f) for f in range(1, FRAGMENTS)])).alias("f"))
-    more = partial_overlaps(rest, parts.where("f > 0"), ["f"]).select("a", "b", "na", "nb", "part")
+    more = partial_overlaps(rest, kept.where("f > 0"), ["f"]).select("a", "b", "na", "nb", "part")
     counted = first.unionByName(more).groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("overlap"))
     edges = cut(counted.where(linked(F.col("overlap"), F.col("na"), F.col("nb"), percent)).select("a", "b"))
     discard(pairs, first)
     roots = components(edges)
     now = open_groups(members, roots)
     if now.isEmpty():
-        discard(edges, parts, now)
+        discard(edges, kept, now)
         return roots
     met = meetings(now, percent)
-    whole = parts.join(met.select("c").distinct().hint("merge"), "c").groupBy("c").agg(F.flatten(F.collect_list("grams")).alias("grams"))
+    whole = kept.join(met.select("c").distinct().hint("merge"), "c").groupBy("c").agg(F.flatten(F.collect_list("grams")).alias("grams"))
     found = cut(edges.unionByName(block_links(met, whole, percent)))
-    discard(edges, parts, now, roots, met)
+    discard(edges, kept, now, roots, met)
     out = components(found)
     discard(found)
     return out

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm.batches import parts
 from millrace.runtime import ship
 
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
@@ -238,8 +239,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, max_docs: int =
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
     shares = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).first()
-    parts = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs // 2) for c in (0, 1)]
-    sample = F.broadcast(parts[0].unionByName(parts[1]))  # max_docs rows of two numbers
+    classes = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs // 2) for c in (0, 1)]
+    sample = F.broadcast(classes[0].unionByName(classes[1]))  # max_docs rows of two numbers
     rows = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     # sorted in Spark: the order decides which of two near copies stays
     got = ((r.text, r.toxic) for r in rows.orderBy("doc_id").coalesce(1).toLocalIterator())  # max_docs rows
@@ -256,7 +257,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out_col
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in parts(batches):
             texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([m.score(t) for t in texts], pa.float64())], names=[*b.schema.names, out_col])
 
