@@ -313,9 +313,10 @@ def meetings(now: DataFrame, percent: int) -> DataFrame:
     band = F.floor(F.ln(F.any_value("n")) / ratio).cast("long")
     own = cut(now.groupBy("c").agg(F.min("s").alias("s"), weight.alias("w"), band.alias("band")).withColumn("key", F.xxhash64("s", "band")))
     keys = own.groupBy("key").agg(F.sum("w").alias("of_key"))
-    buckets = max(1, math.ceil(own.agg(F.sum("w")).first()[0] or 0))
+    of_band = own.groupBy("band").agg(F.ceil(F.sum("w")).cast("long").alias("n")).collect()  # one row per order of size
+    buckets = F.element_at(F.create_map(*[F.lit(x).cast("long") for r in of_band for x in (r.band, r.n)]), F.col("band"))
     part = F.pmod(F.xxhash64("c"), F.ceil("of_key").cast("long"))
-    k = F.when(F.col("of_key") > 1, F.xxhash64("key", part)).otherwise(F.xxhash64(F.pmod("key", F.lit(buckets).cast("long")), "band"))
+    k = F.when(F.col("of_key") > 1, F.xxhash64("key", part)).otherwise(F.xxhash64(F.pmod(F.col("key"), buckets), "band"))
     blocks = own.join(keys.hint("merge"), "key").select("c", k.bitwiseAND(F.lit(~BANDS)).bitwiseOR(F.col("band")).alias("k"))
     largest = now.groupBy("s", "root").agg(F.count("*").alias("n")).groupBy("s").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
     rows = now.select("s", "c", "root").join(blocks.hint("merge"), "c").join(largest.hint("merge"), "s").select("s", "c", "k", (F.col("root") != F.col("largest")).alias("apart"))
@@ -323,8 +324,9 @@ def meetings(now: DataFrame, percent: int) -> DataFrame:
     of_group = rows.groupBy("s").agg(F.collect_set("k").alias("every"), F.collect_set(F.when(F.col("apart"), F.col("k"))).alias("others"))
     near = lambda x: F.abs(x.bitwiseAND(F.lit(BANDS)) - F.col("k").bitwiseAND(F.lit(BANDS))) <= 1
     wanted = F.filter(F.when(F.col("apart"), F.col("every")).otherwise(F.col("others")), near)
-    met = rows.join(of_group.hint("merge"), "s").select("c", "k", F.explode(wanted).alias("x"))
-    return cut(met.distinct())
+    # blocks are gathered per set before they become rows: a set has few groups, and alike groups the same blocks
+    met = rows.join(of_group.hint("merge"), "s").select("c", "k", wanted.alias("xs")).groupBy("c", "k").agg(F.array_distinct(F.flatten(F.collect_set("xs"))).alias("xs"))
+    return cut(met.select("c", "k", F.explode("xs").alias("x")))
 
 
 def block_links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
