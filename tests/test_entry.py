@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from millrace.plans import registry
+from millrace.plans import feeds, records, registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -22,7 +22,8 @@ def plain(rows):
     return sorted([tuple(map(f, r)) for r in rows], key=repr)
 
 
-@pytest.mark.parametrize("name", ["filter_first_reason", "filter_funnel", "daily_ranking", "best_copy_per_key", "insert_if_absent", "company_upsert", "usage_by_day", "attempt_cap", "run_status", "phrase_filter", "normalised_words", "url_check", "letter_rule_codes"])
+@pytest.mark.parametrize("name", ["filter_first_reason", "filter_funnel", "daily_ranking", "best_copy_per_key", "insert_if_absent", "company_upsert", "usage_by_day", "attempt_cap", "run_status", "phrase_filter", "normalised_words", "url_check", "letter_rule_codes", "secret_scrub",
+    "sections_of_doc", *feeds.QUERIES, *records.QUERIES])
 def test_query_equals_sql(spark, db, name):
     got = registry.QUERIES[name](spark, SF)
     expected = db.sql(registry.ORACLE[name])
