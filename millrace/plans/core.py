@@ -59,8 +59,9 @@ def best_copy_per_key(spark, sf_dir):
 
 
 def keep_first_per_id(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select(F.substring(X.normalise(F.col("text")), 1, 40).alias("start"), "doc_id", "source")
-    return dedupe.keep_first(rows, ["start"], ["doc_id"])
+    """One row per document id, the first by the hash of its whole text."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.md5(X.normalise(F.col("text"))).alias("norm_md5"), "source")
+    return dedupe.keep_first(rows, ["doc_id"], ["norm_md5", "source"])
 
 
 def keep_first_per_text(spark, sf_dir):
@@ -116,7 +117,8 @@ def retained_outcomes(spark, sf_dir):
     return decided(spark, sf_dir, "id % 2 = 0").select("id", "outcome")
 
 
-def insert_if_absent(spark, sf_dir, incoming="id % 3 = 0"):
+def insert_if_absent(spark, sf_dir, incoming="id % 4 <> 0"):
+    """Every row is stored (even ids), comes in (ids not divisible by 4) or both."""
     rows = postings(spark, sf_dir).select(*SLIM)
     old = rows.where("id % 2 = 0").withColumn("batch", F.lit("old"))
     new = rows.where(incoming).withColumn("batch", F.lit("new"))
@@ -130,7 +132,7 @@ def insert_if_absent_whole(spark, sf_dir):
     return insert_if_absent(spark, sf_dir, "true")
 
 
-def insert_report(spark, sf_dir, incoming="id % 3 = 0"):
+def insert_report(spark, sf_dir, incoming="id % 4 <> 0"):
     rows = postings(spark, sf_dir).select(*SLIM)
     new = rows.where(incoming).withColumn("title", F.when(F.col("id") % 33 == 0, F.lit(None)).otherwise(F.col("title")))
     return state.insert_if_absent(rows.where("id % 2 = 0"), new, ["source", "external_id"], ["id"], ["title", "company"]).report
@@ -151,7 +153,8 @@ def reset_for_reevaluation(spark, sf_dir):
     return out.groupBy("status", F.col("reason").isNull().alias("no_reason"), F.col("usd_max").isNull().alias("no_usd")).agg(F.count("*").alias("n"), F.sum("score").alias("score"))
 
 
-def company_upsert(spark, sf_dir, incoming="c_custkey % 3 = 0"):
+def company_upsert(spark, sf_dir, incoming="c_custkey % 4 <> 0"):
+    """Every customer is stored (even keys), comes in (keys not divisible by 4) or both."""
     c = read(spark, sf_dir, "customer")
     old = c.where("c_custkey % 2 = 0").select(F.col("c_name").alias("name"), (F.col("c_custkey") % 4 == 0).alias("is_gcc"), F.lit(False).alias("is_preferred"), (F.col("c_custkey") % 10 == 0).alias("is_blocked"), F.lit("2001-01-01").alias("first_seen"))
     new = c.where(incoming).select(
@@ -270,8 +273,8 @@ ORACLE = {
     "best_copy_per_key": f"""WITH postings AS ({ORACLE_POSTINGS}), k AS (SELECT *, {_KEY.format('title')} AS dedupe_key FROM postings)
         SELECT dedupe_key, id AS best_id FROM (SELECT dedupe_key, id, row_number() OVER (PARTITION BY dedupe_key ORDER BY description_is_snippet, length(description) DESC,
         CASE source WHEN 's1' THEN 0 WHEN 's2' THEN 1 WHEN 's3' THEN 2 ELSE 3 END, id) AS rn FROM k) WHERE rn = 1""",
-    "keep_first_per_id": f"""SELECT start, doc_id, source FROM (SELECT substr({_norm('text')}, 1, 40) AS start, doc_id, source,
-        row_number() OVER (PARTITION BY substr({_norm('text')}, 1, 40) ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1""",
+    "keep_first_per_id": f"""SELECT doc_id, norm_md5, source FROM (SELECT doc_id, md5({_norm('text')}) AS norm_md5, source,
+        row_number() OVER (PARTITION BY doc_id ORDER BY md5({_norm('text')}), source) AS rn FROM documents) WHERE rn = 1""",
     "keep_first_per_text": f"""SELECT norm_md5, doc_id, source FROM (SELECT md5({_norm('text')}) AS norm_md5, doc_id, source,
         row_number() OVER (PARTITION BY {_norm('text')} ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1""",
     "keep_first_per_url": "SELECT url, min(page_id) AS page_id FROM pages GROUP BY 1",
@@ -281,12 +284,12 @@ ORACLE = {
         SELECT *, row_number() OVER (ORDER BY score DESC, company_preferred DESC, coalesce(posted_at, fetched_at) DESC, id) AS rank FROM scored WHERE id % 17 <> 0) WHERE rank <= 15""",
     "currency_convert": f"WITH postings AS ({ORACLE_POSTINGS}) SELECT currency, count(*) AS n, round(sum(salary_min * {_RATE}), 2) AS usd FROM postings GROUP BY 1",
     "insert_if_absent": f"""WITH rows AS ({ORACLE_POSTINGS}), fresh AS (
-        SELECT id, source, CASE WHEN id % 33 = 0 THEN NULL ELSE title END AS title, 'new' AS batch FROM rows WHERE id % 3 = 0)
+        SELECT id, source, CASE WHEN id % 33 = 0 THEN NULL ELSE title END AS title, 'new' AS batch FROM rows WHERE id % 4 <> 0)
         SELECT id, source, title, 'old' AS batch FROM rows WHERE id % 2 = 0
         UNION ALL SELECT * FROM fresh WHERE id % 2 <> 0 AND title IS NOT NULL""",
     "insert_report": """SELECT count(*) AS received, count(*) FILTER (o_orderkey % 2 <> 0 AND o_orderkey % 33 <> 0) AS inserted,
         count(*) FILTER (o_orderkey % 2 = 0 AND o_orderkey % 33 <> 0) AS duplicates, count(*) FILTER (o_orderkey % 33 = 0) AS violations
-        FROM orders WHERE o_orderkey % 3 = 0""",
+        FROM orders WHERE o_orderkey % 4 <> 0""",
     "retained_outcomes": DECIDED + """ SELECT id, CASE WHEN outcome = 'shortlisted' AND EXISTS (
         SELECT 1 FROM evaluated k WHERE k.passed AND k.id % 2 = 0 AND k.dedupe_key = d.dedupe_key AND k.id <> d.id) THEN 'duplicate' ELSE outcome END AS outcome FROM decided d""",
     "insert_if_absent_whole": f"""WITH rows AS ({ORACLE_POSTINGS})
@@ -300,7 +303,7 @@ ORACLE = {
     "reset_for_reevaluation": EVALUATED + """, s AS (SELECT *, CASE WHEN passed AND id % 3 = 0 THEN id % 101 END AS score FROM evaluated)
         SELECT CASE WHEN score IS NULL THEN 'new' ELSE 'shortlisted' END AS status, true AS no_reason, score IS NULL OR usd_max IS NULL AS no_usd, count(*) AS n, CAST(sum(score) AS BIGINT) AS score FROM s GROUP BY 1, 2, 3""",
     "company_upsert": """WITH o AS (SELECT lower(c_name) AS k, c_name AS name, c_custkey % 4 = 0 AS g, false AS p, c_custkey % 10 = 0 AS b FROM customer WHERE c_custkey % 2 = 0),
-        n AS (SELECT lower(c_name) AS k, upper(c_name) AS name, c_custkey % 2 = 0 AS given FROM customer WHERE c_custkey % 3 = 0)
+        n AS (SELECT lower(c_name) AS k, upper(c_name) AS name, c_custkey % 2 = 0 AS given FROM customer WHERE c_custkey % 4 <> 0)
         SELECT k AS name_key, coalesce(n.name, o.name) AS name,
           CASE WHEN n.given THEN true WHEN o.k IS NOT NULL THEN o.g END AS is_gcc, CASE WHEN n.given THEN NULL WHEN o.k IS NOT NULL THEN o.p END AS is_preferred,
           CASE WHEN n.given THEN false WHEN o.k IS NOT NULL THEN o.b END AS is_blocked, CASE WHEN o.k IS NOT NULL THEN '2001-01-01' ELSE '2001-08-02' END AS first_seen

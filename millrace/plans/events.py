@@ -7,7 +7,9 @@ from uuid import uuid4
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators import reports, scoring, state
+from millrace.operators import dedupe, filters, reports, scoring, state
+from millrace.plans import core
+from millrace.plans.postings import NOW, RULES, SOURCE_ORDER, postings
 from millrace.runtime import read
 from millrace.streaming import jobs
 
@@ -93,8 +95,30 @@ def stream_minimum_interval(spark, sf_dir):
     return out.groupBy("event_type").agg(F.count("*").alias("accepted"))
 
 
+def stream_filter(spark, sf_dir):
+    """The rules on a stream of orders: the same column expressions; the smaller
+    tables are joined as they stand.  Only copies need the whole table: the best
+    one per key is chosen from the rows written."""
+    orders = jobs.read_table(spark, f"{sf_dir}/orders.parquet")
+    rows = dedupe.with_key(filters.evaluate(filters.with_companies(postings(spark, sf_dir, orders=orders)), RULES, NOW))
+    rows = rows.withColumn("description_length", F.col("description_facts.length"))
+    slim = rows.select("id", "source", "passed", "reason", "dedupe_key", "description_length", "description_is_snippet")
+    done = jobs.run_to_table(slim, _table("filter"), "append")
+    best = dedupe.best_ids(done.where("passed"), SOURCE_ORDER).select(F.col("best_id").alias("id"), F.lit(True).alias("best"))
+    return done.join(best, "id", "left").select("id", "passed", "reason", F.coalesce("best", F.lit(False)).alias("best"))
+
+
+def stream_retention(spark, sf_dir):
+    """Orders as a stream into a table that keeps 1500 days, and what was sent."""
+    rows = jobs.read_table(spark, f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), "o_orderpriority", (F.col("o_orderdate").cast("timestamp") + F.expr("interval 1 day")).alias("fetched_at"))
+    rows = rows.select("id", "fetched_at", F.concat(F.lit("s"), F.substring("o_orderpriority", 1, 1)).alias("source"))
+    sent = read(spark, sf_dir, "orders").where("o_orderkey % 17 = 0").select(F.col("o_orderkey").alias("id"))
+    kept = jobs.retained(rows, _table("retention"), lambda table: state.purge(table, sent, NOW, 1500).result)
+    return kept.groupBy("source").agg(F.count("*").alias("kept"), F.sum(F.col("id") % 1000).alias("check_sum"))
+
+
 QUERIES = {f.__name__: f for f in (
-    usage_by_day, usage_by_month, budget_gate, usage_added, latest_state, attempt_cap, first_valid_attempt, run_status, json_props, stream_usage, stream_first_event, stream_attempts, stream_minimum_interval)}
+    usage_by_day, usage_by_month, budget_gate, usage_added, latest_state, attempt_cap, first_valid_attempt, run_status, json_props, stream_usage, stream_first_event, stream_attempts, stream_minimum_interval, stream_filter, stream_retention)}
 
 _ATTEMPTS = """SELECT user_id, event_id, ts, event_type <> 'error' AS ok,
     sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM events"""
@@ -116,4 +140,14 @@ ORACLE = {
     "stream_usage": _DAYS,
     "stream_first_event": "SELECT user_id, CAST(1 AS BIGINT) AS n FROM events GROUP BY 1",
     "stream_attempts": f"SELECT user_id, max(failed_attempts) AS worst, count(*) FILTER (failed_attempts >= 3) AS n_final FROM ({_COUNTED}) GROUP BY 1",
+    "stream_minimum_interval": """WITH RECURSIVE accepted AS (
+          SELECT event_type, min(ts) AS ts FROM events GROUP BY 1
+          UNION ALL
+          SELECT a.event_type, min(e.ts) FROM accepted a JOIN events e ON e.event_type = a.event_type AND e.ts >= a.ts + INTERVAL 60 MINUTE GROUP BY a.event_type)
+        SELECT event_type, count(*) AS accepted FROM accepted GROUP BY 1""",
+    "stream_filter": core.EVALUATED + """, best AS (
+          SELECT id FROM evaluated WHERE passed QUALIFY row_number() OVER (PARTITION BY dedupe_key ORDER BY description_is_snippet, length(description) DESC,
+            CASE source WHEN 's1' THEN 0 WHEN 's2' THEN 1 WHEN 's3' THEN 2 ELSE 3 END, id) = 1)
+        SELECT id, passed, reason, id IN (SELECT id FROM best) AS best FROM evaluated""",
+    "stream_retention": core.ORACLE["purge_retention"],
 }

@@ -22,11 +22,15 @@ CHUNK = 100_000  # rows per frame handed back
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet table (one file or a folder of them) as a stream of its files,
-    with ts as event time.  The path is given as a pattern, since a file source
-    takes no single file otherwise."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(f"{path}*").withColumn("ts", F.col("ts").cast("timestamp"))
+    """``read_table`` with ts as event time."""
+    return read_table(spark, path).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table (one file or a folder of them) as a stream of its files.
+    The path is given as a pattern, since a file source takes no single file
+    otherwise."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
 
 
 def daily_usage(events: DataFrame, source: str, late: str = "1 day") -> DataFrame:
@@ -108,6 +112,17 @@ def merge_batches(stream: DataFrame, path: str, checkpoint: str, merge: Callable
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def retained(stream: DataFrame, name: str, purge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run a finite stream into a table from which ``purge`` drops what has
+    expired, batch by batch, and read the last version of the table."""
+    spark = stream.sparkSession
+    at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    q = merge_batches(stream, f"{at}/rows", f"{at}/state", lambda before, batch: purge(batch if before is None else before.unionByName(batch)))
+    q.awaitTermination()
+    last = (q.lastProgress or {}).get("batchId")
+    return spark.createDataFrame([], stream.schema) if last is None else spark.read.schema(stream.schema).parquet(f"{at}/rows/v={last}")
+
+
 def run_to_table(stream: DataFrame, name: str, mode: str) -> DataFrame:
     """Run a finite stream to its end and read its rows back.  Rows and the
     stream's checkpoint lie under ``spark.checkpoint.dir``; a complete result

@@ -10,7 +10,7 @@ from millrace.streaming import jobs
 from test_entry import SF, db, plain  # noqa: F401
 
 
-@pytest.mark.parametrize("name", ["stream_usage", "stream_first_event", "stream_attempts"])
+@pytest.mark.parametrize("name", ["stream_usage", "stream_first_event", "stream_attempts", "stream_minimum_interval", "stream_filter", "stream_retention"])
 def test_stream_equals_sql(spark, db, name):  # noqa: F811
     frame, expected = registry.QUERIES[name](spark, SF), db.sql(registry.ORACLE[name])
     assert plain([tuple(r[c] for c in expected.columns) for r in frame.collect()]) == plain(expected.fetchall())

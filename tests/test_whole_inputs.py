@@ -14,23 +14,21 @@ def same(spark, db, name):  # noqa: F811
     return rows
 
 
-@pytest.mark.parametrize("name", ["keep_first_per_text", "keep_first_per_url"])
+@pytest.mark.parametrize("name", ["keep_first_per_id", "keep_first_per_text", "keep_first_per_url"])
 def test_keep_first_by_whole_keys(spark, db, name):  # noqa: F811
     rows = same(spark, db, name)
-    table, key = {"keep_first_per_text": ("documents", "text"), "keep_first_per_url": ("pages", "url")}[name]
-    if name == "keep_first_per_text":  # more than the 40-character starts keep
-        assert len(rows) > registry.QUERIES["keep_first_per_id"](spark, SF).count()
+    table, key = {"keep_first_per_id": ("documents", "doc_id"), "keep_first_per_text": ("documents", "text"), "keep_first_per_url": ("pages", "url")}[name]
     assert len(rows) <= db.sql(f"SELECT count(DISTINCT {key}) FROM {table}").fetchall()[0][0]
 
 
-@pytest.mark.parametrize("name", ["insert_if_absent_whole", "insert_report_whole", "company_upsert_whole", "retained_outcomes"])
+@pytest.mark.parametrize("name", ["insert_if_absent", "insert_report", "company_upsert", "insert_if_absent_whole", "insert_report_whole", "company_upsert_whole", "retained_outcomes"])
 def test_whole_tables(spark, db, name):  # noqa: F811
     rows = same(spark, db, name)
     orders, customers = (db.sql(f"SELECT count(*) FROM {t}").fetchall()[0][0] for t in ("orders", "customer"))
     if name == "insert_report_whole":
         assert int(rows[0][2]) == orders  # received
-    else:
-        assert len(rows) >= 0.98 * {"company_upsert_whole": customers}.get(name, orders)
+    elif name != "insert_report":
+        assert len(rows) >= 0.98 * {"company_upsert": customers, "company_upsert_whole": customers}.get(name, orders)
 
 
 def test_retained_keys_make_duplicates(spark):
@@ -52,7 +50,7 @@ def test_retained_keys_make_duplicates(spark):
 def test_passages_are_whole_texts(spark, db):  # noqa: F811
     from millrace.plans import corpus
 
-    assert same(spark, db, "passage_search")
+    assert same(spark, db, "excerpt_search")
     start = "one two three four five six seven eight n"
     docs = spark.createDataFrame([(1, f"x {start}ine ten"), (2, f"x {start}o"), (3, "blue sky")], "doc_id long, t string")
     items = spark.createDataFrame([(1, f"{start}ine"), (2, "ue sky"), (3, "two three fourteen")], "item_id long, e string")
