@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe_codec, decontaminate, html_wrapper, jaccard_join, lattice_lm, secret_scan, token_count, tool_calls, topk_search, toxicity
+from millrace.llm import bpe_codec, decontaminate, html_wrapper, jaccard_join, lattice_lm, secret_scan, spelling, token_count, tool_calls, topk_search, toxicity, url_rules
 from millrace.runtime import read, spread
 
 
@@ -57,6 +57,14 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.op10_tool_calls(read(spark, sf_dir, "conversations"))
 
 
+def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.op12_url_rules(read(spark, sf_dir, "pages"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.op13_spelling_variants(spread(read(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice_lm": op1_lattice_lm,
     "op2_jaccard_join": op2_jaccard_join,
@@ -68,9 +76,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_toxicity": op9_toxicity,
     "op10_tool_calls": op10_tool_calls,
+    "op12_url_rules": op12_url_rules,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE: dict[str, str] = {
     "op3_topk_search": topk_search.ORACLE_SQL,
     "op10_tool_calls": tool_calls.ORACLE_SQL,
+    "op12_url_rules": url_rules.ORACLE_SQL,
 }
