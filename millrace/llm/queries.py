@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe_codec, decontaminate, html_wrapper, jaccard_join, lattice_lm, secret_scan, spelling, token_count, tool_calls, topk_search, toxicity, url_rules
+from millrace.llm import bpe_codec, collocations, decontaminate, html_wrapper, jaccard_join, lattice_lm, secret_scan, spelling, token_count, tool_calls, topk_search, toxicity, url_rules
 from millrace.runtime import read, spread
 
 
@@ -57,6 +57,10 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.op10_tool_calls(read(spark, sf_dir, "conversations"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.op11_collocations(spread(read(spark, sf_dir, "documents")))
+
+
 def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.op12_url_rules(read(spark, sf_dir, "pages"))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_toxicity": op9_toxicity,
     "op10_tool_calls": op10_tool_calls,
+    "op11_collocations": op11_collocations,
     "op12_url_rules": op12_url_rules,
     "op13_spelling_variants": op13_spelling_variants,
 }
@@ -83,5 +88,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op3_topk_search": topk_search.ORACLE_SQL,
     "op10_tool_calls": tool_calls.ORACLE_SQL,
+    "op11_collocations": collocations.ORACLE_SQL,
     "op12_url_rules": url_rules.ORACLE_SQL,
 }
