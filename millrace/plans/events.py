@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
 from uuid import uuid4
 
 from pyspark.sql import DataFrame
@@ -9,9 +10,9 @@ from pyspark.sql import functions as F
 
 from millrace.operators import dedupe, filters, reports, scoring, state
 from millrace.plans import core
-from millrace.plans.postings import NOW, RULES, SOURCE_ORDER, postings
-from millrace.runtime import read
-from millrace.streaming import jobs
+from millrace.plans.postings import NOW, RULES, SOURCE_ORDER, described, postings
+from millrace.runtime import cut, read
+from millrace.streaming import jobs, ordered, tables
 
 
 def events(spark, sf_dir) -> DataFrame:
@@ -84,41 +85,101 @@ def stream_first_event(spark, sf_dir):
     return out.groupBy("user_id").agg(F.count("*").alias("n"))
 
 
+def _in_turn(spark, sf_dir, parts: int = 4) -> jobs.Arrivals:
+    """The events in order of time, a fraction of the time they span in each
+    batch."""
+    rows = events(spark, sf_dir)
+    at = F.unix_micros("ts")
+    lo, hi = rows.agg(F.min(at), F.max(at)).first()
+    if lo is None:
+        return jobs.Arrivals(rows, [F.lit(True)], "events")
+    part = F.floor((at - lo) * parts / (hi - lo + 1))
+    return jobs.Arrivals(rows, [part == i for i in range(parts)], "events")
+
+
+def stream_insert_absent(spark, sf_dir):
+    """First event per user and type as they arrive, in four batches that each
+    span all of the time: no watermark, every duplicate is found."""
+    rows = events(spark, sf_dir).select("user_id", "event_type", "event_id", "value")
+    coming = jobs.Arrivals(rows, [F.col("event_id") % 4 == i for i in range(4)], "absent")
+
+    def step(at: str, batch: DataFrame, k: int) -> None:
+        table = tables.BucketTable(spark, f"{at}/table", rows.schema, ["user_id", "event_type"])
+        tables.insert_absent(table, k, batch, ["event_id"], f"{at}/report")
+
+    at, last = jobs.run_batches(coming.stream, "absent", step, coming)
+    return tables.BucketTable(spark, f"{at}/table", rows.schema, ["user_id", "event_type"]).read(last)
+
+
+def stream_closed_days(spark, sf_dir):
+    """Days closed by the watermark, and events that came after that: the events
+    whose id 50 divides come last of all."""
+    rows = events(spark, sf_dir).select("event_id", "event_type", "ts")
+    late = F.col("event_id") % 50 == 0
+    coming = jobs.Arrivals(rows, [~late, late], "days")
+    with ordered.rocksdb(spark):
+        out = jobs.run_to_table(ordered.closed_days(coming.stream, "event_type", "event_id"), _table("days"), "append", coming)
+    counts = out.groupBy("event_type", "day").agg(F.sum(F.when(~F.col("late"), F.col("call_count"))).alias("closed"), F.count_if("late").alias("late"), F.sum(F.when(F.col("late"), F.col("id"))).alias("late_ids"))
+    return _text(counts, "day")
+
+
 def stream_attempts(spark, sf_dir):
-    rows = _stream(spark, sf_dir).withColumn("ok", F.col("event_type") != "error")
-    out = jobs.run_to_table(jobs.attempts(rows, "user_id", "ok"), _table("attempts"), "append")
-    return out.groupBy("user_id").agg(F.max("failed_attempts").alias("worst"), F.count_if("final").alias("n_final"))
+    coming = _in_turn(spark, sf_dir)
+    rows = coming.stream.withColumn("ok", F.col("event_type") != "error")
+    with ordered.rocksdb(spark):
+        out = jobs.run_to_table(ordered.attempts(rows, "user_id", "event_id", "ok", slot=1440 * ordered.MINUTE), _table("attempts"), "append", coming)
+    return out.groupBy(F.col("key").alias("user_id")).agg(F.max("failed_attempts").alias("worst"), F.count_if("final").alias("n_final"))
 
 
 def stream_minimum_interval(spark, sf_dir):
-    out = jobs.run_to_table(jobs.minimum_interval(_stream(spark, sf_dir), "event_type", 60), _table("interval"), "append")
-    return out.groupBy("event_type").agg(F.count("*").alias("accepted"))
+    coming = _in_turn(spark, sf_dir)
+    with ordered.rocksdb(spark):
+        out = jobs.run_to_table(ordered.minimum_interval(coming.stream, "event_type", "event_id", 60), _table("interval"), "append", coming)
+    return out.groupBy(F.col("key").alias("event_type")).agg(F.count("*").alias("accepted"), F.count_if("late").alias("late"))
 
 
 def stream_filter(spark, sf_dir):
     """The rules on a stream of orders: the same column expressions; the smaller
-    tables are joined as they stand.  Only copies need the whole table: the best
-    one per key is chosen from the rows written."""
-    orders = jobs.read_table(spark, f"{sf_dir}/orders.parquet")
-    rows = dedupe.with_key(filters.evaluate(filters.with_companies(postings(spark, sf_dir, orders=orders)), RULES, NOW))
+    tables are joined as they stand.  The best copy per key is kept up as orders
+    come: a better copy demotes the stored one."""
+    coming = jobs.Arrivals(read(spark, sf_dir, "orders"), [F.col("o_orderkey") % 3 == i for i in range(3)], "orders")
+    documents = cut(described(spark, sf_dir))
+    rows = dedupe.with_key(filters.evaluate(filters.with_companies(postings(spark, sf_dir, orders=coming.stream, documents=documents)), RULES, NOW))
     rows = rows.withColumn("description_length", F.col("description_facts.length"))
-    slim = rows.select("id", "source", "passed", "reason", "dedupe_key", "description_length", "description_is_snippet")
-    done = jobs.run_to_table(slim, _table("filter"), "append")
-    best = dedupe.best_ids(done.where("passed"), SOURCE_ORDER).select(F.col("best_id").alias("id"), F.lit(True).alias("best"))
-    return done.join(best, "id", "left").select("id", "passed", "reason", F.coalesce("best", F.lit(False)).alias("best"))
+    slim = rows.select("id", "passed", "reason", "dedupe_key", dedupe.quality(SOURCE_ORDER).alias("best"))
+    best = slim.select("dedupe_key", "best").schema
+
+    def step(at: str, batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/rows/{k}")
+        batch = spark.read.schema(slim.schema).parquet(f"{at}/rows/{k}")
+        tables.keep_best(tables.BucketTable(spark, f"{at}/best", best, ["dedupe_key"]), k, batch.where("passed").select("dedupe_key", "best"), f"{at}/changes")
+
+    at, last = jobs.run_batches(slim, "filter", step, coming)
+    if last < 0:
+        return spark.createDataFrame([], slim.select("id", "passed", "reason", F.lit(True).alias("best")).schema)
+    done = spark.read.schema(slim.schema).parquet(*[f"{at}/rows/{k}" for k in range(last + 1)])
+    changes = spark.read.parquet(*[f"{at}/changes/{k}" for k in range(last + 1)])
+    now = changes.groupBy("id").agg(F.sum("change").alias("n"))
+    return done.join(now, "id", "left").select("id", "passed", "reason", (F.coalesce("n", F.lit(0)) == 1).alias("best"))
 
 
 def stream_retention(spark, sf_dir):
-    """Orders as a stream into a table that keeps 1500 days, and what was sent."""
-    rows = jobs.read_table(spark, f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), "o_orderpriority", (F.col("o_orderdate").cast("timestamp") + F.expr("interval 1 day")).alias("fetched_at"))
-    rows = rows.select("id", "fetched_at", F.concat(F.lit("s"), F.substring("o_orderpriority", 1, 1)).alias("source"))
+    """Orders as a stream into a table by day that keeps 1500 days, and what was
+    sent; the clock goes on by 200 days per batch and ends at ``NOW``."""
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("s"), F.substring("o_orderpriority", 1, 1)).alias("source"), (F.col("o_orderdate").cast("timestamp") + F.expr("interval 1 day")).alias("fetched_at"))
     sent = read(spark, sf_dir, "orders").where("o_orderkey % 17 = 0").select(F.col("o_orderkey").alias("id"))
-    kept = jobs.retained(rows, _table("retention"), lambda table: state.purge(table, sent, NOW, 1500).result)
+    coming = jobs.Arrivals(rows, [F.col("id") % 3 == i for i in range(3)], "retention")
+
+    def step(at: str, batch: DataFrame, k: int) -> None:
+        tables.DayTable(spark, f"{at}/table", rows.schema, "fetched_at", 1500).add(k, batch, sent, min(NOW, NOW - timedelta(days=200 * (2 - k))))
+
+    at, _ = jobs.run_batches(coming.stream, "retention", step, coming)
+    kept = tables.DayTable(spark, f"{at}/table", rows.schema, "fetched_at", 1500).read()
     return kept.groupBy("source").agg(F.count("*").alias("kept"), F.sum(F.col("id") % 1000).alias("check_sum"))
 
 
 QUERIES = {f.__name__: f for f in (
-    usage_by_day, usage_by_month, budget_gate, usage_added, latest_state, attempt_cap, first_valid_attempt, run_status, json_props, stream_usage, stream_first_event, stream_attempts, stream_minimum_interval, stream_filter, stream_retention)}
+    usage_by_day, usage_by_month, budget_gate, usage_added, latest_state, attempt_cap, first_valid_attempt, run_status, json_props, stream_usage, stream_closed_days, stream_first_event, stream_insert_absent, stream_attempts, stream_minimum_interval, stream_filter, stream_retention)}
 
 _ATTEMPTS = """SELECT user_id, event_id, ts, event_type <> 'error' AS ok,
     sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM events"""
@@ -139,12 +200,18 @@ ORACLE = {
     "json_props": "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1",
     "stream_usage": _DAYS,
     "stream_first_event": "SELECT user_id, CAST(1 AS BIGINT) AS n FROM events GROUP BY 1",
-    "stream_attempts": f"SELECT user_id, max(failed_attempts) AS worst, count(*) FILTER (failed_attempts >= 3) AS n_final FROM ({_COUNTED}) GROUP BY 1",
+    "stream_insert_absent": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id % 4, event_id) = 1",
+    "stream_closed_days": """WITH marked AS (SELECT event_id, event_type, CAST(ts AS DATE) AS day, event_id % 50 = 0 AS last_of_all, max(ts) FILTER (event_id % 50 <> 0) OVER () AS first_clock, max(ts) OVER () AS clock FROM events),
+        told AS (SELECT *, last_of_all AND day + INTERVAL 1 DAY <= first_clock - INTERVAL 1 DAY AS late, day + INTERVAL 1 DAY <= clock - INTERVAL 1 DAY AS closed FROM marked)
+        SELECT event_type, CAST(day AS VARCHAR) AS day, CASE WHEN count(*) FILTER (NOT late) > 0 THEN count(*) FILTER (NOT late) END AS closed, count(*) FILTER (late) AS late, sum(event_id) FILTER (late)::BIGINT AS late_ids
+        FROM told WHERE closed GROUP BY event_type, day""",
+    "stream_attempts": f"""SELECT c.user_id, max(failed_attempts) AS worst, count(*) FILTER (failed_attempts >= 3) AS n_final FROM ({_COUNTED}) c JOIN events e USING (event_id)
+        WHERE date_trunc('day', e.ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1""",
     "stream_minimum_interval": """WITH RECURSIVE accepted AS (
           SELECT event_type, min(ts) AS ts FROM events GROUP BY 1
           UNION ALL
           SELECT a.event_type, min(e.ts) FROM accepted a JOIN events e ON e.event_type = a.event_type AND e.ts >= a.ts + INTERVAL 60 MINUTE GROUP BY a.event_type)
-        SELECT event_type, count(*) AS accepted FROM accepted GROUP BY 1""",
+        SELECT event_type, count(*) AS accepted, CAST(0 AS BIGINT) AS late FROM accepted WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1""",
     "stream_filter": core.EVALUATED + """, best AS (
           SELECT id FROM evaluated WHERE passed QUALIFY row_number() OVER (PARTITION BY dedupe_key ORDER BY description_is_snippet, length(description) DESC,
             CASE source WHEN 's1' THEN 0 WHEN 's2' THEN 1 WHEN 's3' THEN 2 ELSE 3 END, id) = 1)

@@ -38,12 +38,16 @@ LEFT JOIN {documents} d ON d.doc_id = o.o_orderkey % (SELECT count(*) FROM {docu
 ORACLE_POSTINGS = POSTINGS_SQL.format(extra="", **{t: t for t in TABLES})
 
 
+def described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with what the rules read from them."""
+    return spread(read(spark, sf_dir, "documents")).withColumn("facts", description_facts(F.col("text"), RULES))
+
+
 def postings(spark: SparkSession, sf_dir: str, **instead: DataFrame) -> DataFrame:
     """The derived postings; what the rules read from a description is found once
     per document, before many postings share it.  ``instead`` replaces tables,
     for example by a stream of orders."""
-    tables = {t: read(spark, sf_dir, t) for t in TABLES} | instead
-    tables["documents"] = spread(tables["documents"]).withColumn("facts", description_facts(F.col("text"), RULES))
+    tables = {t: read(spark, sf_dir, t) for t in TABLES} | {"documents": described(spark, sf_dir)} | instead
     df = spark.sql(POSTINGS_SQL.replace("{extra}", "d.facts AS description_facts, "), **tables)
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ("posted_at", "fetched_at")})
 

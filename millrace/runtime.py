@@ -48,11 +48,12 @@ def shared_folder(spark: SparkSession) -> str:
                 raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = tempfile.mkdtemp(prefix="spark-")
         _FOLDERS[app] = f"{base.rstrip('/')}/millrace-{app}"
-        atexit.register(_delete, spark, _FOLDERS[app])
+        atexit.register(delete, spark, _FOLDERS[app])
     return _FOLDERS[app]
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder in any file system that Spark knows, if it is there."""
     sc = spark.sparkContext
     try:
         p = sc._jvm.org.apache.hadoop.fs.Path(path)
@@ -61,6 +62,14 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; none if it does not exist."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(p) if x.isDirectory()) if fs.exists(p) else []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: its rows
     are computed once, its lineage ends, and lost executors lose nothing of it.
@@ -78,7 +87,7 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         path = _TABLES.pop(df, None)
         if path is not None:
-            _delete(df.sparkSession, path)
+            delete(df.sparkSession, path)
 
 
 def packed(df: DataFrame, **extra: Column) -> DataFrame:

@@ -8,17 +8,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from datetime import timedelta
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from millrace.runtime import shared_folder, ship
-
-CHUNK = 100_000  # rows per frame handed back
+from millrace.runtime import shared_folder
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -43,87 +37,43 @@ def keep_first(events: DataFrame, keys: list[str], within: str = "7 days") -> Da
     return events.withWatermark("ts", within).dropDuplicatesWithinWatermark(keys)
 
 
-def minimum_interval(events: DataFrame, key: str, minutes: int) -> DataFrame:
-    """(key, ts) of accepted events: one is dropped if it comes less than
-    ``minutes`` after the last accepted one of its key.  State: one timestamp.
-
-    Of a key's events in a batch only the distinct timestamps are held; no frame
-    is kept.  The batch must be whole in time: files are not in order of time,
-    so a batch is not cut by a number of files."""
-    ship(events.sparkSession)
-    gap = timedelta(minutes=minutes)
-    kind = events.schema[key].dataType.simpleString()
-
-    def accept(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = pd.Timestamp(state.get[0]) if state.exists else None
-        parts = [frame.ts.dropna().to_numpy("datetime64[us]") for frame in frames]
-        if minutes > 0:  # equal timestamps count once
-            parts = [np.unique(x) for x in parts]
-        stamps = np.sort(np.concatenate(parts))
-        kept, at = [], 0 if last is None else int(np.searchsorted(stamps, (last + gap).to_datetime64().astype("datetime64[us]")))
-        while at < len(stamps):  # from one accepted event to the next
-            last = pd.Timestamp(stamps[at])
-            kept.append(last)
-            at = max(at + 1, int(np.searchsorted(stamps, (last + gap).to_datetime64().astype("datetime64[us]"))))
-        if last is not None:
-            state.update((last.to_pydatetime(),))
-        for i in range(0, len(kept), CHUNK):
-            part = kept[i : i + CHUNK]
-            yield pd.DataFrame({key: [k[0]] * len(part), "ts": part})
-
-    return events.select(key, "ts").groupBy(key).applyInPandasWithState(accept, f"{key} {kind}, ts timestamp", "last timestamp", "append", GroupStateTimeout.NoTimeout)
-
-
-def attempts(events: DataFrame, key: str, success: str, limit: int = 3) -> DataFrame:
-    """(key, ts, failed_attempts, final) per event; a success starts anew.
-    State: one counter per key.  Of a key's events in a batch the timestamp and
-    the outcome are held."""
-    ship(events.sparkSession)
-    kind = events.schema[key].dataType.simpleString()
-
-    def count(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n = state.get[0] if state.exists else 0
-        stamps, oks = [], []
-        for frame in frames:
-            stamps.append(frame.ts.to_numpy("datetime64[us]"))
-            oks.append(frame[success].to_numpy(bool))
-        stamps, oks = np.concatenate(stamps), np.concatenate(oks)
-        order = np.argsort(stamps, kind="stable")
-        for i in range(0, len(order), CHUNK):
-            part, out = order[i : i + CHUNK], []
-            for ok in oks[part]:
-                n = 0 if ok else n + 1
-                out.append(n)
-            yield pd.DataFrame({key: [k[0]] * len(out), "ts": stamps[part], "failed_attempts": out, "final": [x >= limit for x in out]})
-        state.update((n,))
-
-    return events.select(key, "ts", success).groupBy(key).applyInPandasWithState(count, f"{key} {kind}, ts timestamp, failed_attempts long, final boolean", "n long", "append", GroupStateTimeout.NoTimeout)
-
-
-def merge_batches(stream: DataFrame, path: str, checkpoint: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]):
-    """Exactly-once table merges: batch k is merged with version k - 1 of the
-    table and written as version k, so a repeated batch gives the same table."""
-
-    def step(batch: DataFrame, k: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.parquet(f"{path}/v={k - 1}") if k else None
-        merge(before, batch).write.mode("overwrite").parquet(f"{path}/v={k}")
-
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def retained(stream: DataFrame, name: str, purge: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Run a finite stream into a table from which ``purge`` drops what has
-    expired, batch by batch, and read the last version of the table."""
-    spark = stream.sparkSession
-    at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    q = merge_batches(stream, f"{at}/rows", f"{at}/state", lambda before, batch: purge(batch if before is None else before.unionByName(batch)))
-    q.awaitTermination()
-    last = (q.lastProgress or {}).get("batchId")
-    return spark.createDataFrame([], stream.schema) if last is None else spark.read.schema(stream.schema).parquet(f"{at}/rows/v={last}")
+class Arrivals:
+    """Rows that come as a stream, one slice (a condition) after another.
+
+    ``stream`` reads the folder that slices are written to.  A run over arrivals
+    writes one, takes it in as one batch, stops, and starts again from its
+    checkpoint for the next one."""
+
+    def __init__(self, df: DataFrame, slices: list[Column], name: str):
+        spark = df.sparkSession
+        self.df, self.slices = df, slices
+        self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}/in"
+        df.limit(0).write.parquet(self.path)
+        self.stream = spark.readStream.schema(df.schema).parquet(self.path)
+
+    def each(self) -> Iterator[int]:
+        """Writes a slice, yields its number, and so on."""
+        for i, s in enumerate(self.slices):
+            self.df.where(s).write.mode("append").parquet(self.path)
+            yield i
+
+
+def run_batches(stream: DataFrame, name: str, step: Callable[[str, DataFrame, int], None], arrivals: Arrivals | None = None) -> tuple[str, int]:
+    """Run a finite stream, ``step(folder, batch, k)`` on each batch; the folder
+    for what it writes and the number of the last batch (-1 if none came)."""
+    at = f"{shared_folder(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    last = [-1]
+
+    def put(batch: DataFrame, k: int) -> None:
+        step(at, batch, k)
+        last[0] = k
+
+    for _ in arrivals.each() if arrivals else [0]:
+        stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return at, last[0]
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str) -> DataFrame:
+def run_to_table(stream: DataFrame, name: str, mode: str, arrivals: Arrivals | None = None) -> DataFrame:
     """Run a finite stream to its end and read its rows back.  Rows and the
     stream's checkpoint lie under ``spark.checkpoint.dir``; a complete result
     is written anew by every batch, and the last one counts."""
@@ -135,10 +85,8 @@ def run_to_table(stream: DataFrame, name: str, mode: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{at}/rows/v={k}")
         last[0] = f"{at}/rows/v={k}"
 
-    out = stream.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
-    if mode == "append":
-        q = out.format("parquet").option("path", last[0]).outputMode(mode).start()
-    else:
-        q = out.foreachBatch(put).outputMode(mode).start()
-    q.awaitTermination()
+    for _ in arrivals.each() if arrivals else [0]:
+        out = stream.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+        out = out.format("parquet").option("path", f"{at}/rows") if mode == "append" else out.foreachBatch(put)
+        out.outputMode(mode).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(last[0])

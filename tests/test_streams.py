@@ -1,34 +1,149 @@
-"""Streams: where their rows go, and their results against SQL."""
+"""Streams: what they keep between batches, and their results against SQL."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.plans import registry
-from millrace.streaming import jobs
+from millrace.runtime import subfolders
+from millrace.streaming import jobs, ordered, tables
 from test_entry import SF, db, plain  # noqa: F401
 
+STREAMS = ["stream_usage", "stream_closed_days", "stream_first_event", "stream_insert_absent", "stream_attempts", "stream_minimum_interval", "stream_filter", "stream_retention"]
+BEGAN = datetime(2024, 1, 1)
 
-@pytest.mark.parametrize("name", ["stream_usage", "stream_first_event", "stream_attempts", "stream_minimum_interval", "stream_filter", "stream_retention"])
+
+@pytest.mark.parametrize("name", STREAMS)
 def test_stream_equals_sql(spark, db, name):  # noqa: F811
     frame, expected = registry.QUERIES[name](spark, SF), db.sql(registry.ORACLE[name])
-    assert plain([tuple(r[c] for c in expected.columns) for r in frame.collect()]) == plain(expected.fetchall())
-
-
-def test_rows_go_to_files_and_gate_is_exact(spark, tmp_path):
-    began = datetime(2024, 1, 1)
-    rows = [("a" if i % 3 else "b", began + timedelta(minutes=(i * 37) % 1000)) for i in range(900)]
-    df = spark.createDataFrame(rows, "k string, ts timestamp").repartition(6)
-    df.write.parquet(f"{tmp_path}/e.parquet")
-    out = jobs.run_to_table(jobs.minimum_interval(jobs.read_events(spark, f"{tmp_path}/e.parquet"), "k", 60), f"gate_{tmp_path.name}", "append")
-    assert out.inputFiles() and all("/rows/" in x for x in out.inputFiles())
-    expected = set()
-    for key in "ab":
+    got = plain([tuple(r[c] for c in expected.columns) for r in frame.collect()])
+    assert got and got == plain(expected.fetchall())
+
+
+def in_batches(spark, rows, schema, n, name):
+    """Rows as a stream in ``n`` batches, in the order given."""
+    df = spark.createDataFrame([(*r, i * n // len(rows)) for i, r in enumerate(rows)], f"{schema}, part int")
+    return jobs.Arrivals(df, [F.col("part") == i for i in range(n)], name)
+
+
+def gate_by_hand(rows, gap):
+    out = []
+    for key in {r[0] for r in rows}:
         last = None
-        for ts in sorted(t for k, t in rows if k == key):
-            if last is None or ts - last >= timedelta(minutes=60):
-                expected.add((key, ts))
+        for _, ts, i in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2])):
+            if last is None or ts - last >= gap:
+                out.append((key, ts, i))
                 last = ts
-    got = out.select("k", F.col("ts")).collect()
-    assert {tuple(r) for r in got} == expected and len(got) == len(expected)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("gap,slot", [(60, 60), (7, 60), (600, 30)])
+def test_gate_over_batches_is_exact_and_late_rows_change_nothing(spark, gap, slot):
+    r = random.Random(gap)
+    rows = sorted((("hot" if r.random() < 0.9 else r.choice("ab"), BEGAN + timedelta(minutes=r.randrange(6000), microseconds=r.choice([0, 7])), i) for i in range(1500)), key=lambda x: x[1])
+    late = [("hot", BEGAN + timedelta(minutes=5), 9001), ("c", BEGAN + timedelta(minutes=30), 9002)]
+    end = [("end", BEGAN + timedelta(days=90), 9003)]
+    coming = in_batches(spark, [*rows, *end, *late], "k string, ts timestamp, id long", 5, "gate")
+    with ordered.rocksdb(spark):
+        out = jobs.run_to_table(ordered.minimum_interval(coming.stream, "k", "id", gap, "1 hour", slot * ordered.MINUTE), "gate", "append", coming).collect()
+    assert out and sorted((x.key, x.ts, x.id) for x in out if not x.late) == gate_by_hand(rows, timedelta(minutes=gap))
+    assert {x.id for x in out if x.late} == {9001, 9002}
+
+
+def test_attempts_over_batches(spark):
+    r = random.Random(4)
+    rows = sorted(((r.choice(["hot", "hot", "hot", "a", None]), BEGAN + timedelta(seconds=r.randrange(90_000)), i, r.choice([True, False, False, None])) for i in range(900)), key=lambda x: x[1])
+    coming = in_batches(spark, [*rows, ("end", BEGAN + timedelta(days=3), 9001, True)], "k string, ts timestamp, id long, ok boolean", 4, "attempts")
+    with ordered.rocksdb(spark):
+        out = jobs.run_to_table(ordered.attempts(coming.stream, "k", "id", "ok", 2), "attempts", "append", coming).collect()
+    want, n = {}, {}
+    for k, ts, i, ok in sorted(rows, key=lambda x: (x[1], x[2])):
+        n[k] = 0 if ok else n.get(k, 0) + 1
+        want[i] = (n[k], n[k] >= 2, False)
+    assert {x.id: (x.failed_attempts, x.final, x.late) for x in out} == want
+
+
+def test_closed_days_and_late_rows_are_all_events(spark):
+    r = random.Random(6)
+    rows = [("hot" if r.random() < 0.8 else "b", BEGAN + timedelta(hours=r.randrange(24 * 9)), i) for i in range(700)]
+    coming = in_batches(spark, [*rows, ("end", BEGAN + timedelta(days=30), 9000)], "k string, ts timestamp, id long", 3, "days")
+    with ordered.rocksdb(spark):
+        out = jobs.run_to_table(ordered.closed_days(coming.stream, "k", "id"), "days", "append", coming).collect()
+    late = {x.id for x in out if x.late}
+    assert late and len([x for x in out if x.late]) == len(late)
+    assert sum(x.call_count for x in out) == 700
+    for key in ("hot", "b"):
+        for d in range(9):
+            day = (BEGAN + timedelta(days=d)).date()
+            there = [i for k, ts, i in rows if k == key and ts.date() == day]
+            assert sum(x.call_count for x in out if x.k == key and x.day == day) == len(there)
+
+
+SCHEMA = "k string, best struct<rank: int, id: bigint>"
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_best_copy_is_the_same_for_any_split(spark, tmp_path, seed):
+    r = random.Random(seed)
+    rows = [("hot" if r.random() < 0.4 else f"k{r.randrange(40)}", (r.randrange(5), i)) for i in range(400)]
+    want = {}
+    for k, best in rows:
+        want[k] = min(want.get(k, best), best)
+    r.shuffle(rows)
+    cuts = sorted(r.sample(range(400), 4))
+    table = tables.BucketTable(spark, f"{tmp_path}/t", spark.createDataFrame([], SCHEMA).schema, ["k"], 8)
+    for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, 400], strict=True)):
+        for _ in range(2 if k == 2 else 1):  # a repeated batch changes nothing
+            tables.keep_best(table, k, spark.createDataFrame(rows[a:b], SCHEMA), f"{tmp_path}/c")
+    assert {x.k: tuple(x.best) for x in table.read(4).collect()} == want
+    now = spark.read.parquet(*[f"{tmp_path}/c/{k}" for k in range(5)]).groupBy("id").agg(F.sum("change").alias("n")).collect()
+    assert {x.n for x in now} == {0, 1} and {x.id for x in now if x.n == 1} == {i for _, i in want.values()}
+
+
+def test_insert_absent_touches_only_its_buckets(spark, tmp_path):
+    schema = "user string, n long, v string"
+    table = tables.BucketTable(spark, f"{tmp_path}/t", spark.createDataFrame([], schema).schema, ["user"], 32)
+    first = [(f"u{i % 50}", i, "x") for i in range(200)] + [(None, 5, "null key")]
+    tables.insert_absent(table, 0, spark.createDataFrame(first, schema), ["n"], f"{tmp_path}/r")
+    for _ in range(2):
+        tables.insert_absent(table, 1, spark.createDataFrame([("u3", -1, "y"), ("new", 2, "y"), ("new", 1, "y")], schema), ["n"], f"{tmp_path}/r")
+    assert len(subfolders(spark, f"{tmp_path}/t/rows/1")) <= 2 < len(subfolders(spark, f"{tmp_path}/t/rows/0"))
+    got = {x.user: (x.n, x.v) for x in table.read(1).collect()}
+    assert got == {**{f"u{i}": (i, "x") for i in range(50)}, None: (5, "null key"), "new": (1, "y")}
+    assert tuple(spark.read.parquet(f"{tmp_path}/r/0").first()) == (201, 51, 150)
+    assert tuple(spark.read.parquet(f"{tmp_path}/r/1").first()) == (3, 1, 2)
+    tables.insert_absent(table, 2, spark.createDataFrame([], schema), ["n"], f"{tmp_path}/r")
+    tables.insert_absent(table, 3, spark.createDataFrame([("u3", -9, "z")], schema), ["n"], f"{tmp_path}/r")
+    assert {x.user: (x.n, x.v) for x in table.read(3).collect()} == got
+    assert not subfolders(spark, f"{tmp_path}/t/manifest/0")
+
+
+def test_retention_drops_days_and_rewrites_the_boundary(spark, tmp_path):
+    schema = "id long, fetched_at timestamp"
+    table = tables.DayTable(spark, f"{tmp_path}/t", spark.createDataFrame([], schema).schema, "fetched_at", 10)
+    sent = spark.createDataFrame([(i,) for i in range(0, 400, 10)], "id long")
+    rows = [(i, BEGAN + timedelta(hours=i)) for i in range(400)] + [(1000, None)]
+    written = []
+    kept = []
+    for k in range(4):
+        part = [x for x in rows if x[0] % 4 == k]
+        now = BEGAN + timedelta(days=9 + 3 * k, hours=13)
+        kept = [x for x in kept + part if x[1] is not None and (x[1] >= now - timedelta(days=10) or x[0] % 10 == 0)]
+        for _ in range(2 if k == 2 else 1):
+            removed = table.add(k, spark.createDataFrame(part, schema), sent, now)
+        written.append(removed)
+        assert sorted(tuple(x) for x in table.read().collect()) == sorted(kept)
+    assert written[3].dropped and len(written[3].rewritten) == 1
+    assert min(subfolders(spark, f"{tmp_path}/t/rows")) == "_day=2024-01-09"
+    days = {x for x in subfolders(spark, f"{tmp_path}/t/rows")}
+    assert all(any(b == "_batch=3" for b in subfolders(spark, f"{tmp_path}/t/rows/{d}")) for d in days)  # what a batch adds lies beside, nothing is written twice
+
+
+def test_the_store_is_set_for_these_streams_alone(spark):
+    before = spark.conf.get(ordered.PROVIDER)
+    with pytest.raises(ZeroDivisionError), ordered.rocksdb(spark):
+        assert spark.conf.get(ordered.PROVIDER) == ordered.ROCKSDB
+        1 / 0
+    assert spark.conf.get(ordered.PROVIDER) == before
