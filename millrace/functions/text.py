@@ -155,21 +155,27 @@ def bound(c: Column, use) -> Column:
     return F.transform(F.array(c), use)[0]
 
 
-NUMBER = r"[0-9]+(?:[.,][0-9]+)*(?:\s?[kKmM](?![A-Za-z]))?"
+# The shape of a number.
+NUMBER = r"\d+(?:,\d{3})*(?:\.\d+)?(?:\s?[kKmM]\b)?"
 
 
 def number_value(x: Column) -> Column:
-    """Normal form of a number literal: 50K and 50,000 are 50000."""
+    """Normal form of a number literal, to three decimals: 50K and 50,000 are 50000."""
     t = F.lower(F.regexp_replace(x, r"\s", ""))
     factor = F.when(t.endswith("k"), 1e3).when(t.endswith("m"), 1e6).otherwise(1.0)
-    digits = F.regexp_replace(t, "[km]$", "")
-    plain = F.when(digits.rlike(r"^[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?$"), F.replace(digits, F.lit(","), F.lit(""))).otherwise(F.replace(digits, F.lit(","), F.lit(".")))
-    return F.round(plain.try_cast("double") * factor, 3)
+    return F.round(F.regexp_replace(t, "[km,]", "").cast("double") * factor, 3)
 
 
 def numbers(c: Column) -> Column:
-    """array<double>: the numbers of a text in order; unreadable ones left out."""
-    return F.array_compact(F.transform(F.regexp_extract_all(c, F.lit(NUMBER), F.lit(0)), number_value))
+    """array<double>: the numbers of a text in order.  A comma only groups three
+    digits; a percent sign or a unit is no part of a number."""
+    return F.transform(F.regexp_extract_all(c, F.lit(ascii_edges(NUMBER)), F.lit(0)), number_value)
+
+
+def ascii_edges(pattern: str) -> str:
+    """A pattern whose word edges are those of ASCII letters, digits and _."""
+    word = "[0-9A-Za-z_]"
+    return pattern.replace(r"\b", f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))")
 
 
 def normalise_excerpt(c: Column) -> Column:

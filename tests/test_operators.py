@@ -76,7 +76,7 @@ def test_vocabulary(spark):
     lines = spark.createDataFrame([(x,) for x in ("# c", "", "Java", "JavaScript|JS", "C", "C++", "PostgreSQL|Postgres", "AWS", "AWS SQS", "=Go")], "value string")
     texts = spark.createDataFrame([(1, "C and C++, Java and JavaScript"), (2, "Postgres and PostgreSQL on AWS SQS; go"), (3, None)], "doc_id long, text string")
     got = {r.doc_id: r.terms for r in vocab.find_terms(texts, vocab.read_vocabulary(lines)).collect()}
-    assert got == {1: ["C", "C++", "Java", "JavaScript"], 2: ["PostgreSQL", "AWS SQS"]}
+    assert got == {1: ["C", "C++", "Java", "JavaScript"], 2: ["PostgreSQL", "AWS SQS"], 3: []}
 
 
 def raw(spark, body, source="s", board="b", page=1):
