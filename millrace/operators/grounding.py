@@ -7,7 +7,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from millrace.functions import text as X
 from millrace.operators.redact import leaks
@@ -165,14 +164,23 @@ def heading_section(line: Column) -> Column:
 
 
 def sections(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, section, text): lines under each section, joined in order and
-    trimmed; lines before any heading belong to "other".  Sections without text
-    have no row."""
-    lines = docs.select(id_col, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("pos", "line")).withColumn("h", heading_section(F.col("line")))
-    open_ = F.last("h", ignorenulls=True).over(Window.partitionBy(id_col).orderBy("pos"))
-    marked = lines.withColumn("section", F.coalesce(open_, F.lit("other"))).where(F.col("h").isNull())
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    return marked.groupBy(id_col, "section").agg(F.regexp_replace(joined, r"(?U)^\s+|\s+$", "").alias("text")).where("text <> ''")
+    """(doc_id, section, text) of each row: lines under each section, joined in
+    order and trimmed; lines before any heading belong to "other".  Sections
+    without text have no row.
+
+    Each row's lines are cut at its headings and put together again inside the
+    row: nothing is shuffled, and rows that repeat an id stay apart."""
+    lines = docs.select(id_col, F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("_lines"))
+    heads = F.transform("_lines", lambda x, i: F.struct(i.alias("at"), heading_section(x).alias("section")))
+    first = F.struct(F.lit(-1).alias("at"), F.lit("other").alias("section"))
+    marked = lines.withColumn("_heads", F.concat(F.array(first), F.filter(heads, lambda h: h["section"].isNotNull())))
+    end = lambda i: F.coalesce(F.try_element_at(F.col("_heads"), i + 2)["at"], F.size("_lines"))
+    parts = F.transform("_heads", lambda h, i: F.struct(h["section"].alias("section"), F.slice("_lines", h["at"] + 2, end(i) - h["at"] - 1).alias("lines")))
+    marked = marked.select(id_col, parts.alias("_parts"))
+    under = lambda name: F.array_join(F.flatten(F.transform(F.filter("_parts", lambda p: p["section"] == name), lambda p: p["lines"])), "\n")
+    names = F.array_distinct(F.transform("_parts", lambda p: p["section"]))
+    out = F.transform(names, lambda n: F.struct(n.alias("section"), F.regexp_replace(under(n), r"(?U)^\s+|\s+$", "").alias("text")))
+    return marked.select(id_col, F.inline(out)).where("text <> ''")
 
 
 def format_profile(parts: dict[str, Column]) -> Column:

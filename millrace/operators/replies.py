@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import squeeze, trim_words
+from millrace.functions.text import squeeze
 from millrace.runtime import ship
 
 
@@ -56,31 +56,6 @@ def extract_json(replies: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumns({"json": F.when(~bad, F.col("_x.json")), "failure": F.when(bad, "invalid").otherwise(F.col("_x.failure"))}).drop("_x")
 
 
-def string_list(v: Column, path: str, limit: int, length: int) -> Column:
-    """The first ``limit`` non-blank strings of a list, each trimmed."""
-    raw = F.from_json(F.to_json(F.try_variant_get(v, path, "variant")), "array<variant>")
-    texts = F.transform(F.filter(raw, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.trim(F.try_variant_get(x, "$", "string")))
-    return F.slice(F.transform(F.filter(texts, lambda x: x != ""), lambda x: F.substring(x, 1, length)), 1, limit)
-
-
-def validate_judgement(replies: DataFrame, json: str = "json", role_types: tuple[str, ...] = ("backend", "frontend", "fullstack", "other")) -> DataFrame:
-    """Strictly typed judgement with errors; unknown keys are dropped."""
-    v = F.try_parse_json(json)
-    out = replies.withColumn("_v", v)
-    value = lambda k: F.try_variant_get(F.col("_v"), f"$.{k}", "variant")
-    number = lambda k: F.when(F.schema_of_variant(value(k)).rlike("^(BIGINT|DECIMAL|DOUBLE)"), F.try_variant_get(F.col("_v"), f"$.{k}", "double"))
-    text = lambda k: F.when(F.schema_of_variant(value(k)) == "STRING", F.try_variant_get(F.col("_v"), f"$.{k}", "string"))
-    out = out.withColumns({
-        "skills_fit": number("skillsFit"), "seniority_fit": number("seniorityFit"), "role_type": text("roleType"), "score_reason": trim_words(text("reason"), 300),
-        "matched_skills": F.coalesce(string_list(F.col("_v"), "$.matchedSkills", 30, 80), F.array().cast("array<string>")),
-        "missing_skills": F.coalesce(string_list(F.col("_v"), "$.missingSkills", 30, 80), F.array().cast("array<string>")),
-    })
-    tests = [F.when(F.col("_v").isNull(), "not an object")]
-    tests += [F.when(~F.coalesce(F.col(c).between(0, 100), F.lit(False)), f"{c} is not a number within 0..100") for c in ("skills_fit", "seniority_fit")]
-    tests += [F.when(~F.coalesce(F.col("role_type").isin(*role_types), F.lit(False)), "role_type is not allowed"), F.when(F.coalesce("score_reason", F.lit("")) == "", "reason is empty")]
-    return out.withColumn("errors", F.array_compact(F.array(*tests))).withColumn("valid", F.size("errors") == 0).drop("_v")
-
-
 DETAILS = "struct<version:int,unscored:boolean,skillsFit:double,seniorityFit:double,location:int,salary:int,company:int,matchedSkills:array<string>,missingSkills:array<string>,failure:string,failedAttempts:int,unscoredFinal:boolean,notes:array<string>>"
 
 

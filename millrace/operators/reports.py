@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.functions.web import url_rejection
+from millrace.runtime import cut
 
 
 def funnel_by_source(decided: DataFrame) -> DataFrame:
@@ -85,6 +86,20 @@ def board_status(parsed: DataFrame, keys: list[str]) -> DataFrame:
     return g.withColumn("status", F.when((F.col("candidates") > 0) & (F.col("parsed") == 0), "error").otherwise("ok"))
 
 
+def observed_status(parsed: DataFrame, boards: list[str], key: str = "board") -> tuple[DataFrame, DataFrame]:
+    """(the rows as a written table, the statuses of the listed boards).
+
+    The counts are observed while the rows are written, which is done anyway, so
+    that the payloads are read once.  Boards are configuration: two counters each."""
+    seen = Observation()
+    of = [F.col(key) == b for b in boards]
+    counters = [F.count_if(c).alias(f"n{i}") for i, c in enumerate(of)] + [F.count_if(c & F.col("ok")).alias(f"p{i}") for i, c in enumerate(of)]
+    table = cut(parsed.observe(seen, F.count("*").alias("all"), *counters))
+    n = seen.get
+    rows = [(b, n[f"n{i}"], n[f"p{i}"], "error" if n[f"n{i}"] and not n[f"p{i}"] else "ok") for i, b in enumerate(boards)]
+    return table, parsed.sparkSession.createDataFrame(rows, f"`{key}` string, candidates long, parsed long, status string")
+
+
 def output_summary(rows: DataFrame) -> DataFrame:
     """One row over outputs (action, letter, tweaks, codes): considered, cached,
     generated, incomplete, skipped, letters, tweaks, and failure codes as

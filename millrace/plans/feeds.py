@@ -165,7 +165,8 @@ def board_parse_status(spark, sf_dir):
     """Boards whose records cannot be parsed are errors, not empty successes."""
     raw = payloads(base(spark, sf_dir), _json(id=F.when(F.floor(F.col("id") / PAGE) % 40 % 5 != 0, F.col("id"))), "a", '{"jobs":[', F.lit("]}"), board=_board())
     rows = adapters.records(raw, "jobs").withColumn("ok", adapters.Fields(F.col("v")).id("id").isNotNull())
-    return reports.board_status(rows, ["board"])
+    known = [r.slug for r in boards(spark).collect()]
+    return reports.observed_status(rows, known)[1].where("candidates > 0")
 
 
 def board_gate(spark, sf_dir):

@@ -11,7 +11,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from millrace.functions import text as X
 from millrace.functions.money import PAY_PERIODS, parse_salary
@@ -49,22 +48,37 @@ class Fields:
         return F.coalesce(whole, F.nullif(F.trim(self.string(path)), F.lit("")))
 
     def strings(self, path: str) -> Column:
-        raw = F.from_json(F.to_json(self.any(path)), "array<variant>")
+        raw = F.try_variant_get(self.v, f"$.{path}", "array<variant>")
         return F.coalesce(F.transform(F.filter(raw, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string")), F.array().cast("array<string>"))
 
 
 def records(raw: DataFrame, root: str | None) -> DataFrame:
     """One row per element of a root array (``root`` None) or of a field; pages
-    keep their order in pos."""
-    body = F.from_json("body", "array<variant>") if root is None else F.from_json(F.to_json(F.try_variant_get(F.try_parse_json("body"), f"$.{root}", "variant")), "array<variant>")
-    return raw.select("source", "board", "page_no", "fetched_at", F.posexplode(body).alias("pos", "v"))
+    keep their order in pos.  A page is parsed once and becomes rows by a lateral
+    table function; one that is no array there has none."""
+    page = F.try_variant_get(F.try_parse_json("body"), "$" if root is None else f"$.{root}", "variant")
+    whole = raw.select("source", "board", "page_no", "fetched_at", page.alias("_page"))
+    parts = raw.sparkSession.tvf.variant_explode(F.when(F.schema_of_variant(F.col("_page").outer()).startswith("ARRAY"), F.col("_page").outer()))
+    return whole.lateralJoin(parts).select("source", "board", "page_no", "fetched_at", "pos", F.col("value").alias("v"))
 
 
 def until_stop(pages: DataFrame, stop: Column, max_pages: int) -> DataFrame:
-    """Pages of each source up to and including the first that stops."""
-    w = Window.partitionBy("source", "board").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
-    marked = pages.withColumn("_before", F.coalesce(F.max(stop.cast("int")).over(w), F.lit(0)))
-    return marked.where((F.col("_before") == 0) & (F.col("page_no") <= max_pages)).drop("_before")
+    """Pages of each source and board up to and including the first that stops,
+    at most ``max_pages`` from the first one on.
+
+    The first stop is a minimum, found map-side over narrow rows, so that page
+    bodies are neither sorted nor shuffled for it."""
+    ends = pages.groupBy("source", "board").agg(F.min(F.when(stop, F.col("page_no"))).alias("_stop"), F.min("page_no").alias("_first"))
+    last = F.least(F.col("_stop"), F.col("_first") + max_pages - 1)
+    keys = ends.select(F.col("source").alias("_source"), F.col("board").alias("_board"), last.alias("_last"))
+    same = F.col("source").eqNullSafe(F.col("_source")) & F.col("board").eqNullSafe(F.col("_board"))
+    return pages.join(keys, same).where("page_no <= _last").drop("_source", "_board", "_last")
+
+
+def short_page(root: str, size: int) -> Column:
+    """Whether a page holds fewer than ``size`` records; one without a list is short."""
+    n = F.size(F.try_variant_get(F.try_parse_json("body"), f"$.{root}", "array<variant>"))
+    return F.coalesce(n, F.lit(0)) < size
 
 
 def first_of_id(rows: DataFrame, ident: Column) -> DataFrame:
@@ -205,23 +219,25 @@ def headline(text: Column, cities: list[str] | None = None) -> Column:
         F.coalesce(pick(places), F.when(line == "", "Unknown").otherwise(line)).alias("location"), line.alias("headline"))
 
 
-def forum_thread(threads: DataFrame, comments: DataFrame, cities: list[str] | None = None) -> DataFrame:
-    """Top-level comments of the latest hiring thread."""
+def forum_thread(threads: DataFrame, comments: DataFrame, cities: list[str] | None = None, max_pages: int = 50, page_size: int = 100) -> DataFrame:
+    """Top-level comments of the latest hiring thread, from the pages up to the
+    first short one."""
     f = Fields(F.col("v"))
     title = F.lower(f.string("title"))
     hiring = title.contains("who is hiring") & ~title.contains("wants to be hired") & ~title.contains("freelancer")
     story = records(threads, "hits").where(hiring).agg(F.max_by(f.id("objectID"), F.struct(f.number("created_at_i"), -F.col("pos"))).alias("story"))
     text = F.coalesce(f.string("comment_text"), F.lit(""))
-    rows = records(comments, "hits").withColumn("parent", f.id("parent_id")).join(F.broadcast(story), F.col("parent") == F.col("story")).where((F.trim(text) != "") & ~F.arrays_overlap(f.strings("_tags"), F.array(F.lit("deleted"), F.lit("dead"))))
+    rows = records(until_stop(comments, short_page("hits", page_size), max_pages), "hits").withColumn("parent", f.id("parent_id")).join(F.broadcast(story), F.col("parent") == F.col("story")).where((F.trim(text) != "") & ~F.arrays_overlap(f.strings("_tags"), F.array(F.lit("deleted"), F.lit("dead"))))
     rows = rows.withColumn("h", headline(text, cities))
     return rows.select(*posting(
         F.col("source"), external_id=f.id("objectID"), title=F.col("h.title"), company=F.col("h.company"), location=F.col("h.location"), remote_type=remote_type(F.col("h.headline"), F.lit(""), "unknown"),
         url=F.concat(F.lit("https://news.ycombinator.com/item?id="), f.id("objectID")), posted_at=_time(f.string("created_at")), description=X.html_to_text(text)))
 
 
-def search_api(raw: DataFrame, currencies: dict[str, str] | None = None) -> DataFrame:
+def search_api(raw: DataFrame, currencies: dict[str, str] | None = None, max_pages: int = 50, page_size: int = 50) -> DataFrame:
     """``board`` is the country; predicted pay is unknown and estimated, pay
-    under the plausible floor unknown; credentials leave the URL."""
+    under the plausible floor unknown; credentials leave the URL.  A search ends
+    with its first short page."""
     f = Fields(F.col("v"))
     table = currencies or {"in": "INR", "gb": "GBP", "us": "USD", "de": "EUR", "fr": "EUR", "ca": "CAD", "au": "AUD", "sg": "SGD"}
     currency = F.try_element_at(F.create_map(*[x for kv in table.items() for x in map(F.lit, kv)]), F.lower("board"))
@@ -230,7 +246,7 @@ def search_api(raw: DataFrame, currencies: dict[str, str] | None = None) -> Data
     floor = F.when(currency == "INR", 100_000.0).otherwise(10_000.0)
     paid = F.coalesce((~predicted) & (F.least(F.coalesce(low, high), F.coalesce(high, low)) >= floor) & currency.isNotNull(), F.lit(False))
     place = F.coalesce(f.string("location.display_name"), F.lit("Unknown"))
-    return records(raw, "results").where(f.id("id").isNotNull()).select(*posting(
+    return records(until_stop(raw, short_page("results", page_size), max_pages), "results").where(f.id("id").isNotNull()).select(*posting(
         F.col("source"), external_id=f.id("id"), title=f.string("title"), company=F.coalesce(f.string("company.display_name"), F.lit("Unknown")), location=place, remote_type=remote_type(place, F.lit(""), "unknown"),
         salary_min=F.when(paid, F.coalesce(low, high)), salary_max=F.when(paid, F.coalesce(high, low)), currency=F.when(paid, currency), salary_known=paid, salary_is_estimated=predicted,
         url=drop_query_keys(f.string("redirect_url"), ["app_id", "app_key"]), posted_at=_time(f.string("created")), description=X.html_to_text(F.coalesce(f.string("description"), F.lit(""))), description_is_snippet=F.lit(True)))
