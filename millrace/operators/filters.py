@@ -172,7 +172,7 @@ def description_restriction(description: Column, rules: Rules) -> Column:
         size = F.length(F.regexp_extract(excerpt, pattern, 0))
         return X.bound(F.regexp_instr(excerpt, F.lit(pattern)), lambda at: F.when(at > 0, X.bound(F.struct(at.alias("at"), size.alias("size")), judge)))
 
-    return F.coalesce(*[of(label, pattern) for label, pattern in RESTRICTIONS])
+    return F.coalesce(*[of(label, X.ascii_edges(pattern)) for label, pattern in RESTRICTIONS])
 
 
 def description_facts(description: Column, rules: Rules) -> Column:

@@ -7,10 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions import text as X
 from millrace.operators import filters, grounding, reads, replies, reports, scoring, state, vocab
 from millrace.plans.postings import NOW, ORACLE_POSTINGS, RULES, postings
-from millrace.rules import Rules
 from millrace.runtime import read
 
 
@@ -88,44 +86,6 @@ def company_dimension(spark, sf_dir):
     return out.groupBy("passed", "reason", "company_is_centre", "company_preferred").agg(F.count("*").alias("n"))
 
 
-RESTRICTED = (
-    "Must be located in the US.", "You must reside in any place worldwide.", "Only candidates based in Narnia and all of its many lands far away may apply.", "This is for UK residents only, it is said here.",
-    "We keep EST: 4 hours each day of the week for our calls, and no more than that.", "No rule is given here.")
-
-
-def description_restrictions(spark, sf_dir):
-    """Labels of restricting phrases put before whole document texts."""
-    text = F.concat(pick("doc_id", *RESTRICTED), F.lit(" "), F.lit("lorem " * 12), F.coalesce("text", F.lit("")))
-    return read(spark, sf_dir, "documents").select("doc_id", filters.description_restriction(text, Rules()).alias("label"))
-
-
-def region_classes(spark, sf_dir):
-    """Regions of places, with on-site words and left-over place names."""
-    rows = orders(spark, sf_dir).select("id", pick("id", *PLACES).alias("place"), F.struct(pick("id", None, "EU").alias("restriction")).alias("description_facts"))
-    area = rows.select("id", *[c.alias(k) for k, c in filters.region_facts(F.col("place"), Rules()).items()]).select("id", filters.classify_region().alias("a"))
-    return area.select("id", "a.region", "a.term", "a.named_place", "a.onsite")
-
-
-PLACES = ("Worldwide", "Onsite", "Hybrid - remote", "Remote, Atlantis", "Remote (US)", "", "Remote or Anywhere", "remote - EU", "In office or remote", None)
-
-
-def phrase_kinds(spark, sf_dir):
-    """Abbreviations with their case, the gcc token, folded places and first
-    segments of texts."""
-    rows = read(spark, sf_dir, "part").select("p_partkey", F.concat(pick("p_partkey", *HEADS), "p_name").alias("t"))
-    return rows.select(
-        "p_partkey", X.contains_term(F.col("t"), "US").alias("abbreviation"), X.contains_centre_token(F.col("t")).alias("gcc"),
-        X.fold_aliases(F.col("t"), {"bengaluru": "bangalore"}).alias("folded"), X.primary_segment(F.col("t")).alias("segment"))
-
-
-HEADS = ("US: ", "us (x) ", "GCC - ", "gcc region ", "Bengaluru, ", "USA ", "join us | ")
-
-
-def stale_versions(spark, sf_dir):
-    rows = orders(spark, sf_dir).select("id", pick("id", None, "2", "3", "x", "10").alias("v"))
-    return rows.select("id", scoring.is_stale(F.col("v"), "3").alias("numeric"), scoring.is_stale(F.col("v"), "3", False).alias("any"), scoring.is_stale(F.col("v"), "x", False).alias("text"))
-
-
 def stored(spark, sf_dir) -> DataFrame:
     return orders(spark, sf_dir).select(
         "id", pick("id", "shortlisted", "rejected", "new").alias("status"), F.when(F.col("id") % 3 == 1, pick("id", "age", "title")).alias("reason"), F.col("kind").alias("source"),
@@ -192,31 +152,11 @@ def skill_cleanup(spark, sf_dir):
     return out.select("p_partkey", F.array_join("matched_skills", ",").alias("matched"), F.array_join("missing_skills", ",").alias("missing"), "changed")
 
 
-NUMBERED = ("twenty-five of one hundred", "one of them", "one year", "two hundred rows, three thousand", "no number, anyone", "five million two hundred thousand one")
-
-
-def number_words(spark, sf_dir):
-    rows = orders(spark, sf_dir).select("id", pick("id", *NUMBERED).alias("t"))
-    show = lambda c: F.array_join(c.cast("array<string>"), ",")
-    return rows.select("id", show(grounding.number_words(F.col("t"))).alias("claims"), show(grounding.number_words(F.col("t"), claims=False)).alias("every"))
-
-
 def letter_paragraphs(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Dear Sir,\n\n"), F.coalesce("text", F.lit("")), F.lit("\n\nKind regards,\nme")).alias("t"))
     return rows.select("doc_id", F.size(grounding.paragraphs(F.col("t"))).alias("n"))
 
 
-DETAILED = (
-    '{"version":1,"unscored":false,"skillsFit":80,"seniorityFit":60,"location":60,"salary":50,"company":40,"missingSkills":["go"]}', '{"version":1,"unscored":true,"failure":"api","failedAttempts":2}',
-    '{"version":1,"unscored":true,"failure":"parse"}', "oops", '{"unscored":false}', None)
-
-
-def score_details(spark, sf_dir):
-    rows = orders(spark, sf_dir).select("id", pick("id", *DETAILED).alias("t")).select("id", replies.read_details(F.col("t")).alias("d"), F.size(replies.missing_skills(F.col("t"))).alias("missing"))
-    again = replies.read_details(replies.write_details(F.col("d")))
-    return rows.select("id", "d.unscored", F.col("d.failedAttempts").alias("failed"), F.col("d.unscoredFinal").alias("final"), "missing", again.eqNullSafe(F.col("d")).alias("round_trip"))
-
-
 def refresh_actions(spark, sf_dir):
     ranked = orders(spark, sf_dir).select(F.col("id").alias("job_id"), (F.col("id") % 5 == 0).alias("sent"))
     stored_ = orders(spark, sf_dir).where("id % 2 = 0").select(F.col("id").alias("job_id"), F.lit("letter").alias("part"), F.when(F.col("id") % 3 != 0, "v").alias("value"), pick("id", "1", "1", "2").alias("version"))
@@ -244,9 +184,9 @@ def assembled_scores(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    known_salary, company_gate, replaced_by_key, appended_log, finished_runs, applied_decisions, saved_scores, status_updates, company_dimension, description_restrictions, region_classes, phrase_kinds,
-    stale_versions, selective_reads, paged_read, recent_history, first_spellings, scoring_totals, output_totals, quality_violations, canonical_part_names, skill_cleanup, number_words, letter_paragraphs,
-    score_details, refresh_actions, merged_outputs, kept_approvals, assembled_scores)}
+    known_salary, company_gate, replaced_by_key, appended_log, finished_runs, applied_decisions, saved_scores, status_updates, company_dimension,
+    selective_reads, paged_read, recent_history, first_spellings, scoring_totals, output_totals, quality_violations, canonical_part_names, skill_cleanup, letter_paragraphs,
+    refresh_actions, merged_outputs, kept_approvals, assembled_scores)}
 
 _ID = "o_orderkey"
 _STORED = f"""WITH s AS (SELECT o_orderkey AS id, {_pick_sql(_ID, 'shortlisted', 'rejected', 'new')} AS status, CASE WHEN o_orderkey % 3 = 1 THEN {_pick_sql(_ID, 'age', 'title')} END AS reason, o_orderstatus AS source,
@@ -275,13 +215,6 @@ ORACLE = {
         (SELECT count(*) FROM orders WHERE o_orderkey % 3 = 0 AND (o_orderkey % 2 = 1 OR o_orderkey % 9 = 0)) AS refused FROM orders GROUP BY 1""",
     "company_dimension": """SELECT NOT hit AS passed, CASE WHEN hit THEN 'blocked_company' END AS reason, o_custkey % 7 = 0 AS company_is_centre, o_custkey % 11 = 0 AS company_preferred, count(*) AS n
         FROM (SELECT o_custkey, o_custkey % 5 = 0 OR o_custkey = 3 AS hit FROM orders JOIN customer ON c_custkey = o_custkey) GROUP BY ALL""",
-    "description_restrictions": f"SELECT doc_id, {_pick_sql('doc_id', 'US', None, 'only candidates', 'UK', 'time zone', None)} AS label FROM documents",
-    "region_classes": f"""SELECT o_orderkey AS id, {_pick_sql(_ID, 'open', 'restricted', 'restricted', 'restricted', 'restricted', 'restricted', 'open', 'restricted', 'restricted', 'restricted')} AS region,
-        {_pick_sql(_ID, None, None, 'hybrid', 'atlantis', 'us', 'EU', None, 'eu', 'in office', 'EU')} AS term, o_orderkey % 10 IN (2, 3, 4, 7, 8) AS named_place, o_orderkey % 10 = 1 AS onsite FROM orders""",
-    "phrase_kinds": f"""SELECT p_partkey, p_partkey % 7 = 0 AS abbreviation, p_partkey % 7 = 2 AS gcc, replace(trim(regexp_replace(regexp_replace(lower(t), '[-_/]+', ' ', 'g'), '\\s+', ' ', 'g')), 'bengaluru', 'bangalore') AS folded,
-        CASE p_partkey % 7 WHEN 0 THEN 'US' WHEN 1 THEN 'us' WHEN 2 THEN 'GCC' WHEN 4 THEN 'Bengaluru' WHEN 6 THEN 'join us' ELSE t END AS segment
-        FROM (SELECT p_partkey, {_pick_sql('p_partkey', *HEADS)} || p_name AS t FROM part)""",
-    "stale_versions": f'SELECT o_orderkey AS id, o_orderkey % 5 IN (0, 1, 3) AS numeric, o_orderkey % 5 IN (0, 1, 3) AS "any", o_orderkey % 5 <> 3 AS text FROM orders',
     "selective_reads": _STORED + " UNION ALL ".join(f"SELECT '{k}' AS read, count(*) AS n, CAST(sum(id % 1000) AS BIGINT) AS ids FROM s WHERE {v}" for k, v in _READS.items()),
     "paged_read": _STORED + "SELECT id, status FROM s WHERE id > 1000 ORDER BY id LIMIT 100",
     "recent_history": "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 20",
@@ -299,11 +232,8 @@ ORACLE = {
           list_filter(w, lambda x: x NOT IN ('small', 'large', 'gear', 'bolt') OR x IN ('small', 'gear')) AS m,
           list_filter(list_reverse(w), lambda x: x NOT IN ('small', 'large', 'gear', 'bolt') OR x NOT IN ('small', 'gear')) AS n FROM w)
         SELECT p_partkey, array_to_string(m, ',') AS matched, array_to_string(n, ',') AS missing, len(m) <> len(w) OR len(n) <> len(w) AS changed FROM f""",
-    "number_words": f"SELECT o_orderkey AS id, {_pick_sql(_ID, '25,100', '', '1', '200,3000', '', '5200001')} AS claims, {_pick_sql(_ID, '25,100', '1', '1', '200,3000', '', '5200001')} AS every FROM orders",
     "letter_paragraphs": """SELECT doc_id, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '\\n\\s*\\n'), lambda p: trim(p, ' ') <> '' AND NOT regexp_matches(trim(p, ' '), '(?i)^(dear|hello|hi)\\b[^\\n]{0,60}$')
         AND NOT regexp_matches(trim(p, ' '), '(?i)^(kind |best |warm )?(regards|sincerely|thanks)\\b'))) AS INTEGER) AS n FROM documents""",
-    "score_details": """SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN true END AS unscored, CASE o_orderkey % 6 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 0 END AS failed,
-        CASE WHEN o_orderkey % 6 < 3 THEN false END AS final, CASE WHEN o_orderkey % 6 = 0 THEN 1 ELSE 0 END AS missing, true AS round_trip FROM orders""",
     "refresh_actions": """SELECT part, CASE WHEN o_orderkey % 5 = 0 THEN 'skip' WHEN part = 'letter' AND o_orderkey % 2 = 0 AND o_orderkey % 3 = 2 THEN 'keep' ELSE 'redo' END AS action, count(*) AS n
         FROM orders, (VALUES ('letter'), ('tweaks')) p(part) GROUP BY ALL""",
     "merged_outputs": """SELECT CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 4 <> 0 THEN 'new' ELSE 'old' END AS value, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 4 <> 0 THEN '2' ELSE '1' END AS version,

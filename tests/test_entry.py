@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from millrace.plans import feeds, records, registry
+from millrace.plans import feeds, records, registry, ruletexts
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -23,7 +23,7 @@ def plain(rows):
 
 
 @pytest.mark.parametrize("name", ["filter_first_reason", "filter_funnel", "daily_ranking", "best_copy_per_key", "insert_if_absent", "company_upsert", "usage_by_day", "attempt_cap", "run_status", "phrase_filter", "normalised_words", "url_check", "letter_rule_codes", "secret_scrub",
-    "sections_of_doc", *feeds.QUERIES, *records.QUERIES])
+    "sections_of_doc", *feeds.QUERIES, *records.QUERIES, *ruletexts.QUERIES])
 def test_query_equals_sql(spark, db, name):
     got = registry.QUERIES[name](spark, SF)
     expected = db.sql(registry.ORACLE[name])
