@@ -143,13 +143,42 @@ def paragraphs(c: Column) -> Column:
     return F.filter(parts, lambda p: ~p.rlike(r"(?i)^(?:dear|hello|hi)\b[^\n]{0,60}$") & ~p.rlike(r"(?i)^(?:kind |best |warm )?(?:regards|sincerely|thanks)\b"))
 
 
-def kept_suggestions(rows: DataFrame, key: str, items: str, source: str, domain_terms: list[str], least: int = 3, most: int = 5) -> DataFrame:
-    """(key, kept, valid): grounded items of a list; valid with 3 to 5 given and
-    at least 3 kept."""
-    one = rows.select(key, F.size(items).alias("given"), F.col(source).alias("_source"), F.posexplode_outer(items).alias("pos", "item"))
-    ok = (F.size(claim_codes(F.col("item"), F.col("_source"), domain_terms)) == 0) & (X.word_count(F.col("item")) <= 25) & (F.trim("item") != "")
-    kept = one.groupBy(key).agg(F.max("given").alias("given"), F.transform(F.array_sort(F.collect_list(F.when(ok, F.struct("pos", "item")))), lambda x: x["item"]).alias("kept"))
-    return kept.select(key, "kept", (F.col("given").between(least, most) & (F.size("kept") >= least)).alias("valid"))
+# Bounds of a list of suggestions and of their texts; what is no plain text.
+LEAST_ITEMS, MOST_ITEMS, ITEM_WORDS, BASIS_WORDS, SECTION_LENGTH = 3, 5, 25, 12, 60
+NOT_PLAIN = r"(?i)https?://|www\.|@|[{}]"
+
+
+def suggestion_errors(item: Column) -> Column:
+    """What is wrong with a suggestion (section, suggestion, reason, basedOn)."""
+    def of(name: str, words: int | None = None, length: int | None = None) -> list[Column]:
+        t = F.regexp_replace(item[name], r"(?U)^\s+|\s+$", "")
+        bad = F.when(F.coalesce(t, F.lit("")) == "", f"{name} is empty")
+        bad = bad.when(X.word_count(t) > words, f"{name} is too long") if words else bad.when(F.length(t) > length, f"{name} is too long")
+        return [bad, F.when(t.rlike(NOT_PLAIN), f"{name} is no plain text")]
+
+    return F.array_compact(F.array(*of("section", length=SECTION_LENGTH), *of("suggestion", ITEM_WORDS), *of("reason", ITEM_WORDS), *of("basedOn", BASIS_WORDS)))
+
+
+def kept_suggestions(rows: DataFrame, items: str, source: str, domain_terms: list[str], technologies: list[str] | None = None) -> DataFrame:
+    """``rows`` plus errors, kept and valid.
+
+    A list of another length than 3 to 5, or with a wrong item, is refused whole.
+    Of the others items stay whose suggestion and reason claim nothing that the
+    source lacks, and whose basis stands in the source; at least 3 must."""
+    def grounded(x: Column) -> Column:
+        claims = F.concat_ws(" ", x["suggestion"], x["reason"])
+        return (F.size(claim_codes(claims, F.col(source), domain_terms, technologies=technologies)) == 0) & X.contains_excerpt(F.col(source), x["basedOn"])
+
+    each = F.flatten(F.transform(items, lambda x, i: F.transform(suggestion_errors(x), lambda e: F.concat(F.lit("["), i.cast("string"), F.lit("] "), e))))
+    number = F.when(F.coalesce(F.size(items), F.lit(0)).between(LEAST_ITEMS, MOST_ITEMS), F.array().cast("array<string>")).otherwise(F.array(F.lit("wrong number of items")))
+    out = rows.withColumn("errors", F.concat(number, F.coalesce(each, F.array().cast("array<string>"))))
+    out = out.withColumn("kept", F.when(F.size("errors") == 0, F.filter(items, grounded)).otherwise(F.slice(items, 1, 0)))
+    return out.withColumn("valid", F.coalesce(F.size("kept") >= LEAST_ITEMS, F.lit(False)))
+
+
+def grounding_text(profile: Column, strengths: Column) -> Column:
+    """What claims are held against: the profile and the listed strengths."""
+    return F.concat_ws("\n", profile, F.array_join(strengths, ", "))
 
 
 def heading_section(line: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import squeeze
+from millrace.operators.redact import sanitise
 from millrace.runtime import ship
 
 
@@ -82,6 +83,36 @@ def neutral(c: Column) -> Column:
     return squeeze(F.regexp_replace(F.coalesce(c, F.lit("")), "[<>{}]", " "))
 
 
+# What a request says of a posting that is only an excerpt, and of an unknown salary.
+SNIPPET_RULE = (
+    "- The job text below is only a short excerpt, not the full posting. missingSkills must contain only skills"
+    " that are explicitly named in the excerpt; if the excerpt names none, use an empty list."
+    " The reason must not speculate about requirements that are not in the text."
+)
+NOT_STATED = "not stated"
+
+
+def salary_text(known: Column, estimated: Column, currency: Column, low: Column, high: Column) -> Column:
+    """A stated salary as one line; estimated and unknown ones are not stated."""
+    amount = lambda c: F.coalesce(F.floor(c + 0.5).cast("long").cast("string"), F.lit("?"))
+    text = F.trim(F.concat(F.coalesce(currency, F.lit("")), F.lit(" "), amount(low), F.lit(" to "), amount(high)))
+    return F.when(F.coalesce(known, F.lit(False)) & ~F.coalesce(estimated, F.lit(False)), text).otherwise(F.lit(NOT_STATED))
+
+
+def posting_fields(rows: DataFrame, limit: int = 8000, values: DataFrame | None = None, texts: tuple[str, ...] = ("title", "company", "location", "description")) -> DataFrame:
+    """``rows`` of postings with what requests show of them: texts in ``texts``
+    sanitised and unable to act as markup or placeholders, the salary as a line, the
+    rule for excerpts, and whether one of the texts tries to give instructions."""
+    out = rows
+    for name in texts:
+        out = sanitise(out, name, limit, values).withColumns({name: neutral(F.col("sanitised")), f"_{name}": F.col("injection_suspected")}).drop("sanitised", "injection_suspected")
+    out = out.withColumns({
+        "salary": neutral(salary_text(*[F.col(c) for c in ("salary_known", "salary_is_estimated", "currency", "salary_min", "salary_max")])),
+        "snippetRule": F.when(F.coalesce("description_is_snippet", F.lit(False)), SNIPPET_RULE).otherwise(F.lit("")),
+        "injection_suspected": F.greatest(*[F.col(f"_{name}") for name in texts])})
+    return out.drop(*[f"_{name}" for name in texts])
+
+
 def render(template: str, fields: dict[str, Column]) -> tuple[Column, list[str]]:
     """(text, problems): placeholders {{name}} replaced; unused fields and
     unknown placeholders are listed."""

@@ -14,6 +14,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.text import scrub_secrets
+
 
 class Insert(NamedTuple):
     """Rows after the insert, what was refused, and counts."""
@@ -113,6 +115,37 @@ def append_unique(existing: DataFrame, rows: DataFrame, keys: Sequence[str], ord
     return Insert(existing.unionByName(fresh, allowMissingColumns=True), refused, report)
 
 
+COUNTS = ("fetched_count", "filtered_count", "shortlisted_count", "sent_count")
+
+
+def start_runs(runs: DataFrame, starts: DataFrame) -> DataFrame:
+    """``runs`` and new ones (run_id, started_at, trigger) that are running, with
+    all counts 0."""
+    new = starts.select("run_id", "started_at", F.lit("running").alias("status"), "trigger", F.lit(None).cast("string").alias("finished_at"), *[F.lit(0).cast("long").alias(c) for c in COUNTS], F.lit(None).cast("string").alias("notes"))
+    return runs.unionByName(new, allowMissingColumns=True) if runs.columns else new
+
+
+def end_runs(runs: DataFrame, ends: DataFrame) -> Insert:
+    """Runs with the status, time, counts and notes of their latest end; ends of
+    unknown runs are violations."""
+    last = latest(ends, ["run_id"], ["finished_at"]).select("run_id", F.struct("status", "finished_at", *COUNTS, "notes").alias("_e"))
+    joined = runs.join(last, "run_id", "left")
+    taken = ("status", "finished_at", *COUNTS, "notes")
+    result = joined.select(*[F.when(F.col("_e").isNotNull(), F.col(f"_e.{c}")).otherwise(F.col(c)).alias(c) if c in taken else F.col(c) for c in runs.columns])
+    return Insert(result, ends.join(runs.select("run_id"), "run_id", "left_anti"), ends.agg(F.count("*").alias("received")))
+
+
+def add_statuses(history: DataFrame, statuses: DataFrame) -> DataFrame:
+    """Append statuses of sources (run_id, source, status, job_count, error,
+    duration_ms); secrets leave the error texts."""
+    return history.unionByName(statuses.withColumn("error", scrub_secrets(F.col("error"))))
+
+
+def last_run(runs: DataFrame, order: str = "run_id") -> DataFrame:
+    """The newest run, by a top-1."""
+    return runs.orderBy(F.desc(order)).limit(1)
+
+
 def finish_runs(starts: DataFrame, ends: DataFrame) -> DataFrame:
     """Runs with the latest end event, if any."""
     return starts.join(latest(ends, ["run_id"], ["finished_at"]), "run_id", "left")

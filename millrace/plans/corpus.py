@@ -119,11 +119,9 @@ def vocabulary_terms(spark, sf_dir):
 
 
 def letter_rule_codes(spark, sf_dir):
-    """Problem codes of assistant turns read as letters; the codes for personal
-    data and numbers have patterns that SQL cannot say and are left to the tests."""
+    """Problem codes of assistant turns read as letters."""
     rows = read(spark, sf_dir, "conversations").where("role = 'assistant'")
-    return rows.select(F.explode(grounding.letter_codes(F.col("text"), domain_terms=["the", "der"], technologies=["la", "and"])).alias("code")).where(
-        "code not in ('pii', 'ungrounded_number')").groupBy("code").agg(F.count("*").alias("n"))
+    return rows.select(F.explode(grounding.letter_codes(F.col("text"), domain_terms=["the", "der"], technologies=["la", "and"])).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -179,6 +177,7 @@ def _redacted_sql(docs: str, x: str, more: str = "") -> str:
           array_to_string(list_filter(list_transform(ls, lambda x: CASE WHEN {_IS_ADDRESS} AND NOT {_IS_PLACEHOLDERS} THEN '[ADDRESS]' ELSE x END), lambda x: NOT {_IS_PLACEHOLDERS}), chr(10)) AS redacted FROM {x}lines)"""
 
 
+_NOT_ONE = "|".join(w for w in [*grounding.UNITS, *grounding.SCALES] if w != "one")
 _DOCS = "docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, text AS given FROM documents)"
 _COUNTS = "(SELECT r, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in redact.KINDS) + " FROM kept GROUP BY r)"
 _WHITE = r"\x{9}-\x{d} \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
@@ -252,20 +251,23 @@ ORACLE = {
     "excerpt_search": r"""WITH d AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents),
         i AS (SELECT item_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS e FROM benchmark)
         SELECT doc_id, item_id FROM d JOIN i ON contains(t, e)""",
-    "letter_rule_codes": r"""WITH t AS (SELECT regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM conversations WHERE role = 'assistant'), l AS (SELECT * FROM t WHERE text <> ''),
-        b AS (SELECT text, list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda p: trim(p)), lambda p: p <> '' AND NOT regexp_matches(p, '(?i)^(dear|hello|hi)\b[^\n]{0,60}$')
+    "letter_rule_codes": rf"""WITH RECURSIVE t AS (SELECT regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM conversations WHERE role = 'assistant'), l AS (SELECT * FROM t WHERE text <> ''),
+        letters AS (SELECT row_number() OVER () AS r, text FROM l), {_spans_sql("letters", "")},
+        b AS (SELECT text, list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda p: trim(p)), lambda p: p <> '' AND NOT regexp_matches(p, '(?i)^(dear|hello|hi)\b[^\n]{{0,60}}$')
           AND NOT regexp_matches(p, '(?i)^(kind |best |warm )?(regards|sincerely|thanks)\b')) AS body FROM l), c AS (
         SELECT 'empty' AS code FROM t WHERE text = ''
         UNION ALL SELECT 'too_long' FROM l WHERE len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) > 200
         UNION ALL SELECT 'salutation' FROM l WHERE NOT starts_with(text, 'Dear Hiring Team,')
-        UNION ALL SELECT 'name_placeholder_count' FROM l WHERE len(string_split(text, '{{NAME}}')) <> 2
-        UNION ALL SELECT 'sign_off' FROM l WHERE NOT ends_with(text, '{{NAME}}')
-        UNION ALL SELECT 'other_placeholder' FROM l WHERE regexp_matches(replace(text, '{{NAME}}', ''), '[{}]|\[[^\]]*\]')
+        UNION ALL SELECT 'name_placeholder_count' FROM l WHERE len(string_split(text, '{{{{NAME}}}}')) <> 2
+        UNION ALL SELECT 'sign_off' FROM l WHERE NOT ends_with(text, '{{{{NAME}}}}')
+        UNION ALL SELECT 'other_placeholder' FROM l WHERE regexp_matches(replace(text, '{{{{NAME}}}}', ''), '[{{}}]|\[[^\]]*\]')
         UNION ALL SELECT 'url' FROM l WHERE regexp_matches(text, '(?i)https?://|www\.|\b[a-z0-9-]+\.(com|org|io)\b')
         UNION ALL SELECT 'email' FROM l WHERE regexp_matches(text, '[^\s@]+@[^\s@]+\.[^\s@]+')
-        UNION ALL SELECT 'phone' FROM l WHERE len(list_filter(regexp_extract_all(text, '\+?\d[\d\s().-]{7,}\d'), lambda x: length(regexp_replace(x, '\D', '', 'g')) >= 9)) > 0
-        UNION ALL SELECT 'markdown' FROM l WHERE regexp_matches(text, '(?m)```|\*\*|__|^\s{0,3}#{1,6}\s|^\s*[-*•]\s')
+        UNION ALL SELECT 'phone' FROM l WHERE len(list_filter(regexp_extract_all(text, '\+?\d[\d\s().-]{{7,}}\d'), lambda x: length(regexp_replace(x, '\D', '', 'g')) >= 9)) > 0
+        UNION ALL SELECT 'markdown' FROM l WHERE regexp_matches(text, '(?m)```|\*\*|__|^\s{{0,3}}#{{1,6}}\s|^\s*[-*•]\s')
         UNION ALL SELECT 'ungrounded_technology' FROM b WHERE len(list_filter(body[2:], lambda p: regexp_matches(p, '(^|[^0-9A-Za-z])la($|[^0-9A-Za-z+#])') OR regexp_matches(p, '(?i)(^|[^0-9A-Za-z])and($|[^0-9A-Za-z+#])'))) > 0
+        UNION ALL SELECT 'pii' FROM (SELECT DISTINCT r FROM ok)
+        UNION ALL SELECT 'ungrounded_number' FROM l WHERE regexp_matches(text, '{X.NUMBER}') OR regexp_matches(lower(text), '(^|[^a-z])({_NOT_ONE})([^a-z]|$)') OR regexp_matches(lower(text), '(^|[^a-z])one([^a-z]+({"|".join(grounding.COUNTED)})|[\s-]+one)([^a-z]|$)')
         UNION ALL SELECT 'ungrounded_domain' FROM l WHERE regexp_matches(text, '(?i)(^|[^0-9A-Za-z])(the|der)($|[^0-9A-Za-z])')
         UNION ALL SELECT 'internal_label' FROM l WHERE regexp_matches(text, '(?i)\b(must-have|nice-to-have|skills\s+matrix|basedOn|prompt|the\s+profile|candidate\s+profile)\b'))
         SELECT code, count(*) AS n FROM c GROUP BY 1""",

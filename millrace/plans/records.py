@@ -56,6 +56,23 @@ def finished_runs(spark, sf_dir):
     return state.finish_runs(e.select("run_id").distinct(), ends.groupBy("run_id", "finished_at").agg(F.max("amount").alias("amount")))
 
 
+def run_history(spark, sf_dir):
+    """Runs (one per day) from start to end with the statuses of their sources, and which is the last."""
+    e = read(spark, sf_dir, "events").withColumn("run_id", F.date_format("ts", "yyyy-MM-dd"))
+    starts = e.groupBy("run_id").agg(F.min("ts").cast("string").alias("started_at")).withColumn("trigger", F.lit("schedule"))
+    none = spark.createDataFrame([], "run_id string, source string, status string, job_count long, error string, duration_ms long")
+    error = F.when(F.col("event_type") == "error", F.concat(F.lit("GET https://u:p@h.example?api_key=k"), F.col("n").cast("string")))
+    counts = e.groupBy("run_id", "event_type").agg(F.count("*").alias("n"))
+    statuses = state.add_statuses(none, counts.select("run_id", F.col("event_type").alias("source"), F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"), F.col("n").alias("job_count"), error.alias("error"), F.lit(0).cast("long").alias("duration_ms")))
+    shown = statuses.groupBy("run_id").agg(F.count("*").alias("sources"), F.max("error").alias("error"), F.sum("job_count").alias("fetched"))
+    ends = shown.where("run_id not like '%7'").unionByName(shown.limit(1).withColumn("run_id", F.lit("unknown"))).select(
+        "run_id", F.lit("success").alias("status"), F.lit("2024-12-31").alias("finished_at"), F.col("fetched").alias("fetched_count"), *[F.lit(0).cast("long").alias(c) for c in state.COUNTS[1:]], F.lit(None).cast("string").alias("notes"))
+    done = state.end_runs(state.start_runs(spark.createDataFrame([], "run_id string").drop("run_id"), starts), ends)
+    last = state.last_run(done.result).select("run_id", F.lit(True).alias("is_last"))
+    return done.result.join(shown, "run_id").join(F.broadcast(last), "run_id", "left").join(F.broadcast(done.violations.agg(F.count("*").alias("refused")))).select(
+        "run_id", "status", "fetched_count", "finished_at", "sources", "error", F.coalesce("is_last", F.lit(False)).alias("is_last"), "refused")
+
+
 def applied_decisions(spark, sf_dir):
     rows = orders(spark, sf_dir).select("id", F.lit("new").alias("status"), F.lit(None).cast("string").alias("reason"), "price")
     decided = rows.where("id % 3 = 0").select("id", F.lit("rejected").alias("status"), pick("id", "age", None).alias("reason"))
@@ -184,7 +201,7 @@ def assembled_scores(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    known_salary, company_gate, replaced_by_key, appended_log, finished_runs, applied_decisions, saved_scores, status_updates, company_dimension,
+    known_salary, company_gate, replaced_by_key, appended_log, finished_runs, run_history, applied_decisions, saved_scores, status_updates, company_dimension,
     selective_reads, paged_read, recent_history, first_spellings, scoring_totals, output_totals, quality_violations, canonical_part_names, skill_cleanup, letter_paragraphs,
     refresh_actions, merged_outputs, kept_approvals, assembled_scores)}
 
@@ -204,6 +221,9 @@ ORACLE = {
         2 * count(*) - count(*) FILTER (o_orderkey % 4 <> 0) AS refused FROM orders""",
     "finished_runs": """SELECT run_id, CAST(max(ts) FILTER (event_type = 'purchase') AS VARCHAR) AS finished_at, max_by(value, struct_pack(t := ts, v := value)) FILTER (event_type = 'purchase') AS amount
         FROM (SELECT *, user_id || '/' || CAST(ts AS DATE) AS run_id FROM events) GROUP BY 1""",
+    "run_history": """WITH e AS (SELECT *, strftime(ts, '%Y-%m-%d') AS run_id FROM events), d AS (SELECT run_id, count(*) AS n, count(DISTINCT event_type) AS sources, count(*) FILTER (event_type = 'error') AS failed FROM e GROUP BY 1)
+        SELECT run_id, CASE WHEN run_id LIKE '%7' THEN 'running' ELSE 'success' END AS status, CASE WHEN run_id LIKE '%7' THEN 0 ELSE n END AS fetched_count, CASE WHEN run_id NOT LIKE '%7' THEN '2024-12-31' END AS finished_at, sources,
+          CASE WHEN failed > 0 THEN 'GET https://[redacted]@h.example?api_key=[redacted]' END AS error, run_id = max(run_id) OVER () AS is_last, CAST(1 AS BIGINT) AS refused FROM d""",
     "applied_decisions": "SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'rejected' ELSE 'new' END AS status, CASE WHEN o_orderkey % 6 = 0 THEN 'age' END AS reason, count(*) AS n FROM orders GROUP BY 1, 2",
     "saved_scores": """WITH o AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 50 END AS score FROM orders),
         n AS (SELECT id, CASE WHEN id % 6 <> 0 THEN id % 130 END AS s, id % 10 <> 0 AS known FROM o WHERE id % 2 = 0),

@@ -17,7 +17,7 @@ from test_entry import SF, db, plain  # noqa: F401
 RAW = "source string, board string, page_no int, fetched_at timestamp, body string"
 
 
-@pytest.mark.parametrize("name", ["judgement_replies", "matrix_replies", "text_pieces", "extracted_objects", "numbers_per_doc", "vocabulary_terms", "pii_counts", "pii_values", "pii_leaks_after_redaction", "address_lines", "email_counts"])
+@pytest.mark.parametrize("name", ["judgement_replies", "matrix_replies", "text_pieces", "extracted_objects", "numbers_per_doc", "sanitised_texts", "request_texts", "suggestion_lists", "letter_rule_codes", "vocabulary_terms", "pii_counts", "pii_values", "pii_leaks_after_redaction", "address_lines", "email_counts"])
 def test_query_equals_sql(spark, db, name):  # noqa: F811
     frame, expected = registry.QUERIES[name](spark, SF), db.sql(registry.ORACLE[name])
     assert plain([tuple(r[c] for c in expected.columns) for r in frame.collect()]) == plain(expected.fetchall())
