@@ -62,12 +62,19 @@ def delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in any file system that Spark knows."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
+
+
 def subfolders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders in a folder; none if it does not exist."""
     sc = spark.sparkContext
     p = sc._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
-    return sorted(x.getPath().getName() for x in fs.listStatus(p) if x.isDirectory()) if fs.exists(p) else []
+    return sorted(x.getPath().getName() for x in fs.listStatus(p) if x.isDirectory()) if exists(spark, path) else []
 
 
 def cut(df: DataFrame) -> DataFrame:
