@@ -183,7 +183,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, thresh
     keys = cut(item_seeds(items))
     wanted = None
     if facts.n <= local_seeds:
-        wanted = spark.sparkContext.broadcast(np.unique(np.array([r.seed for r in keys.select("seed").distinct().collect()], np.int64)))
+        wanted = spark.sparkContext.broadcast(np.unique(keys.select("seed").distinct().toArrow().column("seed").to_numpy()))
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, {RESULT}"
     if not facts.n:
         return spark.createDataFrame([], kinds)

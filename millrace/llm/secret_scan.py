@@ -18,11 +18,10 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.runtime import cut, packed, shared_folder, unpacked
+from millrace.runtime import cut, exists, packed, shared_folder, unpacked
 
 
 @dataclass(frozen=True)
@@ -165,10 +164,7 @@ def extend_ledger(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, t
     lacks, append them to it and return the whole ledger.  A missing table is an
     empty ledger; a scan without unseen pairs appends no row."""
     spark = docs.sparkSession
-    try:
-        ledger = spark.read.schema(LEDGER).parquet(path)
-    except AnalysisException:  # no table yet
-        ledger = None
+    ledger = spark.read.schema(LEDGER).parquet(path) if exists(spark, path) else None
     scan(blobs(docs, text_col), rules, ledger).write.mode("append").parquet(path)
     return spark.read.schema(LEDGER).parquet(path)
 
