@@ -38,14 +38,16 @@ def duplicate_reason(postings: DataFrame, order: list[str], sent_keys: DataFrame
     ``sent_keys`` (key) are delivered keys, ``retained`` (key, id) the keys of
     rows kept earlier; a row never loses against itself.  Only rows for which
     ``competing`` holds take part in the choice of the best copy, since the
-    choice is made among rows that pass all other rules."""
-    sent = sent_keys.select(key).distinct().withColumn("_sent", F.lit(True))
-    kept = retained.groupBy(key).agg(F.min("id").alias("_lo"), F.max("id").alias("_hi"))
-    best = best_ids(postings.where(competing), order, key)
-    joined = postings.join(sent, key, "left").join(kept, key, "left").join(best, key, "left")
+    choice is made among rows that pass all other rules.  What is known of a key
+    is one aggregate, reduced before its shuffle, and meets the rows in one join."""
+    parts = [(sent_keys, "_sent", F.lit(True)), (retained, "_id", F.col("id")), (postings.where(competing), "_q", quality(order))]
+    facts = [rows.select(key, c.alias(name)) for rows, name, c in parts]
+    known = facts[0].unionByName(facts[1], allowMissingColumns=True).unionByName(facts[2], allowMissingColumns=True)
+    of_key = known.groupBy(key).agg(F.max("_sent").alias("_sent"), F.min("_id").alias("_lo"), F.max("_id").alias("_hi"), F.min("_q").alias("_best"))
+    joined = postings.join(of_key, key, "left").withColumn("best_id", F.col("_best.id"))
     other = F.coalesce((F.col("_lo") != F.col("id")) | (F.col("_hi") != F.col("id")), F.lit(False))
     reason = F.when(F.col("_sent"), "already_sent").when(other, "duplicate").when(competing & (F.col("best_id") != F.col("id")), "duplicate")
-    return joined.withColumn("duplicate", reason).drop("_sent", "_lo", "_hi", "best_id")
+    return joined.withColumn("duplicate", reason).drop("_sent", "_lo", "_hi", "_best", "best_id")
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -185,7 +185,25 @@ _PIECES = f"[0-9A-Za-z]+|[{_WHITE}-]+|[^0-9A-Za-z{_WHITE}-]"
 _FLAT = f"lambda p: CASE WHEN regexp_matches(p, '^[{_WHITE}-]') THEN ' ' ELSE p END"
 _LINES = " UNION ALL ".join(f"SELECT {i - len(VOCABULARY)}, '{x}'" for i, x in enumerate(VOCABULARY))
 _HEADING = "regexp_replace(trim(line), ':$', '')"
+_BLANK = r"[\x{9}-\x{d} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def _decoded_sql(x: str) -> str:
+    """One pass over numeric and six named entities."""
+    shape = "(?i)&#([0-9]{1,7}|x[0-9a-f]{1,6});"
+    code = "CASE WHEN lower(h[1]) = 'x' THEN CAST('0x' || h[2:] AS BIGINT) ELSE CAST(h AS BIGINT) END"
+    letters = f"list_transform(regexp_extract_all({x}, '{shape}', 1), lambda h: CASE WHEN {code} BETWEEN 1 AND 1114111 THEN chr(({code})::INTEGER) ELSE '�' END)"
+    out = f"array_to_string(list_transform(list_zip(string_split_regex({x}, '{shape}'), {letters}), lambda z: z[1] || coalesce(z[2], '')), '')"
+    for name, value in (("&nbsp;", " "), ("&quot;", '"'), ("&apos;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        out = f"regexp_replace({out}, '{name}', '{value}', 'gi')"
+    return out
+
+
 ORACLE = {
+    "html_to_text": rf"""WITH one AS (SELECT page_id, {_decoded_sql('html')} AS t FROM pages), two AS (SELECT page_id, {_decoded_sql('t')} AS t FROM one),
+        bare AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS t FROM two),
+        done AS (SELECT page_id, trim(regexp_replace(regexp_replace(t, '(?s)</?[A-Za-z!][^>]*>', '', 'g'), '{_BLANK}', ' ', 'g'), ' ') AS t FROM bare)
+        SELECT page_id, length(t)::INTEGER AS n_chars, md5(t) AS text_md5 FROM done""",
     "pii_counts": f"""WITH RECURSIVE {_DOCS}, {_redacted_sql("docs", "")}
         SELECT {", ".join(f"coalesce(sum(c.{k}), 0)::BIGINT{' + sum(n_lines)::BIGINT' if k == 'address' else ''} AS n_{k}" for k in redact.KINDS)}, count(*) FILTER (redacted <> given) AS changed
         FROM docs JOIN done USING (r) LEFT JOIN {_COUNTS} c USING (r)""",

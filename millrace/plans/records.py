@@ -33,13 +33,13 @@ def known_salary(spark, sf_dir):
 def company_gate(spark, sf_dir):
     c = read(spark, sf_dir, "customer")
     stored = c.where("c_custkey % 3 <> 0").select(F.lower("c_name").alias("name_key"), F.col("c_name").alias("name"), (F.col("c_custkey") % 2 == 0).alias("is_gcc"), F.lit("x").alias("ats_type"), F.lit("x").alias("board_slug"))
-    boards = c.where("c_custkey % 5 <> 0").select(F.concat(F.lit(" "), F.upper("c_name")).alias("name"), F.lit("A").alias("ats_type"), F.lower("c_name").alias("board_slug"))
+    boards = c.where("c_custkey % 5 <> 0 or c_custkey % 3 = 0").select(F.concat(F.lit(" "), F.upper("c_name")).alias("name"), F.lit("A").alias("ats_type"), F.lower("c_name").alias("board_slug"))
     return state.gate_companies(stored, boards).select("name_key", F.trim("name").alias("name"), "is_gcc", "ats_type", "board_slug")
 
 
 def replaced_by_key(spark, sf_dir):
     rows = orders(spark, sf_dir).select("cust", "id", "kind")
-    return state.replace_by_key(rows.where("kind = 'F'"), rows.where("kind = 'O'"), ["cust"], ["id"])
+    return state.replace_by_key(rows.where("kind <> 'O'"), rows.where("kind = 'O'"), ["cust"], ["id"])
 
 
 def appended_log(spark, sf_dir):
@@ -149,6 +149,20 @@ def output_totals(spark, sf_dir):
     return reports.output_summary(orders(spark, sf_dir).select(pick("id", "cached", "generated", "skipped").alias("action"), F.when(F.col("id") % 2 == 0, "x").alias("letter"), F.when(F.col("id") % 5 != 0, "y").alias("tweaks"), codes.alias("codes")))
 
 
+def funnel_totals(spark, sf_dir):
+    """Decided rows by source and outcome, with totals per source and over all."""
+    decided = orders(spark, sf_dir).select(F.col("kind").alias("source"), F.when(F.col("price") > 150_000, "passed").otherwise("salary").alias("outcome"))
+    return reports.funnel_with_totals(decided)
+
+
+def kept_outputs(spark, sf_dir):
+    """Outputs by part after their postings have been purged."""
+    rows = orders(spark, sf_dir)
+    outputs = rows.select(F.col("id").alias("job_id"), F.explode(F.array(F.lit("letter"), F.lit("tweaks"))).alias("part"))
+    kept = state.purge(rows.withColumn("fetched_at", F.col("at")), rows.where("id % 17 = 0").select("id"), NOW, 1500).result
+    return state.drop_orphans(outputs, kept).groupBy("part").agg(F.count("*").alias("n"), F.sum(F.col("job_id") % 1000).alias("check_sum"))
+
+
 def quality_violations(spark, sf_dir):
     rows = orders(spark, sf_dir).select(F.when(F.col("id") % 10 != 0, F.col("id")).alias("id"), "kind", "price")
     bad = state.violations(rows, ["id"], {"kind": ["F", "O"]}, {"price": (2000.0, 100_000.0)})
@@ -202,7 +216,7 @@ def assembled_scores(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     known_salary, company_gate, replaced_by_key, appended_log, finished_runs, run_history, applied_decisions, saved_scores, status_updates, company_dimension,
-    selective_reads, paged_read, recent_history, first_spellings, scoring_totals, output_totals, quality_violations, canonical_part_names, skill_cleanup, letter_paragraphs,
+    selective_reads, paged_read, recent_history, first_spellings, funnel_totals, kept_outputs, scoring_totals, output_totals, quality_violations, canonical_part_names, skill_cleanup, letter_paragraphs,
     refresh_actions, merged_outputs, kept_approvals, assembled_scores)}
 
 _ID = "o_orderkey"
@@ -214,8 +228,8 @@ _READS = {
 ORACLE = {
     "known_salary": f"WITH p AS ({ORACLE_POSTINGS}) SELECT currency, count(*) FILTER (salary_known AND NOT salary_is_estimated) AS known FROM p GROUP BY 1",
     "company_gate": """SELECT lower(c_name) AS name_key, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) ELSE c_name END AS name, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 2 = 0 END AS is_gcc,
-        CASE WHEN c_custkey % 5 <> 0 THEN 'A' END AS ats_type, CASE WHEN c_custkey % 5 <> 0 THEN lower(c_name) END AS board_slug FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 5 <> 0""",
-    "replaced_by_key": """SELECT o_custkey AS cust, o_orderkey AS id, o_orderstatus AS kind FROM orders WHERE o_orderstatus IN ('F', 'O')
+        CASE WHEN c_custkey % 5 <> 0 OR c_custkey % 3 = 0 THEN 'A' END AS ats_type, CASE WHEN c_custkey % 5 <> 0 OR c_custkey % 3 = 0 THEN lower(c_name) END AS board_slug FROM customer""",
+    "replaced_by_key": """SELECT o_custkey AS cust, o_orderkey AS id, o_orderstatus AS kind FROM orders
         QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus = 'O' DESC, o_orderkey DESC) = 1""",
     "appended_log": """SELECT count(*) AS n, round(sum(o_totalprice), 2) AS price, 2 * count(*) AS received, count(*) FILTER (o_orderkey % 4 <> 0) AS inserted,
         2 * count(*) - count(*) FILTER (o_orderkey % 4 <> 0) AS refused FROM orders""",
@@ -240,6 +254,9 @@ ORACLE = {
     "recent_history": "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 20",
     "first_spellings": """WITH w AS (SELECT p_brand, p_partkey, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS w FROM part),
         f AS (SELECT p_brand, min(p_partkey) AS k, arg_min(w, p_partkey) AS w FROM w GROUP BY p_brand, lower(w)) SELECT p_brand, string_agg(w, ',' ORDER BY k) AS names FROM f GROUP BY 1""",
+    "funnel_totals": "SELECT o_orderstatus AS source, CASE WHEN o_totalprice > 150000 THEN 'passed' ELSE 'salary' END AS outcome, count(*) AS n FROM orders GROUP BY ROLLUP (source, outcome)",
+    "kept_outputs": """SELECT part, count(*) AS n, sum(o_orderkey % 1000)::BIGINT AS check_sum FROM orders, (VALUES ('letter'), ('tweaks')) p(part)
+        WHERE o_orderkey % 17 = 0 OR o_orderdate >= TIMESTAMP '2001-08-02' - INTERVAL 1500 DAY GROUP BY part""",
     "scoring_totals": _STORED + """SELECT count(*) AS attempted, count(score) AS scored, count(*) FILTER (score IS NULL) AS unscored, count(*) FILTER (final AND score IS NULL) AS final_unscored,
         count(*) FILTER (id % 13 = 0) AS injection_suspected FROM s""",
     "output_totals": """SELECT count(*) AS considered, count(*) FILTER (o_orderkey % 3 = 0) AS cached, count(*) FILTER (o_orderkey % 3 = 1 AND o_orderkey % 2 = 0 AND o_orderkey % 5 <> 0) AS generated,
