@@ -134,9 +134,11 @@ def multiset(word: Column) -> Column:
 def near_multisets(words: DataFrame) -> DataFrame:
     """(a, b): every two letter multisets, a < b, of which one letter more, less
     or other makes one into the other; ``words`` is (letters) of distinct ones."""
-    letters = F.split("letters", "")
-    place = lambda x, i: F.struct(x.alias("ch"), (i - F.array_position(letters, x)).cast("int").alias("occ"))
-    dims = words.select("letters", F.transform(letters, place).alias("dims"))
+    letters = F.split("letters", "")  # in order, so that equal ones stand together
+    first = F.transform(F.array_distinct(letters), lambda x: F.struct(x.alias("ch"), (F.array_position(letters, x) - 1).cast("int").alias("at")))
+    ends = lambda i: F.coalesce(F.try_element_at(F.col("first"), i + 2)["at"], F.length("letters"))
+    of = lambda x, i: F.transform(F.sequence(F.lit(0), ends(i) - x["at"] - 1), lambda k: F.struct(x["ch"].alias("ch"), k.alias("occ")))
+    dims = words.select("letters", first.alias("first")).select("letters", F.flatten(F.transform("first", of)).alias("dims"))
     hashed = F.transform("dims", lambda d: F.struct(F.xxhash64(d["ch"], d["occ"]).alias("h"), F.pmod(F.xxhash64(d["occ"], d["ch"]), F.lit(PARTS)).alias("part")))
     dims = dims.select("letters", F.transform("dims", lambda d: F.xxhash64(d["ch"], d["occ"])).alias("bits"), hashed.alias("placed"))
     rest = lambda i, j: F.aggregate(F.filter("placed", lambda d: ~d["part"].isin(i, j)), F.lit(i * PARTS + j).cast("long"), lambda s, d: F.xxhash64(s, d["h"]))
