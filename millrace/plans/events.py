@@ -171,10 +171,10 @@ def stream_retention(spark, sf_dir):
     coming = jobs.Arrivals(rows, [F.col("id") % 3 == i for i in range(3)], "retention")
 
     def step(at: str, batch: DataFrame, k: int) -> None:
-        tables.DayTable(spark, f"{at}/table", rows.schema, "fetched_at", 1500).add(k, batch, sent, min(NOW, NOW - timedelta(days=200 * (2 - k))))
+        tables.DayTable(spark, f"{at}/table", rows.schema, "fetched_at", 1500, "yyyy-MM").add(k, batch, sent, min(NOW, NOW - timedelta(days=200 * (2 - k))))
 
     at, _ = jobs.run_batches(coming.stream, "retention", step, coming)
-    kept = tables.DayTable(spark, f"{at}/table", rows.schema, "fetched_at", 1500).read()
+    kept = tables.DayTable(spark, f"{at}/table", rows.schema, "fetched_at", 1500, "yyyy-MM").read()
     return kept.groupBy("source").agg(F.count("*").alias("kept"), F.sum(F.col("id") % 1000).alias("check_sum"))
 
 

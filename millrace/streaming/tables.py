@@ -11,7 +11,7 @@ from collections.abc import Callable
 from datetime import datetime, timedelta
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -120,10 +120,6 @@ class Removed(NamedTuple):
     rewritten: list[str]
 
 
-def _day(time: Column) -> Column:
-    return F.date_format(time, "yyyy-MM-dd")
-
-
 class DayTable:
     """Rows by day (and batch) that are kept for some days; sent ones stay.
 
@@ -135,7 +131,8 @@ class DayTable:
     names: as many as the table keeps.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType, time: str, days: int):
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, time: str, days: int, unit: str = "yyyy-MM-dd"):
+        self.unit = unit  # of the folders: days, or "yyyy-MM" for months
         self.spark, self.path, self.schema, self.time, self.days = spark, path, schema, time, days
 
     def read(self) -> DataFrame:
@@ -144,7 +141,8 @@ class DayTable:
         return whole[0].unionByName(whole[1]) if len(whole) == 2 else whole[0] if whole else self.spark.createDataFrame([], self.schema)
 
     def _put(self, rows: DataFrame, place: str) -> None:
-        dated = rows.select(*self.schema.names, _day(F.col(self.time)).alias("_day"), "_batch")
+        dated = rows.select(*self.schema.names, F.date_format(F.col(self.time), self.unit).alias("_day"), "_batch")
+        dated = dated.hint("rebalance", "_day")  # a file per day, more for a large one
         dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_day", "_batch").parquet(f"{self.path}/{place}")
 
     def add(self, k: int, batch: DataFrame, sent: DataFrame, now: datetime, key: str = "id") -> Removed:
@@ -156,7 +154,7 @@ class DayTable:
         was_sent = lambda rows: rows.join(names, F.col(key) == F.col("_key"), "left_semi")
         batch = batch.select(*self.schema.names).withColumn("_batch", F.lit(k))
         self._put(batch.where(fresh), "rows")
-        day = self.spark.range(1).select(_day(F.lit(limit))).first()[0]
+        day = self.spark.range(1).select(F.date_format(F.lit(limit), self.unit)).first()[0]
         there = [x.removeprefix("_day=") for x in subfolders(self.spark, f"{self.path}/rows")]
         old = [x for x in there if x < day]
         expired = batch.where(~fresh)
