@@ -159,7 +159,7 @@ class DayTable:
         old = [x for x in there if x < day]
         expired = batch.where(~fresh)
         if old:
-            expired = expired.unionByName(self._rows(*old))
+            expired = expired.unionByName(self._rows(*old).withColumn("_batch", F.lit(-k - 1)))  # beside what came late in batch k
         self._put(was_sent(expired), "sent")
         for x in old:
             delete(self.spark, f"{self.path}/rows/_day={x}")
