@@ -1,6 +1,7 @@
 """Feed queries: orders and customers written as the payloads of ten feeds, 100
 records a page, read back by the adapters.  The SQL derives the postings straight
-from the tables."""
+from the tables.  A page holds what there is of a hundred ids, so a short page
+says nothing about the pages behind it."""
 
 from __future__ import annotations
 
@@ -108,7 +109,7 @@ def feed_forum(spark, sf_dir):
     e = _json(
         objectID=F.col("id").cast("string"), parent_id=_each(10, F.lit(2), F.lit(1)), comment_text=_each(13, F.concat(line, F.lit("<p>More &amp; more")), "  "),
         _tags=F.when(F.col("id") % 17 == 0, F.array(F.lit("comment"), F.lit("dead"))).otherwise(F.array(F.lit("comment"))), created_at=F.col("iso"))
-    return shown(adapters.forum_thread(threads, payloads(base(spark, sf_dir), e, "forum", '{"hits":[', F.lit("]}"))))
+    return shown(adapters.forum_thread(threads, payloads(base(spark, sf_dir), e, "forum", '{"hits":[', F.lit("]}")), page_size=None))
 
 
 def feed_search(spark, sf_dir):

@@ -62,17 +62,17 @@ def records(raw: DataFrame, root: str | None) -> DataFrame:
     return whole.lateralJoin(parts).select("source", "board", "page_no", "fetched_at", "pos", F.col("value").alias("v"))
 
 
-def until_stop(pages: DataFrame, stop: Column, max_pages: int) -> DataFrame:
+def until_stop(pages: DataFrame, stop: Column, max_pages: int | None) -> DataFrame:
     """Pages of each source and board up to and including the first that stops,
-    at most ``max_pages`` from the first one on.
+    at most ``max_pages`` from the first one on (None: as many as there are).
 
     The first stop is a minimum, found map-side over narrow rows, so that page
     bodies are neither sorted nor shuffled for it."""
     ends = pages.groupBy("source", "board").agg(F.min(F.when(stop, F.col("page_no"))).alias("_stop"), F.min("page_no").alias("_first"))
-    last = F.least(F.col("_stop"), F.col("_first") + max_pages - 1)
+    last = F.col("_stop") if max_pages is None else F.least(F.col("_stop"), F.col("_first") + max_pages - 1)
     keys = ends.select(F.col("source").alias("_source"), F.col("board").alias("_board"), last.alias("_last"))
     same = F.col("source").eqNullSafe(F.col("_source")) & F.col("board").eqNullSafe(F.col("_board"))
-    return pages.join(keys, same).where("page_no <= _last").drop("_source", "_board", "_last")
+    return pages.join(keys, same).where("_last is null or page_no <= _last").drop("_source", "_board", "_last")
 
 
 def short_page(root: str, size: int) -> Column:
@@ -81,6 +81,14 @@ def short_page(root: str, size: int) -> Column:
     return F.coalesce(n, F.lit(0)) < size
 
 
+def until_short(pages: DataFrame, root: str, page_size: int | None, max_pages: int | None) -> DataFrame:
+    """Pages up to the first short one, at most ``max_pages``; without a page size
+    a short page ends nothing, and without either all pages are read as they are."""
+    if page_size is None and max_pages is None:
+        return pages
+    return until_stop(pages, F.lit(False) if page_size is None else short_page(root, page_size), max_pages)
+
+
 def first_of_id(rows: DataFrame, ident: Column) -> DataFrame:
     """Records of a source in page order, each id once; rows without id go."""
     named = rows.withColumn("_id", ident).where("_id is not null")
@@ -219,15 +227,15 @@ def headline(text: Column, cities: list[str] | None = None) -> Column:
         F.coalesce(pick(places), F.when(line == "", "Unknown").otherwise(line)).alias("location"), line.alias("headline"))
 
 
-def forum_thread(threads: DataFrame, comments: DataFrame, cities: list[str] | None = None, max_pages: int = 50, page_size: int = 100) -> DataFrame:
+def forum_thread(threads: DataFrame, comments: DataFrame, cities: list[str] | None = None, max_pages: int | None = None, page_size: int | None = 100) -> DataFrame:
     """Top-level comments of the latest hiring thread, from the pages up to the
-    first short one."""
+    first short one; a bound on pages is a source's own policy."""
     f = Fields(F.col("v"))
     title = F.lower(f.string("title"))
     hiring = title.contains("who is hiring") & ~title.contains("wants to be hired") & ~title.contains("freelancer")
     story = records(threads, "hits").where(hiring).agg(F.max_by(f.id("objectID"), F.struct(f.number("created_at_i"), -F.col("pos"))).alias("story"))
     text = F.coalesce(f.string("comment_text"), F.lit(""))
-    rows = records(until_stop(comments, short_page("hits", page_size), max_pages), "hits").withColumn("parent", f.id("parent_id")).join(F.broadcast(story), F.col("parent") == F.col("story")).where((F.trim(text) != "") & ~F.arrays_overlap(f.strings("_tags"), F.array(F.lit("deleted"), F.lit("dead"))))
+    rows = records(until_short(comments, "hits", page_size, max_pages), "hits").withColumn("parent", f.id("parent_id")).join(F.broadcast(story), F.col("parent") == F.col("story")).where((F.trim(text) != "") & ~F.arrays_overlap(f.strings("_tags"), F.array(F.lit("deleted"), F.lit("dead"))))
     rows = rows.withColumn("h", headline(text, cities))
     return rows.select(*posting(
         F.col("source"), external_id=f.id("objectID"), title=F.col("h.title"), company=F.col("h.company"), location=F.col("h.location"), remote_type=remote_type(F.col("h.headline"), F.lit(""), "unknown"),

@@ -67,3 +67,19 @@ def test_long_aliases_are_found(spark):
 
 def test_fetch_report(spark, db):  # noqa: F811
     assert same(spark, db, "fetch_report")
+
+
+@pytest.mark.parametrize("name", ["feed_forum"])
+def test_feeds_of_many_and_of_short_pages(spark, tmp_path, name):
+    import duckdb
+
+    # 106 pages, none of them full, and a gap of 300 empty ones
+    key = "o_orderkey * 7 + CASE WHEN o_orderkey > 900 THEN 30000 ELSE 0 END"
+    duckdb.sql(f"COPY (SELECT * REPLACE ({key} AS o_orderkey) FROM '{SF}/orders.parquet') TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    duckdb.sql(f"COPY (FROM '{SF}/customer.parquet') TO '{tmp_path}/customer.parquet' (FORMAT parquet)")
+    sql = duckdb.connect()
+    for t in ("orders", "customer"):
+        sql.sql(f"CREATE VIEW {t} AS FROM '{tmp_path}/{t}.parquet'")
+    got, expected = registry.QUERIES[name](spark, str(tmp_path)), sql.sql(registry.ORACLE[name])
+    rows = plain([tuple(r[c] for c in expected.columns) for r in got.collect()])
+    assert len(rows) > 1000 and rows == plain(expected.fetchall())
