@@ -117,7 +117,7 @@ def feed_search(spark, sf_dir):
     e = _json(
         id=F.col("id").cast("string"), title=F.col("title"), company=F.struct(_each(11, F.col("company")).alias("display_name")), location=F.struct(F.lit("Pune").alias("display_name")),
         redirect_url=F.concat("link", F.lit("?app_id=1&x=2&app_key=3")), description=F.col("html"), salary_min=F.col("pay"), salary_max=_each(3, F.col("pay") * 2), salary_is_predicted=_each(5, "0", "1"), created=F.col("iso"))
-    return shown(adapters.search_api(payloads(base(spark, sf_dir), e, "search", '{"results":[', F.lit("]}"), board=country)))
+    return shown(adapters.search_api(payloads(base(spark, sf_dir), e, "search", '{"results":[', F.lit("]}"), board=country), page_size=None))
 
 
 def boards(spark) -> DataFrame:

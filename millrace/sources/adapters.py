@@ -242,10 +242,10 @@ def forum_thread(threads: DataFrame, comments: DataFrame, cities: list[str] | No
         url=F.concat(F.lit("https://news.ycombinator.com/item?id="), f.id("objectID")), posted_at=_time(f.string("created_at")), description=X.html_to_text(text)))
 
 
-def search_api(raw: DataFrame, currencies: dict[str, str] | None = None, max_pages: int = 50, page_size: int = 50) -> DataFrame:
+def search_api(raw: DataFrame, currencies: dict[str, str] | None = None, max_pages: int | None = None, page_size: int | None = 50) -> DataFrame:
     """``board`` is the country; predicted pay is unknown and estimated, pay
     under the plausible floor unknown; credentials leave the URL.  A search ends
-    with its first short page."""
+    with its first short page; a bound on pages is a source's own policy."""
     f = Fields(F.col("v"))
     table = currencies or {"in": "INR", "gb": "GBP", "us": "USD", "de": "EUR", "fr": "EUR", "ca": "CAD", "au": "AUD", "sg": "SGD"}
     currency = F.try_element_at(F.create_map(*[x for kv in table.items() for x in map(F.lit, kv)]), F.lower("board"))
@@ -254,7 +254,7 @@ def search_api(raw: DataFrame, currencies: dict[str, str] | None = None, max_pag
     floor = F.when(currency == "INR", 100_000.0).otherwise(10_000.0)
     paid = F.coalesce((~predicted) & (F.least(F.coalesce(low, high), F.coalesce(high, low)) >= floor) & currency.isNotNull(), F.lit(False))
     place = F.coalesce(f.string("location.display_name"), F.lit("Unknown"))
-    return records(until_stop(raw, short_page("results", page_size), max_pages), "results").where(f.id("id").isNotNull()).select(*posting(
+    return records(until_short(raw, "results", page_size, max_pages), "results").where(f.id("id").isNotNull()).select(*posting(
         F.col("source"), external_id=f.id("id"), title=f.string("title"), company=F.coalesce(f.string("company.display_name"), F.lit("Unknown")), location=place, remote_type=remote_type(place, F.lit(""), "unknown"),
         salary_min=F.when(paid, F.coalesce(low, high)), salary_max=F.when(paid, F.coalesce(high, low)), currency=F.when(paid, currency), salary_known=paid, salary_is_estimated=predicted,
         url=drop_query_keys(f.string("redirect_url"), ["app_id", "app_key"]), posted_at=_time(f.string("created")), description=X.html_to_text(F.coalesce(f.string("description"), F.lit(""))), description_is_snippet=F.lit(True)))

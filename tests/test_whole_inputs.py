@@ -69,7 +69,7 @@ def test_fetch_report(spark, db):  # noqa: F811
     assert same(spark, db, "fetch_report")
 
 
-@pytest.mark.parametrize("name", ["feed_forum"])
+@pytest.mark.parametrize("name", ["feed_forum", "feed_search"])
 def test_feeds_of_many_and_of_short_pages(spark, tmp_path, name):
     import duckdb
 
@@ -83,3 +83,12 @@ def test_feeds_of_many_and_of_short_pages(spark, tmp_path, name):
     got, expected = registry.QUERIES[name](spark, str(tmp_path)), sql.sql(registry.ORACLE[name])
     rows = plain([tuple(r[c] for c in expected.columns) for r in got.collect()])
     assert len(rows) > 1000 and rows == plain(expected.fetchall())
+
+
+def test_pages_without_a_bound(spark):
+    from millrace.sources import adapters
+
+    raw = spark.createDataFrame([("s", "b", i, None, f'{{"results":[{{"id":"{i}"}}]}}') for i in range(60)], "source string, board string, page_no int, fetched_at timestamp, body string")
+    pages = lambda **k: sorted(int(r.external_id) for r in adapters.search_api(raw, **k).collect())
+    assert pages(page_size=1) == list(range(60)) == pages(page_size=None)
+    assert pages(page_size=1, max_pages=7) == list(range(7)) == pages(page_size=None, max_pages=7) and pages() == [0]
