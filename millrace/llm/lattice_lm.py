@@ -31,6 +31,7 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -71,10 +72,19 @@ def code_points(words: list[str], n: int) -> np.ndarray:
 
 
 class Lattice:
-    """Forward (and backward) recursion over many words of one length at once."""
+    """Forward (and backward) recursion over many words of one length at once.
+
+    Words whose spelling in bytes is likelier than exp(``LEAST``) are summed as
+    plain probabilities, which cannot run out of range then; all others as
+    logarithms."""
+
+    LEAST = -600.0
+    _MIX, _SHIFT = np.uint64(0xD6E8FEB86659FD93), np.uint64(44)
 
     def __init__(self, weights: Weights):
         self.w = weights
+        self.plain = np.exp(weights.pieces)
+        self.first = weights.pieces[weights.names.index(MARK)] if MARK in weights.names else -np.inf
         hashes = np.zeros(len(weights.names), np.uint64)
         sizes = np.array([len(p) for p in weights.names])
         for n in np.unique(sizes):
@@ -84,6 +94,8 @@ class Lattice:
         self.hashes = hashes[self.order]
         self.lengths = sorted(set(sizes.tolist()))
         self.strata = weights.pieces.shape[1]
+        self.maybe = np.zeros(1 << 20, bool)  # what is no piece is seldom searched for
+        self.maybe[self._slot(hashes)] = True
 
     @staticmethod
     def _hash(codes: np.ndarray) -> np.ndarray:
@@ -93,6 +105,10 @@ class Lattice:
                 h = h * BASE + codes[:, i].astype(np.uint64) + np.uint64(1)
         return h
 
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (h * self._MIX) >> self._SHIFT
+
     def _spans(self, codes: np.ndarray):
         """(start, end, rows, piece numbers) of every piece that fits, by end."""
         m, n = codes.shape
@@ -106,77 +122,106 @@ class Lattice:
                     if size > j:
                         break
                     h = heads[j] - heads[j - size] * power[size]
+                    rows = np.flatnonzero(self.maybe[self._slot(h)])
+                    if not len(rows):
+                        continue
+                    h = h[rows]
                     at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                    rows = np.flatnonzero(self.hashes[at] == h)
-                    if len(rows):
-                        yield j - size, j, rows, self.order[at[rows]]
-
-    def _bytes(self, codes: np.ndarray, table: np.ndarray) -> np.ndarray:
-        """Log-probability of spelling each character in bytes: (row, place, stratum)."""
-        chars, back = np.unique(codes, return_inverse=True)
-        per = np.array([table[list(chr(int(c)).encode("utf-8", "replace"))].sum(0) for c in chars])
-        return per[back.reshape(codes.shape)]
-
-    def _forward(self, codes: np.ndarray, spans: list, spelled: np.ndarray) -> list[np.ndarray]:
+                    good = self.hashes[at] == h
+                    if good.any():
+                        yield j - size, j, rows[good], self.order[at[good]]
+
+    def _parts(self, words: list[bytes]):
+        """(places, codes, characters, their numbers, log-probabilities of spelling
+        them in bytes by (row, place, stratum), whether plain numbers will do) of
+        equally long words."""
+        for n, places, text in by_length(words):
+            step = 4096 if n <= LONG else 1
+            for a in range(0, len(places), step):
+                codes = code_points(text[a : a + step], n)
+                chars, back = np.unique(codes, return_inverse=True)
+                per = np.array([self.w.bytes[list(chr(int(c)).encode("utf-8", "replace"))].sum(0) for c in chars])
+                back = back.reshape(codes.shape)
+                spelled = per[back]
+                plain = (spelled[:, 1:].sum(1) + self.first > self.LEAST).all(1)
+                for linear in (True, False):
+                    rows = np.flatnonzero(plain == linear)
+                    if len(rows) == len(codes):
+                        yield places[a : a + step], codes, chars, back, spelled, linear
+                    elif len(rows):
+                        yield places[a : a + step][rows], codes[rows], chars, back[rows], spelled[rows], linear
+
+    def _forward(self, codes: np.ndarray, spans: list, spelled: np.ndarray, linear: bool) -> list[np.ndarray]:
         m, n = codes.shape
-        alpha = [np.zeros((m, self.strata)), *[np.full((m, self.strata), -np.inf) for _ in range(n)]]
+        add, times, pieces = (np.add, np.multiply, self.plain) if linear else (np.logaddexp, np.add, self.w.pieces)
+        alpha = [np.full((m, self.strata), 1.0 if linear else 0.0), *[np.full((m, self.strata), 0.0 if linear else -np.inf) for _ in range(n)]]
         at = 0
         for j in range(1, n + 1):
             if j > 1:
-                alpha[j] = alpha[j - 1] + spelled[:, j - 1]
+                alpha[j] = times(alpha[j - 1], spelled[:, j - 1])
             while at < len(spans) and spans[at][1] == j:
                 i, _, rows, piece = spans[at]
-                alpha[j][rows] = np.logaddexp(alpha[j][rows], alpha[i][rows] + self.w.pieces[piece])
+                alpha[j][rows] = add(alpha[j].take(rows, 0), times(alpha[i].take(rows, 0), pieces.take(piece, 0)))
                 at += 1
         return alpha
 
     def log_probs(self, words: list[bytes]) -> np.ndarray:
         """Natural log of the marginal over all segmentations: (word, stratum)."""
         out = np.empty((len(words), self.strata))
-        for n, places, text in by_length(words):
-            for a in range(0, len(places), 4096 if n <= LONG else 1):
-                part = slice(a, a + (4096 if n <= LONG else 1))
-                codes = code_points(text[part], n)
-                out[places[part]] = self._forward(codes, list(self._spans(codes)), self._bytes(codes, self.w.bytes))[-1]
+        for places, codes, _, _, spelled, linear in self._parts(words):
+            last = self._forward(codes, list(self._spans(codes)), np.exp(spelled) if linear else spelled, linear)[-1]
+            out[places] = np.log(last) if linear else last
         return out
 
     def expect(self, words: list[bytes], mass: np.ndarray, pieces: np.ndarray, bytes_: np.ndarray) -> None:
         """Add the expected uses of pieces and bytes; ``mass`` (word, stratum)
         says how often each word counts."""
-        for n, places, text in by_length(words):
-            for a in range(0, len(places), 4096 if n <= LONG else 1):
-                part = slice(a, a + (4096 if n <= LONG else 1))
-                codes, weight = code_points(text[part], n), mass[places[part]]
-                spans, spelled = list(self._spans(codes)), self._bytes(codes, self.w.bytes)
-                alpha = self._forward(codes, spans, spelled)
-                beta = [np.full_like(alpha[0], -np.inf) for _ in range(n)] + [np.zeros_like(alpha[0])]
-                at = len(spans) - 1
-                for j in range(n, 0, -1):
-                    while at >= 0 and spans[at][1] == j:
-                        i, _, rows, piece = spans[at]
-                        x = self.w.pieces[piece] + beta[j][rows]
-                        np.add.at(pieces, piece, np.exp(alpha[i][rows] + x - alpha[n][rows]) * weight[rows])
-                        beta[i][rows] = np.logaddexp(beta[i][rows], x)
-                        at -= 1
-                    if j > 1:
-                        x = spelled[:, j - 1] + beta[j]
-                        post = np.exp(alpha[j - 1] + x - alpha[n]) * weight
-                        for c in np.unique(codes[:, j - 1]):
-                            share = post[codes[:, j - 1] == c].sum(0)
-                            if share.max() > 1e-9:
-                                np.add.at(bytes_, list(chr(int(c)).encode("utf-8", "replace")), share)
-                        beta[j - 1] = np.logaddexp(beta[j - 1], x)
+        for places, codes, chars, back, spelled, linear in self._parts(words):
+            m, n = codes.shape
+            spans = list(self._spans(codes))
+            if linear:
+                spelled = np.exp(spelled)
+            add, times, own = (np.add, np.multiply, self.plain) if linear else (np.logaddexp, np.add, self.w.pieces)
+            alpha = self._forward(codes, spans, spelled, linear)
+            beta = [np.full((m, self.strata), 0.0 if linear else -np.inf) for _ in range(n)]
+            with np.errstate(divide="ignore"):  # from here on each word has its mass
+                beta.append(mass[places] / alpha[n] if linear else np.log(mass[places]) - alpha[n])
+            uses, post = [], np.zeros((m, n, self.strata))
+            at = len(spans) - 1
+            for j in range(n, 0, -1):
+                while at >= 0 and spans[at][1] == j:
+                    i, _, rows, piece = spans[at]
+                    x = times(own.take(piece, 0), beta[j].take(rows, 0))
+                    uses.append((piece, times(alpha[i].take(rows, 0), x)))
+                    beta[i][rows] = add(beta[i].take(rows, 0), x)
+                    at -= 1
+                if j > 1:
+                    x = times(spelled[:, j - 1], beta[j])
+                    share = times(alpha[j - 1], x)
+                    post[:, j - 1] = share if linear else np.exp(share)
+                    beta[j - 1] = add(beta[j - 1], x)
+            piece = np.concatenate([p for p, _ in uses]) if uses else np.zeros(0, np.int64)
+            share = np.concatenate([x for _, x in uses]) if uses else np.zeros((0, self.strata))
+            if not linear:
+                share = np.exp(share)
+            which, slot = np.unique(piece, return_inverse=True) if m == 1 else (slice(None), piece)
+            length = len(which) if m == 1 else len(pieces)
+            spelt = np.empty((len(chars), self.strata))
+            for k in range(self.strata):
+                pieces[which, k] += np.bincount(slot, share[:, k], length)
+                spelt[:, k] = np.bincount(back.ravel(), post[:, :, k].ravel(), len(chars))
+            for c, x in zip(chars, spelt, strict=True):
+                if x.max() > 1e-9:
+                    np.add.at(bytes_, list(chr(int(c)).encode("utf-8", "replace")), x)
 
 
 def by_length(words: list[bytes]):
     """(length, places, marked words) for groups of equally long words."""
-    groups: dict[int, tuple[list[int], list[str]]] = defaultdict(lambda: ([], []))
-    for i, w in enumerate(words):
-        s = MARK + w.decode("utf-8", "replace")
-        groups[len(s)][0].append(i)
-        groups[len(s)][1].append(s)
-    for n, (places, text) in groups.items():
-        yield n, np.array(places), text
+    text = [MARK + w.decode("utf-8", "replace") for w in words]
+    sizes = np.fromiter(map(len, text), np.int64, len(text))
+    order = np.argsort(sizes, kind="stable")
+    for places in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1) if len(order) else []:
+        yield int(sizes[places[0]]), places, [text[i] for i in places.tolist()]
 
 
 @lru_cache(maxsize=2)
@@ -373,29 +418,32 @@ def score_texts(docs: DataFrame, held_out: Column, vocabulary_path: str, strata_
     def first_pass(batches):
         known, scores = hot.value
         for b in batches:
-            at, word, m, n_tokens, n_known, parts = [], [], [], [], [], []
+            word, m, sizes, n_tokens, n_known, sums_ = [], [], [], [], [], []
             hs = b.column(1).to_pylist()
             for i, raw in enumerate(b.column(3).to_pylist()):
                 ts = tokens(raw)
                 ts.append(b"")
-                found = np.array([known.get(w, -1) for w in ts])
-                rare = Counter([ts[j] for j in np.flatnonzero(found < 0)])
+                found = np.fromiter(map(known.get, ts, repeat(-1)), np.int64, len(ts))
+                rare = Counter([ts[j] for j in np.flatnonzero(found < 0).tolist()])
                 found = found[found >= 0]
                 # the row that carries a document's sums gets a key of its own: words hold no
                 # space, so it matches none, and these rows spread evenly over the join
-                at += [i] * (1 + len(rare))
-                word += [b" %d %d %d" % (hs[i], i, len(ts)), *rare]
-                m += [0, *rare.values()]
-                n_tokens += [len(ts), *[0] * len(rare)]
-                n_known += [len(found), *[0] * len(rare)]
-                parts.append(scores[found].sum(0))
-                if rare:
-                    parts.append(np.zeros((len(rare), strata + 1)))
-            take, block = pa.array(at, pa.int64()), np.vstack(parts)
-            m_ = np.array(m)
+                word.append(b" %d %d %d" % (hs[i], i, len(ts)))
+                word += rare
+                m.append(0)
+                m += rare.values()
+                sizes.append(1 + len(rare))
+                n_tokens.append(len(ts))
+                n_known.append(len(found))
+                sums_.append(scores.take(found, 0).sum(0))
+            heads = np.cumsum([0, *sizes])[:-1]
+            take, m_ = pa.array(np.repeat(np.arange(len(sizes)), sizes)), np.array(m, np.int64)
+            whole, block = np.zeros((2, len(m)), np.int64), np.zeros((strata + 1, len(m)))
+            if len(m):
+                whole[:, heads], block[:, heads] = [n_tokens, n_known], np.array(sums_).T
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(i).take(take) for i in range(3)), pa.array(word, pa.binary()), pa.array(m_, pa.int64()), pa.array((m_ == 0).astype(np.int64)),
-                 pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), *[pa.array(block[:, k]) for k in range(strata + 1)]],
+                [*(b.column(i).take(take) for i in range(3)), pa.array(word, pa.binary()), pa.array(m_), pa.array((m_ == 0).astype(np.int64)),
+                 *map(pa.array, whole), *map(pa.array, block)],
                 names=["doc_id", "h", "held_out", "word", "m", "copies", "n_tokens", "n_known", "base", *ss])
 
     def second_pass(batches):

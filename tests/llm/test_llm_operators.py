@@ -266,6 +266,27 @@ def test_decontamination_edges(spark):
     assert decontaminate.clean_documents(docs, bench.limit(0)).count() == 9
 
 
+def test_lattice_in_plain_numbers_and_in_logarithms():
+    """Both ways of summing give the same; words too unlikely for plain numbers are summed as logarithms."""
+    r = random.Random(7)
+    names = ["▁", *"abcde", "ab", "abc", "▁a", "▁ab", "cde", "é"]
+    weights = lattice_lm.Weights.of(names, np.array([[r.random(), r.random()] for _ in names]), np.full((256, 2), 1e-5))
+    words = ["".join(r.choice("abcdeéx") for _ in range(r.randrange(1, 9))).encode() for _ in range(300)] + ["日本語".encode() * 9, b"x" * 300, b"\xff\xfe", b"abc" * 40]
+    mass = np.array([[r.randrange(3), r.randrange(3)] for _ in words], float)
+    got = []
+    for least in (lattice_lm.Lattice.LEAST, np.inf):
+        lattice = lattice_lm.Lattice(weights)
+        lattice.LEAST = least
+        ways = {linear for *_, linear in lattice._parts(words)}
+        assert ways == ({True, False} if least < 0 else {False})
+        pieces, bytes_ = np.zeros((len(names), 2)), np.zeros((256, 2))
+        lattice.expect(words, mass, pieces, bytes_)
+        got.append((lattice.log_probs(words), pieces, bytes_))
+    for plain, log in zip(*got, strict=True):
+        assert np.isfinite(plain).all() and np.allclose(plain, log, rtol=1e-9, atol=1e-12)
+    assert got[0][0][-3].max() < -745  # no plain number is that small
+
+
 def test_lattice_sums_over_all_segmentations():
     weights = lattice_lm.Weights.of(["▁", "▁a", "a", "ab", "b", "▁ab"], np.array([[5.0], [3], [4], [2], [6], [1]]), np.full((256, 1), 0.01))
     lattice = lattice_lm.Lattice(weights)
