@@ -20,28 +20,30 @@ template text and goes; inside an article its whole slot must be constant too,
 since articles may share a sentence, and headings stay.
 
 Hosts may be skewed: skeletons and slot texts are counted with partial
-aggregates.  The ``max_skeletons`` commonest skeletons shape a host's wrapper;
-every further one is matched with it and counted all the same, and a text that
-matches no item of the wrapper has its path as slot, so no page is left out.
-Slots are met in a join that Spark broadcasts if the table is small.
+aggregates.  All skeletons shape their host's wrapper, whatever their number and
+length: they are aligned in groups, then the groups' wrappers, level by level.
+Every skeleton is matched with it, in parts; a text that matches no item of the
+wrapper has its path as slot, so no page is left out.  Slots are met in a join that Spark broadcasts if the table is small.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import math
 import re
 from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterable
 from difflib import SequenceMatcher
-from functools import lru_cache
+from functools import lru_cache, reduce
 from html import unescape
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from millrace.runtime import cut, packed, ship
 
@@ -294,18 +296,91 @@ def folded(stream: list[str]) -> tuple[list[str], list[int]]:
     return out, at
 
 
-def align(wrapper: list[list], stream: list[str]) -> list[list]:
-    """Merge a folded stream into a wrapper of [token, optional, repeated].
-
-    Matching runs of plain tokens, longest first; what only one side has
-    becomes optional, unless it repeats the group before it."""
-    a, b = [w[0] for w in wrapper], [t.rstrip("+") for t in stream]
+def plain(skeleton: list[str]) -> list[list]:
+    """The wrapper of one skeleton."""
+    return [[t.rstrip("+"), False, t.endswith("+")] for t in skeleton]
+
+
+def zeros(steps: list[str], bits: list[str], keep: bool) -> list[bytes]:
+    """Rows of the longest common subsequence: bit j of row i is 0 where the
+    length for ``steps[: i + 1]`` grows with ``bits[j]``.  All rows, or the last."""
+    size, full = len(bits) // 8 + 1, (1 << len(bits)) - 1
+    at: dict[str, list[int]] = {}
+    for j, t in enumerate(bits):
+        at.setdefault(t, []).append(j)
+    often = {}
+    for t, js in at.items():
+        if len(js) > 8:
+            row = np.zeros(size * 8, bool)
+            row[js] = True
+            often[t] = int.from_bytes(np.packbits(row, bitorder="little").tobytes(), "little")
+    v, rows = full, []
+    for t in steps:
+        u = v & (often[t] if t in often else sum(1 << j for j in at.get(t, ())))
+        v = ((v + u) | (v - u)) & full
+        if keep:
+            rows.append(v.to_bytes(size, "little"))
+    return rows if keep else [v.to_bytes(size, "little")]
+
+
+def common_pairs(a: list[str], b: list[str], room: int = 1 << 25) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, in order.  The rows of bits are
+    kept if they take at most ``room`` bytes, else ``a`` is halved and ``b`` is
+    split where both halves together are best."""
+    if len(a) > len(b):
+        return [(x, y) for y, x in common_pairs(b, a, room)]
+    head = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
+    tail = next((k for k, (x, y) in enumerate(zip(a[head:][::-1], b[head:][::-1], strict=False)) if x != y), len(a) - head)
+    out = [(k, k) for k in range(head)]
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    if len(x) > 1 and len(x) * len(y) > 8 * room:
+        half = len(x) // 2
+        count = lambda v: np.concatenate([[0], np.cumsum(np.unpackbits(np.frombuffer(v, np.uint8), bitorder="little")[: len(y)] == 0)])
+        left, right = count(zeros(x[:half], y, False)[0]), count(zeros(x[half:][::-1], y[::-1], False)[0])
+        split = int(np.argmax(left + right[::-1]))
+        out += [(head + i, head + j) for i, j in common_pairs(x[:half], y[:split], room)]
+        out += [(head + half + i, head + split + j) for i, j in common_pairs(x[half:], y[split:], room)]
+    elif x and y:
+        rows, got = zeros(x, y, True), []
+        i, j = len(x), len(y)
+        while i and j:
+            k = j - 1
+            if rows[i - 1][k >> 3] >> (k & 7) & 1:
+                j -= 1
+            else:
+                i -= 1
+                if not i or rows[i - 1][k >> 3] >> (k & 7) & 1:
+                    j -= 1
+                    got.append((head + i, head + j))
+        out += got[::-1]
+    return out + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+
+
+def blocks_of(a: list[str], b: list[str], max_items: int = 2000) -> list[tuple[int, int, int]]:
+    """Equal runs (place in ``a``, in ``b``, length) of an alignment, with an
+    empty one at the ends: longest runs first, beyond ``max_items`` a longest
+    common subsequence, whose time stays bounded."""
+    if max(len(a), len(b)) <= max_items:
+        return SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
+    out: list[list[int]] = []
+    for x, y in common_pairs(a, b):
+        if out and out[-1][0] + out[-1][2] == x and out[-1][1] + out[-1][2] == y:
+            out[-1][2] += 1
+        else:
+            out.append([x, y, 1])
+    return [*map(tuple, out), (len(a), len(b), 0)]
+
+
+def align(wrapper: list[list], other: list[list]) -> list[list]:
+    """Merge two wrappers of [token, optional, repeated].
+
+    What only one side has becomes optional, unless it repeats the group
+    before it."""
     out: list[list] = []
     i = j = 0
-    for x, y, size in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks():
-        out += [[w[0], True, w[2]] for w in wrapper[i:x]]
-        out += [[b[k], True, stream[k].endswith("+")] for k in range(j, y)]
-        out += [[w[0], w[1], w[2] or t.endswith("+")] for w, t in zip(wrapper[x : x + size], stream[y : y + size], strict=True)]
+    for x, y, size in blocks_of([w[0] for w in wrapper], [w[0] for w in other]):
+        out += [[w[0], True, w[2]] for w in [*wrapper[i:x], *other[j:y]]]
+        out += [[w[0], w[1] or o[1], w[2] or o[2]] for w, o in zip(wrapper[x : x + size], other[y : y + size], strict=True)]
         i, j = x + size, y + size
     return squeeze(out)
 
@@ -328,26 +403,22 @@ def squeeze(wrapper: list[list]) -> list[list]:
     return out
 
 
-def infer(skeletons: list[list[str]], max_items: int = 2000) -> list[list]:
+def merge(wrappers: Iterable[list[list]]) -> list[list]:
+    """One wrapper of some, commonest first."""
+    return reduce(lambda w, other: align(w, other) if w else other, wrappers, [])
+
+
+def infer(skeletons: list[list[str]]) -> list[list]:
     """Wrapper of some skeletons, commonest first."""
-    wrapper: list[list] = []
-    for s in skeletons:
-        if len(s) > max_items:
-            continue
-        wrapper = align(wrapper, s) if wrapper else [[t.rstrip("+"), False, t.endswith("+")] for t in s]
-        if len(wrapper) > max_items:
-            break
-    return wrapper
+    return merge(map(plain, skeletons))
 
 
-def match(wrapper: list[list], skeleton: list[str], max_items: int = 2000) -> dict[int, str]:
+def match(wrapper: list[list], skeleton: list[str]) -> dict[int, str]:
     """Slot per place of a text in a skeleton: the item of the wrapper that it
     matches, or its path where the wrapper has none."""
     slots = {k: t[1:] for k, t in enumerate(skeleton) if t[0] == "#"}
-    if len(skeleton) <= max_items:
-        a, b = [w[0] for w in wrapper], [t.rstrip("+") for t in skeleton]
-        for x, y, size in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks():
-            slots |= {y + k: str(x + k) for k in range(size) if y + k in slots}
+    for x, y, size in blocks_of([w[0] for w in wrapper], [t.rstrip("+") for t in skeleton]):
+        slots |= {y + k: str(x + k) for k in range(size) if y + k in slots}
     return slots
 
 
@@ -382,10 +453,13 @@ def host_of(url: Column) -> Column:
     return F.coalesce(host, F.lit(""))
 
 
-def infer_wrappers(pages: DataFrame, max_skeletons: int = 40, min_pages: int = 5, share: float = 0.5, vary: float = 0.1) -> DataFrame:
+def infer_wrappers(pages: DataFrame, fan_in: int = 40, min_pages: int = 5, share: float = 0.5, vary: float = 0.1) -> DataFrame:
     """(host, wrapper JSON, slots JSON, template JSON): one row per host of
     ``pages`` (host, html).
 
+    All skeletons of a host shape its wrapper: about ``fan_in`` in a task, then as
+    many of the wrappers that came out, until one is left.
+
     slots holds [path, number of its region] of the main slots.  A doubtful slot
     inside an article is main if its texts vary (more than ``vary`` texts per
     page) or if the host has fewer than ``min_pages`` distinct pages.
@@ -426,13 +500,12 @@ def infer_wrappers(pages: DataFrame, max_skeletons: int = 40, min_pages: int = 5
     skeletons = counted.where("kind = 0").select("host", "skeleton", "body").join(each.groupBy("host", "skeleton").agg(F.sum("n").alias("n")), ["host", "skeleton"])
     skeletons = cut(skeletons)
     totals = skeletons.groupBy("host").agg(F.sum("n").alias("total"), F.ceil(F.count("*") / 1000).cast("int").alias("parts"))
-    top = skeletons.withColumn("salt", F.pmod("skeleton", F.lit(32)))
-    for keys in (["host", "salt"], ["host"]):
-        top = top.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "skeleton"))).where(F.col("r") <= max_skeletons)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = pdf.sort_values(["n", "skeleton"], ascending=[False, True])
-        return pd.DataFrame({"host": [pdf.host.iloc[0]], "wrapper": [json.dumps(infer([json.loads(x) for x in order.body]), ensure_ascii=False)]})
+        order = pdf.sort_values(["n", "part"], ascending=[False, True])
+        read = (json.loads(x) for x in order.body)
+        wrapper = merge(map(plain, read) if order["raw"].iloc[0] else read)
+        return pd.DataFrame({"host": [pdf.host.iloc[0]], "group": [pdf.group.iloc[0]], "n": [pdf.n.sum()], "wrapper": [json.dumps(wrapper, ensure_ascii=False)]})
 
     def locate(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         wrapper = json.loads(right.wrapper.iloc[0])
@@ -446,7 +519,18 @@ def infer_wrappers(pages: DataFrame, max_skeletons: int = 40, min_pages: int = 5
                     out.append((host, key, place, path, slot, must_be_constant(path), REGIONS.index(region), can == 1))
         return pd.DataFrame(out, columns=["host", "skeleton", "place", "path", "slot", "strict", "region", "doubtful"])
 
-    wrappers = cut(top.select("host", "n", "skeleton", "body").groupBy("host").applyInPandas(build, "host string, wrapper string"))
+    groups = skeletons.groupBy("host").agg(F.ceil(F.count("*") / fan_in).alias("groups"))
+    left = cut(groups)
+    most = left.agg(F.max("groups")).first()[0] or 0
+    level = skeletons.select("host", F.col("skeleton").alias("part"), "n", "body", F.lit(True).alias("raw"))
+    while True:
+        level = level.join(left, "host").withColumn("group", F.pmod("part", "groups"))
+        level = cut(level.select("host", "group", "part", "n", "body", "raw").groupBy("host", "group").applyInPandas(build, "host string, group long, n long, wrapper string"))
+        if most <= 1:
+            break
+        level = level.select("host", F.col("group").alias("part"), "n", F.col("wrapper").alias("body"), F.lit(False).alias("raw"))
+        left, most = left.select("host", F.ceil(F.col("groups") / fan_in).alias("groups")), math.ceil(most / fan_in)
+    wrappers = level.select("host", "wrapper")
     # every skeleton, in the wrapper or not, is matched with it: in parts of about 1000
     large = totals.where(F.col("total") >= min_pages)
     left = skeletons.join(totals, "host").withColumn("part", F.pmod("skeleton", F.col("parts")).cast("int"))

@@ -441,6 +441,43 @@ def test_html_template_counts(spark):
     assert len(html_wrapper.parse(long(0))[0]) > 2000 and got[103].endswith("more 3 399") and got[103].startswith("own 3 0")
 
 
+def test_all_skeletons_shape_the_wrapper(spark):
+    """A section of skeletons that are not among a host's forty commonest has slots of its own, also in long pages."""
+    name = lambda k: f"k{chr(97 + k // 26)}{chr(97 + k % 26)}"
+    page = lambda k, n, more: f"<body><article><p>story {n}</p><div class='{name(k)}'>own {n}</div>{more}</article></body>"
+    section = lambda n: f"<section><div class='lead'>Read our terms.</div><p>of {n}</p><div class='lead'>end {n}</div></section>"
+    rows = [(n, "http://h.example/", page(n % 41, n, "")) for n in range(82)]
+    rows += [(100 + n, "http://h.example/", page(50 + n, 100 + n, section(100 + n))) for n in range(90)]
+    long = "".join(f"<h5>a</h5><div class='{name(k)}'>x {k}</div>" for k in range(400))
+    rows += [(300 + n, "http://long.example/", page(n, n, long + section(n))) for n in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_wrapper.op8_html_extraction(df).collect()}
+    assert got[0] == "story 0\nown 0" and got[150] == "story 150\nown 150\nof 150\nend 150"
+    assert len(html_wrapper.folded(html_wrapper.parse(rows[-1][2])[0])[0]) > 2000
+    assert got[303].startswith("story 3\nown 3\na\n") and got[303].endswith("\nof 3\nend 3") and "terms" not in got[303]
+    for fan_in in (40, 3):
+        wrappers = html_wrapper.infer_wrappers(df.select(html_wrapper.host_of(F.col("url")).alias("host"), "html"), fan_in=fan_in)
+        items = {r.host: {w[0] for w in json.loads(r.wrapper)} for r in wrappers.collect()}
+        assert {f"<div.{name(k)}" for k in [*range(41), *range(50, 140)]} <= items["h.example"]
+        assert {f"<div.{name(k)}" for k in range(400)} <= items["long.example"]
+
+
+def test_longest_common_subsequences():
+    r = random.Random(3)
+    for n in range(300):
+        a, b = ([r.choice("abcdefgh"[: 1 + n % 8]) for _ in range(r.randrange(40))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        for room in (1 << 25, 1):
+            pairs = html_wrapper.common_pairs(a, b, room)
+            assert len(pairs) == best[-1][-1] and all(a[i] == b[j] for i, j in pairs)
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+        runs = html_wrapper.blocks_of(a, b, 0)
+        assert runs[-1] == (len(a), len(b), 0) and sum(x[2] for x in runs) == best[-1][-1]
+
+
 def test_wrapper_inference():
     fold = html_wrapper.fold
     assert fold("<ul <li #x >li <li #x >li <li #x >li >ul".split()) == "<ul <li #x >li+ >ul".split()
