@@ -301,29 +301,54 @@ def plain(skeleton: list[str]) -> list[list]:
     return [[t.rstrip("+"), False, t.endswith("+")] for t in skeleton]
 
 
-def zeros(steps: list[str], bits: list[str], keep: bool) -> list[bytes]:
-    """Rows of the longest common subsequence: bit j of row i is 0 where the
-    length for ``steps[: i + 1]`` grows with ``bits[j]``.  All rows, or the last."""
-    size, full = len(bits) // 8 + 1, (1 << len(bits)) - 1
-    at: dict[str, list[int]] = {}
-    for j, t in enumerate(bits):
-        at.setdefault(t, []).append(j)
-    often = {}
-    for t, js in at.items():
-        if len(js) > 8:
-            row = np.zeros(size * 8, bool)
-            row[js] = True
-            often[t] = int.from_bytes(np.packbits(row, bitorder="little").tobytes(), "little")
-    v, rows = full, []
-    for t in steps:
-        u = v & (often[t] if t in often else sum(1 << j for j in at.get(t, ())))
-        v = ((v + u) | (v - u)) & full
-        if keep:
-            rows.append(v.to_bytes(size, "little"))
-    return rows if keep else [v.to_bytes(size, "little")]
-
-
-def common_pairs(a: list[str], b: list[str], room: int = 1 << 25) -> list[tuple[int, int]]:
+class Bits:
+    """Some tokens, and per token the places where it stands as bits of a number."""
+
+    def __init__(self, tokens: list[str]):
+        self.tokens, self.size = tokens, len(tokens) // 8 + 1
+        self.at: dict[str, list[int]] = {}
+        for j, t in enumerate(tokens):
+            self.at.setdefault(t, []).append(j)
+        self.often = {}
+        for t, js in self.at.items():
+            if len(js) > 8:
+                row = np.zeros(self.size * 8, bool)
+                row[js] = True
+                self.often[t] = int.from_bytes(np.packbits(row, bitorder="little").tobytes(), "little")
+
+    def grown(self, steps: list[str], keep: bool) -> list[int]:
+        """Longest common subsequences: bit j of row i is 1 where the length for
+        ``steps[: i + 1]`` grows with token j.  All rows, or the last."""
+        v = full = (1 << len(self.tokens)) - 1
+        rows = []
+        for t in steps:
+            u = v & (self.often[t] if t in self.often else sum(1 << j for j in self.at.get(t, ())))
+            v = ((v + u) | (v - u)) & full
+            if keep:
+                rows.append(v ^ full)
+        return rows if keep else [v ^ full]
+
+    def pairs(self, steps: list[str]) -> list[tuple[int, int]]:
+        """(place in ``steps``, in the tokens) of a longest common subsequence."""
+        rows, got = self.grown(steps, True), []
+        i, j = len(steps), len(self.tokens)
+        while i and (j := (rows[i - 1] & ((1 << j) - 1)).bit_length()):
+            i -= 1
+            if not i or not rows[i - 1] >> (j - 1) & 1:
+                j -= 1
+                got.append((i, j))
+        return got[::-1]
+
+    def lengths(self, steps: list[str]) -> np.ndarray:
+        """Length of it for the first 0, 1, ... tokens."""
+        last = self.grown(steps, False)[0].to_bytes(self.size, "little")
+        return np.concatenate([[0], np.cumsum(np.unpackbits(np.frombuffer(last, np.uint8), bitorder="little")[: len(self.tokens)], dtype=np.int64)])
+
+
+ROOM = 1 << 25  # bytes that the kept rows may take
+
+
+def common_pairs(a: list[str], b: list[str], room: int = ROOM) -> list[tuple[int, int]]:
     """Places of a longest common subsequence, in order.  The rows of bits are
     kept if they take at most ``room`` bytes, else ``a`` is halved and ``b`` is
     split where both halves together are best."""
@@ -335,35 +360,28 @@ def common_pairs(a: list[str], b: list[str], room: int = 1 << 25) -> list[tuple[
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
     if len(x) > 1 and len(x) * len(y) > 8 * room:
         half = len(x) // 2
-        count = lambda v: np.concatenate([[0], np.cumsum(np.unpackbits(np.frombuffer(v, np.uint8), bitorder="little")[: len(y)] == 0)])
-        left, right = count(zeros(x[:half], y, False)[0]), count(zeros(x[half:][::-1], y[::-1], False)[0])
-        split = int(np.argmax(left + right[::-1]))
+        split = int(np.argmax(Bits(y).lengths(x[:half]) + Bits(y[::-1]).lengths(x[half:][::-1])[::-1]))
         out += [(head + i, head + j) for i, j in common_pairs(x[:half], y[:split], room)]
         out += [(head + half + i, head + split + j) for i, j in common_pairs(x[half:], y[split:], room)]
     elif x and y:
-        rows, got = zeros(x, y, True), []
-        i, j = len(x), len(y)
-        while i and j:
-            k = j - 1
-            if rows[i - 1][k >> 3] >> (k & 7) & 1:
-                j -= 1
-            else:
-                i -= 1
-                if not i or rows[i - 1][k >> 3] >> (k & 7) & 1:
-                    j -= 1
-                    got.append((head + i, head + j))
-        out += got[::-1]
+        out += [(head + i, head + j) for i, j in Bits(y).pairs(x)]
     return out + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
 
 
-def blocks_of(a: list[str], b: list[str], max_items: int = 2000) -> list[tuple[int, int, int]]:
+LONG = 2000  # items
+
+
+def blocks_of(a: list[str] | Bits, b: list[str], long: int = LONG) -> list[tuple[int, int, int]]:
     """Equal runs (place in ``a``, in ``b``, length) of an alignment, with an
-    empty one at the ends: longest runs first, beyond ``max_items`` a longest
-    common subsequence, whose time stays bounded."""
-    if max(len(a), len(b)) <= max_items:
+    empty one at the ends: longest runs first, beyond ``long`` items a longest
+    common subsequence, whose time stays bounded.  ``a`` may come prepared."""
+    bits = a if isinstance(a, Bits) else None
+    a = bits.tokens if bits else a
+    if max(len(a), len(b)) <= long:
         return SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
+    ready = bits is not None and bits.size * len(b) <= ROOM
     out: list[list[int]] = []
-    for x, y in common_pairs(a, b):
+    for x, y in ((x, y) for y, x in bits.pairs(b)) if ready else common_pairs(a, b):
         if out and out[-1][0] + out[-1][2] == x and out[-1][1] + out[-1][2] == y:
             out[-1][2] += 1
         else:
@@ -413,11 +431,11 @@ def infer(skeletons: list[list[str]]) -> list[list]:
     return merge(map(plain, skeletons))
 
 
-def match(wrapper: list[list], skeleton: list[str]) -> dict[int, str]:
-    """Slot per place of a text in a skeleton: the item of the wrapper that it
-    matches, or its path where the wrapper has none."""
+def match(items: list[str] | Bits, skeleton: list[str]) -> dict[int, str]:
+    """Slot per place of a text in a skeleton: the item of the wrapper (its
+    tokens) that it matches, or its path where the wrapper has none."""
     slots = {k: t[1:] for k, t in enumerate(skeleton) if t[0] == "#"}
-    for x, y, size in blocks_of([w[0] for w in wrapper], [t.rstrip("+") for t in skeleton]):
+    for x, y, size in blocks_of(items, [t.rstrip("+") for t in skeleton]):
         slots |= {y + k: str(x + k) for k in range(size) if y + k in slots}
     return slots
 
@@ -508,11 +526,11 @@ def infer_wrappers(pages: DataFrame, fan_in: int = 40, min_pages: int = 5, share
         return pd.DataFrame({"host": [pdf.host.iloc[0]], "group": [pdf.group.iloc[0]], "n": [pdf.n.sum()], "wrapper": [json.dumps(wrapper, ensure_ascii=False)]})
 
     def locate(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        wrapper = json.loads(right.wrapper.iloc[0])
+        items = Bits([w[0] for w in json.loads(right.wrapper.iloc[0])])
         out = []
         for host, key, body in zip(left.host, left.skeleton, left.body, strict=True):
             skeleton = json.loads(body)
-            for place, slot in match(wrapper, skeleton).items():
+            for place, slot in match(items, skeleton).items():
                 path = skeleton[place][1:]
                 region, can = place_of(path)
                 if can:

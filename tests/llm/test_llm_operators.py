@@ -474,8 +474,10 @@ def test_longest_common_subsequences():
             pairs = html_wrapper.common_pairs(a, b, room)
             assert len(pairs) == best[-1][-1] and all(a[i] == b[j] for i, j in pairs)
             assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
-        runs = html_wrapper.blocks_of(a, b, 0)
-        assert runs[-1] == (len(a), len(b), 0) and sum(x[2] for x in runs) == best[-1][-1]
+        for first in (a, html_wrapper.Bits(a)):
+            runs = html_wrapper.blocks_of(first, b, 0)
+            assert runs[-1] == (len(a), len(b), 0) and sum(x[2] for x in runs) == best[-1][-1]
+            assert all(a[x : x + k] == b[y : y + k] for x, y, k in runs)
 
 
 def test_wrapper_inference():
