@@ -2,7 +2,9 @@
 
 import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +67,59 @@ def test_attempts_over_batches(spark):
     assert {x.id: (x.failed_attempts, x.final, x.late) for x in out} == want
 
 
+def test_attempts_tell_null_and_large_keys_apart(spark):
+    rows = [(k, BEGAN + timedelta(minutes=i), i, False) for i, k in enumerate([None, 2**53 + 1, 2**53, 7] * 30)]
+    coming = in_batches(spark, [*rows, (0, BEGAN + timedelta(days=3), 9001, True)], "k long, ts timestamp, id long, ok boolean", 2, "keys")
+    with ordered.rocksdb(spark):
+        out = jobs.run_to_table(ordered.attempts(coming.stream, "k", "id", "ok"), "keys", "append", coming).collect()
+    assert {x.id: (x.key, x.failed_attempts) for x in out} == {i: (k, i // 4 + 1) for k, _, i, _ in rows}
+
+
+class Store:
+    """A state store that counts what it is asked, and its timers."""
+
+    def __init__(self):
+        self.calls, self.maps, self.value, self.ends = 0, {}, None, set()
+
+    def called(self, result=None):
+        self.calls += 1
+        return result
+
+    def getMapState(self, *_):
+        return SimpleNamespace(getValue=lambda k: self.called(self.maps[k]), updateValue=lambda k, v: self.called(self.maps.update({k: v})), removeKey=lambda k: self.called(self.maps.pop(k)))
+
+    def getValueState(self, *_):
+        return SimpleNamespace(get=lambda: self.called(self.value), update=lambda v: self.called(setattr(self, "value", v)))
+
+    def registerTimer(self, end):
+        self.called(self.ends.add(end))
+
+
+@pytest.mark.parametrize("block,part,most", [(ordered.BLOCK, ordered.PART, 60), (100, 300, 10**6)])
+def test_attempts_ask_the_store_by_slot_not_by_key(monkeypatch, block, part, most):
+    monkeypatch.setattr(ordered, "BLOCK", block)
+    monkeypatch.setattr(ordered, "PART", part)
+    r, slot, store = random.Random(block), 3_600_000, Store()
+    rows = [(r.choice([None, *map(str, range(300))]), 1000 * r.randrange(8 * slot), i, r.random() < 0.4) for i in range(4000)]
+    rows.sort(key=lambda x: x[1] // 1000 // slot // 4)  # two batches of four slots
+    processor, out = ordered.Attempts(), []
+    processor.init(store)
+    for k in (0, 1):
+        some = [x for x in rows if x[1] // 1000 // slot // 4 == k] + ([("late", 5, 9001, True)] if k else [])
+        batch = pa.RecordBatch.from_pylist([dict(zip(("share", "key", "at", "id", "ok"), (0, *x), strict=True)) for x in some])
+        frames = [b.to_pandas() for b in ordered._in_blocks([batch], slot)]
+        out += processor.handleInputRows((0,), iter(frames), SimpleNamespace(getCurrentWatermarkInMs=lambda k=k: 4 * k * slot))
+        for end in sorted(e for e in store.ends if e <= 4 * (k + 1) * slot):
+            store.ends.remove(end)
+            out += processor.handleExpiredTimer((0,), None, SimpleNamespace(getExpiryTimeInMs=lambda end=end: end))
+    want, n = {9001: ("late", -1, True)}, {}
+    for key, _, i, ok in sorted(rows, key=lambda x: (x[1], x[2])):
+        n[key] = 0 if ok else n.get(key, 0) + 1
+        want[i] = (key, n[key], False)
+    assert {i: (k, n, late) for f in out for k, i, n, late in f[["key", "id", "n", "late"]].itertuples(index=False)} == want
+    assert not store.maps and not store.value[0] and store.calls <= most
+
+
 def test_closed_days_and_late_rows_are_all_events(spark):
     r = random.Random(6)
     rows = [("hot" if r.random() < 0.8 else "b", BEGAN + timedelta(hours=r.randrange(24 * 9)), i) for i in range(700)]
