@@ -88,7 +88,7 @@ def stream_first_event(spark, sf_dir):
 def _in_turn(spark, sf_dir, parts: int = 4) -> jobs.Arrivals:
     """The events in order of time, a fraction of the time they span in each
     batch."""
-    rows = events(spark, sf_dir)
+    rows = events(spark, sf_dir).select("event_id", "ts", "user_id", "event_type")
     at = F.unix_micros("ts")
     lo, hi = rows.agg(F.min(at), F.max(at)).first()
     if lo is None:
